@@ -26,6 +26,8 @@ DOCS_A_LANGUAGE = 400
 SCRIPT_SHARE = 0.01
 #: Characters that are scored at once.
 CHUNK_CHARS = 1 << 20
+#: Words that the Viterbi pass takes at once, whole texts together.
+GROUP_WORDS = 1 << 20
 
 # First and last code point of the scripts' main ranges.
 SCRIPTS = (
@@ -95,29 +97,37 @@ class Model:
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
     """Best language of each word; ``counts`` words of ``scores`` belong to each text.
 
-    The texts go side by side, longest first, one word of each at a time.
+    The texts go side by side, longest first, one word of each at a time: the words are
+    laid out by their place in the text, so each step works on neighbouring memory.
     """
     order = np.argsort(-counts, kind="stable")
-    first = (np.cumsum(counts) - counts)[order]
-    active = len(counts) - np.searchsorted(np.sort(counts), np.arange(counts.max(initial=0)), side="right")  # texts longer than t words
-    came, stay = np.zeros(len(scores), dtype=np.uint8), np.zeros(scores.shape, dtype=bool)
-    best = np.zeros((len(counts), scores.shape[1]), dtype=np.float32)
-    for t, n in enumerate(active.tolist()):
-        at, now = first[:n] + t, best[:n]
-        top = now.argmax(axis=1)
-        switched = now[np.arange(n), top][:, None] - penalty
-        keep = now >= switched
-        came[at], stay[at] = top, keep
-        now = np.where(keep, now, switched) + scores[at]
-        best[:n] = now - now.max(axis=1, keepdims=True)
+    lengths = counts[order]
+    steps = int(counts.max(initial=0))
+    active = len(counts) - np.searchsorted(lengths[::-1], np.arange(steps), side="right")  # texts longer than t words
+    offset = np.cumsum(active) - active
+    rank = np.repeat(np.arange(len(counts)), lengths)
+    t = np.arange(len(scores)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    word = np.empty(len(scores), dtype=np.int64)
+    word[offset[t] + rank] = np.repeat((np.cumsum(counts) - counts)[order], lengths) + t
+    laid = np.ascontiguousarray(scores[word].T)
+    came, stay = np.zeros(len(scores), dtype=np.uint8), np.zeros(laid.shape, dtype=bool)
+    best = np.zeros((laid.shape[0], len(counts)), dtype=np.float32)
+    for at, n in zip(offset.tolist(), active.tolist(), strict=True):
+        now = best[:, :n]
+        came[at : at + n] = now.argmax(axis=0)
+        now -= now.max(axis=0)
+        np.greater_equal(now, -penalty, out=stay[:, at : at + n])
+        np.maximum(now, -penalty, out=now)
+        now += laid[:, at : at + n]
     labels = np.zeros(len(scores), dtype=np.uint8)
-    state = best.argmax(axis=1)
-    for t in range(len(active) - 1, -1, -1):
-        n = active[t]
-        at, now = first[:n] + t, state[:n]
-        labels[at] = now
-        state[:n] = np.where(stay[at, now], now, came[at])
-    return labels
+    state = best.argmax(axis=0)
+    for at, n in zip(offset[::-1].tolist(), active[::-1].tolist(), strict=True):
+        now = state[:n]
+        labels[at : at + n] = now
+        state[:n] = np.where(stay[now, np.arange(at, at + n)], now, came[at : at + n])
+    out = np.empty_like(labels)
+    out[word] = labels
+    return out
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -131,14 +141,20 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def _labelled(model: Model, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _labelled(model: Model, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First and end text of a group, and of each of its words the text, the letters and the label."""
+    first, held, counts, letters, scores = 0, 0, [], [], []
     for lo, hi in _chunks(texts):
         points, ends_of = _chars(texts[lo:hi])
         starts, ends, scripts, _, grams = words_of(points)
-        scores = model.word_scores(starts, ends, scripts, grams)
-        of = np.searchsorted(ends_of, starts, side="right")
-        counts = np.bincount(of, minlength=hi - lo)
-        yield lo, hi, of, ends - starts, viterbi(scores, counts), scores
+        counts.append(np.diff(np.searchsorted(starts, ends_of), prepend=0))
+        letters.append(ends - starts)
+        scores.append(model.word_scores(starts, ends, scripts, grams))
+        held += len(starts)
+        if held >= GROUP_WORDS or hi == len(texts):
+            n = np.concatenate(counts)
+            yield first, hi, np.repeat(np.arange(hi - first), n), np.concatenate(letters), viterbi(np.concatenate(scores), n)
+            first, held, counts, letters, scores = hi, 0, [], [], []
 
 
 def _predict(model: Model):
@@ -148,7 +164,7 @@ def _predict(model: Model):
         for batch in batches:
             texts = batch.column(0).to_pylist()
             pred, score = np.full(len(texts), k), np.zeros(len(texts))
-            for lo, hi, of, letters, labels, _ in _labelled(model, texts):
+            for lo, hi, of, letters, labels in _labelled(model, texts):
                 share = np.bincount(of * k + labels, weights=letters, minlength=(hi - lo) * k).reshape(hi - lo, k)
                 total = share.sum(axis=1)
                 pred[lo:hi] = np.where(total > 0, share.argmax(axis=1), k)

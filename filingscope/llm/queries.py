@@ -13,15 +13,82 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import Mix
+
+    return Mix(_table(spark, sf_dir, "documents")).documents()
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_output import materialise
+
+    return materialise(_table(spark, sf_dir, "documents"), _tokenizer())
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets
+
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import link_quotes
+
+    return link_quotes(_table(spark, sf_dir, "conversations"))
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import DigestIndex
+
+    return DigestIndex(spark).ingest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_minhash_near_dedup,)}
+    every = (op1_source_mixing, op2_nearest_neighbours, op3_language_id, op4_html_extraction, op5_token_output, op6_best_fit_packing, op7_secret_scan, op8_minhash_near_dedup, op9_quotation_linking, op10_exact_dedup)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_exact_dedup": """
+            SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+            FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
+            WINDOW w AS (PARTITION BY norm)""",
+    }
