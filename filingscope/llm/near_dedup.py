@@ -7,13 +7,14 @@ exhaustively; a larger one branches each vertex by ``BRANCH`` further minwise to
 chosen by the node's path, and so on down to ``MAX_DEPTH``, after which it is compared
 block by block. A link of similarity s stays together in a tree with probability s at
 the root and 1 - (1 - s)**BRANCH at each further level, so ten trees miss one of 0.8
-in about 1e-6 of cases at most. Comparisons keep the pairs whose sizes allow the similarity and whose
-64 minwise bytes agree often enough (a true link fails this in under 1e-7 of cases);
-every kept pair that could join two components is then confirmed on the full sets.
+in about 1e-6 of cases at most. Comparisons go by size and by 128 minwise bytes, which
+a true link fails in under 1e-8 of cases. What passes joins documents into clusters;
+in a cluster every pair that passes is decided on the full sets.
 
 Before that, each vertex is compared with one leader of each of its nodes. So a large
 group of copies is linked in a linear number of comparisons, and only nodes in which
-more than one component is left go on.
+more than one component is left go on. No step writes all pairs of a group: nodes and
+clusters give at most one row for each of their members.
 """
 
 from __future__ import annotations
@@ -24,15 +25,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, join_hot
 from .wordhash import U64, row_words, shingle_set
 from .workspace import Workspace
 
-TREES, COORDINATES = 10, 64
+TREES, COORDINATES = 10, 128
 NODE_LIMIT, BRANCH, MAX_DEPTH = 2048, 2, 3
+#: Shingles that a task compares with as many others at once; larger clusters are split into blocks.
+BLOCK_ITEMS = 1 << 21
 #: Standard deviations by which a link's agreement may fall short of its mean.
 SLACK = 6.4
 
@@ -97,20 +100,25 @@ def _id_hash(bits: int):
     return F.pmod(F.coalesce(F.xxhash64("id"), F.lit(0)), F.lit(bits))
 
 
-def confirm(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, k: int, percent: int, ws: Workspace) -> DataFrame:
-    """Those of the pairs (a, b of vertex keys) whose full sets reach the similarity.
+def full_sets(docs: DataFrame, vertices: DataFrame, keys: DataFrame, k: int, ws: Workspace) -> DataFrame:
+    """(key, items) of the vertices among ``keys``, and perhaps of some others.
 
     ``docs`` has id and text; ``vertices`` has key and id, a document with that set.
-    A bitmap of fixed size (at most 2**27 bits, whatever the input) spares the others'
+    A bitmap of bounded size (at most 2**27 bits, whatever the input) spares the others'
     sets the shuffle; beyond its capacity it only spares less.
     """
+    spot = ws.put(vertices.select("key", "id").join(keys, "key", "left_semi"), "wanted")
+    bits = 1 << min(27, max(17, math.ceil(math.log2(16 * spot.count() + 1))))
+    spot = spot.select(_id_hash(bits).alias("h")).select((F.col("h") / 32768).cast("int").alias("bucket"), (F.col("h") % 32768).alias("at"))
+    filters = {r[0]: bytes(r[1]) for r in spot.groupBy("bucket").agg(F.expr("bitmap_construct_agg(at)")).collect()}
+    return ws.put(docs.select(_id_hash(bits).alias("h"), "text").mapInArrow(_wanted_sets(k, bits, filters), "key binary, items array<bigint>"), "sets").dropDuplicates(["key"])
+
+
+def confirm(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, k: int, percent: int, ws: Workspace) -> DataFrame:
+    """Those of the pairs (a, b of vertex keys) whose full sets reach the similarity."""
     pairs = ws.put(pairs.select("a", "b"), "pairs")
     ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    count = pairs.count()
-    bits = 1 << min(27, max(17, math.ceil(math.log2(32 * count + 1))))
-    spot = vertices.select("key", "id").join(ends, "key", "left_semi").select(_id_hash(bits).alias("h"))
-    filters = {r[0]: bytes(r[1]) for r in spot.select((F.col("h") / 32768).cast("int").alias("bucket"), (F.col("h") % 32768).alias("at")).groupBy("bucket").agg(F.expr("bitmap_construct_agg(at)")).collect()}
-    sets = ws.put(docs.select(_id_hash(bits).alias("h"), "text").mapInArrow(_wanted_sets(k, bits, filters), "key binary, items array<bigint>"), "sets").dropDuplicates(["key"])
+    sets = full_sets(docs, vertices, ends, k, ws)
     found = pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("xs")), "a").join(sets.select(F.col("key").alias("b"), F.col("items").alias("ys")), "b")
     common = F.size(F.array_intersect("xs", "ys"))
     return ws.put(found.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("xs") + F.size("ys") - F.col("common"))).select("a", "b"), "links")
@@ -134,56 +142,108 @@ def _sig_pairs(least: int):
     return run
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of the first column; rows of one value follow each other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        nodes = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(nodes[1:] != nodes[:-1]) + 1).tolist(), len(nodes)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo < hi:
+                if held and held[-1].column(0)[-1].as_py() != nodes[lo]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Members:
+    """Sizes, signatures, sides and components of a node's members; a link merges components."""
+
+    def __init__(self, rows: pa.Table, least: int, percent: int):
+        self.keys = rows["key"].to_pylist()
+        self.sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        self.size, self.side = rows["n"].to_numpy(), rows["side"].to_numpy()
+        number: dict[bytes, int] = {}
+        self.comp = np.array([number.setdefault(c, len(number)) for c in rows["comp"].to_pylist()])
+        self.across, self.least, self.percent = self.side.min() != self.side.max(), least, percent
+
+    def near(self, i: int) -> np.ndarray:
+        """Later members of other components that size and signature allow to be linked with ``i``; with two sides, only across them."""
+        may = self.comp[i + 1 :] != self.comp[i]
+        if self.across:
+            may &= self.side[i + 1 :] != self.side[i]
+        may &= (100 * np.minimum(self.size[i + 1 :], self.size[i]) >= self.percent * np.maximum(self.size[i + 1 :], self.size[i]))
+        at = i + 1 + np.flatnonzero(may)
+        return at[(self.sig[at] == self.sig[i]).sum(axis=1) >= self.least] if len(at) else at
+
+    def merge(self, i: int, others: np.ndarray) -> list[int]:
+        """Merge the components of ``others`` into that of ``i``; one member of each."""
+        comps, first = np.unique(self.comp[others], return_index=True)
+        self.comp[np.isin(self.comp, comps)] = self.comp[i]
+        return others[first].tolist()
+
+
+def _link_rows(members: _Members, decide) -> pa.RecordBatch:
+    a, b = [], []
+    if members.comp.max(initial=0) > 0:
+        for i in range(len(members.keys) - 1):
+            near = members.near(i)
+            if len(near):
+                near = decide(i, near)
+            if len(near):
+                for j in members.merge(i, near):
+                    a.append(members.keys[i])
+                    b.append(members.keys[j])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
 def _node_pairs(least: int, percent: int):
-    """Pairs of each node, whose rows follow each other: (node, key, n, sig, comp, side).
+    """Links of each node's (node, key, n, sig, comp, side) that may be true, one for each two components that they join."""
 
-    Keeps pairs of different components whose sizes and signatures allow a link. In a
-    node with rows of two sides, only pairs across the sides count.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            yield _link_rows(_Members(rows, least, percent), lambda i, near: near)
 
-    def pairs_of(rows: dict[str, list]) -> Iterator[pa.RecordBatch]:
-        m = len(rows["key"])
-        if m < 2:
-            return
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(m, COORDINATES)
-        size = np.array(rows["n"])
-        _, comp = np.unique(np.array(rows["comp"], dtype=object), return_inverse=True)
-        side = np.array(rows["side"])
-        across = side.min() != side.max()
-        for i in range(m - 1):
-            may = comp[i + 1 :] != comp[i]
-            if across:
-                may &= side[i + 1 :] != side[i]
-            lo, hi = np.minimum(size[i + 1 :], size[i]), np.maximum(size[i + 1 :], size[i])
-            near = i + 1 + np.flatnonzero(may & (100 * lo >= percent * hi))
-            if len(near):
-                agree = (sig[near] == sig[i]).sum(axis=1)
-                near, agree = near[agree >= least], agree[agree >= least]
-                if len(near):
-                    pick = lambda name, at: [rows[name][j] for j in at]
-                    yield pa.RecordBatch.from_arrays([pa.array([rows["key"][i]] * len(near), pa.binary()), pa.array(pick("key", near), pa.binary()), pa.array([rows["comp"][i]] * len(near), pa.binary()), pa.array(pick("comp", near), pa.binary()), pa.array(agree, pa.int32())], ["a", "b", "ca", "cb", "agree"])
+    return run
+
+
+def _cluster_links(least: int, percent: int):
+    """True links of each cluster block's (node, key, n, sig, comp, side, items), one for each two components that they join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "n", "sig", "comp", "side")
-        held: dict[str, list] = {x: [] for x in names}
-        node = None
-        for batch in batches:
-            nodes = batch.column(0).to_numpy(zero_copy_only=False)
-            cols = {x: batch.column(i + 1).to_pylist() for i, x in enumerate(names)}
-            cuts = [0, *(np.flatnonzero(nodes[1:] != nodes[:-1]) + 1).tolist(), len(nodes)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                if nodes[lo] != node:
-                    yield from pairs_of(held)
-                    held, node = {x: [] for x in names}, nodes[lo]
-                for x in names:
-                    held[x] += cols[x][lo:hi]
-        yield from pairs_of(held)
+        for rows in _groups(batches):
+            members = _Members(rows, least, percent)
+            lists = rows["items"].combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            _, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            ends = np.cumsum(members.size)
+            starts = ends - members.size
+            mark = np.zeros(int(place.max(initial=0)) + 1, dtype=np.int32)
+
+            def decide(i: int, near: np.ndarray) -> np.ndarray:
+                own = place[starts[i] : ends[i]]
+                mark[own] = 1
+                size = members.size[near]
+                first = np.cumsum(size) - size
+                spots = place[np.repeat(starts[near] - first, size) + np.arange(int(size.sum()))]
+                common = np.add.reduceat(mark[spots], first)
+                mark[own] = 0
+                return near[100 * common >= percent * (size + members.size[i] - common)]
+
+            yield _link_rows(members, decide)
 
     return run
 
 
+def _blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Rows of a node that is split into ``blocks``: once for each pair of blocks that they are in, with their own as ``side``."""
+    side = F.when(blocks > 1, F.pmod(F.xxhash64("key"), blocks)).otherwise(0).cast("int")
+    rows = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.withColumn("node", F.when(blocks > 1, F.xxhash64("node", F.least("side", "other"), F.greatest("side", "other"))).otherwise(F.col("node")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -221,35 +281,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     level = nodes.select("node", "key").join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     for depth in range(MAX_DEPTH + 1):
         if depth:
-            start, step = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(COORDINATES - TREES)), 5  # 5 and 54 have no common factor
+            start, step = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(COORDINATES - TREES)), 5  # 5 and 118 have no common factor
             spots = F.transform(F.sequence(F.lit(0), F.lit(BRANCH - 1)), lambda j: (TREES + 1 + F.pmod(start + step * j, F.lit(COORDINATES - TREES))).cast("int"))
             level = large.join(sigs.select("key", "sig"), "key").select("node", "key", "comp", "sig", F.explode(spots).alias("at")).select(F.xxhash64("node", "at", F.expr("substring(sig, at, 1)")).alias("node"), "key", "comp")
         several = level.groupBy("node").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node", "members")
         level = ws.put(level.join(several, "node"), f"level{depth}")
         last = depth == MAX_DEPTH
         small = level if last else level.where(F.col("members") <= NODE_LIMIT)
-        blocks = F.ceil(F.col("members") / NODE_LIMIT).cast("int")
-        side = F.pmod(F.xxhash64("key"), blocks).cast("int")
-        small = small.withColumn("side", F.when(blocks > 1, side).otherwise(0)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        small = small.withColumn("node", F.when(blocks > 1, F.xxhash64("node", F.least("side", "other"), F.greatest("side", "other"))).otherwise(F.col("node")))
+        small = _blocks(small, F.ceil(F.col("members") / NODE_LIMIT).cast("int"))
         small = small.join(sigs, "key").select("node", "key", "n", "sig", "comp", "side").repartition("node").sortWithinPartitions("node")
-        pairs = small.mapInArrow(_node_pairs(least, percent), "a binary, b binary, ca binary, cb binary, agree int")
+        pairs = small.mapInArrow(_node_pairs(least, percent), "a binary, b binary")
         found = pairs if found is None else found.unionByName(pairs)
         large = level.where(F.col("members") > NODE_LIMIT)
         if last or large.isEmpty():
             break
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), "agree").distinct()
     found = ws.put(found, "found")
 
-    # First the likeliest pair between two components, then whatever may still join any.
-    likely = found.groupBy("ca", "cb").agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b")
-    links = links.unionByName(confirm(docs, vertices, likely, shingle_words, percent, ws))
-    labels = connected_components(links, ws)
-    label = lambda x: labels.select(F.col("key").alias(x), F.col("comp").alias(f"now{x}"))
-    rest = found.select("a", "b").join(likely, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
-    rest = ws.put(rest.where(F.coalesce("nowa", "a") != F.coalesce("nowb", "b")).select("a", "b"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(confirm(docs, vertices, rest, shingle_words, percent, ws))
+    # Clusters of documents that passing comparisons hold together, each decided on the full sets.
+    clusters = connected_components(links.unionByName(found), ws).withColumnRenamed("comp", "cluster").join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    several = clusters.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("cluster")
+    clusters = ws.put(clusters.join(several, "cluster"), "clusters")
+    if not clusters.isEmpty():
+        sets = full_sets(docs, vertices, clusters.select("key"), shingle_words, ws)
+        held = clusters.join(sigs, "key").withColumn("node", F.xxhash64("cluster"))
+        blocks = held.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_ITEMS).cast("int").alias("blocks"))
+        held = _blocks(held.join(blocks, "cluster"), F.col("blocks")).join(sets, "key").select("node", "key", "n", "sig", "comp", "side", "items")
+        links = links.unionByName(ws.put(held.repartition("node").sortWithinPartitions("node").mapInArrow(_cluster_links(least, percent), "a binary, b binary"), "links"))
         labels = connected_components(links, ws)
 
     named_comp = vertices.select("key", "id").join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
