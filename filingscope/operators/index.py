@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing, scoring, text
+from .shared import once
 
 
 def case_terms(filings: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def document_frequency(terms: DataFrame) -> DataFrame:
 
 def postings(filings: DataFrame) -> DataFrame:
     """(stem, case_number, df, weight, cases). A stem above the cap keeps one row with its df and no case."""
-    terms, sizes = case_terms(filings), case_sizes(filings)
+    terms, sizes = once(case_terms(filings), "case-terms"), case_sizes(filings)  # the texts are read once
     totals = F.broadcast(index_totals(terms, sizes))  # one row
     weighed = terms.join(sizes, "case_number").join(document_frequency(terms), "stem").crossJoin(totals)
     capped = F.col("df") > F.col("cap")

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import hashing, markdown, scoring, text
 from ..operators import evidence, index, ingest, operations, render, routing, search
+from ..operators.shared import once
 from ..streaming import jobs
 from .corpus import AS_OF, filings, questions, table, turns
 
@@ -193,7 +194,7 @@ def case_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FILINGS}, {TERMS} SELECT stem, df, df > cap AS capped, round(greatest(0, ln((cases + 1) / (df + 1))), 6) AS idf FROM dfs, totals")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = filings(spark, sf_dir)
-    terms = index.case_terms(rows)
+    terms = once(index.case_terms(rows), "case-terms")
     totals = F.broadcast(index.index_totals(terms, index.case_sizes(rows)))
     return index.document_frequency(terms).crossJoin(totals).select("stem", "df", (F.col("df") > F.col("cap")).alias("capped"), F.round(scoring.idf(F.col("df"), F.col("cases")), 6).alias("idf"))
 
@@ -206,7 +207,7 @@ def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Routing
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.route(questions(spark, sf_dir), index.postings(filings(spark, sf_dir)))
+    return once(routing.route(questions(spark, sf_dir), index.postings(filings(spark, sf_dir))), "routed")
 
 
 @query(f"WITH {INDEX} SELECT * FROM routed")
@@ -235,7 +236,7 @@ def carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def word_order_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.word_order_stability(questions(spark, sf_dir), index.postings(filings(spark, sf_dir)))
+    return routing.word_order_stability(questions(spark, sf_dir), once(index.postings(filings(spark, sf_dir)), "postings"))
 
 
 FOLDED = f"""{FILINGS}, {QTERMS}, doc_words AS (SELECT DISTINCT case_number, filing_id % 4 AS band, unnest({tok('text')}) AS term FROM filings), words AS (SELECT DISTINCT term FROM doc_words UNION SELECT term FROM qterms), {BITS},
@@ -327,11 +328,11 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def diverse_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = filings(spark, sf_dir)
-    ranked = evidence.rank_documents(evidence.candidates(_searches(spark, sf_dir, routing.VERIFIED), rows, index.term_filters(rows)), AS_OF)
+    rows, searches = filings(spark, sf_dir), once(_searches(spark, sf_dir, routing.VERIFIED), "searches")
+    ranked = evidence.rank_documents(evidence.candidates(searches, rows, index.term_filters(rows)), AS_OF)
     read = evidence.within_budget(ranked)
     found = evidence.excerpts(read.select("question_id", "case_number", "filing_id", "title", "received_date", "terms", "least", "rank"), evidence.pages_of(rows))
-    slots = evidence.diverse_documents(evidence.first_groups(found)).join(_searches(spark, sf_dir, routing.VERIFIED).select("question_id", "case_number", "case_rank"), ["question_id", "case_number"])
+    slots = evidence.diverse_documents(evidence.first_groups(found)).join(searches.select("question_id", "case_number", "case_rank"), ["question_id", "case_number"])
     return evidence.diverse_cases(slots)
 
 
@@ -489,12 +490,12 @@ def storage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per question over its best case: candidates, ties, true matches, precision, overlap, evidence."""
-    searches, rows = _searches(spark, sf_dir), filings(spark, sf_dir)
-    ranked = _ranked(spark, sf_dir)
+    searches, rows = once(_searches(spark, sf_dir), "searches"), filings(spark, sf_dir)
+    ranked = once(evidence.rank_documents(evidence.candidates(searches, rows, index.term_filters(rows)), AS_OF).drop("text", "bits"), "ranked")
     plain = F.lower("text")
     true = rows.where("text IS NOT NULL").join(routing.small(searches), "case_number").withColumn("true_terms", F.size(F.filter("terms", lambda t: F.contains(plain, t))))
     true = true.select("question_id", "filing_id", "received_date", "true_terms")
-    slots = _evidence(spark, sf_dir)
+    slots = once(evidence.search_case(searches, rows, index.term_filters(rows), AS_OF), "slots")
     got = slots.groupBy("question_id").agg(F.count("*").alias("evidence_rows"), F.collect_set("filing_id").alias("got"), F.array_distinct(F.transform(F.collect_list(2026 - text.document_year(F.col("received_date"))), lambda x: x)).alias("ages"))
     got = got.withColumn("distinct_filings", F.size("got").cast("long"))
     order = Window.partitionBy("question_id").orderBy(F.desc("true_terms"), F.desc(F.coalesce("received_date", F.lit(""))), "filing_id")

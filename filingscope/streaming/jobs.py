@@ -24,8 +24,8 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         path, previous = f"{target}/batch={batch_id:010d}", _latest(session, target, batch_id)
-        new = batch.select(*[c for c in batch.columns])
-        rows = upsert(session.read.schema(batch.schema).parquet(previous), new, keys, version) if previous else upsert(new.limit(0), new, keys, version)
+        old = session.read.schema(batch.schema).parquet(previous) if previous else batch.limit(0)
+        rows = upsert(old, batch, keys, version)
         rows.write.mode("overwrite").parquet(path)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).json(source)
@@ -48,12 +48,14 @@ def read_ingested(spark: SparkSession, target: str) -> DataFrame:
 
 def rate_counts(events: DataFrame, actor: str = "user_id", seconds: int = 60, late: str = "5 minutes") -> DataFrame:
     """Counts of each actor in tumbling windows; works on a stream and on a table alike."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     marked = events.withWatermark("ts", late) if events.isStreaming else events
     return marked.groupBy(F.window("ts", f"{seconds} seconds"), F.col(actor).alias("actor")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), "actor", "n")
 
 
 def daily_budget(writes: DataFrame, late: str = "1 day") -> DataFrame:
     """Writes and bytes by day."""
+    writes = writes.withColumn("ts", F.col("ts").cast("timestamp"))
     marked = writes.withWatermark("ts", late) if writes.isStreaming else writes
     return marked.groupBy(F.window("ts", "1 day")["start"].alias("day")).agg(F.count("*").alias("writes"), F.sum("bytes").alias("bytes"))
 
