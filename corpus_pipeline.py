@@ -16,9 +16,9 @@ from filingscope.llm.workspace import Workspace
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language (no text or no letters); the others' lang is the predicted one."""
-    rest = [c for c in docs.columns if c not in ("text", "lang")]
-    found = predict(docs, fit(docs), "text", F.col("text"), *rest)
-    return found.where("lang_pred != 'und'").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    own = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    found = predict(docs, fit(docs), "text", *(F.col(c).alias(n) for c, n in own.items())).where("lang_pred != 'und'")
+    return found.select(*(F.col("lang_pred" if c == "lang" else n).alias(c) for c, n in own.items()))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sampling import smallest
 from .workspace import Workspace
 
 #: The model is fitted on at most so many vectors: those with the smallest hashes of their ids.
@@ -184,7 +185,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     width, count = (sizes[0]["d"], sizes[0]["count"]) if sizes else (0, 0)
     rows, asked = rows.where(F.size("vector") == width), asked.where(F.size("vector") == width)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow()
+    sample = smallest(rows, "id", SAMPLE).select("vector").toArrow()
     parts = min(MOST_PARTS, max(LEAST_PARTS, math.ceil(count / ROWS_A_PART)))
     if len(sample) >= 32:
         router = Router(_matrix(sample["vector"].combine_chunks()), parts, k)

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sampling import smallest
+
 # The base patterns and the least length of what counts, in the order of their kinds.
 BASE = (
     ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
@@ -60,7 +62,7 @@ def random_samples(spark: SparkSession, count: int = 4096) -> DataFrame:
 
 def ordinary_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = 500) -> DataFrame:
     """Labelled samples of ordinary identifiers: the words and joined words of at most ``most_docs`` documents, without base findings."""
-    some = docs.select(F.xxhash64(id_col).alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).orderBy("h").limit(most_docs)
+    some = smallest(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")), "id", most_docs)
     text = F.col("t")
     for _, pattern in BASE:
         text = F.regexp_replace(text, pattern, " ")
