@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sampling import hash_limit
+
 #: Hash values of a trigram, the smoothing count, nats a switch costs, and nats a word can speak for a language at most.
 TRIGRAMS, SMOOTHING, SWITCH, MOST_A_WORD = 1 << 16, 0.5, 8.0, 20.0
 #: The model is fitted on at most this many labelled documents of a language.
@@ -214,11 +216,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     hashes of their ids. Rows without a label, id or text are passed over.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_a_language).select("id", "lang")
-    languages = sorted(r[0] for r in chosen.select("lang").distinct().collect())
+    counts_by = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    languages = sorted(counts_by)
     if not languages:
         return None
+    # A bound on the hash lets through a few times as many of each language; those are ranked.
+    bound = F.create_map(*(F.lit(x) for lang, n in counts_by.items() for x in (lang, hash_limit(n, docs_a_language))))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    few = rows.select("id", "lang").where(F.xxhash64("id") <= bound[F.col("lang")])
+    chosen = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_a_language).select("id", "lang")
     # At most docs_a_language rows of each language, so the broadcast is bounded.
     some = rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("text", "lang")
     found = some.mapInArrow(_count(languages), "lang int, value int, n bigint").groupBy("lang", "value").agg(F.sum("n").alias("n")).toPandas()
