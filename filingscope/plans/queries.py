@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import hashing, markdown, scoring, text
-from ..operators import evidence, index, ingest, operations, render, routing, search
+from ..operators import evidence, index, ingest, operations, records, render, routing, search
 from ..operators.shared import once
 from ..streaming import jobs
 from .corpus import AS_OF, filings, questions, table, turns
@@ -526,6 +526,43 @@ def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operations.evaluation_summary(results, AS_OF).drop("year_coverage", "median_age")
 
 
+# Records and links
+
+@query(f"WITH {FILINGS} SELECT filing_id, received_date, title FROM filings WHERE case_number = 'FC1000' ORDER BY received_date DESC NULLS LAST, filing_id LIMIT 40 OFFSET 10")
+def case_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filings(spark, sf_dir)
+    return records.case_documents(rows.select("filing_id", "case_number"), rows.select("filing_id", "received_date", "title"), "FC1000", 40, 10)
+
+
+@query("""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) AS h, lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1)) AS p FROM pages) SELECT page_id, CASE WHEN h <> 'example.org' AND NOT ends_with(h, '.example.org') THEN 'external' WHEN contains(p, '/casenumber/') THEN 'case' WHEN contains(p, '/download') THEN 'download' WHEN contains(p, '/search') THEN 'search' ELSE 'site' END AS kind, kind <> 'external' AS verified FROM u""")
+def verify_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = filings(spark, sf_dir).select("case_number").distinct()
+    return records.verify_links(table(spark, sf_dir, "pages").select("page_id", "url"), cases, "example.org").select("page_id", "kind", "verified")
+
+
+@query(f"WITH {FILINGS}, p AS (SELECT filing_id, unnest(string_split(text, chr(10))) AS page FROM filings) SELECT filing_id, count(*) AS pages, count(*) FILTER (length(trim(page)) < 40) AS empty FROM p GROUP BY ALL")
+def ocr_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.ocr_candidates(evidence.pages_of(filings(spark, sf_dir)))
+
+
+@query("SELECT doc_id AS filing_id, string_agg('<section data-page=\"' || pos || '\"><pre>' || replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</pre></section>', '' ORDER BY pos) AS html FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) GROUP BY ALL")
+def document_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.document_html(evidence.pages_of(filings(spark, sf_dir)))
+
+
+@query("SELECT o_orderkey, c_name, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus = 'F'")
+def three_way_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equi-joins with pruned columns and a pushed filter; the two small fixed tables are broadcast."""
+    t = lambda name: table(spark, sf_dir, name)
+    rows = t("orders").where("o_orderstatus = 'F'").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("o_orderkey", "c_name", "n_name", "r_name")
+
+
+@query("SELECT user_id, day, writes, bytes FROM (SELECT user_id, date_trunc('day', ts) AS day, count(*) AS writes, round(sum(value), 2) AS bytes FROM events GROUP BY ALL)")
+def daily_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("writes"), F.round(F.sum("value"), 2).alias("bytes"))
+
+
 # Text search and streams
 
 @query(f"""WITH {FILINGS}, {QTERMS}, w AS (SELECT filing_id AS id, unnest({tok('text')}) AS term FROM filings), sz AS (SELECT filing_id AS id, len({tok('text')}) AS size FROM filings), tot AS (SELECT count(*) AS n, avg(size) AS mean FROM sz), tf AS (SELECT id, term, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
