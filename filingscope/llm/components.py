@@ -9,6 +9,8 @@ from .workspace import Workspace
 
 #: A key with more rows than this share of the table, and than this count, is hot.
 HOT_SHARE, HOT_ROWS = 1 / 64, 10_000
+#: Links that one task may hold.
+ONE_TASK = 250_000
 
 
 def connected_components(links: DataFrame, ws: Workspace) -> DataFrame:
@@ -20,17 +22,20 @@ def connected_components(links: DataFrame, ws: Workspace) -> DataFrame:
     driver.
     """
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    edges = ws.put(links.where("a != b").select(*pair(F.col("a"), F.col("b"))).distinct(), "edges")
+    edges = stored = ws.put(links.where("a != b").select(*pair(F.col("a"), F.col("b"))).distinct(), "edges")
     mark = None
     while (now := tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())) != mark and now[0]:
         mark = now
+        if now[0] <= ONE_TASK:
+            edges = edges.coalesce(1)
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        older, edges = edges, ws.put(small.select(*pair(F.col("a"), F.col("b"))).distinct(), "edges")
-        ws.drop(older)
+        newer = ws.put(small.select(*pair(F.col("a"), F.col("b"))).distinct(), "edges")
+        ws.drop(stored)
+        edges = stored = newer
     return edges.select(F.col("b").alias("key"), F.col("a").alias("comp")).unionByName(edges.select(F.col("a").alias("key"), F.col("a").alias("comp")).distinct())
 
 
