@@ -153,22 +153,48 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.n
 
 
 def _compare(k: int):
+    """The k best rows of each query in one pair of blocks, over those of the block's parts that the query visits."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         queries, rows = left.combine_chunks(), right.combine_chunks()
-        out_q, out_v, out_s = [], [], []
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         if len(queries) and len(rows):
             query_ids, ids = queries["id"].to_numpy(), rows["id"].to_numpy()
             a, b = (_matrix(t["vector"].combine_chunks()) for t in (queries, rows))
-            for i, at, scores in best(query_ids, a, ids, b, k):
-                out_q.append(np.full(len(at), query_ids[i]))
-                out_v.append(ids[at])
-                out_s.append(scores)
+            query_part, part = queries["part"].to_numpy(), rows["part"].to_numpy()
+            for p in np.unique(part).tolist():
+                asked, own = np.flatnonzero(query_part == p), np.flatnonzero(part == p)
+                if len(asked):
+                    for i, at, scores in best(query_ids[asked], a[asked], ids[own], b[own], k):
+                        found.setdefault(int(query_ids[asked[i]]), []).append((ids[own[at]], scores))
+        out_q, out_v, out_s = [], [], []
+        for q, parts in found.items():
+            v, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+            first = np.lexsort((v, -s))[:k]
+            out_q.append(np.full(len(first), q))
+            out_v.append(v[first])
+            out_s.append(s[first])
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, dtype=kind)
         return pa.table({"query_id": join(out_q, np.int64), "vec_id": join(out_v, np.int64), "score": join(out_s, np.float64)})
 
     return run
 
 
+def bundles(rows_in: dict[int, int], queries_in: dict[int, int]) -> list[tuple[int, int, int, int]]:
+    """(part, bundle, row blocks, query blocks): small parts share a bundle of at most ``BLOCK`` rows, large ones are split."""
+    out: list[list[int]] = []
+    bundle, held = -1, BLOCK
+    asked: dict[int, int] = {}
+    for part in sorted(rows_in):
+        n = rows_in[part]
+        if held + n > BLOCK:
+            bundle, held = bundle + 1, 0
+        held += n
+        asked[bundle] = asked.get(bundle, 0) + queries_in.get(part, 0)
+        out.append([part, bundle, max(1, math.ceil(n / BLOCK))])
+    return [(part, bundle, blocks, max(1, math.ceil(asked[bundle] / BLOCK))) for part, bundle, blocks in out]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest found rows of each query: query_id, rank (from 1), vec_id, score.
 
@@ -194,11 +220,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     else:
         indexed, routed = (d.withColumn("part", F.lit(0)) for d in (rows, asked))
     indexed, routed = ws.put(indexed, "indexed"), ws.put(routed, "routed")
-    # A part of many rows or queries is split into blocks of a bounded size; each pair of blocks is one task's.
-    blocks = lambda d, name: d.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    plan = F.broadcast(blocks(indexed, "rb").join(blocks(routed, "qb"), "part"))  # at most MOST_PARTS rows
-    split = lambda d, own, other: d.join(plan, "part").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("part", "rb", "qb", "id", "vector")
-    pairs = split(routed, "qb", "rb").groupBy("part", "rb", "qb").cogroup(split(indexed, "rb", "qb").groupBy("part", "rb", "qb"))
+    # At most MOST_PARTS counts of each; pairs of row and query blocks are one task's each.
+    count_of = lambda d: {r["part"]: r["count"] for r in d.groupBy("part").count().collect()}
+    plan = bundles(count_of(indexed), count_of(routed))
+    placed = lambda: F.broadcast(vectors.sparkSession.createDataFrame(plan, "part int, bundle int, rb int, qb int"))
+    split = lambda d, own, other: d.join(placed(), "part").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("bundle", "rb", "qb", "id", "vector", "part")
+    pairs = split(routed, "qb", "rb").groupBy("bundle", "rb", "qb").cogroup(split(indexed, "rb", "qb").groupBy("bundle", "rb", "qb"))
     found = pairs.applyInArrow(_compare(k), "query_id bigint, vec_id bigint, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # rows may share an id
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
