@@ -5,8 +5,8 @@ level in a row form a passage. Passages are normalised (marks and attribution li
 away, lower case, letters and digits only) and hashed, and the hashes are joined to
 those of the messages' own text: the whole, its paragraphs and its lines. A message
 replies to the latest earlier message of its conversation that a passage of its lowest
-level comes from, or else to the message before it. Replies are followed to the thread's
-first message by doubling pointers, and messages are ordered by thread.
+level comes from, or else to the message before it. A reply that goes back past the
+message before it opens a thread, and messages are ordered by thread.
 """
 
 from __future__ import annotations
@@ -101,17 +101,9 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     order = Window.partitionBy("conv_id").orderBy("turn")
     turns = turns.withColumn("before", F.lag("turn").over(order)).join(found.withColumnRenamed("at", "turn"), ["conv_id", "turn"], "left")
     turns = ws.put(turns.select("conv_id", "turn", F.coalesce("origin", "before").alias("reply_to"), F.col("origin").isNotNull().alias("linked"), (F.col("origin").isNotNull() & (F.col("origin") < F.col("before"))).alias("jumps")), "turns")
-    # A thread starts where a reply goes back past the message before it; the others follow their parent.
-    jump = ws.put(turns.select("conv_id", "turn", F.when(F.col("jumps") | F.col("reply_to").isNull(), F.col("turn")).otherwise(F.col("reply_to")).alias("up")), "up")
-    while True:
-        ups = jump.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"))
-        further = ws.put(jump.join(ups, ["conv_id", "up"]).select("conv_id", "turn", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")), "up")
-        ws.drop(jump)
-        jump = further.drop("moved")
-        jump._workspace_path = further._workspace_path  # noqa: SLF001
-        if further.where("moved").isEmpty():
-            break
-    threads = turns.join(jump.withColumnRenamed("up", "thread"), ["conv_id", "turn"]).select("conv_id", "turn", "reply_to", "linked", "thread")
+    # A thread starts where a reply goes back past the message before it, and goes on up to the next start.
+    starts = F.last(F.when(F.col("jumps") | F.col("reply_to").isNull(), F.col("turn")), ignorenulls=True).over(order)
+    threads = turns.withColumn("thread", starts).select("conv_id", "turn", "reply_to", "linked", "thread")
     out = parsed.drop("quoted", "offered").join(threads, ["conv_id", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn")).withColumn("linked", F.coalesce("linked", F.lit(False)))
     alone = F.col("conv_id").isNull() | F.col("turn").isNull()
     within = Window.partitionBy("conv_id").orderBy("thread", "turn", "text", "role")
