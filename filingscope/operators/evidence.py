@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scoring, text
-from .index import may_contain
-from .routing import DECIMALS
+from .index import has_bits, with_bits
+from .routing import DECIMALS, small
 
 MOST_READS, GROUPS, ROWS, A_DOCUMENT, A_CASE, SOURCES, RECORDS = 20, 10, 12, 2, 3, 10, 8
 BEFORE, AFTER = 500, 1700
@@ -24,9 +24,10 @@ def candidates(searches: DataFrame, filings: DataFrame, filters: DataFrame) -> D
 
     Searches have question_id, case_number, terms, years and least.
     """
-    pairs = filings.where("text IS NOT NULL").join(F.broadcast(searches) if searches.limit(10_001).count() <= 10_000 else searches, "case_number").join(filters, "filing_id")
-    hits = F.size(F.filter("terms", lambda t: may_contain(t, F.col("bits"))))
-    return pairs.withColumn("hits", hits).where(F.col("hits") >= F.col("least"))
+    asked = small(searches.withColumn("wanted", with_bits(F.col("terms"))))
+    pairs = filings.where("text IS NOT NULL").join(asked, "case_number").join(filters, "filing_id")
+    hits = F.size(F.filter("wanted", lambda w: has_bits(w["spots"], F.col("bits"))))
+    return pairs.withColumn("hits", hits).where(F.col("hits") >= F.col("least")).drop("wanted")
 
 
 def rank_documents(found: DataFrame, as_of: str, adjusted: bool = False) -> DataFrame:

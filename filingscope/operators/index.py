@@ -54,6 +54,11 @@ def may_contain(term: Column, data: Column, size: int = hashing.FILTER_BYTES) ->
     return (F.octet_length(data) > 0) & has_bits(hashing.filter_bits(F.lower(term), size), data)
 
 
+def with_bits(terms: Column, size: int = hashing.FILTER_BYTES) -> Column:
+    """Array of (term, bits): the bit positions are found once for each term, not for each filter."""
+    return F.transform(terms, lambda t: F.struct(t.alias("term"), hashing.filter_bits(F.lower(t), size).alias("spots")))
+
+
 def term_filters(filings: DataFrame, size: int = hashing.FILTER_BYTES, *keys: str) -> DataFrame:
     """(keys, bits): the Bloom filter of each group's tokens; by default each filing's.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scoring, text
-from .index import may_contain
+from .index import has_bits, with_bits
 
 MOST_STEMS, CANDIDATES, VERIFIED = 8, 8, 5
 #: Questions are broadcast up to so many; more are joined by shuffle.
@@ -60,10 +60,11 @@ def route_by_filters(questions: DataFrame, entries: DataFrame, part: int | None
     """
     from ..functions.hashing import ROUTER_BYTES, ROUTER_PARTS, route_seed
 
-    asked = small(questions.where(F.size("terms") > 0).withColumn("chosen", (route_seed(F.col("terms")) % ROUTER_PARTS).cast("int")))
+    asked = questions.where(F.size("terms") > 0).withColumn("wanted", with_bits(F.col("terms"), ROUTER_BYTES))
+    asked = small(asked.withColumn("chosen", (route_seed(F.col("terms")) % ROUTER_PARTS).cast("int")))
     pairs = entries.join(asked, (F.col("part") == F.col("chosen")) if part == -1 else (F.lit(part is None) | (F.col("part") == F.lit(part))))
-    term = pairs.select("question_id", "case_number", "band", "bits", "filings", "content_filings", "latest", "set_bits", F.least(F.lit(2), F.size("terms")).alias("least"), F.explode("terms").alias("term"))
-    hit = term.where(may_contain(F.col("term"), F.col("bits"), ROUTER_BYTES))
+    term = pairs.select("question_id", "case_number", "band", "bits", "filings", "content_filings", "latest", "set_bits", F.least(F.lit(2), F.size("terms")).alias("least"), F.inline("wanted"))
+    hit = term.where(has_bits(F.col("spots"), F.col("bits")))
     keys = ["question_id", "case_number", "filings", "content_filings", "latest", "set_bits", "least"]
     scored = hit.groupBy(*keys).agg(F.count_distinct("term").alias("hits"), F.count("*").alias("score")).where("hits >= least")
     order = Window.partitionBy("question_id").orderBy(F.desc("hits"), F.desc("score"), "set_bits", "content_filings", F.desc(F.coalesce("latest", F.lit(""))), "case_number")

@@ -168,8 +168,8 @@ doc_bits AS (SELECT DISTINCT filing_id, bit FROM doc_words JOIN bits USING (term
 hit AS (SELECT term, filing_id, count(*) AS n FROM (SELECT DISTINCT term, bit FROM bits WHERE term IN (SELECT term FROM q)) JOIN doc_bits USING (bit) GROUP BY ALL)
 SELECT term, count(*) AS filings, min(filing_id) AS first_filing FROM hit JOIN need USING (term) WHERE hit.n = need.n GROUP BY term""")
 def bloom_member(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = questions(spark, sf_dir).select(F.explode("terms").alias("term")).distinct()
-    found = index.term_filters(filings(spark, sf_dir)).join(routing.small(terms), index.may_contain(F.col("term"), F.col("bits")))
+    terms = questions(spark, sf_dir).select(F.explode("terms").alias("term")).distinct().withColumn("spots", hashing.filter_bits(F.col("term")))
+    found = index.term_filters(filings(spark, sf_dir)).join(routing.small(terms), index.has_bits(F.col("spots"), F.col("bits")))
     return found.groupBy("term").agg(F.count("*").alias("filings"), F.min("filing_id").alias("first_filing"))
 
 
