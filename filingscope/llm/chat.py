@@ -5,8 +5,9 @@ level in a row form a passage. Passages are normalised (marks and attribution li
 away, lower case, letters and digits only) and hashed, and the hashes are joined to
 those of the messages' own text: the whole, its paragraphs and its lines. A message
 replies to the latest earlier message of its conversation that a passage of its lowest
-level comes from, or else to the message before it. A reply that goes back past the
-message before it opens a thread, and messages are ordered by thread.
+level comes from, or else to the message before it.
+Replies make each conversation a tree, and its messages are ordered by that tree: each
+is followed by its replies, by turn, with all that replies to them.
 """
 
 from __future__ import annotations
@@ -78,34 +79,79 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(levels, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(sources, pa.list_(pa.int64()))], ["conv_id", "turn", "role", "text", "quote_levels", "quoted", "offered"])
 
 
+def tree_order(turns: list[int], origins: list[int | None]) -> list[tuple[int | None, int, int]]:
+    """(reply_to, thread, place) of a conversation's ascending turns; origins are earlier turns, or null for the turn before.
+
+    ``place`` numbers the reply tree's turns so that each is followed by its replies'
+    subtrees, by turn. The first reply goes on in its thread, others open their own.
+    """
+    at = {t: i for i, t in enumerate(turns)}
+    above = [i - 1 if o is None else at[o] for i, o in enumerate(origins)]
+    size = [1] * len(turns)
+    for i in range(len(turns) - 1, 0, -1):
+        size[above[i]] += size[i]
+    place, free, thread = [0] * len(turns), [1] * len(turns), list(turns)
+    for i in range(1, len(turns)):
+        up = above[i]
+        place[i] = free[up]
+        free[up] += size[i]
+        free[i] = place[i] + 1
+        if place[i] == place[up] + 1:
+            thread[i] = thread[up]
+    return [(turns[above[i]] if i else None, thread[i], place[i]) for i in range(len(turns))]
+
+
+def _threads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (conv_id, turn, origin), conversations together and turns ascending, with their place in the reply tree."""
+    conv, turns, origins = None, [], []
+
+    def done() -> pa.RecordBatch:
+        rows = tree_order(turns, origins)
+        columns = [pa.array([x[i] for x in rows], pa.int64()) for i in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array([conv] * len(turns), pa.int64()), pa.array(turns, pa.int64()), columns[0], pa.array([o is not None for o in origins], pa.bool_()), *columns[1:]], ["conv_id", "turn", "reply_to", "linked", "thread", "place"])
+
+    for batch in batches:
+        out = []
+        for c, t, o in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if c != conv and turns:
+                out.append(done())
+                turns, origins = [], []
+            conv = c
+            turns.append(t)
+            origins.append(o)
+        if out:
+            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+    if turns:
+        yield done()
+
+
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: conv_id, turn, role, text, quote_levels, linked, reply_to, thread, position.
 
     ``text`` has no quotes; ``quote_levels`` is the deepest level; ``linked`` tells
     whether a passage was found; ``reply_to`` and ``thread`` are turns, reply_to null for
-    a conversation's first; ``position`` counts from 0 by (thread, turn) within the
-    conversation. A null text is empty. Rows without a conversation or turn stand alone:
-    no reply, thread their turn, position 0. Rows that repeat a turn share its place in
-    the thread and take the following positions, ordered by text. Extra columns are
-    ignored; an empty table gives an empty result.
+    a conversation's first. ``position`` counts from 0 within the conversation, in the
+    order of its reply tree: a message is followed by its replies, by turn, each with
+    its own replies. A message's first reply is of its thread, any other opens one. A
+    null text is empty. Rows without a conversation or turn stand alone: no reply, thread
+    their turn, position 0. Rows that repeat a turn share its place in the tree and take
+    positions that follow one another, ordered by text. Extra columns are ignored; an
+    empty table gives an empty result.
     """
     ws = Workspace(messages.sparkSession, "chat")
     rows = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     parsed = ws.put(rows.mapInArrow(_parse, "conv_id bigint, turn bigint, role string, text string, quote_levels int, quoted array<bigint>, offered array<bigint>"), "parsed")
     placed = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    # A conversation's turns and hashes are spread by hash, so a long conversation is no single task's.
+    # A conversation's hashes are spread by hash, so a long conversation is no single task's.
     asked = placed.select("conv_id", F.col("turn").alias("at"), F.explode("quoted").alias("h")).distinct()
     offered = placed.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.explode("offered").alias("h")).distinct()
     found = asked.join(offered, ["conv_id", "h"]).where("turn < at").groupBy("conv_id", "at").agg(F.max("turn").alias("origin"))
-    turns = placed.select("conv_id", "turn").distinct()
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    turns = turns.withColumn("before", F.lag("turn").over(order)).join(found.withColumnRenamed("at", "turn"), ["conv_id", "turn"], "left")
-    turns = ws.put(turns.select("conv_id", "turn", F.coalesce("origin", "before").alias("reply_to"), F.col("origin").isNotNull().alias("linked"), (F.col("origin").isNotNull() & (F.col("origin") < F.col("before"))).alias("jumps")), "turns")
-    # A thread starts where a reply goes back past the message before it, and goes on up to the next start.
-    starts = F.last(F.when(F.col("jumps") | F.col("reply_to").isNull(), F.col("turn")), ignorenulls=True).over(order)
-    threads = turns.withColumn("thread", starts).select("conv_id", "turn", "reply_to", "linked", "thread")
-    out = parsed.drop("quoted", "offered").join(threads, ["conv_id", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn")).withColumn("linked", F.coalesce("linked", F.lit(False)))
+    turns = placed.select("conv_id", "turn", F.lit(None).cast("long").alias("origin")).unionByName(found.withColumnRenamed("at", "turn"))
+    turns = turns.groupBy("conv_id", "turn").agg(F.max("origin").alias("origin"))
+    # Only numbers of a conversation's turns meet in one task, one row a turn.
+    threads = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn").mapInArrow(_threads, "conv_id bigint, turn bigint, reply_to bigint, linked boolean, thread bigint, place bigint")
+    out = parsed.drop("quoted", "offered").join(ws.put(threads, "threads"), ["conv_id", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn")).withColumn("linked", F.coalesce("linked", F.lit(False)))
     alone = F.col("conv_id").isNull() | F.col("turn").isNull()
-    within = Window.partitionBy("conv_id").orderBy("thread", "turn", "text", "role")
+    within = Window.partitionBy("conv_id").orderBy("place", "text", "role")
     named = ["conv_id", "turn", "role", "text", "quote_levels", "linked", "reply_to", "thread", "position"]
     return out.where(~alone).withColumn("position", F.row_number().over(within).cast("long") - 1).select(*named).unionByName(out.where(alone).withColumn("position", F.lit(0).cast("long")).select(*named))

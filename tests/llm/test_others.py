@@ -119,3 +119,23 @@ def test_run_gives_the_last_stage(spark):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, DATA).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_reply_tree_orders_messages(spark):
+    def walk(t):
+        return [t, *(x for c in sorted(c for c, up in above.items() if up == t) for x in walk(c))]
+
+    rng, rows, want = np.random.default_rng(3), [], {}
+    for conv in range(30):
+        above = {}
+        for turn in range(12):
+            up = int(rng.integers(turn)) if turn and rng.random() < 0.6 else None
+            rows.append((conv, turn, "user", (f"> This is the text number {conv} {up} of the talk.\n" if up is not None else "") + f"This is the text number {conv} {turn} of the talk."))
+            if turn:
+                above[turn] = turn - 1 if up is None else up
+        want |= {(conv, t): i for i, t in enumerate(walk(0))}
+    rows += [(99, 0, "a", "First message of them all."), (99, 1, "b", "Second message, about budgets."), (99, 2, "a", "> First message of them all.\nBranch."), (99, 3, "b", "> Second message, about budgets.\nBack to the second.")]
+    want |= {(99, 0): 0, (99, 1): 1, (99, 3): 2, (99, 2): 3}
+    out = chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): r.position for r in out} == want
+    assert {r.turn: r.thread for r in out if r.conv_id == 99} == {0: 0, 1: 0, 3: 0, 2: 2}
