@@ -1,11 +1,13 @@
 """Quotation linking: reply-ordered conversations without quotes.
 
 A line that opens with '>' marks is quoted, to the level of their number. Lines of one
-level in a row form a passage. Passages are normalised (marks and attribution lines
-away, lower case, letters and digits only) and hashed, and the hashes are joined to
-those of the messages' own text: the whole, its paragraphs and its lines. A message
-replies to the latest earlier message of its conversation that a passage of its lowest
-level comes from, or else to the message before it.
+level in a row form a passage. Passages of all levels are normalised (marks and
+attribution lines away, lower case, letters and digits only) and hashed: the whole, its
+paragraphs, lines and sentences, and every run of BLOCK_WORDS words. The messages' own
+text is hashed alike, but for its runs of words, which don't overlap, so that any longer
+piece of a text holds one. A passage comes from the latest earlier message of its
+conversation that has its longest found piece. A message replies to the latest message
+that a passage of its lowest found level comes from, or else to the message before it.
 Replies make each conversation a tree, and its messages are ordered by that tree: each
 is followed by its replies, by turn, with all that replies to them.
 """
@@ -23,11 +25,15 @@ from pyspark.sql.window import Window
 
 from .workspace import Workspace
 
-#: Shorter passages, in normalised characters, aren't linked.
+#: Shorter pieces of a passage, in normalised characters, aren't linked; a whole passage may be shorter.
 LEAST_CHARS = 12
+#: Words of a run that is hashed, so a piece of 2 * BLOCK_WORDS - 1 words is found wherever it is cut.
+BLOCK_WORDS = 5
 _MARKS = re.compile(r"^\s{0,3}(?:>\s?)+")
 _ATTRIBUTION = re.compile(r"^(?:On\b.{0,200}\bwrote|Le\b.{0,200}\ba écrit|Am\b.{0,200}\bschrieb.{0,80}|El\b.{0,200}\bescribió|.{1,120}\b(?:wrote|said|writes))\s*:\s*$", re.I)
 _JUNK = re.compile(r"[\W_]+")
+_PARAGRAPH = re.compile(r"\n\s*\n")
+_SENTENCE = re.compile(r"""(?<=[.!?…])["'”’»)\]]*\s+|(?<=[。！？])""")
 
 
 def quote_level(line: str) -> tuple[int, str]:
@@ -60,23 +66,53 @@ def split_quotes(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n") if passages else (text or ""), passages
 
 
-def _hash(text: str) -> int | None:
-    text = normal(text)
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63) if len(text) >= LEAST_CHARS else None
+def _key(text: str) -> str:
+    """What is compared of a piece: its letters and digits, or all but the spaces if it has none."""
+    return _JUNK.sub("", text.lower()) or "".join(text.split())
+
+
+def _hash(key: str) -> int:
+    return xxhash.xxh3_64_intdigest(key) - (1 << 63)
+
+
+def pieces(text: str, step: int) -> dict[int, int]:
+    """Hash and normalised length of a text, its paragraphs, lines, sentences and runs of words, one run from every ``step``-th word."""
+    parts = _PARAGRAPH.split(text)
+    lines = text.split("\n")
+    found = {text, *parts, *lines, *(x for y in (*parts, *lines) for x in _SENTENCE.split(y))}
+    words = normal(text).split()
+    found.update(" ".join(words[i : i + BLOCK_WORDS]) for i in range(0, len(words) - BLOCK_WORDS + 1, step))
+    return {_hash(k): len(normal(x)) for x in found if (k := _key(x))}
+
+
+def wanted(passages: list[tuple[int, str]]) -> list[tuple[int, int, int, int]]:
+    """Distinct (level, hash of the passage, hash of a piece, length of the piece)."""
+    out = set()
+    for level, passage in passages:
+        if not (whole := _key(passage)):
+            continue
+        name = _hash(whole)
+        out |= {(level, name, h, n) for h, n in pieces(passage, 1).items() if h == name or n >= LEAST_CHARS}
+    return sorted(out)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("passage", pa.int64()), ("h", pa.int64()), ("n", pa.int32())]))
     for batch in batches:
-        texts, levels, marks, sources = [], [], [], []
+        texts, levels, quoted = [], [], []
         for text in batch.column(3).to_pylist():
             own, passages = split_quotes(text)
             texts.append(own)
             levels.append(max((d for d, _ in passages), default=0))
-            lowest = min((d for d, _ in passages), default=0)
-            wanted = [_hash(p) for d, p in passages if d == lowest] + [_hash(x) for d, p in passages if d == lowest for x in p.split("\n")]
-            marks.append(sorted({h for h in wanted if h is not None}))
-            sources.append(sorted({h for h in (_hash(x) for x in [own, *own.split("\n\n"), *own.split("\n")]) if h is not None}))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(levels, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(sources, pa.list_(pa.int64()))], ["conv_id", "turn", "role", "text", "quote_levels", "quoted", "offered"])
+            quoted.append([dict(zip(("level", "passage", "h", "n"), x, strict=True)) for x in wanted(passages)])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(levels, pa.int32()), pa.array(quoted, kind)], ["conv_id", "turn", "role", "text", "quote_levels", "quoted"])
+
+
+def _offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conv_id, turn, text) to the hashes of the text's pieces."""
+    for batch in batches:
+        offered = [list(pieces(text, BLOCK_WORDS)) for text in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(offered, pa.list_(pa.int64()))], ["conv_id", "turn", "offered"])
 
 
 def tree_order(turns: list[int], origins: list[int | None]) -> list[tuple[int | None, int, int]]:
@@ -140,18 +176,29 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """
     ws = Workspace(messages.sparkSession, "chat")
     rows = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    parsed = ws.put(rows.mapInArrow(_parse, "conv_id bigint, turn bigint, role string, text string, quote_levels int, quoted array<bigint>, offered array<bigint>"), "parsed")
+    parsed = ws.put(rows.mapInArrow(_parse, "conv_id bigint, turn bigint, role string, text string, quote_levels int, quoted array<struct<level:int,passage:bigint,h:bigint,n:int>>"), "parsed")
     placed = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    # A conversation's hashes are spread by hash, so a long conversation is no single task's.
-    asked = placed.select("conv_id", F.col("turn").alias("at"), F.explode("quoted").alias("h")).distinct()
-    offered = placed.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.explode("offered").alias("h")).distinct()
-    found = asked.join(offered, ["conv_id", "h"]).where("turn < at").groupBy("conv_id", "at").agg(F.max("turn").alias("origin"))
-    turns = placed.select("conv_id", "turn", F.lit(None).cast("long").alias("origin")).unionByName(found.withColumnRenamed("at", "turn"))
+    turns = placed.select("conv_id", "turn", F.lit(None).cast("long").alias("origin"))
+    quoting = placed.where("size(quoted) > 0")
+    if not quoting.isEmpty():
+        turns = turns.unionByName(_origins(placed, quoting))
     turns = turns.groupBy("conv_id", "turn").agg(F.max("origin").alias("origin"))
     # Only numbers of a conversation's turns meet in one task, one row a turn.
     threads = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn").mapInArrow(_threads, "conv_id bigint, turn bigint, reply_to bigint, linked boolean, thread bigint, place bigint")
-    out = parsed.drop("quoted", "offered").join(ws.put(threads, "threads"), ["conv_id", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn")).withColumn("linked", F.coalesce("linked", F.lit(False)))
+    out = parsed.drop("quoted").join(ws.put(threads, "threads"), ["conv_id", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn")).withColumn("linked", F.coalesce("linked", F.lit(False)))
     alone = F.col("conv_id").isNull() | F.col("turn").isNull()
     within = Window.partitionBy("conv_id").orderBy("place", "text", "role")
     named = ["conv_id", "turn", "role", "text", "quote_levels", "linked", "reply_to", "thread", "position"]
     return out.where(~alone).withColumn("position", F.row_number().over(within).cast("long") - 1).select(*named).unionByName(out.where(alone).withColumn("position", F.lit(0).cast("long")).select(*named))
+
+
+def _origins(placed: DataFrame, quoting: DataFrame) -> DataFrame:
+    """(conv_id, turn, origin) of the messages with a passage that is found."""
+    # A conversation's hashes are spread by hash, and each quoted piece takes the last offer before it: no pairs are made.
+    asked = quoting.select("conv_id", "turn", F.inline("quoted"))
+    offered = placed.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", "text").mapInArrow(_offer, "conv_id bigint, turn bigint, offered array<bigint>")
+    both = asked.unionByName(offered.select("conv_id", "turn", F.explode("offered").alias("h")), allowMissingColumns=True)
+    before = Window.partitionBy("conv_id", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("origin", F.max(F.when(F.col("level").isNull(), F.col("turn"))).over(before)).where("level IS NOT NULL AND origin IS NOT NULL")
+    found = found.groupBy("conv_id", "turn", "level", "passage").agg(F.max(F.struct("n", "origin"))["origin"].alias("origin"))
+    return found.groupBy("conv_id", "turn").agg((-F.min(F.struct("level", (-F.col("origin")).alias("back")))["back"]).alias("origin"))

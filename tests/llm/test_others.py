@@ -139,3 +139,13 @@ def test_reply_tree_orders_messages(spark):
     out = chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert {(r.conv_id, r.turn): r.position for r in out} == want
     assert {r.turn: r.thread for r in out if r.conv_id == 99} == {0: 0, 1: 0, 3: 0, 2: 2}
+
+
+def test_parts_of_messages_are_linked(spark):
+    long = "The budget for the coming year was agreed on Monday by everyone. The rest, such as travel and the new office in the north, is still open. Please write to me."
+    rows = [(1, 0, "a", long), (1, 1, "b", "Yes, agreed."), (1, 2, "c", "Something that is not quoted by anyone here.")]
+    quotes = {3: ("> The rest, such as travel and the new office in the north, is still open.", 0), 4: ("> The rest, such as travel\n> and the new office in\n> the north, is still open. Please write to\n> me.", 0), 5: ("> > The budget for the coming year was agreed on Monday by everyone.\n> A line that nobody wrote in this talk at all.", 0), 6: ("> Yes, agreed", 1), 7: ("> year was agreed on Monday by everyone. The rest, such as travel", 0), 8: ("> This was never said by anybody in here.", None)}
+    rows += [(1, t, "d", f"{q}\n\nReply {t}.") for t, (q, _) in quotes.items()] + [(2, 0, "a", "x"), (2, 1, "b", "> Yes, agreed\nOther talk.")]
+    got = {(r.conv_id, r.turn): r for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: got[1, t].reply_to if got[1, t].linked else None for t in quotes} == {t: origin for t, (_, origin) in quotes.items()}
+    assert not got[2, 1].linked and got[1, 8].reply_to == 7
