@@ -2,8 +2,10 @@
 
 Standard-library parser events are turned, in one pass over the page, into lines: one
 for each block of text, with the tags and link letters it holds and the containers it
-stands in. Page furniture that markup names as such (menus, headers, footers, sidebars,
-notices, adverts, forms, comments) never becomes a line. The ratios of text to tags are
+stands in. Page furniture by kind of element (menus, headers, footers, asides, forms) never
+becomes a line. An element that its class, id or role names as furniture is dropped unless
+it holds the article or most of the content lines; if furniture is only a part of the
+name, it is dropped if most of its text isn't in content lines. The ratios of text to tags are
 smoothed over neighbouring lines by a Gaussian, and a two-cluster threshold separates
 content lines from the rest. The content region is the smallest container with nearly
 all of the content lines' text; all of its lines are the main text.
@@ -46,23 +48,38 @@ _CUT_TAG = re.compile(r"<(?:[A-Za-z/!][^<>]*)?$")
 _OPEN_RAW = re.compile(r"<(script|style)\b(?![\s\S]*</\1)", re.I)
 
 
-def _furniture(tag: str, attrs: list[tuple[str, str | None]], open_: list[str]) -> bool:
-    """Whether an element is page furniture by its kind or by the words that name it."""
-    if tag in SKIPPED or (tag == "header" and "article" not in open_):
-        return True
-    if not attrs:
-        return False
-    if tag in ("html", "body", "main", "p", "h1") or (tag == "article" and "article" not in open_ and not any(k == "class" and v and "comment" in v.lower() for k, v in attrs)):
-        return False
+CERTAIN, DOUBTFUL = 2, 1
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _named(attrs: list[tuple[str, str | None]]) -> int:
+    """CERTAIN if a class, id or role is a furniture name or made of such words only, DOUBTFUL if one of its words is one, or 0."""
+    found = 0
     for k, v in attrs:
-        if k in ("hidden",) or (k == "aria-hidden" and v == "true"):
-            return True
         if v and k in ("class", "id", "role"):
             for name in v.split():
                 words = [w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", name))]
-                if any(w in FURNITURE for w in words) or name.lower() in FURNITURE:
-                    return True
-    return False
+                if name.lower() in FURNITURE or (words and all(w in FURNITURE for w in words)):
+                    return CERTAIN
+                if any(w in FURNITURE for w in words):
+                    found = DOUBTFUL
+    return found
+
+
+def _furniture(tag: str, attrs: list[tuple[str, str | None]], open_: list[str]) -> bool:
+    """Whether an element is page furniture by its kind or hidden, or an inline one by its whole name."""
+    if tag in SKIPPED or (tag == "header" and "article" not in open_):
+        return True
+    if not attrs or _nameless(tag, attrs, open_):
+        return False
+    if any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs):
+        return True
+    return tag not in BLOCKS and _named(attrs) == CERTAIN
+
+
+def _nameless(tag: str, attrs: list[tuple[str, str | None]], open_: list[str]) -> bool:
+    """Whether an element is never furniture, however it is named."""
+    return tag in ("html", "body", "main", "p", "h1") or (tag == "article" and "article" not in open_ and not any(k == "class" and v and "comment" in v.lower() for k, v in attrs))
 
 
 class Lines(HTMLParser):
@@ -74,6 +91,7 @@ class Lines(HTMLParser):
         self.open: list[str] = []
         self.path: list[int] = []  # a number for each open element
         self.kinds: list[str] = []  # kind of each numbered element
+        self.named: dict[int, int] = {}  # numbered block elements with a furniture name
         self.skip = 0  # depth of the outermost open furniture
         self.parts: list[str] = []
         self.tags = self.linked = self.links = 0
@@ -127,6 +145,8 @@ class Lines(HTMLParser):
             self.skip = len(self.open)
             if tag not in BLOCKS:
                 self.parts.append(" ") if tag in ("iframe", "button") else None
+        elif not self.skip and attrs and tag in BLOCKS and tag not in HEADINGS and not _nameless(tag, attrs, self.open[:-1]) and (name := _named(attrs)):
+            self.named[self.path[-1]] = name
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # HTML ignores the slash
@@ -182,18 +202,47 @@ def threshold(values: np.ndarray) -> float:
     return border
 
 
-def main_text(html: str | None) -> str:
-    """The page's main text: its blocks in order, one on each line; empty if there is none."""
-    page = parse(html)
-    lines = page.lines
-    if not lines:
-        return ""
+Line = tuple[str, int, int, tuple[int, ...]]
+
+
+def _content(lines: list[Line]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of the lines, which are no menu's by their links, and which are content by the smoothed ratios."""
     letters = np.array([len(x[0]) for x in lines], dtype=float)
     ratios = smooth(np.log1p(letters / np.array([max(1, x[1]) for x in lines])))
     plain = np.array([x[2] <= LINK_SHARE * len(x[0]) for x in lines])
     content = (ratios >= threshold(ratios)) & plain
     if not content.any():
         content = plain if plain.any() else np.ones(len(lines), dtype=bool)
+    return letters, plain, content
+
+
+def _without_furniture(page: Lines) -> list[Line]:
+    """The lines outside the named elements that are furniture."""
+    lines = page.lines
+    if not lines or not page.named:
+        return lines
+    letters, _, content = _content(lines)
+    held, below = {}, {}
+    for has, n, x in zip(content, letters, lines, strict=True):
+        for c in x[3]:
+            held[c] = held.get(c, 0.0) + n
+            below[c] = below.get(c, 0.0) + n * has
+    # The article: the longest outside any that is named itself; all that it stands in stays.
+    articles = {c for c in held if page.kinds[c] in ("article", "main") and c not in page.named}
+    first = max(articles, key=lambda c: (held[c], -c), default=None)
+    around = next((set(x[3][: x[3].index(first)]) for x in lines if first in x[3]), set())
+    total = float(letters[content].sum())
+    gone = {c for c, name in page.named.items() if c in held and c not in around and below[c] <= (0.5 * total if name == CERTAIN else 0.5 * min(held[c], total))}
+    return [x for x in lines if not gone & set(x[3])]
+
+
+def main_text(html: str | None) -> str:
+    """The page's main text: its blocks in order, one on each line; empty if there is none."""
+    page = parse(html)
+    lines = _without_furniture(page)
+    if not lines:
+        return ""
+    letters, plain, content = _content(lines)
     # Letters of the content lines below each container; the region is the smallest that has nearly all.
     below: dict[int, float] = {}
     for has, n, (_, _, _, path) in zip(content, letters, lines, strict=True):

@@ -149,3 +149,22 @@ def test_parts_of_messages_are_linked(spark):
     got = {(r.conv_id, r.turn): r for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert {t: got[1, t].reply_to if got[1, t].linked else None for t in quotes} == {t: origin for t, (_, origin) in quotes.items()}
     assert not got[2, 1].linked and got[1, 8].reply_to == 7
+
+
+LONG = "A sentence of the article that is long enough to be text and not a menu, with several words more."
+
+
+@pytest.mark.parametrize("part", ['<h2 id="related-work">Related work in the field</h2>', '<section id="search-results"><p>{0}</p></section>', '<div class="legal-notice"><p>{0}</p></div>', '<blockquote class="review-share"><p>{0}</p></blockquote>', '<h3 class="comments">Comments on the method</h3>'])
+@pytest.mark.parametrize("wrapper", ["<article>{0}</article>", "<div>{0}</div>", '<div class="content with-sidebar"><article>{0}</article></div>', '<div id="page" class="no-comments">{0}</div>', '<div class="widget">{0}</div>'])
+def test_names_lose_no_content(part, wrapper):
+    body = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>{part.format(LONG)}<p>{LONG}</p>"
+    menus = '<nav><a href="x">Home</a></nav><div class="sidebar"><p><a href="y">Other page</a></p></div><div class="related-posts"><ul><li><a href="z">Some other post</a></li></ul></div>'
+    text = html_extract.main_text(f"<html><body>{menus}{wrapper.format(body)}<div class='cookie-notice'><p>We use cookies</p></div></body></html>").split("\n")
+    inner = html_extract.main_text(f"<body>{part.format(LONG)}</body>")
+    assert text == ["Title", LONG, LONG, inner, LONG]
+
+
+def test_named_furniture_goes():
+    share = '<div class="post-share"><a href="a">Tweet this</a> <a href="b">Share this</a></div>'
+    comments = f'<section id="comments"><p>{LONG}</p></section>'
+    assert html_extract.main_text(f'<body><article><p>{LONG}</p><p>{LONG}</p>{share}{comments}<p>An <span class="ad">Buy</span> end.</p></article><div class="related"><article>Teaser of another page.</article></div></body>') == f"{LONG}\n{LONG}\nAn end."
