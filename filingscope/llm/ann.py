@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .sampling import smallest
+from .sampling import hash_limit, smallest
 from .workspace import Workspace
 
 #: The model is fitted on at most so many vectors: those with the smallest hashes of their ids.
@@ -139,16 +139,27 @@ def _assign(router: Router, probes: int):
     return run
 
 
+def first_of_each(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the best row of each of the k best ids, in order; ties to the smaller id."""
+    order = np.lexsort((ids, -scores))
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)[:k]]
+
+
 def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the k best other rows by inner product, ties to the smaller id."""
+    """For each query the best rows of the k best other ids by inner product, ties to the smaller id."""
+    order = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.diff(ids[order], prepend=ids[order[:1]] - 1))
+    repeated = len(starts) < len(ids)
     for at in range(0, len(queries), 256):
         near = queries[at : at + 256] @ rows.T
         near[query_ids[at : at + 256, None] == ids[None, :]] = -np.inf
-        border = -np.partition(-near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
+        tops = np.maximum.reduceat(near[:, order], starts, axis=1) if repeated else near  # one score an id, however many rows it has
+        border = -np.partition(-tops, min(k, tops.shape[1]) - 1, axis=1)[:, min(k, tops.shape[1]) - 1]
         for i, (scores, least) in enumerate(zip(near, border)):
             some = np.flatnonzero((scores >= least - 1e-9 * max(1.0, abs(least))) & (scores > -np.inf)) if least > -np.inf else np.flatnonzero(scores > -np.inf)
             exact = (rows[some] * queries[at + i]).sum(axis=1)  # the same rounding wherever the row lies
-            first = np.lexsort((ids[some], -exact))[:k]
+            first = first_of_each(ids[some], exact, k) if repeated else np.lexsort((ids[some], -exact))[:k]
             yield at + i, some[first], exact[first]
 
 
@@ -170,7 +181,7 @@ def _compare(k: int):
         out_q, out_v, out_s = [], [], []
         for q, parts in found.items():
             v, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-            first = np.lexsort((v, -s))[:k]
+            first = first_of_each(v, s, k)
             out_q.append(np.full(len(first), q))
             out_v.append(v[first])
             out_s.append(s[first])
@@ -211,7 +222,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     width, count = (sizes[0]["d"], sizes[0]["count"]) if sizes else (0, 0)
     rows, asked = rows.where(F.size("vector") == width), asked.where(F.size("vector") == width)
-    sample = smallest(rows, "id", SAMPLE).select("vector").toArrow()
+    # The sample holds an id once: copies would take the places of its true neighbours.
+    distinct = rows.select("id").distinct().count()
+    sampled = rows if distinct == count else rows.where(F.xxhash64("id") <= F.lit(hash_limit(distinct, SAMPLE))).groupBy("id").agg(F.min("vector").alias("vector"))
+    sample = smallest(sampled, "id", SAMPLE).select("vector").toArrow()
     parts = min(MOST_PARTS, max(LEAST_PARTS, math.ceil(count / ROWS_A_PART)))
     if len(sample) >= 32:
         router = Router(_matrix(sample["vector"].combine_chunks()), parts, k)

@@ -168,3 +168,28 @@ def test_named_furniture_goes():
     share = '<div class="post-share"><a href="a">Tweet this</a> <a href="b">Share this</a></div>'
     comments = f'<section id="comments"><p>{LONG}</p></section>'
     assert html_extract.main_text(f'<body><article><p>{LONG}</p><p>{LONG}</p>{share}{comments}<p>An <span class="ad">Buy</span> end.</p></article><div class="related"><article>Teaser of another page.</article></div></body>') == f"{LONG}\n{LONG}\nAn end."
+
+
+def test_repeated_rows_take_no_places(spark):
+    vectors = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding")
+    ask = lambda table: sorted(map(tuple, ann.nearest(table, vectors.where("vec_id % 20 = 0")).collect()))
+    once = ask(vectors)
+    copies = vectors.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("vec_id") % 3 == 0, 25).otherwise(2)))).drop("copy")
+    found = ask(copies)
+    assert len(found) == len(once) == 20 * vectors.where("vec_id % 20 = 0").count()
+    by = {}
+    for q, rank, v, score in found:
+        by.setdefault(q, []).append(v)
+    assert all(len(set(x)) == 20 for x in by.values())
+    assert len({(q, v) for q, _, v, _ in found} & {(q, v) for q, _, v, _ in once}) >= 0.9 * len(once)
+
+
+def test_best_row_of_an_id_stays():
+    rng = np.random.default_rng(5)
+    ids, rows, asked = rng.integers(0, 40, 400), rng.normal(size=(400, 4)), rng.normal(size=(3, 4))
+    for i, at, scores in ann.best(np.array([7, 100, 101]), asked, ids, rows, 10):
+        top = {}
+        for v, s in zip(ids.tolist(), (rows * asked[i]).sum(axis=1).tolist()):
+            top[v] = max(s, top.get(v, s))
+        want = sorted(((-s, v) for v, s in top.items() if not (i == 0 and v == 7)))[:10]
+        assert [(-s, v) for v, s in zip(ids[at].tolist(), scores.tolist())] == want
