@@ -56,16 +56,13 @@ class DigestIndex:
         ws = Workspace(self.spark, "exact")
         rows = ws.put(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
         classes = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("group_size"))
-        index = self.read()
-        known = classes.select("digest", "group_size", F.col("last.doc_id").alias("keep_id"), F.col("last.row").alias("keep_row"))
-        if index is not None:
-            known = ws.put(known, "classes")
-            index = index.withColumnRenamed("keep_id", "old_id")
-            fresh = known.hint("merge").join(index, "digest", "left_anti")
-            stale = known.hint("merge").join(index, "digest").select("digest", "group_size", F.col("old_id").alias("keep_id"), F.lit(None).cast("long").alias("keep_row"))
-            known = ws.put(fresh.unionByName(stale), "decided")
-        else:
-            known = fresh = ws.put(known, "classes")
+        if self.read() is None:  # a new index is an empty one
+            self.append(self.spark.createDataFrame([], "digest binary, keep_id bigint"))
+        known = ws.put(classes.select("digest", "group_size", F.col("last.doc_id").alias("keep_id"), F.col("last.row").alias("keep_row")), "classes")
+        index = self.read().withColumnRenamed("keep_id", "old_id")
+        fresh = ws.put(known.hint("merge").join(index, "digest", "left_anti"), "fresh")
+        stale = known.hint("merge").join(index, "digest").select("digest", "group_size", F.col("old_id").alias("keep_id"), F.lit(None).cast("long").alias("keep_row"))
+        known = ws.put(fresh.unionByName(stale), "decided")
         self.append(fresh)
         out = join_hot(rows, known, "digest", rows.count())
         return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -283,3 +283,12 @@ def test_word_table_survives_a_restart(monkeypatch):
     assert [x.tolist() for part in (texts[:200], texts[200:]) for x in table.rows(part, 0)] == whole
     encode = table.encode([t or "" for t in texts.to_pylist()], add_special_tokens=False)
     assert whole == [[*e.ids, 0] for e in encode]
+
+
+def test_a_new_index_decides_by_the_anti_join(spark, monkeypatch):
+    tables, put = {}, exact_dedup.Workspace.put
+    monkeypatch.setattr(exact_dedup.Workspace, "put", lambda self, df, name: tables.setdefault(name, (df, put(self, df, name)))[1])
+    index = exact_dedup.DigestIndex(spark)
+    found = index.ingest(docs_of(spark, [(1, "a", None, None), (2, "A", None, None), (3, "b", None, None)]))
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in found.collect()) == [(1, 2, False), (2, 2, True), (3, 3, True)]
+    assert "LeftAnti" in tables["fresh"][0]._jdf.queryExecution().optimizedPlan().toString() and index.read().count() == 2
