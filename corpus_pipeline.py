@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingscope.llm.exact_dedup import kept_documents
+from filingscope.llm.exact_dedup import kept_documents, text_digest
 from filingscope.llm.langid import fit, predict
 from filingscope.llm.mixing import Mix
 from filingscope.llm.near_dedup import near_duplicates
@@ -15,9 +15,9 @@ from filingscope.llm.workspace import Workspace
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language (no text or no letters); the others' lang is the predicted one."""
+    """Drop documents without a language (no text or no letters); the others' lang is the predicted one, und if no document has a lang to learn from."""
     own = {c: f"_{i}" for i, c in enumerate(docs.columns)}
-    found = predict(docs, fit(docs), "text", *(F.col(c).alias(n) for c, n in own.items())).where("lang_pred != 'und'")
+    found = predict(docs, fit(docs), "text", *(F.col(c).alias(n) for c, n in own.items())).where("score > 0")
     return found.select(*(F.col("lang_pred" if c == "lang" else n).alias(c) for c, n in own.items()))
 
 
@@ -27,9 +27,22 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, 0.8), keep the document with the smallest doc_id."""
-    dropped = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates (five words, 0.8), keep the document with the smallest doc_id; one without an id only if none has one.
+
+    Rows are matched by id and text. Texts without a word are in no group and stay.
+    """
+    ws = Workspace(spark, "near-stage")
+    row = F.xxhash64("doc_id", F.col("doc_id").isNull(), text_digest("text"))
+    keyed = docs.withColumn("_row", row)
+    groups = near_duplicates(keyed, "_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"), F.lit(None).cast("long").alias("id"), F.lit(0).alias("n"))
+    ids = keyed.select("_row", F.lit(None).cast("long").alias("group"), F.col("doc_id").cast("long").alias("id"), F.lit(1).alias("n"))
+    rows = ws.put(groups.unionByName(ids).groupBy("_row").agg(F.max("group").alias("group"), F.max("id").alias("id"), F.sum("n").alias("n")), "rows")
+    stay = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row"))["_row"].alias("_row"))
+    out = keyed.join(stay.select("_row"), "_row", "left_semi")
+    if not rows.where("n > 1").isEmpty():
+        # Of rows equal in id and text one stays, but for those without a word.
+        out = out.withColumn("_wordless", F.when(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.monotonically_increasing_id())).dropDuplicates(["_row", "_wordless"])
+    return out.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

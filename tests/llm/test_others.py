@@ -193,3 +193,19 @@ def test_best_row_of_an_id_stays():
             top[v] = max(s, top.get(v, s))
         want = sorted(((-s, v) for v, s in top.items() if not (i == 0 and v == 7)))[:10]
         assert [(-s, v) for v, s in zip(ids[at].tolist(), scores.tolist())] == want
+
+
+def test_pipeline_matches_rows_not_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = ("One two three four five six seven eight nine ten eleven twelve " * 3 + x for x in ("end", "End now", "end of all"))
+    clean, other = "Quite another text that shares nothing with the rest of them at all, at least none of its runs of words.", "Some lines which stand alone here and have no near copy in this table, whatever one looks for."
+    rows = [(None, a), (None, a), (None, b), (7, clean), (8, a), (8, b), (8, clean + " x"), (7, other), (7, other), (9, other), (None, None), (None, None), (3, " ")]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(out, key=str) == sorted([(7, clean), (8, min(a, b, key=lambda t: (8, t) not in out)), (7, other), (None, None), (None, None), (3, " ")], key=str)
+    nameless = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs.where("doc_id IS NULL"), "").collect()]
+    assert sorted(x[1] is None for x in nameless) == [False, True, True]
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    assert kept.columns == docs.columns and kept.count() == 10 and {r.lang for r in kept.collect()} == {"und"}
