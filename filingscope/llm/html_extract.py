@@ -256,8 +256,16 @@ def main_text(html: str | None) -> str:
         nested = {c for x in lines for i, c in enumerate(x[3]) if c in inner and any(p in inner for p in x[3][:i])}
         region = inner - nested
         best = max(below[c] for c in region)
-        region = {c for c in region if below[c] >= 0.25 * best}
-        if sum(below[c] for c in region) >= 0.2 * total:
+        # A short article beside a long one stays unless most of its letters are in menus.
+        held: dict[int, list[float]] = {}
+        for n, ok, x in zip(letters, plain, lines, strict=True):
+            for i, c in enumerate(x[3]):
+                if page.kinds[c] == page.kinds[min(region)] and not any(page.kinds[p] == page.kinds[c] for p in x[3][:i]):
+                    own = held.setdefault(c, [0.0, 0.0])
+                    own[0] += n
+                    own[1] += n * ok
+        region = {c for c in region if below[c] >= 0.25 * best} | {c for c, (n, text) in held.items() if text > 0.5 * n}
+        if sum(below.get(c, 0.0) for c in region) >= 0.2 * total:
             return "\n".join(x[0] for x in lines if region & set(x[3]))
     wide = [c for c in below if below[c] >= REGION_SHARE * total and page.kinds[c] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")]
     region = {max(wide)} if wide else set()  # the innermost opened last

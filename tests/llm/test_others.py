@@ -209,3 +209,9 @@ def test_pipeline_matches_rows_not_ids(spark):
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
     kept = corpus_pipeline.language_id(spark, docs, "")
     assert kept.columns == docs.columns and kept.count() == 10 and {r.lang for r in kept.collect()} == {"und"}
+
+
+def test_short_sibling_articles_stay():
+    posts = [LONG * 9, LONG]
+    page = "<body>" + "".join(f"<article><p>{x}</p></article>" for x in posts) + "<article><a href='x'>Read this other post</a></article></body>"
+    assert html_extract.main_text(page) == "\n".join(posts)
