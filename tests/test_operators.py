@@ -185,3 +185,11 @@ def test_word_order_and_carried_cases(spark):
     assert routing.word_order_stability(asked, posts).first().stable
     carried = spark.createDataFrame([(1, 0, "FC100")], "question_id int, pos int, case_number string")
     assert [r.case_number for r in routing.carry_over(routing.route(asked, posts), carried).orderBy("rank").collect()][:1] == ["FC100"]
+
+
+def test_titles_come_from_whole_texts(spark, tmp_path):
+    from filingscope.plans import queries
+
+    spark.createDataFrame([(1, "Notice" + " \n" * 150 + "of a " + "hearing " * 20)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    title = queries.citation_title(spark, str(tmp_path)).first()["title"]
+    assert title == ("Notice of a " + "hearing " * 20)[:117].rstrip() + "..."
