@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .workers import bounded
 from .workspace import Workspace
 
 #: Shorter pieces of a passage, in normalised characters, aren't linked; a whole passage may be shorter.
@@ -176,7 +177,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """
     ws = Workspace(messages.sparkSession, "chat")
     rows = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    parsed = ws.put(rows.mapInArrow(_parse, "conv_id bigint, turn bigint, role string, text string, quote_levels int, quoted array<struct<level:int,passage:bigint,h:bigint,n:int>>"), "parsed")
+    parsed = ws.put(rows.mapInArrow(bounded(_parse), "conv_id bigint, turn bigint, role string, text string, quote_levels int, quoted array<struct<level:int,passage:bigint,h:bigint,n:int>>"), "parsed")
     placed = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     turns = placed.select("conv_id", "turn", F.lit(None).cast("long").alias("origin"))
     quoting = placed.where("size(quoted) > 0")
@@ -196,7 +197,7 @@ def _origins(placed: DataFrame, quoting: DataFrame) -> DataFrame:
     """(conv_id, turn, origin) of the messages with a passage that is found."""
     # A conversation's hashes are spread by hash, and each quoted piece takes the last offer before it: no pairs are made.
     asked = quoting.select("conv_id", "turn", F.inline("quoted"))
-    offered = placed.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", "text").mapInArrow(_offer, "conv_id bigint, turn bigint, offered array<bigint>")
+    offered = placed.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", "text").mapInArrow(bounded(_offer), "conv_id bigint, turn bigint, offered array<bigint>")
     both = asked.unionByName(offered.select("conv_id", "turn", F.explode("offered").alias("h")), allowMissingColumns=True)
     before = Window.partitionBy("conv_id", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("origin", F.max(F.when(F.col("level").isNull(), F.col("turn"))).over(before)).where("level IS NOT NULL AND origin IS NOT NULL")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import bounded
+
 #: Lines' standard deviation of the Gaussian, and the share of the content letters that the region must hold.
 SIGMA, REGION_SHARE = 1.5, 0.9
 #: A line outside an article element is a menu's if links hold more than this share of its letters.
@@ -286,4 +288,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     result. Each page is read whole, and none needs another.
     """
     rows = pages.select(F.col(html_col).cast("string").alias("_html"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    return rows.mapInArrow(_extract, rows.drop("_html").schema.add("text", "string").add("n_chars", "long"))
+    return rows.mapInArrow(bounded(_extract), rows.drop("_html").schema.add("text", "string").add("n_chars", "long"))

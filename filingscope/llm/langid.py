@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .sampling import hash_limit
+from .workers import bounded
 
 #: Hash values of a trigram, the smoothing count, nats a switch costs, and nats a word can speak for a language at most.
 TRIGRAMS, SMOOTHING, SWITCH, MOST_A_WORD = 1 << 16, 0.5, 8.0, 20.0
@@ -27,9 +28,11 @@ DOCS_A_LANGUAGE = 400
 #: A script belongs to a language if it has this share of the letters that the model was fitted on.
 SCRIPT_SHARE = 0.01
 #: Characters that are scored at once.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 17
 #: Words that the Viterbi pass takes at once, whole texts together.
-GROUP_WORDS = 1 << 20
+GROUP_WORDS = 1 << 19
+#: Bytes of texts that a task predicts at once; the Viterbi pass takes as many steps as the longest of them has words.
+SLICE = 8 << 20
 
 # First and last code point of the scripts' main ranges.
 SCRIPTS = (
@@ -174,7 +177,7 @@ def _predict(model: Model):
             out = [pa.array([names[i] for i in pred], pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *out], [*batch.schema.names[1:], "lang_pred", "score"])
 
-    return run
+    return bounded(run, SLICE)
 
 
 def spans(model: Model, text: str | None) -> list[tuple[int, int, str]]:
@@ -206,7 +209,7 @@ def _count(languages: list[str]):
         lang, value = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(value.astype(np.int32)), pa.array(counts[lang, value])], ["lang", "value", "n"])
 
-    return run
+    return bounded(run)
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_a_language: int = DOCS_A_LANGUAGE) -> Model | None:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .wordhash import IS_SPACE, segments, string_buffers, word_bounds
+from .workers import bounded
 from .workspace import Workspace
 
 #: Words in a block; smaller sources have shorter ones, so that each has about 256.
@@ -94,7 +95,7 @@ class Mix:
         spark = docs.sparkSession
         self.ws = ws = Workspace(spark, "mix")
         cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")]
-        self.sizes = ws.put(docs.select(*cols, F.xxhash64(F.col(text_col).cast("string")).alias("mark")).mapInArrow(_sizes, "doc_id bigint, source string, size bigint, mark bigint"), "sizes")
+        self.sizes = ws.put(docs.select(*cols, F.xxhash64(F.col(text_col).cast("string")).alias("mark")).mapInArrow(bounded(_sizes), "doc_id bigint, source string, size bigint, mark bigint"), "sizes")
         found = self.sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
         if len(found) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -201,4 +202,4 @@ def _cut(text_at: int):
                     at, texts, held = [], [], 0
             yield flush()
 
-    return run
+    return bounded(run)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, join_hot
 from .wordhash import U64, row_words, shingle_set
+from .workers import bounded, release
 from .workspace import Workspace
 
 TREES, COORDINATES = 10, 128
@@ -72,7 +73,7 @@ def _features(k: int):
                     sigs.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(roots, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["id", "key", "n", "roots", "sig"])
 
-    return run
+    return bounded(run)
 
 
 def _wanted_sets(k: int, bits: int, filters: dict[int, bytes]):
@@ -93,7 +94,7 @@ def _wanted_sets(k: int, bits: int, filters: dict[int, bytes]):
                     keys, sets = [], []
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "items"])
 
-    return run
+    return bounded(run)
 
 
 def _id_hash(bits: int):
@@ -205,6 +206,7 @@ def _node_pairs(least: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
             yield _link_rows(_Members(rows, least, percent), lambda i, near: near)
+        release()
 
     return run
 
@@ -233,6 +235,7 @@ def _cluster_links(least: int, percent: int):
                 return near[100 * common >= percent * (size + members.size[i] - common)]
 
             yield _link_rows(members, decide)
+        release()
 
     return run
 

@@ -1,10 +1,10 @@
 """Best-fit packing of token sequences, by hierarchical rounds.
 
-A document longer than a sequence is cut into full ones and a rest. Each partition packs
-its pieces by best fit, longest first, in batches of bounded size. Bins that no other
-underfull bin could complete are final. The others are items of the next round: groups
-of partitions merge them, again by best fit, in a tree, until one group is left or no
-bin can take another.
+A document longer than a sequence is cut into full ones and a rest. The pieces that fill
+no sequence are dealt over groups of bounded size, and each group packs its own by best
+fit, longest first. Bins that no other underfull bin could complete are final. The others
+are items of the next round: groups merge in a tree, and each packs the bins that it is
+left with by best fit again, until one group is left or no bin can take another.
 """
 
 from __future__ import annotations
@@ -20,11 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import word_ids
+from .workers import bounded, release
 from .workspace import Workspace
 
 LENGTH, END_ID = 2048, 0
-#: Pieces that a task packs at once, bins that a later task does, and groups that merge into one.
-BATCH_PIECES, GROUP_BINS, FAN_IN = 100_000, 200_000, 8
+#: Items that a group packs at once, and groups that merge into one.
+GROUP_ITEMS, FAN_IN = 200_000, 8
+#: Pieces that a task holds before it writes them.
+FLUSH_PIECES = 20_000
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,20 +55,20 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(fills, dtype=np.int64)
 
 
-def _pack(tokenizer_file: str, capacity: int, end_id: int):
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill", "group"]
+def _pieces(tokenizer_file: str, capacity: int, end_id: int):
+    """(doc_id, text) to pieces; ``item`` numbers them over all tasks."""
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "item"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made = TaskContext.get().partitionId(), 0
-        docs, pieces, starts, lengths, sums = [], [], [], [], []
+        made = TaskContext.get().partitionId() << 36
+        docs, pieces, lengths, sums = [], [], [], []
 
         def flush() -> pa.RecordBatch:
             nonlocal made
-            size = np.array(lengths, dtype=np.int64)
-            bins, offsets, fills = best_fit(size, capacity)
-            out = [pa.array(docs, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(size), pa.array(sums, pa.int64()), pa.array((task << 36) + made + bins), pa.array(offsets), pa.array(fills[bins]), pa.array(np.full(len(size), task))]
-            made += len(fills)
-            for x in (docs, pieces, starts, lengths, sums):
+            piece = np.array(pieces, dtype=np.int32)
+            out = [pa.array(docs, pa.int64()), pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64()), pa.array(np.arange(made, made + len(piece)))]
+            made += len(piece)
+            for x in (docs, pieces, lengths, sums):
                 x.clear()
             return pa.RecordBatch.from_arrays(out, names)
 
@@ -77,43 +80,58 @@ def _pack(tokenizer_file: str, capacity: int, end_id: int):
                     part = raw[4 * k * capacity : 4 * (k + 1) * capacity]
                     docs.append(doc)
                     pieces.append(k)
-                    starts.append(k * capacity)
                     lengths.append(len(part) // 4)
                     sums.append(zlib.crc32(part))
-                if len(docs) >= BATCH_PIECES:
+                if len(docs) >= FLUSH_PIECES:
                     yield flush()
         yield flush()
 
-    return run
+    return bounded(run)
 
 
-def _merge(capacity: int):
-    """Best fit of bins (bin, fill, group): bin, the bin that it goes into, its offset there, that one's fill, group."""
+def _fit(capacity: int):
+    """Best fit of each group's items: the rows and bin, offset and the bin's fill. Rows of one group follow each other.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, fills, group = [], [], []
+    A bin is named by the item at its start. A group of more than ``GROUP_ITEMS`` is
+    packed in parts.
+    """
 
-        def flush() -> pa.RecordBatch:
-            size = np.concatenate(fills) if fills else np.zeros(0, dtype=np.int64)
-            name = np.concatenate(bins) if bins else size
-            into, offsets, full = best_fit(size, capacity)
-            head = np.zeros(len(full), dtype=np.int64)
-            head[into[offsets == 0]] = name[offsets == 0]
-            out = [name, head[into], offsets, full[into], np.concatenate(group) if group else size]
-            for x in (bins, fills, group):
-                x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["bin", "into", "shift", "fill", "group"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            items = rows["item"].to_numpy()
+            bins, offsets, fills = best_fit(rows["size"].to_numpy(), capacity)
+            names = np.zeros(len(fills), dtype=np.int64)
+            names[bins[offsets == 0]] = items[offsets == 0]
+            for name, values in (("bin", names[bins]), ("offset", offsets), ("fill", fills[bins])):
+                rows = rows.append_column(name, pa.array(values))
+            yield from rows.combine_chunks().to_batches()
 
         for batch in batches:
-            for x, i in ((bins, 0), (fills, 1), (group, 2)):
-                x.append(batch.column(i).to_numpy(zero_copy_only=False))
-            if sum(map(len, bins)) >= GROUP_BINS:
-                yield flush()
-        yield flush()
+            groups = batch.column("group").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if held and (held[-1].column("group")[-1].as_py() != groups[lo] or sum(map(len, held)) >= GROUP_ITEMS):
+                    yield from flush()
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from flush()
+        release()
 
     return run
 
 
+def _round(items: DataFrame, groups: int, capacity: int) -> DataFrame:
+    """``items`` (item, size, group and more) packed: each group by itself."""
+    schema = items.schema.add("bin", "long").add("offset", "long").add("fill", "long")
+    return items.repartition(groups, "group").sortWithinPartitions("group", "item").mapInArrow(_fit(capacity), schema)
+
+
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -121,31 +139,35 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = LENGTH,
     row is packed. Extra columns are ignored; an empty table gives an empty result.
     """
     ws = Workspace(docs.sparkSession, "pack")
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint, fill bigint, `group` bigint"
-    pieces = ws.put(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pack(tokenizer_file, capacity, end_id), schema), "pieces")
-    moved = None  # bin, its sequence, its shift there
-    items = pieces.where(F.col("fill") < capacity).select("bin", "fill", "group").distinct()
-    while True:
-        items = ws.put(items, "items")
-        n, least, top = items.agg(F.count("*"), F.min("fill"), F.max("group")).first()
-        if not n:
-            break
-        open_ = items.where(F.col("fill") + least <= capacity)
-        wanted = max(1, math.ceil(open_.count() / GROUP_BINS))
-        groups = max(wanted, math.ceil((top + 1) / FAN_IN))
-        grouped = open_.select("bin", "fill", F.pmod("group", F.lit(groups)).alias("group"))
-        merged = ws.put(grouped.repartition(groups, "group").sortWithinPartitions(F.desc("fill"), "bin").mapInArrow(_merge(capacity), "bin bigint, into bigint, shift bigint, fill bigint, `group` bigint"), "merged")
-        step = merged.select("bin", "into", "shift")
-        if moved is None:
-            moved = step
-        else:
-            further = step.select(F.col("bin").alias("into"), F.col("into").alias("next"), F.col("shift").alias("more"))
-            moved = moved.join(further, "into", "left").select("bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
-        moved = ws.put(moved, "moved")
-        if groups == wanted:
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, item bigint"
+    pieces = ws.put(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pieces(tokenizer_file, capacity, end_id), schema), "pieces")
+    short = pieces.where(F.col("length") < capacity)
+    groups = max(1, math.ceil(short.count() / GROUP_ITEMS))
+    dealt = short.withColumn("size", F.col("length")).withColumn("group", F.pmod(F.xxhash64("item"), F.lit(groups)).cast("int"))
+    packed = ws.put(_round(dealt, groups, capacity), "packed")
+    left, moved = packed, None  # moved: bin, the bin that it goes into, its offset there
+    while groups > 1:
+        bins = left.where((F.col("offset") == 0) & (F.col("fill") < capacity)).select(F.col("bin").alias("item"), F.col("fill").alias("size"), "group")
+        least = bins.agg(F.min("size")).first()[0]
+        if least is None:
             break
-        items = merged.where(F.col("fill") < capacity).select(F.col("into").alias("bin"), "fill", "group").distinct()
+        open_ = bins.where(F.col("size") + least <= capacity)
+        fewer = max(math.ceil(groups / FAN_IN), math.ceil(open_.count() / GROUP_ITEMS))
+        if fewer >= groups:
+            break  # as many groups would pack the same bins again
+        groups = fewer
+        left = ws.put(_round(open_.withColumn("group", F.pmod("group", F.lit(groups)).cast("int")), groups, capacity), "merged")
+        step = left.select("item", "bin", "offset")
+        if moved is not None:
+            on = step.select(F.col("item").alias("bin"), F.col("bin").alias("next"), F.col("offset").alias("more"))
+            earlier = moved.join(on, "bin", "left").select("item", F.coalesce("next", "bin").alias("bin"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"))
+            step = ws.put(earlier.unionByName(step.join(moved.select("item"), "item", "left_anti")), "moved")
+        moved = step
+    out = packed
     if moved is not None:
-        pieces = pieces.join(moved, "bin", "left")
-        pieces = pieces.withColumn("bin", F.coalesce("into", "bin")).withColumn("offset", F.col("offset") + F.coalesce("shift", F.lit(0)))
-    return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+        out = out.join(moved.select(F.col("item").alias("bin"), F.col("bin").alias("into"), F.col("offset").alias("shift")), "bin", "left")
+        out = out.withColumn("bin", F.coalesce("into", "bin")).withColumn("offset", F.col("offset") + F.coalesce("shift", F.lit(0)))
+    full = pieces.where(F.col("length") == capacity).withColumn("bin", F.col("item")).withColumn("offset", F.lit(0).cast("long"))
+    named = [*columns, F.col("bin").alias("sequence_id"), "offset"]
+    return out.select(*named).unionByName(full.select(*named))

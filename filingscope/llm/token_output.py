@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .tokens import word_ids
 from .wordhash import U64, fmix
+from .workers import bounded
 from .workspace import Workspace
 
 SEQUENCE, END_ID, PAD_ID, SHARD_SLOTS, KEY, ROUNDS = 512, 0, 0, 8192, 0x5EED, 6
@@ -65,7 +66,7 @@ def _counts(tokenizer_file: str, length: int, end_id: int):
                 sequences += math.ceil(len(ids) / length)
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (TaskContext.get().partitionId(), rows, sequences, mark)], ["task", "rows", "sequences", "mark"])
 
-    return run
+    return bounded(run)
 
 
 def _sequences(tokenizer_file: str, length: int, end_id: int, kind: str, plan: dict[int, tuple[int, int]], total: int, shard_slots: int, key: int):
@@ -100,7 +101,7 @@ def _sequences(tokenizer_file: str, length: int, end_id: int, kind: str, plan: d
         if mark != expected:
             raise RuntimeError("the input's partitions changed between two reads; write the input to a table first")
 
-    return run
+    return bounded(run)
 
 
 def _write(folder: str, stride: int, length: int, pad: bytes, shard_slots: int, total: int):

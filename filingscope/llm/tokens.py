@@ -15,8 +15,10 @@ import pyarrow as pa
 
 from .wordhash import U64, segments, span_hashes, string_buffers, word_bounds
 
-#: Words that a worker remembers; beyond it the table starts anew.
-TABLE_WORDS = 3_000_000
+#: Words that a worker remembers, and ids of theirs; beyond either the table starts anew.
+TABLE_WORDS, TABLE_IDS = 3 << 19, 1 << 23
+#: Words that go to the tokenizer at once: each comes back as an object that is many times its size.
+ENCODE_WORDS = 4096
 
 _IS_LETTER, _IS_UPPER, _IS_LOWER, _IS_MARK = (np.zeros(256, dtype=bool) for _ in range(4))
 _IS_UPPER[65:91] = _IS_LOWER[97:123] = True
@@ -65,7 +67,7 @@ class WordIds:
         return found
 
     def add(self, hashes: np.ndarray, words: list[str]) -> None:
-        ids = [np.array(e.ids, dtype=np.uint32) for e in self.encode(words, add_special_tokens=False)]
+        ids = [np.array(e.ids, dtype=np.uint32) for at in range(0, len(words), ENCODE_WORDS) for e in self.encode(words[at : at + ENCODE_WORDS], add_special_tokens=False)]
         n, sizes = self.words + len(words), np.array([len(x) for x in ids], dtype=np.int32)
         flat = np.concatenate(ids)
         grow = lambda a, size: np.concatenate([a, np.zeros(max(len(a), size - len(a)), dtype=a.dtype)]) if size > len(a) else a
@@ -77,7 +79,7 @@ class WordIds:
         entries = np.arange(self.words, n, dtype=np.int32)
         self.words, self.used = n, self.used + len(flat)
         if 2 * n > len(self.slots):
-            self._slots(len(self.slots) * 4)
+            self._slots(1 << (2 * n).bit_length())
         else:
             self._place(entries)
 
@@ -104,7 +106,7 @@ class WordIds:
         hashes = span_hashes(part, starts, ends)
         entry = self.find(hashes)
         if (miss := np.flatnonzero(entry < 0)).size:
-            if self.words > TABLE_WORDS:
+            if self.words > TABLE_WORDS or self.used > TABLE_IDS:
                 self._clear()
                 miss = np.arange(len(hashes))
             new, at = np.unique(hashes[miss], return_index=True)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 18
 U64 = np.uint64
 
 IS_SPACE = np.zeros(256, dtype=bool)

@@ -186,6 +186,25 @@ def test_packing(spark):
     assert len(bins) <= -(-sum(r.length for r in found) // 2048) + 1
 
 
+@pytest.mark.parametrize("partitions,group_items", [(9, 60), (32, 200_000), (32, 7), (211, 25)])
+def test_packing_of_many_partitions(spark, monkeypatch, partitions, group_items):
+    """Groups that share a task, and rounds of merges, place each piece once."""
+    monkeypatch.setattr(packing, "GROUP_ITEMS", group_items)
+    rnd = random.Random(partitions)
+    rows = [(i, " ".join(rnd.choices(WORDS, k=rnd.choice([0, 3, 60, 500, 900]))), None, None) for i in range(420)]
+    found = packing.pack_documents(docs_of(spark, rows).repartition(partitions), _tokenizer()).collect()
+    assert sorted((r.doc_id, r.piece) for r in found) == sorted({(r.doc_id, r.piece) for r in found})
+    assert {r.doc_id for r in found} == set(range(420))
+    bins = {}
+    for r in found:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in bins.values():
+        own.sort()
+        assert [a for a, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 2048
+    least = -(-sum(r.length for r in found) // 2048)
+    assert len(bins) <= least * (1.01 if group_items > 420 else 1.25) + 2
+
+
 def test_best_fit_is_tight():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 2049, size=5000)
