@@ -201,8 +201,8 @@ def test_packing_of_many_partitions(spark, monkeypatch, partitions, group_items)
     for own in bins.values():
         own.sort()
         assert [a for a, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 2048
-    least = -(-sum(r.length for r in found) // 2048)
-    assert len(bins) <= least * (1.01 if group_items > 420 else 1.25) + 2
+    whole = len(packing.best_fit(np.array([r.length for r in found]), 2048)[2])
+    assert len(bins) == whole if group_items > 420 else len(bins) <= 1.25 * whole
 
 
 def test_best_fit_is_tight():
