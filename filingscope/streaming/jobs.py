@@ -68,16 +68,13 @@ def relink_stream(deltas: DataFrame, rows: dict[str, list[dict]]) -> DataFrame:
     """
 
     def repair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, sent = state.get if state.exists else ("", False)
-        worker, out = Relinker(rows.get(key[0], []), held, sent), []
+        worker, out = Relinker(rows.get(key[0], []), *(state.get if state.exists else ())), []
         for row in pd.concat(batches).sort_values("seq").itertuples():
             out.append((key[0], row.seq, worker.push(row.delta, bool(row.final))))
-            if row.final:
-                worker.held = ""
-        state.update((worker.held, worker.sent))
+        state.update((worker.held, worker.sent, worker.mode))
         yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
 
-    return deltas.groupBy("stream_id").applyInPandasWithState(repair, "stream_id string, seq long, text string", "held string, sent boolean", "append", GroupStateTimeout.NoTimeout)
+    return deltas.groupBy("stream_id").applyInPandasWithState(repair, "stream_id string, seq long, text string", "held string, sent boolean, mode int", "append", GroupStateTimeout.NoTimeout)
 
 
 def relink_batch(deltas: DataFrame, rows: dict[str, list[dict]]) -> DataFrame:

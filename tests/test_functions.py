@@ -120,4 +120,63 @@ def test_chunks_overlap_and_cover():
 
 def test_labels_and_inline_sources():
     assert markdown.source_labels_text("x [Source 1, p. 3] y Source 1", ROWS).count("](https://x.org/a.pdf#page=4)") == 2
-    assert markdown.inline_sources("the Newsroom and [Newsroom](a) Newsroom", [("Newsroom", "u")]) == "the [Newsroom](u) and [Newsroom](a) Newsroom"
+    assert markdown.source_labels_text("Source 12, Source 2", ROWS) == "Source 12, Source 2"
+    assert markdown.inline_sources("the Newsroom and [Newsroom](a) newsroom", [("Newsroom", "u")]) == "the [Newsroom](u) and [Newsroom](a) [newsroom](u)"
+
+
+def test_every_spelling_of_a_verified_target_is_linked():
+    base = "https://e.example.org"
+    links = [("FC 1017 - Rates", f"{base}/public/search/casenumber/1017"), ("FC1017 - 2020 - 5", f"{base}/public/search/details/FC1017/5"), ("ET2020 - a b.pdf", f"{base}/apis/api/Filing/download?attachId=1")]
+    specs = markdown.mentions(links, [("Power news", "https://n")])
+    found = markdown.inline_sources("Formal Case No. 1017 (FC 1017), fc 1017, FC1017; Power News; A b.pdf in et2020", specs)
+    case, news, file = f"({base}/public/search/casenumber/1017)", "(https://n)", f"({base}/apis/api/Filing/download?attachId=1)"
+    assert found == f"[Formal Case No. 1017 (FC 1017)]{case}, [fc 1017]{case}, [FC1017]{case}; [Power News]{news}; [A b.pdf]{file} in [et2020]{file}"
+
+
+ROW = {"title": "WGL's Monthly Report, pursuant to Order No. 15134.", "url": "https://e.example.org/b.pdf", "page_number": 2, "kind": None}
+
+
+def streamed(parts, rows=(ROW,)):
+    worker = markdown.Relinker(list(rows))
+    return "".join(worker.push(p) for p in parts) + worker.push("", True)
+
+
+def test_citations_side_by_side_keep_their_pages():
+    out = markdown.relink_text(f"[{ROW['title']} — p. 2][{ROW['title']} — p. 4].", [ROW])
+    assert out.count("](https://e.example.org/b.pdf#page=") == 2 and "#page=4" in out
+    assert markdown.relink_text("The order [see paragraph 8] (sic) is unrelated.", [ROW]) == "The order [see paragraph 8] (sic) is unrelated."
+    assert markdown.relink_text(f"[{ROW['title']}]  (x)", [ROW]) == f"[{ROW['title']}]  (x)"
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 1000])
+def test_a_stream_joins_citations_to_their_sentence_however_it_is_cut(size):
+    text = f"low-income segments\n[{ROW['title']} — p. 2]\n,\nand further detail. First \n[not a citation]\n, second. \n "
+    out = streamed([text[i : i + size] for i in range(0, len(text), size)])
+    assert out == f"low-income segments [{ROW['title']} — p. 2](https://e.example.org/b.pdf#page=2),\nand further detail. First \n[not a citation]\n, second. \n "
+
+
+def test_a_stream_sends_prose_at_once():
+    worker = markdown.Relinker([ROW])
+    assert worker.push("Plain prose with no brackets.") == "Plain prose with no brackets." and worker.push(" Then [") == " Then "
+    worker = markdown.Relinker([ROW], hold=16)
+    worker.push("[")
+    assert "x" in worker.push("x" * 40)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_chunks_end_at_the_last_break_that_is_late_enough(seed):
+    import random
+
+    rnd = random.Random(seed)
+    body = "".join(rnd.choice(["ab", " ", ". ", "\n", "c"]) for _ in range(rnd.randrange(0, 400)))
+    want, at = [], 0
+    while len(body) > 40 and at < len(body):  # brute force: all places of a break
+        stop = min(at + 40, len(body))
+        late = [i for i in range(len(body)) if (body[i] == "\n" or body[i : i + 2] == ". ") and at + 24 < i <= stop]
+        if stop < len(body) and late:
+            stop = late[-1] + 1
+        want.append(body[at:stop].strip())
+        if stop >= len(body):
+            break
+        at = max(stop - 10, at + 1)
+    assert markdown.chunk_text(body, 40, 10) == ([w for w in want if w] if len(body) > 40 else [body] if body else [])
