@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +40,19 @@ def filter_bits(term: Column, size: int = FILTER_BYTES) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(FILTER_HASHES - 1)), lambda i: (_low(first + _low(i * second) + i * i) % (8 * size)).cast("int"))
 
 
+def filter_positions(words: np.ndarray, size: int = FILTER_BYTES) -> np.ndarray:
+    """The same positions for an array of ASCII words (dtype S), one row of them for each word: letters of all words go side by side."""
+    letters = words.view(np.uint8).reshape(len(words), words.dtype.itemsize).astype(np.uint64)
+    lengths, low = np.char.str_len(words), np.uint64(WORD)
+    first, second = np.full(len(words), FNV_OFFSET, dtype=np.uint64), np.full(len(words), SECOND_SEED, dtype=np.uint64)
+    for i in range(int(lengths.max(initial=0))):
+        on, c = lengths > i, letters[:, i]
+        first = np.where(on, ((first ^ c) * np.uint64(FNV_PRIME)) & low, first)
+        second = np.where(on, second ^ ((c + np.uint64(SECOND_SEED) + (second << np.uint64(6)) + (second >> np.uint64(2))) & low), second)
+    i = np.arange(FILTER_HASHES, dtype=np.uint64)
+    return (((first[:, None] + ((i * (second | np.uint64(1))[:, None]) & low) + i * i) & low) % np.uint64(8 * size)).astype(np.int64)
+
+
 def route_seed(terms: Column) -> Column:
     return F.aggregate(_codes(F.array_join(terms, "|")), F.lit(0).cast("long"), lambda h, c: _low(h * 31 + c))
 

@@ -74,7 +74,7 @@ def stem(word: Column) -> Column:
 
 def stems(text: Column) -> Column:
     """Distinct stems of a text in order of first use."""
-    return F.array_distinct(F.transform(tokens(text), stem))
+    return F.array_distinct(F.transform(F.array_distinct(tokens(text)), stem))
 
 
 def query_terms(message: Column) -> Column:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import scoring, text
-from .index import has_bits, with_bits
-from .routing import DECIMALS, small
+from ..functions import hashing, scoring, text
+from .index import members
+from .routing import DECIMALS
+from .shared import once, small
 
 MOST_READS, GROUPS, ROWS, A_DOCUMENT, A_CASE, SOURCES, RECORDS = 20, 10, 12, 2, 3, 10, 8
 BEFORE, AFTER = 500, 1700
@@ -20,14 +21,15 @@ def pages_of(filings: DataFrame) -> DataFrame:
 
 
 def candidates(searches: DataFrame, filings: DataFrame, filters: DataFrame) -> DataFrame:
-    """Filings of each search's case whose filters may hold enough of its terms.
+    """Filings of each search's case whose filters may hold enough of its terms, with ``hits``.
 
     Searches have question_id, case_number, terms, years and least.
     """
-    asked = small(searches.withColumn("wanted", with_bits(F.col("terms"))))
-    pairs = filings.where("text IS NOT NULL").join(asked, "case_number").join(filters, "filing_id")
-    hits = F.size(F.filter("wanted", lambda w: has_bits(w["spots"], F.col("bits"))))
-    return pairs.withColumn("hits", hits).where(F.col("hits") >= F.col("least")).drop("wanted")
+    asked = searches.select("question_id", "case_number", F.explode("terms").alias("term"))
+    found = members(filters, asked, hashing.FILTER_BYTES, "filing_id").join(filings.where("text IS NOT NULL").select("filing_id", "case_number"), "filing_id")
+    hits = found.join(small(asked), ["case_number", "term"]).groupBy("question_id", "case_number", "filing_id").agg(F.count("*").cast("int").alias("hits"))
+    kept = hits.join(small(searches), ["question_id", "case_number"]).where("hits >= least")
+    return kept.join(filings, ["filing_id", "case_number"]).join(filters, "filing_id")
 
 
 def rank_documents(found: DataFrame, as_of: str, adjusted: bool = False) -> DataFrame:
@@ -88,8 +90,15 @@ def record_rows(searches: DataFrame, filings: DataFrame, as_of: str, most: int =
 
 def search_case(searches: DataFrame, filings: DataFrame, filters: DataFrame, as_of: str, reads: int = MOST_READS) -> DataFrame:
     """Evidence of each (question, case): ranked candidates, the first twenty read, ten groups, twelve rows."""
-    read = rank_documents(candidates(searches, filings, filters), as_of).where(F.col("rank") <= reads)
-    return diverse_documents(first_groups(excerpts(read.select("question_id", "case_number", "filing_id", "title", "received_date", "terms", "least", "rank"), pages_of(filings))))
+    named = ["question_id", "case_number", "filing_id", "title", "received_date", "terms", "least", "rank"]
+    read = once(rank_documents(candidates(searches, filings, filters), as_of).where(F.col("rank") <= reads).select(*named, "text"), "read")
+    pages = pages_of(read.select("filing_id", "text").dropDuplicates(["filing_id"]))  # of what is read alone
+    return diverse_documents(first_groups(excerpts(read.select(*named), pages)))
+
+
+def asked_filings(searches: DataFrame, filings: DataFrame) -> DataFrame:
+    """The filings of the cases that are searched, written once: all steps of a search read them."""
+    return once(filings.join(small(searches.select("case_number").distinct()), "case_number", "left_semi").select(*filings.columns), "asked-filings")
 
 
 def sources(rows: DataFrame, most: int = SOURCES) -> DataFrame:

@@ -5,11 +5,20 @@ Filings have filing_id, case_number, title, received_date and text.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing, scoring, text
-from .shared import once
+from .shared import once, small
+
+#: Texts whose filters are set at once.
+FILTER_ROWS = 256
 
 
 def case_terms(filings: DataFrame) -> DataFrame:
@@ -54,19 +63,58 @@ def may_contain(term: Column, data: Column, size: int = hashing.FILTER_BYTES) ->
     return (F.octet_length(data) > 0) & has_bits(hashing.filter_bits(F.lower(term), size), data)
 
 
-def with_bits(terms: Column, size: int = hashing.FILTER_BYTES) -> Column:
-    """Array of (term, bits): the bit positions are found once for each term, not for each filter."""
-    return F.transform(terms, lambda t: F.struct(t.alias("term"), hashing.filter_bits(F.lower(t), size).alias("spots")))
+def _filters(size: int):
+    """(text, keys) to (keys, bits): each text's filter. A batch's distinct words are hashed once, all at a time."""
+    word = re.compile(text.TOKEN)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), FILTER_ROWS):
+                batch = whole.slice(at, FILTER_ROWS)
+                words = [list(set(word.findall(t or ""))) for t in batch.column(0).to_pylist()]
+                known, place = np.unique(np.array([w for own in words for w in own], dtype="S40"), return_inverse=True)
+                spots = hashing.filter_positions(known, size)[place]
+                rows = np.repeat(np.arange(len(words)), [len(own) for own in words])
+                held = np.zeros((len(words), 8 * size), dtype=bool)
+                held[rows[:, None], spots] = True
+                bits = pa.array([x.tobytes() for x in np.packbits(held, axis=1, bitorder="little")], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], bits], [*batch.schema.names[1:], "bits"])
+
+    return run
 
 
 def term_filters(filings: DataFrame, size: int = hashing.FILTER_BYTES, *keys: str) -> DataFrame:
-    """(keys, bits): the Bloom filter of each group's tokens; by default each filing's.
+    """(keys, bits): the Bloom filter of each row's tokens, by default with its filing_id; no shuffle.
 
-    The distinct bits of each text are set by an aggregate that combines before the shuffle.
+    A null text has no tokens, so no bit is set.
     """
     keys = keys or ("filing_id",)
-    bits = F.array_distinct(F.flatten(F.transform(F.array_distinct(text.tokens(F.col("text"))), lambda t: hashing.filter_bits(t, size))))
-    return filings.select(*keys, F.explode_outer(bits).alias("bit")).groupBy(*keys).agg(F.expr("bitmap_construct_agg(bit)").alias("all")).select(*keys, F.substring("all", 1, size).alias("bits"))
+    rows = filings.select(F.lower("text").alias("_text"), *keys)
+    return rows.mapInArrow(_filters(size), rows.drop("_text").schema.add("bits", "binary"))
+
+
+def merged_filters(filters: DataFrame, size: int, *keys: str) -> DataFrame:
+    """(keys, bits): the union of each group's filters, combined before the shuffle."""
+    return filters.groupBy(*keys).agg(F.expr("bitmap_or_agg(bits)").alias("all")).select(*keys, F.substring("all", 1, size).alias("bits"))
+
+
+def members(filters: DataFrame, terms: DataFrame, size: int, *keys: str) -> DataFrame:
+    """(keys, term): the filters (keys, bits) that may hold a term; each pair once.
+
+    The set positions that any term asks for are joined to the terms by position, and
+    a term is held if all of its positions are. What the driver learns is which
+    positions are asked for: a bitmap of a filter's size.
+    """
+    spots = F.array_distinct(hashing.filter_bits(F.lower("term"), size))
+    asked = small(terms.select("term").distinct().withColumn("spots", spots).select("term", F.size("spots").alias("need"), F.explode("spots").alias("bit")), 100_000)
+    wanted = np.frombuffer(bytes(asked.agg(F.expr("bitmap_construct_agg(bit)")).first()[0][:size]), np.uint8)
+
+    @F.pandas_udf("array<int>")
+    def positions(bits: pd.Series) -> pd.Series:
+        return bits.map(lambda x: np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8) & wanted[: len(x)], bitorder="little")).astype(np.int32))
+
+    held = filters.where(F.octet_length("bits") > 0).select(*keys, F.explode(positions("bits")).alias("bit"))
+    return held.join(asked, "bit").groupBy(*keys, "term", "need").agg(F.count("*").alias("n")).where("n = need").select(*keys, "term")
 
 
 def router_entries(filings: DataFrame) -> DataFrame:
@@ -74,8 +122,9 @@ def router_entries(filings: DataFrame) -> DataFrame:
 
     A folded filter is the filter of a smaller size, because that size divides the larger.
     """
-    banded = filings.withColumn("band", F.pmod("filing_id", F.lit(hashing.ROUTER_BANDS)).cast("int"))
-    bands = term_filters(banded.where("text IS NOT NULL"), hashing.ROUTER_BYTES, "case_number", "band")
+    banded = filings.where("text IS NOT NULL").withColumn("band", F.pmod("filing_id", F.lit(hashing.ROUTER_BANDS)).cast("int"))
+    each = term_filters(banded, hashing.ROUTER_BYTES, "case_number", "band")
+    bands = once(merged_filters(each, hashing.ROUTER_BYTES, "case_number", "band"), "bands")  # the texts are read once
     stats = filings.groupBy("case_number").agg(F.count_distinct("filing_id").alias("filings"), F.count_distinct(F.when(F.col("text").isNotNull(), F.col("filing_id"))).alias("content_filings"), F.max("received_date").alias("latest")).where("content_filings > 0")
     full = bands.groupBy("case_number").agg(F.sum(F.bitmap_count("bits")).alias("set_bits"))
     return bands.join(stats, "case_number").join(full, "case_number").withColumn("part", hashing.router_part(F.col("case_number")))

@@ -10,20 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scoring, text
-from .index import has_bits, with_bits
+from .index import members
+from .shared import small
 
 MOST_STEMS, CANDIDATES, VERIFIED = 8, 8, 5
-#: Questions are broadcast up to so many; more are joined by shuffle.
-BROADCAST_QUESTIONS = 10_000
 #: Scores are compared at this many decimals, so that the order of summation decides nothing.
 DECIMALS = 6
 
 
-def small(questions: DataFrame, rows: int = BROADCAST_QUESTIONS) -> DataFrame:
-    """``questions``, with a broadcast hint if a bounded count proves them few."""
-    return F.broadcast(questions) if questions.limit(rows + 1).count() <= rows else questions
-
-
 def question_stems(questions: DataFrame) -> DataFrame:
     """(question_id, pos, stem): the first eight distinct stems in the order of the terms."""
     wanted = F.slice(F.array_distinct(F.transform("terms", text.stem)), 1, MOST_STEMS)
@@ -60,13 +54,13 @@ def route_by_filters(questions: DataFrame, entries: DataFrame, part: int | None
     """
     from ..functions.hashing import ROUTER_BYTES, ROUTER_PARTS, route_seed
 
-    asked = questions.where(F.size("terms") > 0).withColumn("wanted", with_bits(F.col("terms"), ROUTER_BYTES))
-    asked = small(asked.withColumn("chosen", (route_seed(F.col("terms")) % ROUTER_PARTS).cast("int")))
-    pairs = entries.join(asked, (F.col("part") == F.col("chosen")) if part == -1 else (F.lit(part is None) | (F.col("part") == F.lit(part))))
-    term = pairs.select("question_id", "case_number", "band", "bits", "filings", "content_filings", "latest", "set_bits", F.least(F.lit(2), F.size("terms")).alias("least"), F.inline("wanted"))
-    hit = term.where(has_bits(F.col("spots"), F.col("bits")))
-    keys = ["question_id", "case_number", "filings", "content_filings", "latest", "set_bits", "least"]
-    scored = hit.groupBy(*keys).agg(F.count_distinct("term").alias("hits"), F.count("*").alias("score")).where("hits >= least")
+    asked = questions.where(F.size("terms") > 0).withColumn("chosen", (route_seed(F.col("terms")) % ROUTER_PARTS).cast("int")).withColumn("least", F.least(F.lit(2), F.size("terms")))
+    asked = asked.select("question_id", "least", "chosen", F.explode("terms").alias("term"))
+    entries = entries if part is None or part == -1 else entries.where(F.col("part") == part)
+    hit = members(entries, asked, ROUTER_BYTES, "case_number", "band", "part").join(small(asked), "term")
+    hit = hit.where("part = chosen") if part == -1 else hit
+    scored = hit.groupBy("question_id", "case_number", "least").agg(F.count_distinct("term").alias("hits"), F.count("*").alias("score")).where("hits >= least")
+    scored = scored.join(entries.select("case_number", "content_filings", "latest", "set_bits").distinct(), "case_number")
     order = Window.partitionBy("question_id").orderBy(F.desc("hits"), F.desc("score"), "set_bits", "content_filings", F.desc(F.coalesce("latest", F.lit(""))), "case_number")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).select("question_id", "rank", "case_number", "hits", "score", "set_bits")
 

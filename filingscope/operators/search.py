@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from .routing import DECIMALS, small
+from .routing import DECIMALS
+from .shared import small
 
 K1, B, ROWS = 1.2, 0.75, 8
 # The local search's boosts and widths.

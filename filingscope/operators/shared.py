@@ -5,6 +5,15 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Questions are broadcast up to so many; more are joined by shuffle.
+BROADCAST_ROWS = 10_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, with a broadcast hint if a bounded count proves it small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def once(df: DataFrame, name: str = "step") -> DataFrame:

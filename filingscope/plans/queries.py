@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import hashing, markdown, scoring, text
 from ..operators import evidence, index, ingest, operations, records, render, routing, search
-from ..operators.shared import once
+from ..operators.shared import once, small
 from ..streaming import jobs
 from .corpus import AS_OF, filings, questions, table, turns
 
@@ -168,8 +168,8 @@ doc_bits AS (SELECT DISTINCT filing_id, bit FROM doc_words JOIN bits USING (term
 hit AS (SELECT term, filing_id, count(*) AS n FROM (SELECT DISTINCT term, bit FROM bits WHERE term IN (SELECT term FROM q)) JOIN doc_bits USING (bit) GROUP BY ALL)
 SELECT term, count(*) AS filings, min(filing_id) AS first_filing FROM hit JOIN need USING (term) WHERE hit.n = need.n GROUP BY term""")
 def bloom_member(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = questions(spark, sf_dir).select(F.explode("terms").alias("term")).distinct().withColumn("spots", hashing.filter_bits(F.col("term")))
-    found = index.term_filters(filings(spark, sf_dir)).join(routing.small(terms), index.has_bits(F.col("spots"), F.col("bits")))
+    terms = questions(spark, sf_dir).select(F.explode("terms").alias("term"))
+    found = index.members(index.term_filters(filings(spark, sf_dir)), terms, hashing.FILTER_BYTES, "filing_id")
     return found.groupBy("term").agg(F.count("*").alias("filings"), F.min("filing_id").alias("first_filing"))
 
 
@@ -272,9 +272,15 @@ def _searches(spark: SparkSession, sf_dir: str, cases: int = 1) -> DataFrame:
     return routed.join(questions(spark, sf_dir), "question_id").withColumn("least", F.lit(1) if cases == 1 else F.least(F.lit(2), F.size("terms")))
 
 
+def _search_tables(spark: SparkSession, sf_dir: str, cases: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Searches, the filings of their cases and those filings' filters."""
+    searches = once(_searches(spark, sf_dir, cases), "searches")
+    rows = evidence.asked_filings(searches, filings(spark, sf_dir))
+    return searches, rows, once(index.term_filters(rows), "filters")
+
+
 def _ranked(spark: SparkSession, sf_dir: str, cases: int = 1, adjusted: bool = False) -> DataFrame:
-    rows = filings(spark, sf_dir)
-    return evidence.rank_documents(evidence.candidates(_searches(spark, sf_dir, cases), rows, index.term_filters(rows)), AS_OF, adjusted)
+    return evidence.rank_documents(evidence.candidates(*_search_tables(spark, sf_dir, cases)), AS_OF, adjusted)
 
 
 CAND = f"""{INDEX}, doc_words AS (SELECT DISTINCT filing_id, unnest({tok('text')}) AS term FROM filings), words AS (SELECT DISTINCT term FROM doc_words UNION SELECT term FROM qterms), {BITS},
@@ -295,8 +301,7 @@ def rank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CAND}, nq AS (SELECT question_id, count(*) AS n FROM qterms GROUP BY ALL) SELECT question_id, filing_id, round(greatest(0, hits - n * pow(fill, 5)), 6) AS adjusted FROM cand JOIN fills USING (filing_id) JOIN nq USING (question_id)")
 def saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = filings(spark, sf_dir)
-    found = evidence.candidates(_searches(spark, sf_dir), rows, index.term_filters(rows))
+    found = evidence.candidates(*_search_tables(spark, sf_dir))
     return found.select("question_id", "filing_id", F.round(scoring.adjusted_hits(F.col("hits"), F.size("terms"), scoring.fill_ratio(F.col("bits"), hashing.FILTER_BYTES)), 6).alias("adjusted"))
 
 
@@ -312,8 +317,7 @@ slots AS (SELECT *, row_number() OVER (PARTITION BY question_id, case_number ORD
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = filings(spark, sf_dir)
-    return evidence.search_case(_searches(spark, sf_dir), rows, index.term_filters(rows), AS_OF)
+    return evidence.search_case(*_search_tables(spark, sf_dir), AS_OF)
 
 
 @query(f"WITH {EXCERPTS} SELECT question_id, case_number, filing_id, rank, depth, CAST(page_number AS INT) AS page_number, CAST(matched AS INT) AS matched, excerpt, slot FROM slots")
@@ -328,10 +332,11 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def diverse_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, searches = filings(spark, sf_dir), once(_searches(spark, sf_dir, routing.VERIFIED), "searches")
-    ranked = evidence.rank_documents(evidence.candidates(searches, rows, index.term_filters(rows)), AS_OF)
-    read = evidence.within_budget(ranked)
-    found = evidence.excerpts(read.select("question_id", "case_number", "filing_id", "title", "received_date", "terms", "least", "rank"), evidence.pages_of(rows))
+    searches, rows, filters = _search_tables(spark, sf_dir, routing.VERIFIED)
+    ranked = evidence.rank_documents(evidence.candidates(searches, rows, filters), AS_OF)
+    read = once(evidence.within_budget(ranked).drop("bits"), "read")
+    pages = evidence.pages_of(read.select("filing_id", "text").dropDuplicates(["filing_id"]))
+    found = evidence.excerpts(read.select("question_id", "case_number", "filing_id", "title", "received_date", "terms", "least", "rank"), pages)
     slots = evidence.diverse_documents(evidence.first_groups(found)).join(searches.select("question_id", "case_number", "case_rank"), ["question_id", "case_number"])
     return evidence.diverse_cases(slots)
 
@@ -490,12 +495,12 @@ def storage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per question over its best case: candidates, ties, true matches, precision, overlap, evidence."""
-    searches, rows = once(_searches(spark, sf_dir), "searches"), filings(spark, sf_dir)
-    ranked = once(evidence.rank_documents(evidence.candidates(searches, rows, index.term_filters(rows)), AS_OF).drop("text", "bits"), "ranked")
+    searches, rows, filters = _search_tables(spark, sf_dir)
+    ranked = once(evidence.rank_documents(evidence.candidates(searches, rows, filters), AS_OF).drop("text", "bits"), "ranked")
     plain = F.lower("text")
-    true = rows.where("text IS NOT NULL").join(routing.small(searches), "case_number").withColumn("true_terms", F.size(F.filter("terms", lambda t: F.contains(plain, t))))
+    true = rows.where("text IS NOT NULL").join(small(searches), "case_number").withColumn("true_terms", F.size(F.filter("terms", lambda t: F.contains(plain, t))))
     true = true.select("question_id", "filing_id", "received_date", "true_terms")
-    slots = once(evidence.search_case(searches, rows, index.term_filters(rows), AS_OF), "slots")
+    slots = once(evidence.search_case(searches, rows, filters, AS_OF), "slots")
     got = slots.groupBy("question_id").agg(F.count("*").alias("evidence_rows"), F.collect_set("filing_id").alias("got"), F.array_distinct(F.transform(F.collect_list(2026 - text.document_year(F.col("received_date"))), lambda x: x)).alias("ages"))
     got = got.withColumn("distinct_filings", F.size("got").cast("long"))
     order = Window.partitionBy("question_id").orderBy(F.desc("true_terms"), F.desc(F.coalesce("received_date", F.lit(""))), "filing_id")

@@ -193,3 +193,19 @@ def test_titles_come_from_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "Notice" + " \n" * 150 + "of a " + "hearing " * 20)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     title = queries.citation_title(spark, str(tmp_path)).first()["title"]
     assert title == ("Notice of a " + "hearing " * 20)[:117].rstrip() + "..."
+
+
+def test_positions_of_many_words_equal_the_expressions(spark):
+    import numpy as np
+
+    words = ["storm", "a1", "pepco's", "x" * 40, "9-9"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", hashing.filter_bits(F.col("w")).alias("bits")).collect()
+    assert {r.w: r.bits for r in rows} == dict(zip(words, hashing.filter_positions(np.array([w.encode() for w in words], dtype="S40")).tolist(), strict=True))
+
+
+def test_members_need_all_positions(spark):
+    rows = corpus(spark, [(1, "FC1", "t", None, "storm damage"), (2, "FC1", "t", None, "calm"), (3, "FC1", "t", None, None)])
+    terms = spark.createDataFrame([("Storm",), ("calm",), ("storm",), ("absent",), ("calm",)], "term string")
+    found = index.members(index.term_filters(rows), terms, hashing.FILTER_BYTES, "filing_id")
+    assert sorted(map(tuple, found.collect())) == [(1, "Storm"), (1, "storm"), (2, "calm")]
+    assert index.members(index.term_filters(rows.limit(0)), terms, hashing.FILTER_BYTES, "filing_id").count() == 0
