@@ -141,6 +141,18 @@ def outside_links(text: str, change: Callable[[str], str]) -> str:
     return "".join(piece if linked else change(piece) for piece, linked in _parts(text))
 
 
+@F.pandas_udf(T.StringType())
+def retarget(text: pd.Series, targets: pd.Series) -> pd.Series:
+    """Links lead to what ``targets`` (a map of URLs) says of theirs; labels stay."""
+
+    def moved(piece: str, own: dict) -> str:
+        label, _, url = piece.partition("](")
+        return f"{label}]({own.get(url[:-1], url[:-1])})"
+
+    changed = lambda t, own: "".join(moved(p, own) if linked else p for p, linked in _parts(t))
+    return pd.Series([None if t is None else changed(t, dict(own if own is not None else {})) for t, own in zip(text, targets, strict=True)])
+
+
 def mentions(links: list[tuple[str, str]], titles: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """(pattern, url) of what names a verified target, in the order in which they are looked for.
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # Token and case patterns.
 TOKEN = r"[a-z0-9][a-z0-9'-]{1,39}"
 CASE_NUMBER = r"^[A-Z][A-Z0-9-]{2,30}$"
-RELATED_DOCKET = r"(?i)^\s*(?:FC|DR)"
 FORMAL_CASE = r"(?i)\b(?:FC|formal\s+case|case|docket)\s*(?:no\.?|number)?\s*[-#:]?\s*(\d{3,5})\b"
 GENERIC_CASE = r"(?i)\b([a-z]{1,12}-?\d{3,5}(?:-[a-z0-9]{1,8}){0,3})\b"
 BARE_FORMAL_CASE = r"(?i)^(?:(?:fc|formal\s+case|case|docket)\s*(?:no\.?|number)?\s*[-#:]*\s*)?\d{3,5}$"
@@ -181,6 +180,11 @@ def docket_cases(docket: Column) -> Column:
     return F.array_distinct(F.filter(labels, lambda x: x.rlike(CASE_NUMBER)))
 
 
+def is_related_docket(docket: Column, case_number: Column) -> Column:
+    """Whether a docket list has an entry of the case as a formal one or a related docket, by its bare number."""
+    return F.coalesce(F.regexp_like(docket, F.concat(F.lit(r"(?i)(?:^|,\s*)(?:FC|DR)"), case_number, F.lit(r"\s*-"))), F.lit(False))
+
+
 def related_cases(case_number: Column, docket: Column, most: int | None = 12) -> Column:
     """The case and those of its docket list, distinct in order; ``most`` None for all."""
     every = F.array_distinct(F.concat(F.array(F.upper(case_number)), docket_cases(docket)))
@@ -230,6 +234,11 @@ def normal_url(url: Column, domain: str) -> Column:
     return F.when(F.contains(out, F.lit("edocket." + domain)), fixed).otherwise(out)
 
 
+def is_stable_url(url: Column, domain: str, stable: list[str]) -> Column:
+    """Whether a URL is one of the pages that always exist."""
+    return normal_url(url, domain).isin(*stable)
+
+
 def safe_file_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_")
 

@@ -65,8 +65,9 @@ def failure_state(pending: DataFrame, unavailable: DataFrame, failures: DataFram
     failed = counted.select("filing_id", F.when(F.col("attempts") >= MOST_ATTEMPTS, "unavailable").otherwise("pending").alias("state"), F.when(F.col("attempts") < MOST_ATTEMPTS, F.col("attempts")).alias("attempts"))
     fixed = unavailable.select("filing_id").unionByName(permanent.select("filing_id")).distinct().select("filing_id", F.lit("unavailable").alias("state"), F.lit(None).cast("long").alias("attempts"))
     every = newest(failed.unionByName(fixed), ["filing_id", "state"], F.col("filing_id"))
-    order = Window.partitionBy("state").orderBy(F.desc("filing_id"))
-    return every.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= MOST_STATE).drop("_n")
+    # The largest ids of each state: tasks keep no more than that many.
+    best = lambda s: every.where(F.col("state") == s).orderBy(F.desc("filing_id")).limit(MOST_STATE)
+    return best("pending").unionByName(best("unavailable"))
 
 
 def shrink_guard(new_cases: int, previous_cases: int | None, allow: bool = False) -> None:
@@ -80,7 +81,40 @@ def related_rows(filings: DataFrame, most: int | None = 12) -> DataFrame:
     return filings.select("filing_id", F.posexplode(text.related_cases(F.col("case_number"), F.col("docket_number"), most)).alias("pos", "case_number"))
 
 
+def migrated_state(state: DataFrame, shard: int, shards: int, capacity: int = 250_000, from_version: int = 2, version: int = 3) -> DataFrame:
+    """Ingest states of the version before (…, documentsIndexed, failedFilingIds, failureAttempts as a map) in the current form.
+
+    They begin again at their shard's first record; a failed filing counts one attempt
+    unless its attempts are known.
+    """
+    failed = F.coalesce("failedFilingIds", F.array().cast("array<bigint>"))
+    once_each = F.map_from_entries(F.transform(F.array_distinct(failed), lambda i: F.struct(i.cast("string"), F.lit(1))))
+    attempts = F.when(F.coalesce(F.cardinality("failureAttempts"), F.lit(0)) > 0, F.col("failureAttempts")).otherwise(once_each)
+    fixed = {"version": version, "shardIndex": shard, "shardCount": shards, "nextOffset": capacity // shards * shard, "documentsCompacted": 0, "migrationFromStateVersion": from_version}
+    return state.withColumns({"failureAttempts": attempts, "failedFilingIds": failed, "documentsIndexed": F.coalesce("documentsIndexed", F.lit(0))}).withColumns({k: F.lit(v) for k, v in fixed.items()})
+
+
+def saved_state(state: DataFrame, at: str, writes: int, next_offset: int | None = None, version: int = 3) -> DataFrame:
+    """States as they are saved at a time: writes of the month go on, or begin again in a new month, and the save is one."""
+    month = F.date_format(F.to_timestamp(F.lit(at)), "yyyy-MM")
+    before = F.when(F.col("writeMonth") == month, F.coalesce("writesThisMonth", F.lit(0))).otherwise(F.lit(0))
+    out = state.withColumn("writesThisMonth", (before + writes + 1).cast("long")).withColumns({"writeMonth": month, "updatedAt": F.lit(at), "version": F.lit(version)})
+    return out.withColumn("nextOffset", F.lit(next_offset)) if next_offset is not None else out
+
+
+def net_growth(new_size: Column, old_size: Column) -> Column:
+    """Bytes that an overwrite adds to the store."""
+    return new_size - F.coalesce(old_size, F.lit(0))
+
+
 def running_budget(writes: DataFrame, limit: float) -> DataFrame:
-    """Writes by day in order with the running sum of bytes, and whether the day's limit still holds."""
-    order = Window.partitionBy("day").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return writes.withColumn("used", F.round(F.sum("bytes").over(order), 2)).withColumn("allowed", F.col("used") <= limit)
+    """Writes by day in order with the running sum of bytes, and whether the day's limit still holds.
+
+    A task sums the writes of a minute; what earlier minutes of the day used is added.
+    """
+    marked = writes.withColumn("_minute", F.date_trunc("minute", "ts"))
+    before = Window.partitionBy("day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    base = marked.groupBy("day", "_minute").agg(F.sum("bytes").alias("_all")).withColumn("_base", F.coalesce(F.sum("_all").over(before), F.lit(0)))
+    order = Window.partitionBy("day", "_minute").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    out = marked.withColumn("_own", F.sum("bytes").over(order)).join(base.drop("_all"), ["day", "_minute"])
+    return out.withColumn("used", F.round(F.col("_base") + F.col("_own"), 2)).withColumn("allowed", F.col("used") <= limit).drop("_minute", "_base", "_own")

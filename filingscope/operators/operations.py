@@ -100,6 +100,41 @@ def admission(requests: DataFrame) -> DataFrame:
     return requests.select("id", F.when(F.col("over_actor"), "actor-limit").when(~F.col("challenge_passed"), "challenge-failed").when(F.col("over_all"), "overall-limit").otherwise("admitted").alias("verdict"))
 
 
+def rate_actor(client_id: Column, ip: Column) -> Column:
+    """What requests are counted by: the client if it is known, else its address."""
+    return F.when(F.length(client_id) > 0, F.concat(F.lit("client:"), client_id)).otherwise(F.concat(F.lit("ip:"), F.coalesce(ip, F.lit("unknown"))))
+
+
+def limited_body(body: Column, schema: str, most_bytes: int = 64 * 1024) -> Column:
+    """Struct (too_large, value) of a request body in JSON; the value is null if it is too large or no JSON."""
+    large = F.coalesce(F.octet_length(body) > most_bytes, F.lit(False))
+    return F.struct(large.alias("too_large"), F.when(~large, F.from_json(body, schema)).alias("value"))
+
+
+def bearer_matches(header: Column, secret: str) -> Column:
+    """Whether an authorization header carries the secret, compared by digests; false without a secret."""
+    given = F.when(F.startswith(header, F.lit("Bearer ")), F.substring(header, F.lit(8), F.length(header))).otherwise("")
+    return F.coalesce((F.sha2(given, 256) == F.sha2(F.lit(secret), 256)) & F.lit(bool(secret)), F.lit(False))
+
+
+def allows_cached_health(url: Column) -> Column:
+    """Whether a health request may be answered from the last good state: not with live=1."""
+    return F.coalesce(F.try_parse_url(url, F.lit("QUERY"), F.lit("live")), F.lit("")) != "1"
+
+
+def health_response(parts: DataFrame, shards: DataFrame, public_records: int, as_of: str) -> DataFrame:
+    """One row (status, issues, coverage): freshness of the parts, and full-text coverage of the shards with its own issue."""
+    have = coverage(shards, public_records).select(F.struct("*").alias("coverage"))
+    both = health(parts, as_of).crossJoin(have)  # one row each
+    issues = F.concat_ws(", ", F.nullif("issues", F.lit("")), F.when(~F.col("coverage.available"), "coverage-unavailable"))
+    return both.select(F.when(F.length(issues) > 0, "degraded").otherwise("ok").alias("status"), issues.alias("issues"), "coverage")
+
+
+def stage_log(df: DataFrame, stage: str) -> DataFrame:
+    """``df`` with its rows observed under the stage's name, as query listeners report them together with the duration."""
+    return df.observe(stage, F.count("*").alias("rows"))
+
+
 def last_known_good(log: DataFrame, as_of: str, ttl_seconds: int = 300) -> DataFrame:
     """The payload of the last ok snapshot, if it is young enough."""
     ok = log.where("status = 'ok'").agg(F.max("ts").alias("ts"), F.max_by("payload", "ts").alias("payload"))

@@ -130,6 +130,63 @@ def by_priority(specs: DataFrame) -> DataFrame:
     return specs.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
+def results_set(payload: Column, item: str) -> Column:
+    """The items of an API answer's result list; an empty array for anything else."""
+    return F.coalesce(F.from_json(payload, f"resultsSet array<struct<{item}>>")["resultsSet"], F.from_json(F.lit("[]"), f"array<struct<{item}>>"))
+
+
+def repaired_links(links: DataFrame, targets: DataFrame, pages: DataFrame, domain: str, search_page: str, news_page: str) -> DataFrame:
+    """(answer_id, url, target): where each link of an answer should lead.
+
+    ``links``: answer_id, url. ``targets``: the case pages and filing pages that exist
+    (url, case_number; a case page is ``search_page`` + /casenumber/ + number).
+    ``pages``: verified pages (url). Anchors and local paths stay; record links that
+    exist stay in their normal form, dead filings lead to their case's page, other dead
+    record links to the search page; any other link must be a verified page, else it
+    leads to the one of its host that names the same four-digit number, or to the news.
+    """
+    digits = lambda c: F.regexp_extract(c, r"(\d{3,5})$", 1)
+    each = links.select("answer_id", "url").distinct()
+    local = F.col("url").startswith("#") | (F.col("url").startswith("/") & ~F.col("url").startswith("//"))
+    full = text.normal_url(F.when(F.col("url").startswith("//"), F.concat(F.lit("https:"), "url")).otherwise(F.col("url")), domain)
+    each = each.withColumn("local", local).withColumn("full", full)
+    path = F.try_parse_url("full", F.lit("PATH"))
+    record = F.contains("full", F.lit("edocket." + domain))
+    case = F.coalesce(F.nullif(F.regexp_extract(path, r"(?i)^/public/search/casenumber/(\d{3,5})/?$", 1), F.lit("")), F.when(F.lower(path) == "/search/casedetail", F.try_parse_url("full", F.lit("QUERY"), F.lit("caseNumber"))))
+    docket = F.url_decode(F.regexp_extract(path, r"(?i)^/public/search/details/([^/]+)/[^/]+/?$", 1))
+    name = F.coalesce(F.try_parse_url("full", F.lit("QUERY"), F.lit("guidFileName")), F.lit(""))
+    download = (F.lower(path) == "/apis/api/filing/download") & (F.coalesce(F.try_parse_url("full", F.lit("QUERY"), F.lit("attachId")), F.lit("")) != "") & name.rlike(r"(?i)^[\w.-]+\.pdf$")
+    each = each.withColumns({"record": record, "case": case, "docket": F.nullif(docket, F.lit("")), "fine": F.coalesce(download | (F.col("full") == search_page), F.lit(False)), "number": F.nullif(F.regexp_extract("url", r"\b(\d{4})\b", 1), F.lit("")), "host": text.host(F.col("full"))})
+    each = each.withColumn("_case", F.coalesce("case", digits(F.col("docket"))))
+    cases = targets.select(digits(F.col("case_number")).alias("_case")).distinct().withColumn("known_case", F.lit(True))
+    exact = targets.select(F.col("url").alias("full")).distinct().withColumn("known_target", F.lit(True))
+    seen = pages.select(text.normal_url(F.col("url"), domain).alias("full")).distinct().withColumn("known_page", F.lit(True))
+    out = each.join(cases, "_case", "left").join(exact, "full", "left").join(seen, "full", "left")
+    numbered = pages.select(text.normal_url(F.col("url"), domain).alias("near")).select("near", text.host(F.col("near")).alias("host"), F.explode(F.array_distinct(text.matches(F.col("near"), r"(?=(\d{4}))", 1))).alias("number"))
+    near = numbered.groupBy("host", "number").agg(F.min("near").alias("near"))
+    out = out.join(near, ["host", "number"], "left")
+    page_of = lambda c: F.concat(F.lit(search_page + "/casenumber/"), c)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    of_record = F.when(F.col("case").isNotNull(), F.when(yes("known_case"), page_of(F.col("case"))).otherwise(F.lit(search_page))).when(yes("known_target") | F.col("fine"), F.col("full")).when(F.col("docket").isNotNull() & (F.col("_case") != ""), page_of(F.col("_case"))).otherwise(F.lit(search_page))
+    target = F.when(F.col("local"), F.col("url")).when(F.col("record"), of_record).when(yes("known_page"), F.col("full")).otherwise(F.coalesce("near", F.lit(news_page)))
+    return out.select("answer_id", "url", target.alias("target"))
+
+
+def rebuilt_answers(answers: DataFrame, targets: DataFrame) -> DataFrame:
+    """(answer_id, text): answers (answer_id, text) whose Markdown links lead to their targets (answer_id, url, target)."""
+    from ..functions.markdown import retarget
+
+    own = targets.groupBy("answer_id").agg(F.map_from_entries(F.collect_set(F.struct("url", "target"))).alias("targets"))
+    return answers.join(own, "answer_id", "left").select("answer_id", retarget("text", "targets").alias("text"))
+
+
+def answer_links(answers: DataFrame) -> DataFrame:
+    """(answer_id, label, url) of the Markdown links of answers, each once."""
+    link = r"\[([^\]]+)\]\(([^)]+)\)"
+    pairs = F.arrays_zip(text.matches(F.col("text"), link, 1).alias("label"), text.matches(F.col("text"), link, 2).alias("url"))
+    return answers.select("answer_id", F.inline(F.array_distinct(pairs)))
+
+
 def chunk_records(pages: DataFrame) -> DataFrame:
     """(id, filing_id, page_number, text) of the overlapping chunks of pages."""
     from ..functions.markdown import chunks

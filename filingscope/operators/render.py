@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import markdown, text
 
 CONTEXT_CHARS, ANSWER_CHARS, TURNS, TURN_CHARS = 2200, 700, 10, 5000
 # Sentences of answers.
@@ -21,6 +21,7 @@ def joined(order: str, value: Column, separator: str) -> Column:
 
 def source_context(rows: DataFrame) -> DataFrame:
     """(question_id, context) from rows with slot, case_number, title, received_date, page_number, url, excerpt."""
+    # The labels of a record.
     block = F.concat_ws(
         "\n",
         F.concat(F.lit("Internal evidence record "), F.col("slot").cast("string"), F.lit(" (do not expose this number to the user)")),
@@ -48,6 +49,7 @@ def transcripts(turns: DataFrame, capped: bool = True) -> DataFrame:
 
 def direct_answers(rows: DataFrame, search_url: str) -> DataFrame:
     """(question_id, answer): the excerpts themselves, without a model."""
+    # The sentences of a direct answer.
     block = F.concat_ws("\n\n", F.concat(F.lit("**"), F.col("slot").cast("string"), F.lit(". "), F.col("case_number"), F.lit(": "), F.col("title"), F.lit(" — page "), F.col("page_number").cast("string"), F.lit("**")), F.substring("excerpt", 1, ANSWER_CHARS), F.concat(F.lit("[Open the official PDF at page "), F.col("page_number").cast("string"), F.lit("]("), text.pdf_page_url(F.col("url"), F.col("page_number")), F.lit(")")))
     intro = F.concat(F.lit("I found "), F.count("*").cast("string"), F.lit(" matching excerpt(s) in the indexed filings. AI synthesis is disabled, so these results are shown directly without any model/API charge."))
     return rows.groupBy("question_id").agg(intro.alias("intro"), joined("slot", block, "\n\n---\n\n").alias("body")).select("question_id", F.concat_ws("\n\n---\n\n", "intro", "body", F.lit(f"[Search the complete official records]({search_url})")).alias("answer"))
@@ -69,6 +71,7 @@ def source_line(case_number: Column, title: Column, received: Column, page: Colu
 
 def feedback_digest(rows: DataFrame) -> DataFrame:
     """One row with the digest of feedback (rating, reason, updated_at, request_id, question, answer_excerpt, comment)."""
+    # The digest's headings and reasons.
     labels = F.create_map(*(F.lit(x) for kv in {"incorrect": "Incorrect or misleading", "missing": "Missed important information", "citation": "Citation or source problem", "unclear": "Unclear or hard to use", "other": "Other"}.items() for x in kv))
     section = F.concat_ws("\n", F.concat(F.lit(". "), F.coalesce(F.try_element_at(labels, F.col("reason")), F.lit("Unspecified"))), F.lit(""), F.concat(F.lit("- Submitted: `"), text.safe_text(F.col("updated_at"), 40), F.lit("`")), F.concat(F.lit("- Request ID: `"), text.safe_text(F.col("request_id"), 40), F.lit("`")), F.lit(""), F.lit("**Question**"), F.lit(""), text.indented(F.col("question"), 1500), F.lit(""), F.lit("**Answer excerpt**"), F.lit(""), text.indented(F.col("answer_excerpt"), 2500), F.lit(""), F.lit("**User comment**"), F.lit(""), text.indented(F.col("comment"), 1000))
     down = F.col("rating") == "down"
@@ -78,6 +81,36 @@ def feedback_digest(rows: DataFrame) -> DataFrame:
     return one.select("up", "down", "n", F.concat(head, body, F.lit("\n\n---\nThis digest was generated automatically from the site's answer feedback controls.\n")).alias("digest"))
 
 
+def final_reply(message: Column, raw: Column, rows: Column, exhaustive: Column, source_lines: Column, narrow_note: str) -> Column:
+    """A model's reply as it is shown: labels become citations, bare citations get links, then scope note and sources.
+
+    ``rows``: array of (title, url, page_number, kind) in the order of the labels.
+    """
+    reply = markdown.relink(markdown.source_labels(raw, rows), rows)
+    return F.concat(reply, answer_suffix(message, reply, exhaustive, source_lines, narrow_note))
+
+
+def request_payload(instructions: Column, context: Column, transcript: Column, model: str, stream: bool = False) -> Column:
+    """The JSON of a model request: instructions, and excerpts and conversation as its input."""
+    asked = F.concat(F.lit("INDEXED E-DOCKET EXCERPTS:\n"), context, F.lit("\n\nCONVERSATION:\n"), transcript)
+    plain = F.struct(F.struct(F.lit("text").alias("type")).alias("format"))
+    return F.to_json(F.struct(F.lit(model).alias("model"), instructions.alias("instructions"), asked.alias("input"), plain.alias("text"), F.lit(stream).alias("stream")))
+
+
+def response_text(payload: Column) -> Column:
+    """The text of a model's answer in JSON: its plain text, else its output parts in lines; empty without either."""
+    p = F.from_json(payload, "output_text string, output array<struct<content:array<struct<type:string,text:string>>>>")
+    parts = F.flatten(F.transform(F.coalesce(p["output"], F.from_json(F.lit("[]"), "array<struct<content:array<struct<type:string,text:string>>>>")), lambda o: F.coalesce(o["content"], F.from_json(F.lit("[]"), "array<struct<type:string,text:string>>"))))
+    texts = F.transform(F.filter(parts, lambda x: (x["type"] == "output_text") & x["text"].isNotNull()), lambda x: x["text"])
+    return F.regexp_replace(F.coalesce(p["output_text"], F.array_join(texts, "\n"), F.lit("")), r"^\s+|\s+$", "")
+
+
+def static_stream(reply: Column, request_id: Column, token: Column) -> Column:
+    """Array of the two events of an answer that is there at once."""
+    done = F.to_json(F.struct(request_id.alias("requestId"), token.alias("feedbackToken")), {"ignoreNullFields": "false"})
+    return F.array(event_frame(F.lit("delta"), F.to_json(F.struct(reply.alias("delta")))), event_frame(F.lit("done"), done))
+
+
 def event_frame(kind: Column, payload: Column) -> Column:
     """One server-sent event."""
     return F.concat(F.lit("event: "), kind, F.lit("\ndata: "), payload, F.lit("\n\n"))

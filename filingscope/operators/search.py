@@ -43,37 +43,73 @@ def bm25_search(questions: DataFrame, chunks: DataFrame, most: int = ROWS) -> Da
 
 def newest_chunks(cases: DataFrame, chunks: DataFrame, most: int = ROWS) -> DataFrame:
     """Without terms: the first chunk of a case's newest filings."""
-    first = chunks.join(cases, "case_number").groupBy("case_number", "filing_id").agg(F.min_by("text", F.struct("page_number", "id")).alias("text"), F.max("received_date").alias("received_date"))
+    first = chunks.join(cases, "case_number").groupBy("case_number", "filing_id").agg(F.min_by("text", F.struct("page_number", "id")).alias("text"), F.min("page_number").alias("page_number"), F.max("received_date").alias("received_date"))
     order = Window.partitionBy("case_number").orderBy(F.desc("received_date"), "filing_id")
     return first.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
 
 
+def _edits(length: int) -> int:
+    return round(length * FUZZY_SHARE)
+
+
+def _segments(length: int) -> list[tuple[int, int]]:
+    """(first place from 1, size) of the pieces of a term; fewer edits than pieces leave one unchanged."""
+    n = _edits(length) + 1
+    cuts = [length * i // n for i in range(n + 1)]
+    return [(lo + 1, hi - lo) for lo, hi in zip(cuts, cuts[1:])]
+
+
+def similar_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, asked, w): words that a term equals (1), opens, or is near by edits, with their weights.
+
+    Nothing is compared with the whole vocabulary: a word that a term opens meets it by
+    that many first letters; a near one by an unchanged piece of the term, at most as
+    many places away as there may be edits.
+    """
+    lengths = sorted(r[0] for r in terms.select(F.length("asked")).distinct().collect())  # of tokens, so at most 39 numbers
+    none = F.array().cast("array<string>")
+    key = lambda c, length, i, at, size: F.concat(F.lit(f"{length}:{i}:"), F.substring(c, at, size))
+    own, others = [none], [none]
+    for length in lengths:
+        if d := _edits(length):
+            segments = _segments(length)
+            own.append(F.when(F.length("asked") == length, F.array(*(key("asked", length, i, at, size) for i, (at, size) in enumerate(segments)))).otherwise(none))
+            others.append(F.when(F.abs(F.length("term") - length) <= d, F.array(*(key("term", length, i, at + shift, size) for i, (at, size) in enumerate(segments) for shift in range(-d, d + 1) if at + shift > 0))).otherwise(none))
+    opened = F.filter(F.array(F.lit(None).cast("string"), *(F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in lengths)), lambda x: x.isNotNull())
+    by_opening = words.select("term", F.explode(opened).alias("asked")).join(terms.select("asked"), "asked", "left_semi")
+    pieces = small(terms.select("asked", F.explode(F.concat(*own)).alias("key")), 100_000)
+    by_piece = words.select("term", F.explode(F.array_distinct(F.concat(*others))).alias("key")).join(pieces, "key").select("term", "asked")
+    edits = F.rint(F.length("asked") * FUZZY_SHARE).cast("int")
+    distance = F.when(edits > 0, F.levenshtein("term", "asked"))
+    weight = F.when(F.col("term") == F.col("asked"), F.lit(1.0)).when(F.startswith("term", F.col("asked")), PREFIX_WEIGHT * F.length("asked") / F.length("term")).when(distance <= edits, FUZZY_WEIGHT * F.length("asked") / (F.length("asked") + distance))
+    return by_opening.select("term", "asked").unionByName(by_piece).distinct().withColumn("w", weight).where("w IS NOT NULL")
+
+
 def fielded_search(questions: DataFrame, chunks: DataFrame, fields: dict[str, float] = FIELDS, most: int = 6) -> DataFrame:
     """(question_id, rank, id, score, phrase): boosted fields, longer words that a term opens, near spellings, phrase and case boosts.
 
-    ``questions``: question_id, message. Vocabulary, not postings, meets the query terms,
-    on a first letter each, so no term is compared with the whole vocabulary.
+    ``questions``: question_id, message. Vocabulary, not postings, meets the query terms.
+    The best chunks by words alone, five times as many as are wanted and 25 at least, get
+    the phrase and case boosts; where numbers are named, only their cases' chunks count.
     """
     own = {f: b for f, b in fields.items() if f in chunks.columns}
     posts = field_postings(chunks, list(own))
     asked = questions.select("question_id", text.local_query(F.col("message")).alias("query"), F.array_distinct(text.matches(F.col("message"), r"(?i)\b(?:FC\s*)?(\d{3,5})\b", 1)).alias("numbers"))
     terms = small(asked.select("question_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("asked")))
-    words = posts.select("term").distinct()
-    near = words.join(terms, F.substring("term", 1, 1) == F.substring("asked", 1, 1))
-    most_edits = F.rint(F.length("asked") * FUZZY_SHARE).cast("int")
-    distance = F.when(most_edits > 0, F.levenshtein("term", "asked"))
-    weight = F.when(F.col("term") == F.col("asked"), F.lit(1.0)).when(F.startswith("term", F.col("asked")), PREFIX_WEIGHT * F.length("asked") / F.length("term")).when(distance <= most_edits, FUZZY_WEIGHT * F.length("asked") / (F.length("asked") + distance))
-    near = near.withColumn("w", weight).where("w IS NOT NULL")
+    near = small(similar_terms(posts.select("term").distinct(), terms.select("asked").distinct()).join(terms, "asked"), 100_000)
     boost = F.create_map(*(F.lit(x) for kv in own.items() for x in kv))
     stats = posts.groupBy("field").agg(F.sum("tf").alias("all"), F.count_distinct("id").alias("docs"))
     df = posts.groupBy("field", "term").agg(F.count("*").alias("df"))
-    scored = posts.join(small(near, 100_000), "term").join(df, ["field", "term"]).join(F.broadcast(stats), "field")  # a row for each field
+    scored = posts.join(near, "term").join(df, ["field", "term"]).join(F.broadcast(stats), "field")  # a row for each field
     part = F.try_element_at(boost, F.col("field")) * F.col("w") * F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") * F.col("docs") / F.col("all")))
-    base = scored.groupBy("question_id", "id").agg(F.sum(part).alias("base"))
-    full = base.join(small(asked), "question_id").join(chunks, "id")
+    base = scored.groupBy("question_id", "id").agg(F.round(F.sum(part), DECIMALS).alias("base"))
+    cased = F.exists("numbers", lambda n: F.contains(F.col("case_number"), n))
+    allowed = base.join(small(asked), "question_id").join(chunks.select("id", "case_number"), "id").where((F.size("numbers") == 0) | cased)
+    first = Window.partitionBy("question_id").orderBy(F.desc("base"), "id")
+    few = allowed.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max(5 * most, 25)).drop("_n", "case_number")
+    full = few.join(chunks, "id")
     form = text.phrase_form(F.col("query"))
     phrase = (F.length(form) >= 5) & F.contains(text.phrase_form(F.concat_ws(" ", *(c for c in ("filename", "text") if c in chunks.columns))), form)
-    cased = F.exists("numbers", lambda n: F.contains(F.col("case_number"), n))
-    full = full.where((F.size("numbers") == 0) | cased).withColumn("phrase", phrase).withColumn("score", F.round(F.col("base") + F.when(phrase, PHRASE_BOOST).otherwise(0.0) + F.when(cased, CASE_BOOST).otherwise(0.0), DECIMALS))
+    full = full.withColumn("phrase", phrase).withColumn("score", F.round(F.col("base") + F.when(phrase, PHRASE_BOOST).otherwise(0.0) + F.when(cased, CASE_BOOST).otherwise(0.0), DECIMALS))
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
     return full.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).select("question_id", "rank", "id", "score", "phrase")

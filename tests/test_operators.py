@@ -156,7 +156,13 @@ def test_stream_ingest_resumes_without_doubling(spark, tmp_path):
     run()
     (source / "2.json").write_text('{"id": 2, "v": 5}\n{"id": 3, "v": 1}')
     run()
-    assert sorted(tuple(r) for r in jobs.read_ingested(spark, str(tmp_path / "out")).collect()) == [(1, 1), (2, 5), (3, 1)]
+    read = lambda: sorted(tuple(r) for r in jobs.read_ingested(spark, str(tmp_path / "out"), ["id"], "v").collect())
+    assert read() == [(1, 1), (2, 5), (3, 1)]
+    jobs.compact(spark, str(tmp_path / "out"), ["id"], "v")
+    assert read() == [(1, 1), (2, 5), (3, 1)] and len(list((tmp_path / "out").glob("delta=*"))) == 0
+    (source / "3.json").write_text('{"id": 3, "v": 7}')
+    run()
+    assert read() == [(1, 1), (2, 5), (3, 7)]
 
 
 def test_streams_equal_batches(spark, tmp_path):
