@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import hashing, scoring, text
-from .index import members
+from .index import held_places
 from .routing import DECIMALS
 from .shared import once, small
 
 MOST_READS, GROUPS, ROWS, A_DOCUMENT, A_CASE, SOURCES, RECORDS = 20, 10, 12, 2, 3, 10, 8
 BEFORE, AFTER = 500, 1700
+#: Terms of a case that a filter is asked for at once.
+TERMS_AT_ONCE = 256
 
 
 def pages_of(filings: DataFrame) -> DataFrame:
@@ -23,11 +25,17 @@ def pages_of(filings: DataFrame) -> DataFrame:
 def candidates(searches: DataFrame, filings: DataFrame, filters: DataFrame) -> DataFrame:
     """Filings of each search's case whose filters may hold enough of its terms, with ``hits``.
 
-    Searches have question_id, case_number, terms, years and least.
+    Searches have question_id, case_number, terms, years and least. A filter is asked
+    for the distinct terms of its own case alone, some hundred at a time.
     """
-    asked = searches.select("question_id", "case_number", F.explode("terms").alias("term"))
-    found = members(filters, asked, hashing.FILTER_BYTES, "filing_id").join(filings.where("text IS NOT NULL").select("filing_id", "case_number"), "filing_id")
-    hits = found.join(small(asked), ["case_number", "term"]).groupBy("question_id", "case_number", "filing_id").agg(F.count("*").cast("int").alias("hits"))
+    asked = small(searches.select("question_id", "case_number", F.explode("terms").alias("term")))
+    each = asked.select("case_number", "term").distinct().withColumn("part", F.floor(F.row_number().over(Window.partitionBy("case_number").orderBy("term")) / TERMS_AT_ONCE))
+    spots = hashing.filter_bits(F.lower("term"))
+    lists = each.groupBy("case_number", "part").agg(F.collect_list(F.struct("term", spots.alias("spots"))).alias("wanted"))
+    held = filings.where("text IS NOT NULL").select("filing_id", "case_number").join(filters, "filing_id").join(small(lists, 1000), "case_number")
+    places = held_places("bits", F.flatten(F.transform("wanted", lambda w: w["spots"])))
+    found = held.select("filing_id", "case_number", "wanted", F.explode(places).alias("at")).select("filing_id", "case_number", F.get("wanted", F.col("at"))["term"].alias("term"))
+    hits = found.join(asked, ["case_number", "term"]).groupBy("question_id", "case_number", "filing_id").agg(F.count("*").cast("int").alias("hits"))
     kept = hits.join(small(searches), ["question_id", "case_number"]).where("hits >= least")
     return kept.join(filings, ["filing_id", "case_number"]).join(filters, "filing_id")
 
@@ -46,8 +54,9 @@ def excerpts(searched: DataFrame, pages: DataFrame, most: int = A_DOCUMENT) -> D
     Stems are looked for as substrings and count each, equal ones too.
     """
     plain = text.decode_entities(F.regexp_replace("page", "<[^>]*>", " "))
-    rows = searched.join(pages, "filing_id").withColumn("plain", plain).withColumn("low", F.lower("plain"))
-    rows = rows.withColumn("spots", F.filter(F.transform("terms", lambda t: F.instr(F.col("low"), text.stem(t))), lambda i: i > 0)).withColumn("matched", F.size("spots")).where(F.col("matched") >= F.col("least"))
+    tasks = pages.sparkSession.sparkContext.defaultParallelism  # by number: a page costs far more to look through than its bytes tell
+    rows = searched.withColumn("stems", F.transform("terms", text.stem)).join(pages.repartition(tasks, "filing_id"), "filing_id").withColumn("plain", plain).withColumn("low", F.lower("plain"))
+    rows = rows.withColumn("spots", F.filter(F.transform("stems", lambda t: F.instr(F.col("low"), t)), lambda i: i > 0)).withColumn("matched", F.size("spots")).where(F.col("matched") >= F.col("least"))
     first = F.array_min("spots") - 1
     start, end = F.greatest(F.lit(0), first - BEFORE), F.least(F.length("plain"), first + AFTER)
     excerpt = F.concat(F.when(start > 0, "…").otherwise(""), F.substring("plain", start + 1, end - start), F.when(end < F.length("plain"), "…").otherwise(""))

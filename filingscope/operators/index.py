@@ -117,6 +117,17 @@ def members(filters: DataFrame, terms: DataFrame, size: int, *keys: str) -> Data
     return held.join(asked, "bit").groupBy(*keys, "term", "need").agg(F.count("*").alias("n")).where("n = need").select(*keys, "term")
 
 
+@F.pandas_udf("array<int>")
+def held_places(bits: pd.Series, spots: pd.Series) -> pd.Series:
+    """Places, from 0, of the terms that a filter may hold; ``spots`` has the positions of all terms in a row."""
+
+    def held(own: bytes, asked: np.ndarray) -> np.ndarray:
+        is_set = np.unpackbits(np.frombuffer(own, np.uint8), bitorder="little")
+        return np.flatnonzero(is_set[np.asarray(asked).reshape(-1, hashing.FILTER_HASHES)].all(axis=1)).astype(np.int32) if len(own) else np.zeros(0, dtype=np.int32)
+
+    return pd.Series([held(b or b"", s) for b, s in zip(bits, spots, strict=True)])
+
+
 def router_entries(filings: DataFrame) -> DataFrame:
     """(case_number, band, bits, filings, content_filings, latest, set_bits, part): folded filters of four bands a case.
 

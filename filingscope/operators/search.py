@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from .routing import DECIMALS
-from .shared import small
+from .shared import once, small
 
 K1, B, ROWS = 1.2, 0.75, 8
 # The local search's boosts and widths.
@@ -67,16 +67,16 @@ def similar_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
     many places away as there may be edits.
     """
     lengths = sorted(r[0] for r in terms.select(F.length("asked")).distinct().collect())  # of tokens, so at most 39 numbers
-    none = F.array().cast("array<string>")
-    key = lambda c, length, i, at, size: F.concat(F.lit(f"{length}:{i}:"), F.substring(c, at, size))
+    none = F.array().cast("array<bigint>")
+    key = lambda c, length, i, at, size: F.xxhash64(F.lit(64 * length + i), F.substring(c, at, size))
     own, others = [none], [none]
     for length in lengths:
         if d := _edits(length):
             segments = _segments(length)
             own.append(F.when(F.length("asked") == length, F.array(*(key("asked", length, i, at, size) for i, (at, size) in enumerate(segments)))).otherwise(none))
             others.append(F.when(F.abs(F.length("term") - length) <= d, F.array(*(key("term", length, i, at + shift, size) for i, (at, size) in enumerate(segments) for shift in range(-d, d + 1) if at + shift > 0))).otherwise(none))
-    opened = F.filter(F.array(F.lit(None).cast("string"), *(F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in lengths)), lambda x: x.isNotNull())
-    by_opening = words.select("term", F.explode(opened).alias("asked")).join(terms.select("asked"), "asked", "left_semi")
+    opened = F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in lengths)))
+    by_opening = words.select("term", F.explode(opened).alias("asked")).join(small(terms.select("asked"), 100_000), "asked", "left_semi")
     pieces = small(terms.select("asked", F.explode(F.concat(*own)).alias("key")), 100_000)
     by_piece = words.select("term", F.explode(F.array_distinct(F.concat(*others))).alias("key")).join(pieces, "key").select("term", "asked")
     edits = F.rint(F.length("asked") * FUZZY_SHARE).cast("int")
@@ -93,10 +93,10 @@ def fielded_search(questions: DataFrame, chunks: DataFrame, fields: dict[str, fl
     the phrase and case boosts; where numbers are named, only their cases' chunks count.
     """
     own = {f: b for f, b in fields.items() if f in chunks.columns}
-    posts = field_postings(chunks, list(own))
+    posts = once(field_postings(chunks, list(own)), "field-postings")  # the texts are read once
     asked = questions.select("question_id", text.local_query(F.col("message")).alias("query"), F.array_distinct(text.matches(F.col("message"), r"(?i)\b(?:FC\s*)?(\d{3,5})\b", 1)).alias("numbers"))
     terms = small(asked.select("question_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("asked")))
-    near = small(similar_terms(posts.select("term").distinct(), terms.select("asked").distinct()).join(terms, "asked"), 100_000)
+    near = small(once(similar_terms(posts.select("term").distinct(), terms.select("asked").distinct()), "similar").join(terms, "asked"), 100_000)
     boost = F.create_map(*(F.lit(x) for kv in own.items() for x in kv))
     stats = posts.groupBy("field").agg(F.sum("tf").alias("all"), F.count_distinct("id").alias("docs"))
     df = posts.groupBy("field", "term").agg(F.count("*").alias("df"))

@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.shared import spread
 
 #: The day that recency is measured at: no operator reads the clock.
 AS_OF = "2026-01-01"
+#: Tables whose rows cost more to work on than to move.
+TEXTS = ("documents", "pages")
 URL = "https://records.example.org/filing/"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
