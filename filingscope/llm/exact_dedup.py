@@ -1,13 +1,16 @@
 """Exact deduplication against a persistent digest index, in DataFrame operations only.
 
 The index is a table bucketed and sorted by digest: one row per distinct text, with the
-id that stays. A batch of new documents is reduced to one row per digest before
-anything is shuffled for the join; a sort-merge anti-join finds the digests that the
-index lacks, and those are appended.
+id that stays and the batch that brought it. A batch of new documents is reduced to one
+row per digest before anything is shuffled for the join; a sort-merge anti-join finds the
+digests that the index lacks, and those are appended under the batch's name. What a batch
+has appended itself is left out when it is decided, so a batch that is ingested again,
+after a failure at any point, is decided as before and changes nothing.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +19,8 @@ from pyspark.sql import functions as F
 from .components import join_hot
 from .workspace import Workspace, shared_root
 
-BUCKETS = 16
+#: Distinct texts that a bucket of a new index is meant for, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 500_000, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,24 +30,39 @@ def text_digest(text: str):
 
 
 class DigestIndex:
-    """A saved table (digest, keep_id), bucketed and sorted by digest.
+    """A saved table (digest, keep_id, batch), bucketed and sorted by digest.
 
-    More buckets suit more data: a bucket should hold what one task can sort.
+    ``buckets`` is fixed when the table is made; by default its first batch's size and
+    ``growth``, the number of such batches that it is meant for, tell how many.
     """
 
-    def __init__(self, spark: SparkSession, table: str | None = None, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, table: str | None = None, path: str | None = None, buckets: int | None = None, growth: int = 1):
+        self.spark, self.buckets, self.growth = spark, buckets, growth
         self.table = table or f"digest_index_{uuid.uuid4().hex}"
         self.path = path or f"{shared_root(spark)}/{self.table}"
 
     def read(self) -> DataFrame | None:
         return self.spark.table(self.table) if self.spark.catalog.tableExists(self.table) else None
 
-    def append(self, rows: DataFrame) -> None:
-        out = rows.select("digest", "keep_id").repartition(self.buckets, "digest")
+    def create(self, rows: int) -> None:
+        """An empty table, sized for a first batch of ``rows`` documents, unless there is one."""
+        if self.read() is None:
+            self.buckets = self.buckets or max(LEAST_BUCKETS, math.ceil(self.growth * rows / BUCKET_ROWS))
+            self._write(self.spark.createDataFrame([], "digest binary, keep_id bigint, batch string"))
+
+    def append(self, rows: DataFrame, batch: str) -> None:
+        """Add (digest, keep_id) under the batch's name, but for those that it has added before."""
+        added = self.read().where(F.col("batch") == batch).select("digest")
+        self._write(rows.hint("merge").join(added, "digest", "left_anti").select("digest", "keep_id", F.lit(batch).alias("batch")))
+
+    def _write(self, rows: DataFrame) -> None:
+        if self.buckets is None:
+            spec = self.spark.sql(f"DESCRIBE EXTENDED {self.table}").where("col_name = 'Num Buckets'").first()
+            self.buckets = int(spec["data_type"])
+        out = rows.repartition(self.buckets, "digest")
         out.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
 
-    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """Decide each row of a batch and append the batch's new digests.
 
         One row per document: doc_id, keep_id, group_size, kept, text_sha256. Of equal
@@ -51,20 +70,23 @@ class DigestIndex:
         holds the text: then that batch's id is keep_id and none of these rows stays.
         Of rows equal in id too, one stays. A null text equals the empty one; a null
         id is smaller than any other. group_size counts the batch's rows. Extra
-        columns are ignored; an empty batch changes nothing.
+        columns are ignored; an empty batch changes nothing. ``batch`` names the batch, by
+        default after its ids and texts in any order; a batch that was ingested before is
+        given the same rows again.
         """
         ws = Workspace(self.spark, "exact")
         rows = ws.put(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
         classes = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("group_size"))
-        if self.read() is None:  # a new index is an empty one
-            self.append(self.spark.createDataFrame([], "digest binary, keep_id bigint"))
+        n, mark = rows.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "digest").cast("decimal(38,0)"))).first()
+        batch = batch or f"{n}-{mark or 0}"
+        self.create(n)
         known = ws.put(classes.select("digest", "group_size", F.col("last.doc_id").alias("keep_id"), F.col("last.row").alias("keep_row")), "classes")
-        index = self.read().withColumnRenamed("keep_id", "old_id")
+        index = self.read().where(F.col("batch") != batch).select("digest", F.col("keep_id").alias("old_id"))
         fresh = ws.put(known.hint("merge").join(index, "digest", "left_anti"), "fresh")
         stale = known.hint("merge").join(index, "digest").select("digest", "group_size", F.col("old_id").alias("keep_id"), F.lit(None).cast("long").alias("keep_row"))
         known = ws.put(fresh.unionByName(stale), "decided")
-        self.append(fresh)
-        out = join_hot(rows, known, "digest", rows.count())
+        self.append(fresh, batch)
+        out = join_hot(rows, known, "digest", n)
         return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

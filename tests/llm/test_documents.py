@@ -311,3 +311,21 @@ def test_a_new_index_decides_by_the_anti_join(spark, monkeypatch):
     found = index.ingest(docs_of(spark, [(1, "a", None, None), (2, "A", None, None), (3, "b", None, None)]))
     assert sorted((r.doc_id, r.keep_id, r.kept) for r in found.collect()) == [(1, 2, False), (2, 2, True), (3, 3, True)]
     assert "LeftAnti" in tables["fresh"][0]._jdf.queryExecution().optimizedPlan().toString() and index.read().count() == 2
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark):
+    index = exact_dedup.DigestIndex(spark)
+    index.ingest(docs_of(spark, [(1, "a", None, None), (2, "b", None, None)]))
+    batch = docs_of(spark, [(3, "A", None, None), (4, "c", None, None), (5, "c", None, None), (6, "d", None, None)])
+    ask = lambda b=batch: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in index.ingest(b).collect())
+    want = [(3, 1, 1, False), (4, 5, 2, False), (5, 5, 2, True), (6, 6, 1, True)]
+    assert ask() == want and ask(batch.repartition(3)) == want and index.read().count() == 4
+    # A write that stopped half-way: what it left is completed.
+    half = exact_dedup.DigestIndex(spark)
+    half.create(0)
+    rows = batch.where("doc_id > 4").select(exact_dedup.text_digest("text").alias("digest"), F.col("doc_id").alias("keep_id"))
+    half.append(rows.where("keep_id = 5"), "b7")
+    found = half.ingest(batch, batch="b7")
+    assert sum(r.kept for r in found.collect()) == 3 and half.read().count() == 3 and half.buckets == exact_dedup.LEAST_BUCKETS
+    assert exact_dedup.DigestIndex(spark, half.table, half.path).ingest(docs_of(spark, [(9, "D", None, None)])).first().keep_id == 6
+    assert sorted(r.keep_id for r in half.read().collect()) == [3, 5, 6]
