@@ -215,3 +215,44 @@ def test_short_sibling_articles_stay():
     posts = [LONG * 9, LONG]
     page = "<body>" + "".join(f"<article><p>{x}</p></article>" for x in posts) + "<article><a href='x'>Read this other post</a></article></body>"
     assert html_extract.main_text(page) == "\n".join(posts)
+
+
+def clustered(spark, n, clusters, width=16, seed=1):
+    rng = np.random.default_rng(seed)
+    data = rng.normal(size=(clusters, width))[rng.integers(clusters, size=n)] + 0.15 * rng.normal(size=(n, width))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    return data, spark.createDataFrame([(i, x) for i, x in enumerate(data.tolist())], "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("rows_a_part,most_parts", [(100, 128), (60, 8)])
+def test_few_leaves_answer_where_vectors_cluster(spark, monkeypatch, rows_a_part, most_parts):
+    """One router, and two levels of them: recall of 0.9 at under half of the leaves."""
+    monkeypatch.setattr(ann, "ROWS_A_PART", rows_a_part)
+    monkeypatch.setattr(ann, "MOST_PARTS", most_parts)
+    probes, leaves = [], []
+    needed = ann.needed_leaves
+    monkeypatch.setattr(ann, "needed_leaves", lambda tree, indexed, asked, k: leaves.append(indexed.select("part").distinct().count()) or probes.append(needed(tree, indexed, asked, k)) or probes[-1])
+    data, vectors = clustered(spark, 3000, 60)
+    found = ann.nearest(vectors, vectors.where("vec_id % 20 = 0")).collect()
+    by, hits = {}, 0
+    for r in found:
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    for q, own in by.items():
+        near = data @ data[q]
+        near[q] = -9
+        hits += len(own & set(np.argsort(-near)[:20].tolist()))
+    assert len(by) == 150 and all(len(x) == 20 for x in by.values())
+    assert hits / 3000 >= 0.9 and probes[0] < leaves[0] / 2 and leaves[0] > 20
+
+
+def test_other_lengths_and_small_leaves(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROWS_A_PART", 10)
+    monkeypatch.setattr(ann, "needed_leaves", lambda *_: 1)
+    data, vectors = clustered(spark, 300, 100)
+    short = spark.createDataFrame([(1000 + 20 * i, [float(i), 1.0]) for i in range(30)], "vec_id long, embedding array<double>")
+    found = ann.nearest(vectors.unionByName(short), vectors.unionByName(short).where("vec_id % 20 = 0")).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert len(by) == 45 and all(len(x) == 20 for x in by.values())
+    assert sorted(by[1040])[:2] == [(1, 1580, 59.0), (2, 1560, 57.0)]
