@@ -1,21 +1,23 @@
 """Main text of web pages by the text-to-tag ratio of lines.
 
 Standard-library parser events are turned, in one pass over the page, into lines: one
-for each block of text, with the tags and link letters it holds and the containers it
-stands in. Page furniture by kind of element (menus, headers, footers, asides, forms) never
-becomes a line. An element that its class, id or role names as furniture is dropped unless
-it holds the article or most of the content lines; if furniture is only a part of the
-name, it is dropped if most of its text isn't in content lines. The ratios of text to tags are
-smoothed over neighbouring lines by a Gaussian, and a two-cluster threshold separates
-content lines from the rest. The content region is the smallest container with nearly
-all of the content lines' text; all of its lines are the main text.
+for each block of text, with the tags and link letters it holds and its container. Page
+furniture by kind of element (menus, headers, footers, asides, forms) never becomes a
+line. The ratios of text to tags are smoothed over neighbouring lines by a Gaussian, and
+a two-cluster threshold separates content lines from the rest. An element that its
+class, id or role names as furniture is dropped unless it holds the article or most of
+the content lines; if furniture is only a part of the name, it is dropped if most of its
+text isn't in content lines. The content region is the smallest container with nearly
+all of the content lines' text, or the articles if they hold half of it; its lines are
+the main text, but for link lists with ratios below the threshold. Time and memory grow
+with the length of the page, however deep it is nested.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,10 +27,11 @@ from pyspark.sql import functions as F
 
 from .workers import bounded
 
-#: Lines' standard deviation of the Gaussian, and the share of the content letters that the region must hold.
-SIGMA, REGION_SHARE = 1.5, 0.9
-#: A line outside an article element is a menu's if links hold more than this share of its letters.
-LINK_SHARE = 0.6
+#: Lines' standard deviation of the Gaussian, and the share of the content letters that the region must hold, if it is one of articles and if not.
+SIGMA, ARTICLE_SHARE, REGION_SHARE = 1.5, 0.5, 0.9
+#: A line of low ratio is a menu's if links hold more than this share of its letters; in an article, only with so many beside it.
+LINK_SHARE, MENU_LINES = 0.6, 3
+#: First piece of a page that the parser is fed; each further one is as long as all before it, so a construct that stays open is not read again and again.
 FEED_CHARS = 1 << 16
 
 # HTML element kinds.
@@ -44,10 +47,12 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"d
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment comments commentlist comment-list complementary consent contentinfo cookie cookies disqus dialog disclaimer feedback footer form gdpr header login masthead menu menubar menus modal nav navbar navigation newsletter notice notices notification notifications overlay pager pagination popup popups promo promos promoted promotion recommended related replies reply respond reviews search share sharing shares sidebar sidebars signup skip skyscraper social sponsor sponsored sponsors subscribe subscription tags teaser toc toolbar topbar tracking usercomments widget widgets".split()
 )
+# Those of them that name what readers write.
+COMMENTS = frozenset("comment comments commentlist comment-list disqus replies respond reviews usercomments".split())
 _WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_CUT_TAG = re.compile(r"<(?:[A-Za-z/!][^<>]*)?$")
-_OPEN_RAW = re.compile(r"<(script|style)\b(?![\s\S]*</\1)", re.I)
+_TAG = re.compile(r"<(?:[A-Za-z/!?]|$)")
+_RAW = re.compile(r"<(/?)(script|style)\b", re.I)
 
 
 CERTAIN, DOUBTFUL = 2, 1
@@ -68,115 +73,142 @@ def _named(attrs: list[tuple[str, str | None]]) -> int:
     return found
 
 
-def _furniture(tag: str, attrs: list[tuple[str, str | None]], open_: list[str]) -> bool:
-    """Whether an element is page furniture by its kind or hidden, or an inline one by its whole name."""
-    if tag in SKIPPED or (tag == "header" and "article" not in open_):
-        return True
-    if not attrs or _nameless(tag, attrs, open_):
-        return False
-    if any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs):
-        return True
-    return tag not in BLOCKS and _named(attrs) == CERTAIN
+def _readers(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether a class, id or role is a name for readers' comments."""
+    return any(v and k in ("class", "id", "role") and any(n.lower() in COMMENTS for n in v.split()) for k, v in attrs)
 
 
-def _nameless(tag: str, attrs: list[tuple[str, str | None]], open_: list[str]) -> bool:
-    """Whether an element is never furniture, however it is named."""
-    return tag in ("html", "body", "main", "p", "h1") or (tag == "article" and "article" not in open_ and not any(k == "class" and v and "comment" in v.lower() for k, v in attrs))
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
+
+
+# What an end tag of an inline element doesn't reach beyond, and what an implied end of a paragraph doesn't.
+BARRIERS, P_STOPS = ("article", "body", "td", "table"), ("td", "th", "button", "table", "article", "section", "div", "li", "blockquote", "body")
 
 
 class Lines(HTMLParser):
-    """Collects a page's lines: text, tags, link letters and the path of containers."""
+    """Collects a page's lines: text, tags, link letters and innermost container. Containers are numbered as they open."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
-        self.open: list[str] = []
-        self.path: list[int] = []  # a number for each open element
-        self.kinds: list[str] = []  # kind of each numbered element
-        self.named: dict[int, int] = {}  # numbered block elements with a furniture name
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.kinds: list[str] = ["#page"]  # kind of each container
+        self.above: list[int] = [0]  # its container
+        self.named: dict[int, tuple[int, bool]] = {}  # containers with a furniture name: how certain, and whether it is readers'
+        self.open: list[tuple[str, int]] = []  # open elements and the containers that they are, or are in
+        self.depths: dict[str, list[int]] = {}  # where elements of each kind are open
         self.skip = 0  # depth of the outermost open furniture
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.tags = self.linked = 0
 
     def line(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                self.lines.append((text, self.tags, self.linked, tuple(n for n, t in zip(self.path, self.open, strict=True) if t in BLOCKS)))
+                self.lines.append((text, self.tags, self.linked, self.open[-1][1] if self.open else 0))
                 self.tags = self.linked = 0
             self.parts = []
 
+    def innermost(self, kinds: Iterable[str]) -> int:
+        """Depth of the innermost open element of the kinds, -1 without one."""
+        return max((d[-1] for k in kinds if (d := self.depths.get(k))), default=-1)
+
     def pop_to(self, depth: int) -> None:
         """Close open elements until ``depth`` are left."""
         while len(self.open) > depth:
-            tag = self.open[-1]
+            tag = self.open[-1][0]
             if tag in BLOCKS and not self.skip:
                 self.line()
             self.open.pop()
-            self.path.pop()
-            self.links -= tag == "a"
+            self.depths[tag].pop()
             if self.skip > len(self.open):
                 self.skip = 0
 
-    def close_implied(self, kinds: set[str], stops: set[str]) -> None:
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth] in kinds:
-                return self.pop_to(depth)
-            if self.open[depth] in stops:
-                return None
+    def close_implied(self, kinds: Iterable[str], stops: Iterable[str]) -> None:
+        depth = self.innermost(kinds)
+        if depth >= 0 and depth > self.innermost(stops):
+            self.pop_to(depth)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.tags += 1
+        if not self.skip:
+            self.tags += 1
         if tag in VOID:
             if not self.skip:
                 if tag == "hr":
                     self.line()
-                elif tag in ("br", "img", "wbr") and tag != "wbr":
+                elif tag in ("br", "img"):
                     self.parts.append(" ")
             return
         if tag in CLOSES_P:
-            self.close_implied({"p"}, {"td", "th", "button", "table", "article", "section", "div", "li", "blockquote", "body"})
+            self.close_implied(("p",), P_STOPS)
         if tag in IMPLIED:
             self.close_implied(*IMPLIED[tag])
-        if tag in BLOCKS and not self.skip:
+        block, in_article = tag in BLOCKS, bool(self.depths.get("article"))
+        if block and not self.skip:
             self.line()
-        self.open.append(tag)
-        self.path.append(len(self.kinds))
-        self.kinds.append(tag)
-        self.links += tag == "a"
-        if not self.skip and _furniture(tag, attrs, self.open[:-1]):
+        container = self.open[-1][1] if self.open else 0
+        if block:
+            self.kinds.append(tag)
+            self.above.append(container)
+            container = len(self.kinds) - 1
+        self.depths.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, container))
+        if self.skip:
+            return
+        nameless = tag in ("html", "body", "main", "p", "h1") or (tag == "article" and not in_article and not _readers(attrs))
+        if tag in SKIPPED or (tag == "header" and not in_article):
             self.skip = len(self.open)
-            if tag not in BLOCKS:
-                self.parts.append(" ") if tag in ("iframe", "button") else None
-        elif not self.skip and attrs and tag in BLOCKS and tag not in HEADINGS and not _nameless(tag, attrs, self.open[:-1]) and (name := _named(attrs)):
-            self.named[self.path[-1]] = name
+            if tag in ("iframe", "button"):
+                self.parts.append(" ")
+        elif attrs and not nameless:
+            if _hidden(attrs) or (not block and _named(attrs) == CERTAIN):
+                self.skip = len(self.open)
+            elif block and tag not in HEADINGS and (name := _named(attrs)):
+                self.named[container] = name, _readers(attrs)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # HTML ignores the slash
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth] == tag:
-                return self.pop_to(depth)
-            if self.open[depth] in ("article", "body", "td", "table") and tag not in BLOCKS:
-                return None
-        if tag == "p" and not self.skip:
-            self.line()
+        if not self.skip:
+            self.tags += 1
+        depth = self.innermost((tag,))
+        if depth < 0:
+            if tag == "p" and not self.skip:
+                self.line()
+        elif tag in BLOCKS or depth > self.innermost(BARRIERS):
+            self.pop_to(depth)
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
             self.parts.append(data)
-            if self.links:
+            if self.depths.get("a"):
                 self.linked += len(data)
 
 
+def _whole(html: str) -> str:
+    """The page without what its end leaves open: a comment, or a tag that is cut off."""
+    begin = html.find("<!--", html.rfind("-->") + 1)
+    if begin >= 0 and _in_data(html, begin):
+        html = html[:begin]
+    cut = _TAG.search(html, html.rfind(">") + 1)  # a tag that never closes
+    return html[: cut.start()] if cut and _in_data(html, cut.start()) else html
+
+
+def _in_data(html: str, at: int) -> bool:
+    """Whether a place is outside scripts and styles, by the last of their tags before it."""
+    before = None
+    for before in _RAW.finditer(html, 0, at):  # noqa: B007
+        pass
+    return before is None or before.group(1) == "/"
+
+
 def parse(html: str | None) -> Lines:
     page = Lines()
-    html = (html or "").replace("\0", "")
-    if (last := html.rfind("<")) > html.rfind(">") and _CUT_TAG.match(html, last) and not _OPEN_RAW.search(html[:last]):
-        html = html[:last]  # a tag that the page's end cuts off is no text
-    for at in range(0, len(html), FEED_CHARS):
-        page.feed(html[at : at + FEED_CHARS])
+    html = _whole((html or "").replace("\0", ""))
+    at, upto = 0, FEED_CHARS
+    while at < len(html):
+        page.feed(html[at:upto])
+        at, upto = upto, 2 * upto
     page.close()
     page.pop_to(0)
     page.line()
@@ -204,74 +236,115 @@ def threshold(values: np.ndarray) -> float:
     return border
 
 
-Line = tuple[str, int, int, tuple[int, ...]]
-
-
-def _content(lines: list[Line]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letters of the lines, which are no menu's by their links, and which are content by the smoothed ratios."""
-    letters = np.array([len(x[0]) for x in lines], dtype=float)
-    ratios = smooth(np.log1p(letters / np.array([max(1, x[1]) for x in lines])))
-    plain = np.array([x[2] <= LINK_SHARE * len(x[0]) for x in lines])
-    content = (ratios >= threshold(ratios)) & plain
-    if not content.any():
-        content = plain if plain.any() else np.ones(len(lines), dtype=bool)
-    return letters, plain, content
-
-
-def _without_furniture(page: Lines) -> list[Line]:
-    """The lines outside the named elements that are furniture."""
-    lines = page.lines
-    if not lines or not page.named:
-        return lines
-    letters, _, content = _content(lines)
-    held, below = {}, {}
-    for has, n, x in zip(content, letters, lines, strict=True):
-        for c in x[3]:
-            held[c] = held.get(c, 0.0) + n
-            below[c] = below.get(c, 0.0) + n * has
-    # The article: the longest outside any that is named itself; all that it stands in stays.
-    articles = {c for c in held if page.kinds[c] in ("article", "main") and c not in page.named}
-    first = max(articles, key=lambda c: (held[c], -c), default=None)
-    around = next((set(x[3][: x[3].index(first)]) for x in lines if first in x[3]), set())
-    total = float(letters[content].sum())
-    gone = {c for c, name in page.named.items() if c in held and c not in around and below[c] <= (0.5 * total if name == CERTAIN else 0.5 * min(held[c], total))}
-    return [x for x in lines if not gone & set(x[3])]
+class Region:
+    """A page's lines with their letters, ratios and containers, and the choice among them."""
+
+    def __init__(self, page: Lines):
+        self.kinds, self.above = page.kinds, page.above
+        self.texts = [x[0] for x in page.lines]
+        self.letters = np.array([len(x[0]) for x in page.lines], dtype=float)
+        tags, linked = (np.array([x[i] for x in page.lines], dtype=float) for i in (1, 2))
+        self.at = [x[3] for x in page.lines]
+        self.density = np.log1p(self.letters / np.maximum(1, tags))
+        self.linked = linked > LINK_SHARE * self.letters
+        self.kept = np.ones(len(self.texts), dtype=bool)
+        self.mark()
+        self.drop_named(page.named)
+
+    def mark(self) -> None:
+        """Content lines: those of the upper cluster of the smoothed ratios of the lines that are left."""
+        ratios = smooth(self.density[self.kept])
+        self.low, self.content = np.zeros(len(self.texts), dtype=bool), np.zeros(len(self.texts), dtype=bool)
+        self.low[self.kept] = ratios < threshold(ratios)
+        self.content = self.kept & ~self.low & ~self.linked
+        if not self.content.any():
+            plain = self.kept & ~self.linked
+            self.content = plain if plain.any() else self.kept.copy()
+
+    def below(self, values: np.ndarray) -> list[float]:
+        """Sum of the lines' values in each container."""
+        sums = [0.0] * len(self.kinds)
+        for c, v in zip(self.at, values.tolist(), strict=True):
+            sums[c] += v
+        for c in range(len(sums) - 1, 0, -1):  # a container is numbered after the one that it is in
+            sums[self.above[c]] += sums[c]
+        return sums
+
+    def inside(self, roots: set[int]) -> np.ndarray:
+        """Lines in any of the containers."""
+        within = [False] * len(self.kinds)
+        for c in range(len(self.kinds)):
+            within[c] = c in roots or (c > 0 and within[self.above[c]])
+        return np.array([within[c] for c in self.at], dtype=bool)
+
+    def path(self, c: int) -> set[int]:
+        out = {0, c}
+        while c:
+            c = self.above[c]
+            out.add(c)
+        return out
+
+    def outermost(self, kind: str) -> set[int]:
+        """Containers of a kind that are in none of that kind."""
+        within, out = [False] * len(self.kinds), set()
+        for c, k in enumerate(self.kinds):
+            over = c > 0 and within[self.above[c]]
+            within[c] = over or k == kind
+            if k == kind and not over:
+                out.add(c)
+        return out
+
+    def drop_named(self, named: dict[int, tuple[int, bool]]) -> None:
+        """Leave out the lines of named elements that are furniture."""
+        if not named or not len(self.texts):
+            return
+        held, text = self.below(self.letters), self.below(self.letters * self.content)
+        # The article: the longest outside any that is named itself; all that it stands in stays.
+        first = max((c for c, k in enumerate(self.kinds) if k in ("article", "main") and c not in named and held[c]), key=lambda c: (held[c], -c), default=None)
+        around, total = (self.path(first) if first is not None else {0}), text[0]
+        gone = set()
+        for c, (name, readers) in named.items():
+            if c in around or not held[c]:
+                continue
+            if name != CERTAIN:
+                drop = text[c] <= 0.5 * min(held[c], total)
+            elif readers:
+                drop = held[c] < held[0]
+            else:
+                drop = text[c] <= 0.5 * total or (first is not None and first not in self.path(c))
+            if drop:
+                gone.add(c)
+        left = ~self.inside(gone)
+        if left.any():
+            self.kept = left
+            self.mark()
+
+    def chosen(self) -> np.ndarray:
+        """The region's lines, without menus."""
+        text = self.below(self.letters * self.content)
+        total, held = text[0], self.below(self.letters * self.kept)
+        menu = self.low & self.linked
+        for kind in ("article", "main"):
+            own = [c for c, k in enumerate(self.kinds) if k == kind and held[c]]
+            outer = self.outermost(kind) & set(own)
+            if outer and sum(text[c] for c in outer) >= ARTICLE_SHARE * total:
+                links = self.below(self.letters * self.linked)
+                region = {c for c in outer if links[c] <= 0.5 * held[c]} or outer
+                runs = np.convolve(menu, np.ones(MENU_LINES), "full")
+                starts = runs[MENU_LINES - 1 :] >= MENU_LINES  # as many menu lines from here on
+                menu = np.convolve(starts, np.ones(MENU_LINES), "full")[: len(menu)] > 0
+                return self.kept & self.inside(region) & ~menu
+        wide = [c for c in range(len(text)) if text[c] >= REGION_SHARE * total and self.kinds[c] != "p" and self.kinds[c] != "li" and self.kinds[c] not in HEADINGS]
+        return self.kept & self.inside({max(wide)}) & ~menu  # the innermost opened last
 
 
 def main_text(html: str | None) -> str:
     """The page's main text: its blocks in order, one on each line; empty if there is none."""
     page = parse(html)
-    lines = _without_furniture(page)
-    if not lines:
+    if not page.lines:
         return ""
-    letters, plain, content = _content(lines)
-    # Letters of the content lines below each container; the region is the smallest that has nearly all.
-    below: dict[int, float] = {}
-    for has, n, (_, _, _, path) in zip(content, letters, lines, strict=True):
-        if has:
-            for c in path:
-                below[c] = below.get(c, 0.0) + n
-    total = float(letters[content].sum())
-    articles = [c for c in below if page.kinds[c] in ("article", "main")]
-    if articles:
-        inner = {c for c in articles if page.kinds[c] == "article"} or set(articles)
-        nested = {c for x in lines for i, c in enumerate(x[3]) if c in inner and any(p in inner for p in x[3][:i])}
-        region = inner - nested
-        best = max(below[c] for c in region)
-        # A short article beside a long one stays unless most of its letters are in menus.
-        held: dict[int, list[float]] = {}
-        for n, ok, x in zip(letters, plain, lines, strict=True):
-            for i, c in enumerate(x[3]):
-                if page.kinds[c] == page.kinds[min(region)] and not any(page.kinds[p] == page.kinds[c] for p in x[3][:i]):
-                    own = held.setdefault(c, [0.0, 0.0])
-                    own[0] += n
-                    own[1] += n * ok
-        region = {c for c in region if below[c] >= 0.25 * best} | {c for c, (n, text) in held.items() if text > 0.5 * n}
-        if sum(below.get(c, 0.0) for c in region) >= 0.2 * total:
-            return "\n".join(x[0] for x in lines if region & set(x[3]))
-    wide = [c for c in below if below[c] >= REGION_SHARE * total and page.kinds[c] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")]
-    region = {max(wide)} if wide else set()  # the innermost opened last
-    return "\n".join(x[0] for x, ok in zip(lines, plain, strict=True) if ok and (not region or region & set(x[3])))
+    region = Region(page)
+    return "\n".join(t for t, chosen in zip(region.texts, region.chosen().tolist(), strict=True) if chosen)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

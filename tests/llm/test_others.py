@@ -256,3 +256,54 @@ def test_other_lengths_and_small_leaves(spark, monkeypatch):
         by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     assert len(by) == 45 and all(len(x) == 20 for x in by.values())
     assert sorted(by[1040])[:2] == [(1, 1580, 59.0), (2, 1560, 57.0)]
+
+
+def div_page(extra=""):
+    """A page without article tags: menus and notes in plain elements around the text."""
+    links = "".join(f"<div><a href='{i}'>Link {i}</a></div>" for i in range(12))
+    body = "".join(f"<p>{LONG} {LONG}</p>" for _ in range(6))
+    notes = "".join(f"<div><span>Note</span> <b>{i}</b></div>" for i in range(60))
+    return f"<html><body><div>{links}</div>{extra}<div><h1>Title</h1>{body}<p>End.</p></div><div>{notes}</div></body></html>", f"Title\n{chr(10).join([LONG + ' ' + LONG] * 6)}\nEnd."
+
+
+def test_the_threshold_chooses_the_region(monkeypatch):
+    page, want = div_page()
+    assert html_extract.main_text(page) == want
+    monkeypatch.setattr(html_extract, "threshold", lambda ratios: -1.0)
+    off = html_extract.main_text(page)
+    assert off != want and "Note" in off
+
+
+def test_the_threshold_drops_menus_in_articles(monkeypatch):
+    menu = "".join(f"<li><a href='{i}'>Link {i}</a></li>" for i in range(8))
+    one = "<p><a href='s'>The source of it</a></p>"
+    page = f"<body><article><h1>Title</h1>{one}<p>{LONG} {LONG}</p><p>{LONG} {LONG}</p><ul>{menu}</ul><p>{LONG} {LONG}</p></article></body>"
+    text = html_extract.main_text(page)
+    assert "Link 3" not in text and "The source of it" in text and text.count(LONG) == 6
+    monkeypatch.setattr(html_extract, "threshold", lambda ratios: -1.0)
+    assert "Link 3" in html_extract.main_text(page)
+
+
+@pytest.mark.parametrize("name", ["layout with-sidebar", "no-sidebar", "has-comments", "post-header", "search-results", "tags-page", "footer-light", "related", "widget"])
+def test_named_wrappers_keep_the_article(name):
+    for tag in ("article", "div"):
+        text = html_extract.main_text(f'<body><div class="{name}"><{tag}><h1>T</h1><p>{LONG}</p><p>{LONG}</p></{tag}></div><div class="ad">Buy</div></body>')
+        assert text == f"T\n{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("made", [lambda n: "<div>" * n + "x" + "</div>" * n, lambda n: "<p>a</p><!-- " + "<b>x " * n, lambda n: "<i>" * n + "x</b>" * n, lambda n: '<a href="x' * n, lambda n: "<article>" * n + "x", lambda n: "<div class=ad>" * n + "x" + "</div>" * n, lambda n: "<div class=ad>y</div><p>xx x</p>" * n])
+def test_time_grows_with_the_page(made):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html_extract.main_text(made(n))
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 12 * max(seconds(5_000), 0.02)
+
+
+def test_what_the_end_leaves_open_is_no_text():
+    assert html_extract.main_text("<p>a</p><!-- b <p>c</p>") == "a" and html_extract.main_text("<p>a < 3 b</p><p>x <b") == "a < 3 b\nx"
+    assert html_extract.main_text("<script><!-- x</script><p>a</p>") == "a"
