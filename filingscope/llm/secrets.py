@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,21 +31,53 @@ TOKEN_CHARS = 20
 #: A token's log-likelihood ratio must reach this, in nats in all and per character pair.
 LEAST_RATIO, LEAST_RATIO_A_PAIR = 12.0, 0.5
 SMOOTHING = 0.5
+#: Values that are run through at once, and a place beyond any text.
+BLOCK, FAR = 64, 2**31 - 1
+
+
+def running(values: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running results of an associative ``step`` over an array, each with its own value.
+
+    Appending to an array copies it, so blocks of ``BLOCK`` values are run through by
+    themselves, each from the result of the blocks before it.
+    """
+    kind = "array<int>"
+    none = F.array().cast(kind)
+
+    def through(block: Column, start: Column, inclusive: bool = True) -> Column:
+        def add(state: Column, x: Column) -> Column:
+            now = step(state["at"], x)
+            return F.struct(now.alias("at"), F.concat(state["out"], F.array(now if inclusive else state["at"])).alias("out"))
+
+        return F.aggregate(block, F.struct(start.alias("at"), none.alias("out")), add)["out"]
+
+    last = F.ceil(F.size(values) / BLOCK).cast("int") - 1
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(values, i * BLOCK + 1, F.lit(BLOCK)))
+    starts = through(F.transform(blocks, lambda b: F.aggregate(b, zero, step)), zero, inclusive=False)
+    return F.when(F.size(values) > 0, F.flatten(F.zip_with(blocks, starts, lambda b, s: through(b, s)))).otherwise(none)
 
 
 def _spans(text: Column, pattern: str, group: int = 0) -> Column:
     """Array of (start, end, value) of all matches, in code points; value is the group's text."""
     whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(whole.alias("match"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"), F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"))
-    empty = "struct<at:int,spans:array<struct<start:int,end:int,value:string>>>"
+    ends = running(F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, m: F.length(g) + F.length(m)), F.lit(0), lambda x, y: x + y)
+    found = F.arrays_zip(whole.alias("match"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"), ends.alias("end"))
+    spans = F.transform(found, lambda x: F.struct((x["end"] - F.length(x["match"])).alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+    return F.when(F.size(whole) > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("spans"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans")).cast(empty)
-    return F.when(F.size(whole) > 0, F.aggregate(pairs, begin, add)["spans"]).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+def apart(spans: Column, others: Column) -> Column:
+    """Those of ``spans`` (start, order, end, kind) that overlap none of ``others`` (the same fields), in order of start.
+
+    Both are put in one order: a span is apart if no other one that begins before it
+    ends after its start, and none that begins after it begins before its end.
+    """
+    mark = lambda x, own: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end"), x.alias("span"))
+    both = F.array_sort(F.concat(F.transform(others, lambda x: mark(x, False)), F.transform(spans, lambda x: mark(x, True))))
+    before = running(F.transform(both, lambda x: F.when(x["own"], 0).otherwise(x["end"])), F.lit(0), lambda x, y: F.greatest(x, y))
+    after = F.reverse(running(F.transform(F.reverse(both), lambda x: F.when(x["own"], FAR).otherwise(x["start"])), F.lit(FAR), lambda x, y: F.least(x, y)))
+    free = F.filter(F.arrays_zip(both.alias("x"), before.alias("b"), after.alias("a")), lambda z: z["x"]["own"] & (z["b"] <= z["x"]["start"]) & (z["a"] >= z["x"]["end"]))
+    return F.transform(free, lambda z: z["x"]["span"])
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -115,8 +148,9 @@ def find_secrets(docs: DataFrame, samples: DataFrame | None = None, id_col: str
     out = out.withColumn("base", F.array_sort(F.concat(*named)))
     scored = F.transform(_spans(F.col("t"), "([A-Za-z0-9+/_=-]{%d,})" % TOKEN_CHARS), lambda s: F.struct(s["start"].alias("start"), F.lit(len(base)).alias("order"), s["end"].alias("end"), F.lit("markov").alias("kind"), log_ratio(s["value"], ratios).alias("ratio")))
     likely = F.filter(scored, lambda s: (s["ratio"] >= LEAST_RATIO) & (s["ratio"] >= LEAST_RATIO_A_PAIR * (s["end"] - s["start"] - 1)))
-    free = F.filter(likely, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    out = out.withColumn("markov", F.transform(free, lambda s: F.struct(s["start"], s["order"], s["end"], s["kind"])))
+    kind = "array<struct<start:int,order:int,end:int,kind:string>>"
+    out = out.withColumn("likely", F.transform(likely, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind"))).cast(kind))
+    out = out.withColumn("markov", F.when((F.size("likely") > 0) & (F.size("base") > 0), apart(F.col("likely"), F.col("base").cast(kind))).otherwise(F.col("likely")))
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     counts = [F.size(kind).cast("long").alias(f"n_{kind}") for kind in base]
     every = F.when(F.size("markov") > 0, F.array_sort(F.concat("base", "markov"))).otherwise(F.col("base"))

@@ -329,3 +329,36 @@ def test_a_batch_that_runs_again_changes_nothing(spark):
     assert sum(r.kept for r in found.collect()) == 3 and half.read().count() == 3 and half.buckets == exact_dedup.LEAST_BUCKETS
     assert exact_dedup.DigestIndex(spark, half.table, half.path).ingest(docs_of(spark, [(9, "D", None, None)])).first().keep_id == 6
     assert sorted(r.keep_id for r in half.read().collect()) == [3, 5, 6]
+
+
+def test_texts_of_many_findings(spark):
+    """Thousands of findings in one text, base ones and others, in linear time."""
+    rnd = random.Random(9)
+    token = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    parts = [rnd.choice([f"password = {token(9)}", token(30), "0123456789abcdef01234567", f"{token(25)}token:{token(8)}.x", "é words"]) for _ in range(6000)]
+    text = " ".join(parts)
+    ordinary = [("This is an ordinary identifier of words and more words like reading writing counting pages",)] * 400
+    samples = secrets.random_samples(spark, 1000).unionByName(secrets.ordinary_samples(spark.createDataFrame([(i, t) for i, (t,) in enumerate(ordinary)], "doc_id long, text string")))
+    r = secrets.find_secrets(docs_of(spark, [(1, text, None, None)]), samples).first()
+    base = sorted((m.start(), k, m.end()) for k, p in enumerate(PATTERNS) for m in re.finditer(p, text) if len(m.group(1)) >= (6, 20, 24)[k])
+    assert r.base_sha256 == hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+    spans = [x.split(":") for x in r.spans.split(",")]
+    others = [(int(a), int(b)) for kind, a, b in spans if kind == "markov"]
+    assert len(spans) == len(base) + len(others) and [int(x[1]) for x in spans] == sorted(int(x[1]) for x in spans)
+    taken = np.zeros(len(text) + 1, dtype=bool)
+    for a, _, b in base:
+        taken[a:b] = True
+    found = {(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text) if not taken[m.start() : m.end()].any()}
+    assert set(others) <= found and len(others) >= 0.9 * len(found) > 500
+
+
+def test_running_results(spark):
+    for n in (0, 1, 63, 64, 65, 1000):
+        row = spark.range(1).select(F.array(*map(F.lit, range(n))).cast("array<int>").alias("x")).select(secrets.running(F.col("x"), F.lit(0), lambda a, b: a + b).alias("x")).first()
+        assert row.x == np.cumsum(np.arange(n)).tolist()
+
+
+def test_many_languages_keep_their_labels():
+    scores = np.full((4, 300), -10.0, dtype=np.float32)
+    scores[np.arange(4), [290, 290, 5, 5]] = 0
+    assert langid.viterbi(scores, np.array([4]), 1.0).tolist() == [290, 290, 5, 5]
