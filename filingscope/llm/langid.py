@@ -115,7 +115,8 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH) ->
     word = np.empty(len(scores), dtype=np.int64)
     word[offset[t] + rank] = np.repeat((np.cumsum(counts) - counts)[order], lengths) + t
     laid = np.ascontiguousarray(scores[word].T)
-    came, stay = np.zeros(len(scores), dtype=np.uint8), np.zeros(laid.shape, dtype=bool)
+    kind = np.min_scalar_type(max(1, scores.shape[1] - 1))
+    came, stay = np.zeros(len(scores), dtype=kind), np.zeros(laid.shape, dtype=bool)
     best = np.zeros((laid.shape[0], len(counts)), dtype=np.float32)
     for at, n in zip(offset.tolist(), active.tolist(), strict=True):
         now = best[:, :n]
@@ -124,7 +125,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH) ->
         np.greater_equal(now, -penalty, out=stay[:, at : at + n])
         np.maximum(now, -penalty, out=now)
         now += laid[:, at : at + n]
-    labels = np.zeros(len(scores), dtype=np.uint8)
+    labels = np.zeros(len(scores), dtype=kind)
     state = best.argmax(axis=0)
     for at, n in zip(offset[::-1].tolist(), active[::-1].tolist(), strict=True):
         now = state[:n]
@@ -187,7 +188,7 @@ def spans(model: Model, text: str | None) -> list[tuple[int, int, str]]:
     points, _ = _chars([text])
     starts, ends, scripts, _, grams = words_of(points)
     labels = viterbi(model.word_scores(starts, ends, scripts, grams), np.array([len(starts)]))
-    cuts = np.flatnonzero(np.diff(labels, prepend=-1)) if len(labels) else []
+    cuts = np.flatnonzero(np.diff(labels.astype(np.int64), prepend=-1)) if len(labels) else []
     lasts = [*(np.array(cuts[1:]) - 1), len(labels) - 1] if len(cuts) else []
     return [(int(starts[i]), int(ends[j]), model.languages[labels[i]]) for i, j in zip(cuts, lasts, strict=True)]
 
