@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -139,23 +140,28 @@ def tree_order(turns: list[int], origins: list[int | None]) -> list[tuple[int |
 
 
 def _threads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (conv_id, turn, origin), conversations together and turns ascending, with their place in the reply tree."""
-    conv, turns, origins = None, [], []
+    """Rows (conv_id, turn, origin, rows), conversations together and turns ascending, with the first position of their rows in the order of the reply tree."""
+    conv, turns, origins, sizes = None, [], [], []
 
     def done() -> pa.RecordBatch:
         rows = tree_order(turns, origins)
-        columns = [pa.array([x[i] for x in rows], pa.int64()) for i in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array([conv] * len(turns), pa.int64()), pa.array(turns, pa.int64()), columns[0], pa.array([o is not None for o in origins], pa.bool_()), *columns[1:]], ["conv_id", "turn", "reply_to", "linked", "thread", "place"])
+        columns = [pa.array([x[i] for x in rows], pa.int64()) for i in range(2)]
+        place = np.array([x[2] for x in rows])
+        held = np.zeros(len(rows), dtype=np.int64)
+        held[place] = sizes
+        first = (np.cumsum(held) - held)[place]
+        return pa.RecordBatch.from_arrays([pa.array([conv] * len(turns), pa.int64()), pa.array(turns, pa.int64()), columns[0], pa.array([o is not None for o in origins], pa.bool_()), columns[1], pa.array(first)], ["conv_id", "turn", "reply_to", "linked", "thread", "first"])
 
     for batch in batches:
         out = []
-        for c, t, o in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        for c, t, o, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if c != conv and turns:
                 out.append(done())
-                turns, origins = [], []
+                turns, origins, sizes = [], [], []
             conv = c
             turns.append(t)
             origins.append(o)
+            sizes.append(n)
         if out:
             yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
     if turns:
@@ -179,18 +185,18 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     rows = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     parsed = ws.put(rows.mapInArrow(bounded(_parse), "conv_id bigint, turn bigint, role string, text string, quote_levels int, quoted array<struct<level:int,passage:bigint,h:bigint,n:int>>"), "parsed")
     placed = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    turns = placed.select("conv_id", "turn", F.lit(None).cast("long").alias("origin"))
+    turns = placed.select("conv_id", "turn", F.lit(None).cast("long").alias("origin"), F.lit(1).alias("rows"))
     quoting = placed.where("size(quoted) > 0")
     if not quoting.isEmpty():
-        turns = turns.unionByName(_origins(placed, quoting))
-    turns = turns.groupBy("conv_id", "turn").agg(F.max("origin").alias("origin"))
+        turns = turns.unionByName(_origins(placed, quoting).withColumn("rows", F.lit(0)))
+    turns = turns.groupBy("conv_id", "turn").agg(F.max("origin").alias("origin"), F.sum("rows").alias("rows"))
     # Only numbers of a conversation's turns meet in one task, one row a turn.
-    threads = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn").mapInArrow(_threads, "conv_id bigint, turn bigint, reply_to bigint, linked boolean, thread bigint, place bigint")
+    threads = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn").mapInArrow(_threads, "conv_id bigint, turn bigint, reply_to bigint, linked boolean, thread bigint, first bigint")
     out = parsed.drop("quoted").join(ws.put(threads, "threads"), ["conv_id", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn")).withColumn("linked", F.coalesce("linked", F.lit(False)))
     alone = F.col("conv_id").isNull() | F.col("turn").isNull()
-    within = Window.partitionBy("conv_id").orderBy("place", "text", "role")
+    within = Window.partitionBy("conv_id", "turn").orderBy("text", "role")  # rows that repeat a turn
     named = ["conv_id", "turn", "role", "text", "quote_levels", "linked", "reply_to", "thread", "position"]
-    return out.where(~alone).withColumn("position", F.row_number().over(within).cast("long") - 1).select(*named).unionByName(out.where(alone).withColumn("position", F.lit(0).cast("long")).select(*named))
+    return out.where(~alone).withColumn("position", F.col("first") + F.row_number().over(within) - 1).select(*named).unionByName(out.where(alone).withColumn("position", F.lit(0).cast("long")).select(*named))
 
 
 def _origins(placed: DataFrame, quoting: DataFrame) -> DataFrame:
