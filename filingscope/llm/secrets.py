@@ -35,6 +35,11 @@ SMOOTHING = 0.5
 BLOCK, FAR = 64, 2**31 - 1
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is found once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def running(values: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
     """Running results of an associative ``step`` over an array, each with its own value.
 
@@ -51,18 +56,28 @@ def running(values: Column, zero: Column, step: Callable[[Column, Column], Colum
 
         return F.aggregate(block, F.struct(start.alias("at"), none.alias("out")), add)["out"]
 
-    last = F.ceil(F.size(values) / BLOCK).cast("int") - 1
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(values, i * BLOCK + 1, F.lit(BLOCK)))
-    starts = through(F.transform(blocks, lambda b: F.aggregate(b, zero, step)), zero, inclusive=False)
-    return F.when(F.size(values) > 0, F.flatten(F.zip_with(blocks, starts, lambda b, s: through(b, s)))).otherwise(none)
+    def over(blocks: Column) -> Column:
+        starts = through(F.transform(blocks, lambda b: F.aggregate(b, zero, step)), zero, inclusive=False)
+        return F.flatten(F.zip_with(blocks, starts, lambda b, s: through(b, s)))
+
+    def cut(own: Column) -> Column:
+        last = F.ceil(F.size(own) / BLOCK).cast("int") - 1
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(own, i * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(own) > 0, bound(blocks, over)).otherwise(none)
+
+    return bound(values, cut)
 
 
-def _spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """Array of (start, end, value) of all matches, in code points; value is the group's text."""
-    whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    ends = running(F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, m: F.length(g) + F.length(m)), F.lit(0), lambda x, y: x + y)
-    found = F.arrays_zip(whole.alias("match"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"), ends.alias("end"))
-    spans = F.transform(found, lambda x: F.struct((x["end"] - F.length(x["match"])).alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+def _matches(text: Column, name: str, pattern: str, group: int) -> list[Column]:
+    """All matches of a pattern, their groups, and what stands between them, as columns of their own: each is found once."""
+    return [F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias(f"{name}_all"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias(f"{name}_values"), F.split(text, pattern, -1).alias(f"{name}_gaps")]
+
+
+def _spans(name: str) -> Column:
+    """Array of (start, end, value) of the matches, in code points; value is the group's text."""
+    whole = F.col(f"{name}_all")
+    ends = running(F.zip_with(F.slice(f"{name}_gaps", F.lit(1), F.size(whole)), whole, lambda g, m: F.length(g) + F.length(m)), F.lit(0), lambda x, y: x + y)
+    spans = F.transform(F.arrays_zip(whole.alias("match"), F.col(f"{name}_values").alias("value"), ends.alias("end")), lambda x: F.struct((x["end"] - F.length(x["match"])).alias("start"), x["end"].alias("end"), x["value"].alias("value")))
     return F.when(F.size(whole) > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
@@ -73,17 +88,20 @@ def apart(spans: Column, others: Column) -> Column:
     ends after its start, and none that begins after it begins before its end.
     """
     mark = lambda x, own: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end"), x.alias("span"))
-    both = F.array_sort(F.concat(F.transform(others, lambda x: mark(x, False)), F.transform(spans, lambda x: mark(x, True))))
-    before = running(F.transform(both, lambda x: F.when(x["own"], 0).otherwise(x["end"])), F.lit(0), lambda x, y: F.greatest(x, y))
-    after = F.reverse(running(F.transform(F.reverse(both), lambda x: F.when(x["own"], FAR).otherwise(x["start"])), F.lit(FAR), lambda x, y: F.least(x, y)))
-    free = F.filter(F.arrays_zip(both.alias("x"), before.alias("b"), after.alias("a")), lambda z: z["x"]["own"] & (z["b"] <= z["x"]["start"]) & (z["a"] >= z["x"]["end"]))
-    return F.transform(free, lambda z: z["x"]["span"])
+
+    def free(both: Column) -> Column:
+        before = running(F.transform(both, lambda x: F.when(x["own"], 0).otherwise(x["end"])), F.lit(0), lambda x, y: F.greatest(x, y))
+        after = F.reverse(running(F.transform(F.reverse(both), lambda x: F.when(x["own"], FAR).otherwise(x["start"])), F.lit(FAR), lambda x, y: F.least(x, y)))
+        kept = F.filter(F.arrays_zip(both.alias("x"), before.alias("b"), after.alias("a")), lambda z: z["x"]["own"] & (z["b"] <= z["x"]["start"]) & (z["a"] >= z["x"]["end"]))
+        return F.transform(kept, lambda z: z["x"]["span"])
+
+    return bound(F.array_sort(F.concat(F.transform(others, lambda x: mark(x, False)), F.transform(spans, lambda x: mark(x, True)))), free)
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """The base findings by kind. Matches that are too short are consumed first and dropped then."""
+def base_spans() -> dict[str, Column]:
+    """The base findings by kind, from the columns of ``_matches``. Matches that are too short are consumed first and dropped then."""
     long_enough = lambda least: lambda s: F.length(s["value"]) >= least
-    return {kind: F.filter(_spans(text, pattern, 1), long_enough(LEAST_VALUE[kind])) for kind, pattern in BASE}
+    return {kind: F.filter(_spans(kind), long_enough(LEAST_VALUE[kind])) for kind, _ in BASE}
 
 
 def random_samples(spark: SparkSession, count: int = 4096) -> DataFrame:
@@ -141,12 +159,14 @@ def find_secrets(docs: DataFrame, samples: DataFrame | None = None, id_col: str
     ratios = train(samples)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
-    base = base_spans(F.col("t"))
-    out = out.select("doc_id", "t", *(spans.alias(kind) for kind, spans in base.items()))
+    found = [*((kind, pattern, 1) for kind, pattern in BASE), ("token", "([A-Za-z0-9+/_=-]{%d,})" % TOKEN_CHARS, 0)]
+    out = out.select("doc_id", *(c for x in found for c in _matches(F.col("t"), *x)))
+    base = base_spans()
+    out = out.select("doc_id", *(spans.alias(kind) for kind, spans in base.items()), _spans("token").alias("tokens"))
     of_kind = lambda order, kind: lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"))
     named = [F.transform(kind, of_kind(i, kind)) for i, kind in enumerate(base)]
     out = out.withColumn("base", F.array_sort(F.concat(*named)))
-    scored = F.transform(_spans(F.col("t"), "([A-Za-z0-9+/_=-]{%d,})" % TOKEN_CHARS), lambda s: F.struct(s["start"].alias("start"), F.lit(len(base)).alias("order"), s["end"].alias("end"), F.lit("markov").alias("kind"), log_ratio(s["value"], ratios).alias("ratio")))
+    scored = F.transform("tokens", lambda s: F.struct(s["start"].alias("start"), F.lit(len(base)).alias("order"), s["end"].alias("end"), F.lit("markov").alias("kind"), log_ratio(s["value"], ratios).alias("ratio")))
     likely = F.filter(scored, lambda s: (s["ratio"] >= LEAST_RATIO) & (s["ratio"] >= LEAST_RATIO_A_PAIR * (s["end"] - s["start"] - 1)))
     kind = "array<struct<start:int,order:int,end:int,kind:string>>"
     out = out.withColumn("likely", F.transform(likely, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind"))).cast(kind))
