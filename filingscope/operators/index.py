@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import hashing, scoring, text
 from .shared import once, small
@@ -117,7 +118,7 @@ def members(filters: DataFrame, terms: DataFrame, size: int, *keys: str) -> Data
     return held.join(asked, "bit").groupBy(*keys, "term", "need").agg(F.count("*").alias("n")).where("n = need").select(*keys, "term")
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def held_places(bits: pd.Series, spots: pd.Series) -> pd.Series:
     """Places, from 0, of the terms that a filter may hold; ``spots`` has the positions of all terms in a row."""
 

@@ -138,7 +138,7 @@ def stage_log(df: DataFrame, stage: str) -> DataFrame:
 def last_known_good(log: DataFrame, as_of: str, ttl_seconds: int = 300) -> DataFrame:
     """The payload of the last ok snapshot, if it is young enough."""
     ok = log.where("status = 'ok'").agg(F.max("ts").alias("ts"), F.max_by("payload", "ts").alias("payload"))
-    return ok.where(F.unix_millis(F.to_timestamp(F.lit(as_of))) - F.unix_millis("ts") <= ttl_seconds * 1000)
+    return ok.where(F.unix_millis(F.to_timestamp(F.lit(as_of))) - F.unix_millis(F.col("ts").cast("timestamp")) <= ttl_seconds * 1000)
 
 
 def evaluation_summary(results: DataFrame, as_of: str) -> DataFrame:

@@ -159,7 +159,7 @@ def repaired_links(links: DataFrame, targets: DataFrame, pages: DataFrame, domai
     each = each.withColumns({"record": record, "case": case, "docket": F.nullif(docket, F.lit("")), "fine": F.coalesce(download | (F.col("full") == search_page), F.lit(False)), "number": F.nullif(F.regexp_extract("url", r"\b(\d{4})\b", 1), F.lit("")), "host": text.host(F.col("full"))})
     each = each.withColumn("_case", F.coalesce("case", digits(F.col("docket"))))
     cases = targets.select(digits(F.col("case_number")).alias("_case")).distinct().withColumn("known_case", F.lit(True))
-    exact = targets.select(F.col("url").alias("full")).distinct().withColumn("known_target", F.lit(True))
+    exact = targets.select(text.normal_url(F.col("url"), domain).alias("full")).distinct().withColumn("known_target", F.lit(True))
     seen = pages.select(text.normal_url(F.col("url"), domain).alias("full")).distinct().withColumn("known_page", F.lit(True))
     out = each.join(cases, "_case", "left").join(exact, "full", "left").join(seen, "full", "left")
     numbered = pages.select(text.normal_url(F.col("url"), domain).alias("near")).select("near", text.host(F.col("near")).alias("host"), F.explode(F.array_distinct(text.matches(F.col("near"), r"(?=(\d{4}))", 1))).alias("number"))

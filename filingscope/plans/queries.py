@@ -1,9 +1,7 @@
-"""The query registry: one callable for each operator group over the driver's tables, and its DuckDB equivalent."""
+"""Queries of the search engine over the driver's tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,21 +11,7 @@ from ..operators import evidence, index, ingest, operations, records, render, ro
 from ..operators.shared import once, small
 from ..streaming import jobs
 from .corpus import AS_OF, filings, questions, table, turns
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import query
 
 # SQL that several oracles share.
 FILINGS = """filings AS (SELECT doc_id AS filing_id, CASE WHEN doc_id % 3 = 0 THEN 'FC1000' ELSE 'FC' || CAST(1001 + doc_id % 96 AS VARCHAR) END AS case_number,
@@ -106,17 +90,6 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", (F.col("at") + 1).cast("long").alias("pos"), "line")
 
 
-@query(f"""WITH {LINES} SELECT doc_id, pos, coalesce('FC' || nullif(regexp_extract(line, '(?i)\\b(?:FC|formal[ \\t\\n\\r\\f\\v]+case|case|docket)[ \\t\\n\\r\\f\\v]*(?:no\\.?|number)?[ \\t\\n\\r\\f\\v]*[-#:]?[ \\t\\n\\r\\f\\v]*([0-9]{{3,5}})\\b', 1), ''), upper(nullif(regexp_extract(line, '(?i)\\b([a-z]{{1,12}}-?[0-9]{{3,5}}(?:-[a-z0-9]{{1,8}}){{0,3}})\\b', 1), ''))) AS case_number
-FROM lines WHERE case_number IS NOT NULL""")
-def case_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).withColumn("case_number", text.case_identifier(F.col("line"))).where("case_number IS NOT NULL").drop("line")
-
-
-@query(f"""WITH {LINES}, y AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b(?:19|20)[0-9]{{2}}\\b')) AS y FROM documents) SELECT DISTINCT doc_id, CAST(y AS INT) AS year FROM y WHERE CAST(y AS INT) BETWEEN 1990 AND 2027""")
-def query_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.query_years(F.col("text"), AS_OF)).alias("year"))
-
-
 @query("SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS phrase FROM benchmark")
 def phrase_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", text.phrase_form(F.col("text")).alias("phrase"))
@@ -234,11 +207,6 @@ def carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.carry_over(_routed(spark, sf_dir), carried)
 
 
-@query()
-def word_order_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.word_order_stability(questions(spark, sf_dir), once(index.postings(filings(spark, sf_dir)), "postings"))
-
-
 FOLDED = f"""{FILINGS}, {QTERMS}, doc_words AS (SELECT DISTINCT case_number, filing_id % 4 AS band, unnest({tok('text')}) AS term FROM filings), words AS (SELECT DISTINCT term FROM doc_words UNION SELECT term FROM qterms), {BITS},
 band_bits AS (SELECT DISTINCT case_number, band, bit % 2048 AS bit FROM doc_words JOIN bits USING (term)),
 set_bits AS (SELECT case_number, count(*) AS set_bits FROM band_bits GROUP BY ALL)"""
@@ -255,11 +223,6 @@ def bloom_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.route_by_filters(questions(spark, sf_dir), index.router_entries(filings(spark, sf_dir)))
 
 
-@query()
-def bloom_route_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.route_by_filters(questions(spark, sf_dir), index.router_entries(filings(spark, sf_dir)), part=-1)
-
-
 @query(f"WITH {FOLDED.replace(QTERMS + ', ', '').replace(' UNION SELECT term FROM qterms', '')}, s AS (SELECT case_number, count(DISTINCT filing_id) AS filings, max(received_date) AS latest FROM filings GROUP BY ALL) SELECT case_number, filings, latest, CAST(set_bits AS BIGINT) AS set_bits FROM s JOIN set_bits USING (case_number)")
 def router_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.router_entries(filings(spark, sf_dir)).select("case_number", "filings", "latest", "set_bits").distinct()
@@ -330,17 +293,6 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.sources(_evidence(spark, sf_dir))
 
 
-@query()
-def diverse_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    searches, rows, filters = _search_tables(spark, sf_dir, routing.VERIFIED)
-    ranked = evidence.rank_documents(evidence.candidates(searches, rows, filters), AS_OF)
-    read = once(evidence.within_budget(ranked).drop("bits"), "read")
-    pages = evidence.pages_of(read.select("filing_id", "text").dropDuplicates(["filing_id"]))
-    found = evidence.excerpts(read.select("question_id", "case_number", "filing_id", "title", "received_date", "terms", "least", "rank"), pages)
-    slots = evidence.diverse_documents(evidence.first_groups(found)).join(searches.select("question_id", "case_number", "case_rank"), ["question_id", "case_number"])
-    return evidence.diverse_cases(slots)
-
-
 @query(f"""WITH {INDEX}, s AS (SELECT r.question_id, r.case_number, f.filing_id, f.received_date, count(*) AS hits FROM routed r JOIN filings f USING (case_number) JOIN qterms q USING (question_id) WHERE r.rank = 1 AND contains(lower(f.title) || ' ', q.term) GROUP BY ALL)
 SELECT question_id, case_number, filing_id, row_number() OVER (PARTITION BY question_id, case_number ORDER BY sc DESC, coalesce(received_date, '') DESC, filing_id) AS rank, hits, sc AS score FROM (SELECT *, round(hits + 0.6 * least(1, greatest(0, 1 - (2026 - CAST(left(received_date, 4) AS INT)) / 12)), 6) AS sc FROM s) QUALIFY rank <= 8""")
 def record_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -577,26 +529,6 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25_search(questions(spark, sf_dir).withColumn("case", F.lit(None).cast("string")), chunks)
 
 
-@query()
-def fielded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = filings(spark, sf_dir).select(F.col("filing_id").alias("id"), "case_number", F.col("title").alias("filename"), "text")
-    return search.fielded_search(questions(spark, sf_dir), chunks)
-
-
-@query()
-def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(markdown.chunks("text")).alias("at", "chunk"))
-    return each.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("1"), F.col("at").cast("string")).alias("id"), "chunk")
-
-
-@query()
-def relink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _evidence(spark, sf_dir).withColumn("url", F.concat(F.lit("https://records.example.org/filing/"), F.col("filing_id").cast("string")))
-    own = rows.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("slot", "title", "url", F.col("page_number").cast("int").alias("page_number"), F.lit(None).cast("string").alias("kind")))).alias("rows"))
-    reply = F.concat(F.lit("As filed ["), text.citation_title(F.col("rows")[0]["title"]), F.lit(" — p. 3], and [Unknown title].\n"))
-    return own.select("question_id", markdown.relink(reply, F.col("rows")).alias("reply"))
-
-
 @query("SELECT date_trunc('minute', ts) AS window_start, user_id AS actor, count(*) AS n FROM events GROUP BY ALL")
 def rate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.rate_counts(table(spark, sf_dir, "events"))

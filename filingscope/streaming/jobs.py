@@ -83,6 +83,17 @@ def daily_budget(writes: DataFrame, late: str = "1 day") -> DataFrame:
     return marked.groupBy(F.window("ts", "1 day")["start"].alias("day")).agg(F.count("*").alias("writes"), F.sum("bytes").alias("bytes"))
 
 
+class AnyStream(dict):
+    """The same citable rows for every stream."""
+
+    def __init__(self, rows: list[dict]):
+        super().__init__()
+        self.rows = rows
+
+    def get(self, key: str, default: list[dict] | None = None) -> list[dict]:
+        return self.rows
+
+
 def relink_stream(deltas: DataFrame, rows: dict[str, list[dict]]) -> DataFrame:
     """(stream_id, seq, text) for deltas (stream_id, seq, delta, final): repaired text as it may go out.
 
