@@ -68,9 +68,16 @@ def running(values: Column, zero: Column, step: Callable[[Column, Column], Colum
     return bound(values, cut)
 
 
-def _matches(text: Column, name: str, pattern: str, group: int) -> list[Column]:
-    """All matches of a pattern, their groups, and what stands between them, as columns of their own: each is found once."""
-    return [F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias(f"{name}_all"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias(f"{name}_values"), F.split(text, pattern, -1).alias(f"{name}_gaps")]
+def _matches(rows: DataFrame, found: list[tuple[str, str, int]]) -> DataFrame:
+    """``rows`` (with ``t``) and, for each (name, pattern, group), all matches, their groups and what stands between them.
+
+    Each pattern is searched once; only texts with a match are cut up by it.
+    """
+    text = F.col("t")
+    rows = rows.select("*", *(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"{name}_all") for name, p, _ in found))
+    some = lambda name, c: F.when(F.size(f"{name}_all") > 0, c)
+    values = [some(name, F.regexp_extract_all(text, F.lit(p), F.lit(group))).alias(f"{name}_values") if group else F.col(f"{name}_all").alias(f"{name}_values") for name, p, group in found]
+    return rows.select("*", *values, *(some(name, F.split(text, p, -1)).alias(f"{name}_gaps") for name, p, _ in found))
 
 
 def _spans(name: str) -> Column:
@@ -159,8 +166,7 @@ def find_secrets(docs: DataFrame, samples: DataFrame | None = None, id_col: str
     ratios = train(samples)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
-    found = [*((kind, pattern, 1) for kind, pattern in BASE), ("token", "([A-Za-z0-9+/_=-]{%d,})" % TOKEN_CHARS, 0)]
-    out = out.select("doc_id", *(c for x in found for c in _matches(F.col("t"), *x)))
+    out = _matches(out, [*((kind, pattern, int(kind == "assign")) for kind, pattern in BASE), ("token", "[A-Za-z0-9+/_=-]{%d,}" % TOKEN_CHARS, 0)])
     base = base_spans()
     out = out.select("doc_id", *(spans.alias(kind) for kind, spans in base.items()), _spans("token").alias("tokens"))
     of_kind = lambda order, kind: lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"))
