@@ -1,9 +1,9 @@
 """Mixing sources to target weights by drawing fixed-length blocks of words.
 
 Each source's documents, in a fixed order, form one stream of words that is packed into
-blocks. The number of blocks that each source gives in all follows from its target. An
-output shard draws its sources' counts from a multinomial over what is still owed, so
-the totals are met exactly. A source's k-th draw takes, in pass k div n over its n
+blocks. The number of blocks that each source gives in all follows from its target. They
+fall to the output shards by multinomial counts, source by source, so the totals are met
+exactly and no step holds a table of shards and sources. A source's k-th draw takes, in pass k div n over its n
 blocks, the block that a pseudorandom permutation of that pass sends k mod n to. The
 drawn slots are then joined to the blocks by index.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .components import join_hot
 from .wordhash import IS_SPACE, segments, string_buffers, word_bounds
 from .workers import bounded
 from .workspace import Workspace
@@ -28,8 +29,8 @@ BLOCK_WORDS, LEAST_BLOCKS = 2048, 256
 MAX_REPEATS, MAX_SHARDS, SHARD_BLOCKS, ROUNDS = 3, 4096, 1024, 24
 #: Rows of one window partition when positions in a stream are summed up.
 CHUNK_ROWS = 20_000
-#: The table of sources is broadcast; more of them are refused.
-MAX_SOURCES = 100_000
+#: The plan of the sources is broadcast if there are no more of them; they are numbered in ranges of so many.
+BROADCAST_SOURCES = RANGE_SOURCES = 100_000
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,39 +43,46 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), batch.column(3)], ["doc_id", "source", "size", "mark"])
 
 
-def share_targets(sizes: list[int], weights: list[float], budget: float, repeats: float = MAX_REPEATS) -> list[float]:
-    """Shares of ``budget`` by weight; what exceeds ``repeats`` times a source's size is reshared until none does."""
-    caps = [repeats * s for s in sizes]
-    targets, open_ = [0.0] * len(sizes), set(range(len(sizes)))
-    while open_:
-        left = budget - sum(caps[i] for i in range(len(sizes)) if i not in open_)
-        weight = sum(weights[i] for i in open_)
-        over = {i for i in open_ if left * weights[i] / weight > caps[i]}
-        if not over:
-            for i in open_:
-                targets[i] = left * weights[i] / weight
-            break
-        for i in over:
-            targets[i] = float(caps[i])
-        open_ -= over
-    return targets
-
-
-def _draws(owed: np.ndarray, shard_blocks: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first draw, draws) with multinomial counts per shard that add up to ``owed``."""
-    rng, left, given, out = np.random.default_rng(seed), owed.astype(np.int64).copy(), np.zeros(len(owed), dtype=np.int64), []
-    shard = 0
-    while (all_left := int(left.sum())) > 0:
-        want = min(shard_blocks, all_left)
-        counts = np.zeros_like(left)
-        while (need := want - int(counts.sum())) > 0:
-            free = left - counts
-            counts += np.minimum(rng.multinomial(need, free / free.sum()), free)
-        out += [(shard, i, int(given[i]), int(counts[i])) for i in np.flatnonzero(counts).tolist()]
-        given += counts
-        left -= counts
-        shard += 1
-    return out
+def level(sources: DataFrame, budget: float) -> float | None:
+    """What a weight of 1 gets of ``budget`` if no source (weight, cap) gets more than its cap; None if all get theirs.
+
+    Each round shares out what the capped sources leave; the level rises until no
+    further one is over its cap. Only sums reach the driver.
+    """
+    share, capped = 0.0, -1
+    while True:
+        over = F.col("cap") < share * F.col("weight")
+        now = sources.agg(F.count_if(over).alias("n"), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)).alias("gone"), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0)).alias("weight")).first()
+        if now["n"] == capped:
+            return share
+        if not now["weight"]:
+            return None
+        share, capped = max(share, (budget - now["gone"]) / now["weight"]), now["n"]
+
+
+def numbered(sources: DataFrame, rows: int, ws: Workspace) -> DataFrame:
+    """``sources`` with ``no`` from 0, by code point and null last: ranges are numbered by themselves, each from its first number."""
+    order = (F.col("source").isNull(), F.col("source"))
+    ranges = max(1, math.ceil(rows / RANGE_SOURCES))
+    cut = ws.put(sources.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = cut.groupBy("range").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    within = Window.partitionBy("range").orderBy(*order)
+    return cut.join(F.broadcast(base), "range").withColumn("no", F.col("base") + F.row_number().over(within) - 1).drop("range", "base")  # a row a range
+
+
+def _draws(shards: int, seed: int):
+    """(no, owed) to (shard, no, first draw, draws): a source's owed blocks fall to the shards by a multinomial, so its total is met exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for no, owed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts = np.random.default_rng([seed, no]).multinomial(owed, np.full(shards, 1 / shards))
+                shard = np.flatnonzero(counts)
+                draws = counts[shard]
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(np.full(len(shard), no)), pa.array(np.cumsum(draws) - draws), pa.array(draws)], ["shard", "no", "first", "draws"])
+
+    return run
 
 
 def permuted(at: Column, size: Column, *key: Column) -> Column:
@@ -96,30 +104,41 @@ class Mix:
         self.ws = ws = Workspace(spark, "mix")
         cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")]
         self.sizes = ws.put(docs.select(*cols, F.xxhash64(F.col(text_col).cast("string")).alias("mark")).mapInArrow(bounded(_sizes), "doc_id bigint, source string, size bigint, mark bigint"), "sizes")
-        found = self.sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-        if len(found) > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} sources")
-        found.sort(key=lambda r: (r.source is None, r.source or ""))
-        sizes = [r["size"] for r in found]
-        weigh = [float(weights.get(r.source, 0)) for r in found] if weights else [float(1 + i % 3) for i in range(len(found))]
-        targets = share_targets(sizes, weigh, budget_share * sum(sizes))
-        words = [max(1, min(block_words, math.ceil(s / LEAST_BLOCKS))) for s in sizes]
-        blocks = [math.ceil(s / w) for s, w in zip(sizes, words, strict=True)]
-        owed = [min(MAX_REPEATS * b, round(t * b / s)) if s else 0 for s, b, t in zip(sizes, blocks, targets, strict=True)]
-        schema = "no int, source string, source_size bigint, target double, words bigint, blocks bigint"
-        self.sources = F.broadcast(spark.createDataFrame([(i, r.source, sizes[i], targets[i], words[i], blocks[i]) for i, r in enumerate(found)], schema))
-        shard = max(SHARD_BLOCKS, math.ceil(sum(owed) / MAX_SHARDS))
-        draws = spark.createDataFrame(_draws(np.array(owed, dtype=np.int64), shard, seed), "shard int, no int, first bigint, draws bigint")
+        found = ws.put(self.sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "sources")
+        n, self.rows, words = found.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+        own = F.col("no") % 3 + 1.0
+        if weights is not None:
+            given = [F.lit(x) for k, v in weights.items() if k is not None for x in (k, float(v))]
+            own = F.coalesce(F.try_element_at(F.create_map(*given), F.col("source")) if given else F.lit(None), F.when(F.col("source").isNull(), float(weights.get(None, 0))), F.lit(0.0))
+        weighed = ws.put(numbered(found, n, ws).withColumn("weight", own).withColumn("cap", MAX_REPEATS * F.col("size").cast("double")), "weights")
+        share = level(weighed, budget_share * words) if n else 0.0
+        target = F.col("cap") if share is None else F.least(F.col("cap"), share * F.col("weight"))
+        sized = weighed.withColumn("target", target).withColumn("words", F.greatest(F.lit(1), F.least(F.lit(block_words), F.ceil(F.col("size") / LEAST_BLOCKS))).cast("long"))
+        sized = sized.withColumn("blocks", F.ceil(F.col("size") / F.col("words")).cast("long"))
+        owed = F.when(F.col("size") > 0, F.least(MAX_REPEATS * F.col("blocks"), F.rint(F.col("target") * F.col("blocks") / F.col("size")).cast("long"))).otherwise(0)
+        plan = ws.put(sized.select("no", "source", F.col("size").alias("source_size"), "target", "words", "blocks", owed.cast("long").alias("owed")), "plan")
+        total = plan.agg(F.coalesce(F.sum("owed"), F.lit(0))).first()[0]
+        #: A row a source; broadcast if a count has shown that they are few.
+        self.few = n <= BROADCAST_SOURCES
+        self.sources = F.broadcast(plan) if self.few else plan
+        shards = max(1, math.ceil(total / max(SHARD_BLOCKS, math.ceil(total / MAX_SHARDS))))
+        draws = plan.where("owed > 0").select("no", "owed").mapInArrow(_draws(shards, seed), "shard int, no bigint, first bigint, draws bigint")
         drawn = draws.select("shard", "no", F.explode(F.expr("sequence(first, first + draws - 1)")).alias("k")).join(self.sources.select("no", "blocks"), "no")
         #: Every slot of the mix: shard, no (the source's), k (its draw), block.
         self.slots = drawn.select("shard", "no", "k", permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("no"), F.floor(F.col("k") / F.col("blocks"))).alias("block"))
-        self.rows = sum(r["n"] for r in found)
+
+    def of_source(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the plan's columns of their source; a source that holds many rows is split off where the plan isn't broadcast."""
+        key = lambda d: d.withColumn("_key", F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit(""))))
+        plan = key(self.sources)
+        if self.few:
+            return key(rows).drop("source").join(F.broadcast(plan), "_key").drop("_key")
+        return join_hot(self.ws.put(key(rows).drop("source"), "keyed"), plan, "_key", self.rows).drop("_key")
 
     def placed(self) -> DataFrame:
         """Documents with ``start``, their first word's place in the source's stream."""
         chunks = max(1, math.ceil(self.rows / CHUNK_ROWS))
-        named = self.sizes.withColumnRenamed("source", "of")
-        rows = named.join(self.sources, F.col("of").eqNullSafe(F.col("source"))).drop("of").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", "mark"), F.lit(chunks)))
+        rows = self.of_source(self.sizes).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", "mark"), F.lit(chunks)))
         before = Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         totals = rows.groupBy("no", "chunk").agg(F.sum("size").alias("words_in")).withColumn("base", F.coalesce(F.sum("words_in").over(before), F.lit(0))).drop("words_in")
         inside = Window.partitionBy("no", "chunk").orderBy("doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
@@ -143,7 +162,7 @@ class Mix:
         """
         keys = ["doc_id", "source", "size", "source_size", "target"]
         taken = self.pieces().groupBy("no", "start", "mark", *keys).agg(F.sum(F.col("n") * F.col("times")).alias("taken")).select(*keys, "taken")
-        bare = self.sizes.where("size = 0").withColumnRenamed("source", "of").join(self.sources, F.col("of").eqNullSafe(F.col("source"))).select(*keys, F.lit(0).cast("long").alias("taken"))
+        bare = self.of_source(self.sizes.where("size = 0")).select(*keys, F.lit(0).cast("long").alias("taken"))
         return taken.unionByName(bare)
 
     def fragments(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = None) -> DataFrame:

@@ -145,9 +145,44 @@ def test_mix_meets_targets(spark):
     assert words == {d: n for d, n in taken.items() if n}
 
 
-def test_targets_are_capped_and_reshared():
-    assert mixing.share_targets([10, 100, 100], [10, 1, 1], 210) == [30, 90, 90]
-    assert mixing.share_targets([0, 5], [1, 1], 5) == [0, 5] and mixing.share_targets([], [], 0) == []
+def share_by_hand(sizes, weights, budget):
+    caps, targets, open_ = [3 * x for x in sizes], [0.0] * len(sizes), set(range(len(sizes)))
+    while open_:
+        left, weight = budget - sum(caps[i] for i in range(len(sizes)) if i not in open_), sum(weights[i] for i in open_)
+        over = {i for i in open_ if weight and left * weights[i] / weight > caps[i]}
+        for i in over or open_:
+            targets[i] = caps[i] if over else left * weights[i] / weight if weight else 0
+        open_ = open_ - over if over else set()
+    return targets
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_are_capped_and_reshared(spark, seed, monkeypatch):
+    """More sources than a broadcast or one range takes, against shares worked out by hand."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 8 if seed % 2 else 1000)
+    monkeypatch.setattr(mixing, "RANGE_SOURCES", 7)
+    monkeypatch.setattr(components, "HOT_ROWS", 20)
+    rnd = random.Random(seed)
+    names = [None, "", *(f"s{i:02d}é" for i in range(28))]
+    rows = [(i, " ".join(["w"] * rnd.choice([0, 1, 5, 300])), None, rnd.choice(names) if i % 3 else "hot") for i in range(400)]
+    out = mixing.Mix(docs_of(spark, rows)).documents().collect()
+    sizes = {}
+    for _, t, _, src in rows:
+        sizes[src] = sizes.get(src, 0) + len(t.split())
+    order = sorted(sizes, key=lambda x: (x is None, (x or "").encode()))
+    want = dict(zip(order, share_by_hand([sizes[x] for x in order], [1 + i % 3 for i in range(len(order))], sum(sizes.values())), strict=True))
+    assert len(out) == len(rows) and {r.source for r in out} == set(order)
+    for r in out:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and r.taken <= 3 * r["size"]
+    for x in order:
+        taken = sum(r.taken for r in out if r.source == x)
+        assert abs(taken - want[x]) <= max(0.02 * want[x], 2 * sizes[x] / 256, 1)
+
+
+def test_given_weights(spark):
+    rows = [(i, "w " * 100, None, ["a", "b", None][i % 3]) for i in range(30)]
+    out = mixing.Mix(docs_of(spark, rows), weights={"a": 3, None: 1}).documents().collect()
+    assert {r.source: r.target for r in out} == {"a": pytest.approx(2250), "b": 0, None: pytest.approx(750)}
 
 
 def test_slots_are_permutations(spark):
