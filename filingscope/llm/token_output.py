@@ -54,16 +54,16 @@ def feistel(at: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _counts(tokenizer_file: str, length: int, end_id: int):
+def _counts(tokenizer_file: str, length: int):
     """Rows, sequences and a checksum of the ids of each input partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, rows, sequences, mark = word_ids(tokenizer_file), 0, 0, 0
         for batch in batches:
             mark = zlib.crc32(repr(batch.column(0).to_pylist()).encode(), mark)
-            for ids in table.rows(batch.column(1), end_id):
-                rows += 1
-                sequences += math.ceil(len(ids) / length)
+            ids = table.counts(batch.column(1)) + 1
+            rows += len(ids)
+            sequences += int((-(-ids // length)).sum())
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (TaskContext.get().partitionId(), rows, sequences, mark)], ["task", "rows", "sequences", "mark"])
 
     return bounded(run)
@@ -151,7 +151,7 @@ def materialise(docs: DataFrame, tokenizer_file: str, folder: str | None = None,
     folder = folder or Workspace(spark, "shards").path
     kind = "<u2" if max(Tokenizer.from_file(tokenizer_file).get_vocab_size(), end_id + 1, pad_id + 1) <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tasks = sorted(tuple(r) for r in rows.mapInArrow(_counts(tokenizer_file, length, end_id), "task bigint, rows bigint, sequences bigint, mark bigint").collect())
+    tasks = sorted(tuple(r) for r in rows.mapInArrow(_counts(tokenizer_file, length), "task bigint, rows bigint, sequences bigint, mark bigint").collect())
     plan, total = {}, 0
     for task, _, sequences, mark in tasks:  # one entry for each input partition
         plan[task] = (total, mark)
@@ -167,7 +167,8 @@ def materialise(docs: DataFrame, tokenizer_file: str, folder: str | None = None,
     tasks_out = min(shards, MOST_TASKS)
     ranged = numbered.repartitionById(tasks_out, (F.col("shard").cast("long") * tasks_out / shards).cast("int")).sortWithinPartitions("slot")  # ranges of slots, without sampling the input
     written = ranged.mapInArrow(_write(folder, stride, length, pad, shard_slots, total), "doc_id bigint, piece int, slot bigint, shard int, length int, ids_crc32 bigint")
-    return written.withColumn("position", F.col("slot") % shard_slots * stride)
+    # The shards are written here and once; what is returned is the index that came with them.
+    return Workspace(spark, "slots").put(written.withColumn("position", F.col("slot") % shard_slots * stride), "index")
 
 
 def read_slots(folder: str, first: int, count: int) -> np.ndarray:

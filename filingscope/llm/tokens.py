@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ import pyarrow as pa
 from .wordhash import U64, segments, span_hashes, string_buffers, word_bounds
 
 #: Words that a worker remembers, and ids of theirs; beyond either the table starts anew.
-TABLE_WORDS, TABLE_IDS = 3 << 19, 1 << 23
+TABLE_WORDS, TABLE_IDS = 3_000_000, 1 << 24
 #: Words that go to the tokenizer at once: each comes back as an object that is many times its size.
 ENCODE_WORDS = 4096
 
@@ -33,13 +34,15 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(tokenizer_file).encode_batch_fast
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.encode = tokenizer.encode_batch_fast
+        self.kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._clear()
 
     def _clear(self) -> None:
         self.words, self.used = 0, 0
-        self.keys, self.first, self.size = np.zeros(1 << 16, dtype=np.uint64), np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32)
-        self.pool = np.zeros(1 << 18, dtype=np.uint32)
+        self.keys, self.first, self.size = np.zeros(1 << 16, dtype=np.uint64), np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 16, dtype=np.uint32)
+        self.pool = np.zeros(1 << 18, dtype=self.kind)
         self._slots(1 << 18)
 
     def _slots(self, n: int) -> None:
@@ -67,14 +70,17 @@ class WordIds:
         return found
 
     def add(self, hashes: np.ndarray, words: list[str]) -> None:
-        ids = [np.array(e.ids, dtype=np.uint32) for at in range(0, len(words), ENCODE_WORDS) for e in self.encode(words[at : at + ENCODE_WORDS], add_special_tokens=False)]
-        n, sizes = self.words + len(words), np.array([len(x) for x in ids], dtype=np.int32)
-        flat = np.concatenate(ids)
+        parts, counts = [], []
+        for at in range(0, len(words), ENCODE_WORDS):
+            ids = [e.ids for e in self.encode(words[at : at + ENCODE_WORDS], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, ids), dtype=np.uint32, count=len(ids)))
+            parts.append(np.fromiter(chain.from_iterable(ids), dtype=self.kind, count=int(counts[-1].sum())))
+        n, sizes, flat = self.words + len(words), np.concatenate(counts), np.concatenate(parts)
         grow = lambda a, size: np.concatenate([a, np.zeros(max(len(a), size - len(a)), dtype=a.dtype)]) if size > len(a) else a
         self.keys, self.first, self.size, self.pool = grow(self.keys, n), grow(self.first, n), grow(self.size, n), grow(self.pool, self.used + len(flat))
         new = slice(self.words, n)
         self.keys[new], self.size[new] = hashes, sizes
-        self.first[new] = self.used + np.cumsum(sizes) - sizes
+        self.first[new] = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
         self.pool[self.used : self.used + len(flat)] = flat
         entries = np.arange(self.words, n, dtype=np.int32)
         self.words, self.used = n, self.used + len(flat)
@@ -83,11 +89,11 @@ class WordIds:
         else:
             self._place(entries)
 
-    def units(self, data: np.ndarray, group: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the group's texts in a row, and ids per segment."""
+    def units(self, data: np.ndarray, group: list[tuple[int, int, int]], counts_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the group's texts in a row (none if only counts are wanted), and ids per segment."""
         part, starts, ends, counts = word_bounds(data, group)
         if not len(starts):
-            return np.zeros(0, dtype=np.uint32), np.zeros(len(group), dtype=np.int64)
+            return np.zeros(0, dtype=self.kind), np.zeros(len(group), dtype=np.int64)
         # Closing marks after an ASCII letter are a unit of their own; a capital before a small letter counts as small. Neither changes an id.
         solid = np.where(_IS_MARK[part], -1, np.arange(len(part)))
         core = np.maximum.accumulate(solid)[ends - 1]
@@ -114,9 +120,19 @@ class WordIds:
             self.add(new, [raw[starts[i] : ends[i]].decode() for i in miss[at].tolist()])
             entry[miss] = self.find(hashes[miss])
         size = self.size[entry].astype(np.int64)
+        each = np.bincount(of, weights=size, minlength=len(group)).astype(np.int64)
+        if counts_only:
+            return np.zeros(0, dtype=self.kind), each
         total = np.cumsum(size)
-        ids = self.pool[np.repeat(self.first[entry] - total + size, size) + np.arange(total[-1])]
-        return ids, np.bincount(of, weights=size, minlength=len(group)).astype(np.int64)
+        return self.pool[np.repeat(self.first[entry].astype(np.int64) - total + size, size) + np.arange(total[-1])], each
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """Ids of each row, without the closing one."""
+        data, offsets = string_buffers(column)
+        out = np.zeros(max(0, len(offsets) - 1), dtype=np.int64)
+        for group in segments(data, offsets):
+            np.add.at(out, [row for row, _, _ in group], self.units(data, group, counts_only=True)[1])
+        return out
 
     def rows(self, column: pa.Array, end_id: int) -> Iterator[np.ndarray]:
         """Each row's ids with ``end_id`` after them, in order; null counts as empty."""
