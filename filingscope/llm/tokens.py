@@ -37,6 +37,8 @@ class WordIds:
         tokenizer = Tokenizer.from_file(tokenizer_file)
         self.encode = tokenizer.encode_batch_fast
         self.kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        comma = self.encode([","], add_special_tokens=False)[0].ids
+        self.comma = comma[0] if len(comma) == 1 else -1
         self._clear()
 
     def _clear(self) -> None:
@@ -69,12 +71,31 @@ class WordIds:
             open_, at = open_[on], (at[on] + 1) & mask
         return found
 
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row, and how many each has."""
+        ids = [e.ids for e in self.encode(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), dtype=np.uint32, count=len(ids))
+        return np.fromiter(chain.from_iterable(ids), dtype=self.kind, count=int(sizes.sum())), sizes
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words without a comma, as one text with commas between them; one by one if the commas' ids don't tell the words apart."""
+        ids = np.array(self.encode([" , ".join(words)], add_special_tokens=False)[0].ids, dtype=self.kind)
+        cuts = np.flatnonzero(ids == self.comma)
+        if len(cuts) != len(words) - 1:
+            return self._each(words)
+        ends = np.append(cuts, len(ids))
+        return np.delete(ids, cuts), np.diff(ends - np.arange(len(ends)), prepend=0).astype(np.uint32)
+
     def add(self, hashes: np.ndarray, words: list[str]) -> None:
-        parts, counts = [], []
-        for at in range(0, len(words), ENCODE_WORDS):
-            ids = [e.ids for e in self.encode(words[at : at + ENCODE_WORDS], add_special_tokens=False)]
-            counts.append(np.fromiter(map(len, ids), dtype=np.uint32, count=len(ids)))
-            parts.append(np.fromiter(chain.from_iterable(ids), dtype=self.kind, count=int(counts[-1].sum())))
+        apart = np.array(["," in w for w in words])
+        order, parts, counts = [], [], []
+        for rows, encoded in ((np.flatnonzero(~apart), self._joined), (np.flatnonzero(apart), self._each)):
+            for at in range(0, len(rows), ENCODE_WORDS):
+                ids, sizes = encoded([words[i] for i in rows[at : at + ENCODE_WORDS].tolist()])
+                parts.append(ids)
+                counts.append(sizes)
+            order.append(rows)
+        hashes = hashes[np.concatenate(order)]
         n, sizes, flat = self.words + len(words), np.concatenate(counts), np.concatenate(parts)
         grow = lambda a, size: np.concatenate([a, np.zeros(max(len(a), size - len(a)), dtype=a.dtype)]) if size > len(a) else a
         self.keys, self.first, self.size, self.pool = grow(self.keys, n), grow(self.first, n), grow(self.size, n), grow(self.pool, self.used + len(flat))

@@ -397,3 +397,16 @@ def test_many_languages_keep_their_labels():
     scores = np.full((4, 300), -10.0, dtype=np.float32)
     scores[np.arange(4), [290, 290, 5, 5]] = 0
     assert langid.viterbi(scores, np.array([4]), 1.0).tolist() == [290, 290, 5, 5]
+
+
+def test_words_in_one_text_have_their_own_ids():
+    from filingscope.llm import tokens
+
+    table = tokens.WordIds(_tokenizer())
+    words = ["kato", "x", "don't", "é", "12.5", "…", "A" * 50, "<|endoftext|>", "，", "̈x", "\xa0"]
+    for own in (words, words[:1], [w for w in words if w != "，"] * 3):
+        ids, sizes = table._joined(own)
+        one, each = table._each(own)
+        assert ids.tolist() == one.tolist() and sizes.tolist() == each.tolist()
+    table.comma = -1
+    assert table._joined(words)[0].tolist() == table._each(words)[0].tolist()
