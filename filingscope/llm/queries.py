@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .workspace import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -22,7 +24,7 @@ def _tokenizer() -> str:
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import Mix
 
-    return Mix(_table(spark, sf_dir, "documents")).documents()
+    return Mix(spread(_table(spark, sf_dir, "documents"))).documents()
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,13 +37,13 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
-    return identify(_table(spark, sf_dir, "documents"))
+    return identify(spread(_table(spark, sf_dir, "documents")))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract_pages
 
-    return extract_pages(_table(spark, sf_dir, "pages"))
+    return extract_pages(spread(_table(spark, sf_dir, "pages")))
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +55,7 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
+    return pack_documents(spread(_table(spark, sf_dir, "documents")), _tokenizer())
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +67,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+    return near_duplicates(spread(_table(spark, sf_dir, "documents")), shingle_words=3, percent=85)
 
 
 def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
