@@ -102,6 +102,20 @@ def saved_state(state: DataFrame, at: str, writes: int, next_offset: int | None
     return out.withColumn("nextOffset", F.lit(next_offset)) if next_offset is not None else out
 
 
+def indexed_documents(pages: DataFrame, filings: DataFrame, done: DataFrame) -> DataFrame:
+    """(filing_id, case_number, key, html, sha256, pages, empty) of filings that aren't indexed yet, from their pages' text.
+
+    ``pages``: filing_id, page_number, page. The key names the year of receipt.
+    """
+    from .records import document_html, ocr_candidates, unpublished
+
+    fresh = unpublished(filings, done, "filing_id")
+    html = document_html(pages).join(ocr_candidates(pages), "filing_id")
+    year = F.coalesce(F.nullif(F.substring("received_date", 1, 4), F.lit("")), F.lit("unknown"))
+    rows = fresh.join(html, "filing_id")
+    return rows.select("filing_id", "case_number", F.concat(F.lit("filings/"), year, F.lit("/"), F.col("filing_id").cast("string"), F.lit(".html.gz")).alias("key"), "html", F.sha2("html", 256).alias("sha256"), "pages", "empty")
+
+
 def net_growth(new_size: Column, old_size: Column) -> Column:
     """Bytes that an overwrite adds to the store."""
     return new_size - F.coalesce(old_size, F.lit(0))

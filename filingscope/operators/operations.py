@@ -111,6 +111,23 @@ def limited_body(body: Column, schema: str, most_bytes: int = 64 * 1024) -> Colu
     return F.struct(large.alias("too_large"), F.when(~large, F.from_json(body, schema)).alias("value"))
 
 
+def challenge_passed(answer: Column, secret: str | None, action: str, hostname: str | None = None) -> Column:
+    """Whether the challenge service's answer (JSON, null if there was none) lets a request in; always without a secret."""
+    a = F.from_json(answer, "success boolean, action string, hostname string")
+    ok = a["success"] & (a["action"] == action) & (F.lit(hostname is None) | (a["hostname"] == F.lit(hostname)))
+    return F.coalesce(ok, F.lit(False)) | F.lit(not secret)
+
+
+def cached_news(log: DataFrame, as_of: str, minutes: int = 30) -> DataFrame:
+    """The last fetched news (ts, status, payload), if they are young enough to serve."""
+    return last_known_good(log, as_of, minutes * 60)
+
+
+def store_bytes(pages: Column, page_size: Column) -> Column:
+    """Bytes that a database holds, by its pages."""
+    return pages.cast("long") * page_size.cast("long")
+
+
 def bearer_matches(header: Column, secret: str) -> Column:
     """Whether an authorization header carries the secret, compared by digests; false without a secret."""
     given = F.when(F.startswith(header, F.lit("Bearer ")), F.substring(header, F.lit(8), F.length(header))).otherwise("")

@@ -130,6 +130,34 @@ def by_priority(specs: DataFrame) -> DataFrame:
     return specs.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
+def live_links(probes: DataFrame) -> DataFrame:
+    """(url, live) of recorded probes (url, method, status; null if the request failed).
+
+    A good HEAD answer is enough; else GET decides, by which only 404 and no answer at
+    all are dead. Addresses other than http and https are dead.
+    """
+    head, get = (F.max(F.when(F.col("method") == m, F.col("status"))).alias(m) for m in ("HEAD", "GET"))
+    web = F.coalesce(F.lower(F.try_parse_url("url", F.lit("PROTOCOL"))).isin("http", "https"), F.lit(False))
+    live = F.coalesce(F.col("HEAD").between(200, 299), F.lit(False)) | F.coalesce(F.col("GET") != 404, F.lit(False))
+    return probes.groupBy("url").agg(head, get).select("url", (web & live).alias("live"))
+
+
+def sql_literal(value: Column) -> Column:
+    """A text as an SQL literal without control characters; NULL for null or empty."""
+    clean = F.regexp_replace(value, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    return F.when(value.isNull() | (value == ""), "NULL").otherwise(F.concat(F.lit("'"), F.replace(clean, F.lit("'"), F.lit("''")), F.lit("'")))
+
+
+def sql_batches(statements: DataFrame, most_bytes: int = 4 << 20) -> DataFrame:
+    """(batch, script): statements (file, pos, sql) of each file in order, in scripts that begin anew where a file has passed another ``most_bytes``.
+
+    Only a file's own statements meet in one task.
+    """
+    upto = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    sized = statements.withColumn("at", F.floor(F.coalesce(F.sum(F.octet_length("sql") + 1).over(upto), F.lit(0)) / most_bytes))
+    return sized.groupBy("file", F.col("at").alias("batch")).agg(joined("pos", F.col("sql"), "\n").alias("script"))
+
+
 def results_set(payload: Column, item: str) -> Column:
     """The items of an API answer's result list; an empty array for anything else."""
     return F.coalesce(F.from_json(payload, f"resultsSet array<struct<{item}>>")["resultsSet"], F.from_json(F.lit("[]"), f"array<struct<{item}>>"))

@@ -105,6 +105,11 @@ def response_text(payload: Column) -> Column:
     return F.regexp_replace(F.coalesce(p["output_text"], F.array_join(texts, "\n"), F.lit("")), r"^\s+|\s+$", "")
 
 
+def answer_or_excerpts(answer: Column, excerpts: Column) -> Column:
+    """A model's answer, or the excerpts themselves if it gave none."""
+    return F.when(F.length(F.trim(F.coalesce(answer, F.lit("")))) > 0, answer).otherwise(excerpts)
+
+
 def static_stream(reply: Column, request_id: Column, token: Column) -> Column:
     """Array of the two events of an answer that is there at once."""
     done = F.to_json(F.struct(request_id.alias("requestId"), token.alias("feedbackToken")), {"ignoreNullFields": "false"})

@@ -41,6 +41,19 @@ def bm25_search(questions: DataFrame, chunks: DataFrame, most: int = ROWS) -> Da
     return best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).select("question_id", "rank", "id", "score")
 
 
+def matching_rows(hits: DataFrame, chunks: DataFrame, documents: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """Search hits (question_id, rank, id) with their chunk (id, filing_id, page_number) and document (filing_id, case_number, title, received_date).
+
+    ``cases`` (question_id, case_number) keeps a question to one case; a question
+    without a row there, or with a null, is free.
+    """
+    rows = hits.join(chunks, "id").join(documents, "filing_id")
+    if cases is None:
+        return rows
+    wanted = rows.join(small(cases.select("question_id", F.col("case_number").alias("_case"))), "question_id", "left")
+    return wanted.where(F.col("_case").isNull() | (F.col("_case") == F.col("case_number"))).drop("_case")
+
+
 def newest_chunks(cases: DataFrame, chunks: DataFrame, most: int = ROWS) -> DataFrame:
     """Without terms: the first chunk of a case's newest filings."""
     first = chunks.join(cases, "case_number").groupBy("case_number", "filing_id").agg(F.min_by("text", F.struct("page_number", "id")).alias("text"), F.min("page_number").alias("page_number"), F.max("received_date").alias("received_date"))

@@ -624,3 +624,53 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         out.write(bytearray(payload.encode()))
         out.close()
     return landed.read_manifests(spark, path).select("filing_id", "case_number", "title", "r2_key")
+
+
+@query(f"""WITH {FILINGS}, {QTERMS}, w AS (SELECT filing_id AS id, unnest({tok('text')}) AS term FROM filings), sz AS (SELECT filing_id AS id, len({tok('text')}) AS size FROM filings), tot AS (SELECT count(*) AS n, avg(size) AS mean FROM sz), tf AS (SELECT id, term, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+s AS (SELECT question_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size / mean))), 6) AS score FROM qterms JOIN tf USING (term) JOIN df USING (term) JOIN sz USING (id), tot GROUP BY ALL),
+r AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank, id FROM s QUALIFY rank <= 8)
+SELECT question_id, rank, id, filing_id, case_number, title, received_date FROM r JOIN filings ON filing_id = id WHERE question_id % 2 = 0 OR case_number = 'FC1000'""")
+def matching_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits, chunks and documents; every second question keeps to one case."""
+    rows = filings(spark, sf_dir)
+    chunks = rows.select(F.col("filing_id").alias("id"), "case_number", "text")
+    asked = questions(spark, sf_dir)
+    hits = search.bm25_search(asked.withColumn("case", F.lit(None).cast("string")), chunks).select("question_id", "rank", "id")
+    cases = asked.select("question_id", F.when(F.col("question_id") % 2 == 1, "FC1000").alias("case_number"))
+    return search.matching_rows(hits, rows.select(F.col("filing_id").alias("id"), "filing_id"), rows.select("filing_id", "case_number", "title", "received_date"), cases).select("question_id", "rank", "id", "filing_id", "case_number", "title", "received_date")
+
+
+PROBES = ("page_id", "CASE WHEN page_id % 9 = 0 THEN 'ftp' ELSE 'https' END || '://x.org/' || CAST(page_id AS STRING) AS url", "CASE page_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 405 WHEN 2 THEN 404 END AS head", "CASE page_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 404 END AS got")
+
+
+@query(f"SELECT url, page_id % 9 <> 0 AND (coalesce(head = 200, false) OR coalesce(got <> 404, false)) AS live FROM {made_sql('pages', PROBES)}")
+def live_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = made(spark, sf_dir, "pages", PROBES)
+    return records.live_links(rows.select("url", F.lit("HEAD").alias("method"), F.col("head").alias("status")).unionByName(rows.select("url", F.lit("GET").alias("method"), F.col("got").alias("status"))))
+
+
+ANSWERS = ("event_id", "CASE event_id % 4 WHEN 0 THEN '{\"success\":true,\"action\":\"chat\",\"hostname\":\"x.org\"}' WHEN 1 THEN '{\"success\":true,\"action\":\"other\"}' WHEN 2 THEN '{\"success\":false,\"action\":\"chat\"}' END AS challenge", "'{\"resultsSet\":[{\"id\":' || CAST(event_id AS STRING) || '}]}' AS payload", "CASE WHEN event_id % 2 = 0 THEN ' ' ELSE 'text' END AS answer")
+
+
+@query("SELECT event_id, event_id % 4 = 0 AS passed, true AS open, event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'excerpts' ELSE 'text' END AS shown, event_id * 4096 AS bytes FROM events")
+def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = made(spark, sf_dir, "events", ANSWERS)
+    return rows.select("event_id", operations.challenge_passed(F.col("challenge"), "s", "chat", "x.org").alias("passed"), operations.challenge_passed(F.col("challenge"), None, "chat").alias("open"), records.results_set(F.col("payload"), "id:bigint")[0]["id"].alias("id"), render.answer_or_excerpts(F.col("answer"), F.lit("excerpts")).alias("shown"), operations.store_bytes(F.col("event_id"), F.lit(4096)).alias("bytes"))
+
+
+INSERTS = ("doc_id", "source AS file", "CASE WHEN doc_id % 3 = 0 THEN 'O''Hara' || chr(7) WHEN doc_id % 3 = 1 THEN '' ELSE lang END AS value")
+
+
+@query(f"""WITH s AS (SELECT file, doc_id AS pos, 'INSERT ' || CASE WHEN value IS NULL OR value = '' THEN 'NULL' ELSE '''' || replace(replace(value, chr(7), ''), '''', '''''') || '''' END || ';' AS sql FROM {made_sql('documents', INSERTS)}),
+b AS (SELECT *, CAST(floor(coalesce(sum(strlen(sql) + 1) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 200) AS BIGINT) AS batch FROM s) SELECT file, batch, string_agg(sql, chr(10) ORDER BY pos) AS script FROM b GROUP BY file, batch""")
+def sql_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = made(spark, sf_dir, "documents", INSERTS).select("file", F.col("doc_id").alias("pos"), F.concat(F.lit("INSERT "), records.sql_literal(F.col("value")), F.lit(";")).alias("sql"))
+    return records.sql_batches(rows, 200)
+
+
+@query(f"""WITH {FILINGS}, p AS (SELECT filing_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM filings WHERE filing_id % 3 <> 0),
+h AS (SELECT filing_id, string_agg('<section data-page="' || pos || '"><pre>' || replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</pre></section>', '' ORDER BY pos) AS html, count(*) AS pages, count(*) FILTER (length(trim(line)) < 40) AS empty FROM p GROUP BY 1)
+SELECT filing_id, case_number, 'filings/' || coalesce(left(received_date, 4), 'unknown') || '/' || filing_id || '.html.gz' AS key, sha256(html) AS sha256, pages, empty FROM h JOIN filings USING (filing_id)""")
+def indexed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filings(spark, sf_dir)
+    return ingest.indexed_documents(evidence.pages_of(rows), rows, rows.where("filing_id % 3 = 0").select("filing_id")).drop("html")

@@ -448,7 +448,7 @@ def storage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per question over its best case: candidates, ties, true matches, precision, overlap, evidence."""
     searches, rows, filters = _search_tables(spark, sf_dir)
-    ranked = once(evidence.rank_documents(evidence.candidates(searches, rows, filters), AS_OF).drop("text", "bits"), "ranked")
+    found = once(evidence.candidates(searches, rows, filters).select("question_id", "filing_id", "hits"), "candidates")
     plain = F.lower("text")
     true = rows.where("text IS NOT NULL").join(small(searches), "case_number").withColumn("true_terms", F.size(F.filter("terms", lambda t: F.contains(plain, t))))
     true = true.select("question_id", "filing_id", "received_date", "true_terms")
@@ -457,7 +457,7 @@ def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = got.withColumn("distinct_filings", F.size("got").cast("long"))
     order = Window.partitionBy("question_id").orderBy(F.desc("true_terms"), F.desc(F.coalesce("received_date", F.lit(""))), "filing_id")
     oracle = true.where("true_terms > 0").withColumn("place", F.row_number().over(order)).join(got.select("question_id", "distinct_filings"), "question_id").where("place <= distinct_filings").groupBy("question_id").agg(F.collect_set("filing_id").alias("best"))
-    tops = ranked.withColumn("top", F.max("hits").over(Window.partitionBy("question_id"))).join(true.select("question_id", "filing_id", "true_terms"), ["question_id", "filing_id"])
+    tops = found.join(found.groupBy("question_id").agg(F.max("hits").alias("top")), "question_id").join(true.select("question_id", "filing_id", "true_terms"), ["question_id", "filing_id"])
     found = tops.groupBy("question_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("hits") == F.col("top")).alias("tied_at_top"), F.round(F.avg((F.col("true_terms") > 0).cast("int")), 3).alias("bloom_precision"))
     matches = true.groupBy("question_id").agg(F.count_if(F.col("true_terms") > 0).alias("true_matches"))
     out = found.join(matches, "question_id").join(got, "question_id", "left").join(oracle, "question_id", "left")
