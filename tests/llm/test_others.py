@@ -307,3 +307,91 @@ def test_time_grows_with_the_page(made):
 def test_what_the_end_leaves_open_is_no_text():
     assert html_extract.main_text("<p>a</p><!-- b <p>c</p>") == "a" and html_extract.main_text("<p>a < 3 b</p><p>x <b") == "a < 3 b\nx"
     assert html_extract.main_text("<script><!-- x</script><p>a</p>") == "a"
+
+
+def test_each_stage_equals_brute_force(spark, tmp_path):
+    """Every stage against a plain version, on its own input."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from filingscope.llm.langid import fit
+    from filingscope.llm.langid import spans as language_spans
+    from filingscope.llm.queries import _tokenizer
+    from tests.llm.test_documents import brute_components
+
+    odd = spark.createDataFrame([(None, None, None, None, None), (90_001, "", "en", "z", 0), (90_002, "123 !", None, None, 5), (90_003, "Ends ALIKE here.", "en", "a", 16), (90_004, "ends alike here.", "en", "a", 16), (90_004, "ends alike here.", "en", "a", 16), (90_004, "another text with this id", "en", "b", 25)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select(*odd.columns).unionByName(odd)
+    docs.write.parquet(str(tmp_path / "0"))
+    read = lambda i: spark.read.parquet(str(tmp_path / str(i)))
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, read(i), DATA).write.parquet(str(tmp_path / str(i + 1)))
+    tables = [[tuple(r) for r in read(i).collect()] for i in range(6)]
+    ordered = lambda rows: sorted(rows, key=str)
+
+    model, want = fit(read(0)), []
+    for d, t, lang, src, n in tables[0]:
+        letters = {}
+        for a, b, label in language_spans(model, t):
+            letters[label] = letters.get(label, 0) + sum(c.isalpha() for c in t[a:b])
+        if letters:
+            want.append((d, t, min(letters, key=lambda x: (-letters[x], x)), src, n))
+    assert ordered(tables[1]) == ordered(want)
+
+    last = {}
+    for r in tables[1]:
+        key = "".join(c.lower() if "A" <= c <= "Z" else c for c in r[1] or "")
+        if key not in last or (r[0] is not None and (last[key][0] is None or r[0] >= last[key][0])):
+            last[key] = r
+    assert ordered(tables[2]) == ordered(last.values())
+
+    rows = sorted(tables[2], key=lambda r: (r[0] is None, r[0] or 0, str(r)))
+    kept = [rows[i] for i, n, c in brute_components([(i, r[1]) for i, r in enumerate(rows)], 5, 80) if i == c]
+    assert ordered(tables[3]) == ordered(kept) and len(kept) < len(rows)
+
+    whole = {(r[0], r[3]): r for r in tables[3]}
+    assert len(whole) == len(tables[3])
+    taken, sizes = {}, {}
+    for d, t, lang, src, n in tables[4]:
+        own = whole[d, src]
+        assert t in own[1] and (lang, src, n) == (own[2], own[3], len(t))
+        taken[src] = taken.get(src, 0) + len(t.split())
+    for r in tables[3]:
+        sizes[r[3]] = sizes.get(r[3], 0) + len((r[1] or "").split())
+    assert sum(taken.values()) == pytest.approx(sum(sizes.values()), rel=0.03)
+
+    encode = Tokenizer.from_file(_tokenizer()).encode
+    ids = sum(len(encode(t or "", add_special_tokens=False).ids) + 1 for _, t, *_ in tables[4])
+    bins = {}
+    for _, _, _, length, _, b, at in tables[5]:
+        bins.setdefault(b, []).append((at, length))
+    assert sum(n for own in bins.values() for _, n in own) == ids and max(sum(n for _, n in own) for own in bins.values()) <= 2048
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_pages_of_known_text(seed):
+    """Pages made from their main text: furniture of several kinds around it, markup and references inside it."""
+    import html as escape
+    import random
+
+    rnd = random.Random(seed)
+    words = lambda n: " ".join(rnd.choices("alpha beta gamma <delta> & epsilon zeta’s ётa".split(), k=n))
+    blocks = ["Title of " + words(3), *(words(rnd.randrange(25, 90)) for _ in range(rnd.randrange(4, 12)))]
+    inner = [f"<h1>{escape.escape(blocks[0])}</h1>"]
+    for b in blocks[1:]:
+        marked = " ".join(f"<em>{escape.escape(w)}</em>" if rnd.random() < 0.1 else escape.escape(w) for w in b.split())
+        inner.append(rnd.choice(["<p>{}</p>", "<p>{}", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>"]).format(marked))
+        inner.append(rnd.choice(["", "<div class='advert'>Buy it now</div>", "<script>x('</p>')</script>", "<form><input><p>Name</p></form>"]))
+    around = [f"<nav>{''.join(f'<a href=x>{w}</a> ' for w in 'Home News About'.split())}</nav>", "<header><p>Site name</p></header>", "<div class='cookie-notice'><p>We use cookies.</p></div>", "<aside><p>More of it</p></aside>"]
+    wrap = rnd.choice(["<article>{}</article>", "<main>{}</main>", "<div id='text'>{}</div>"])
+    page = f"<html><head><title>x</title></head><body>{''.join(rnd.sample(around, 3))}{wrap.format(''.join(inner))}<section class='comments'><p>{words(30).replace('<', '')}</p></section><footer>foot</footer></body></html>"
+    assert html_extract.main_text(page) == "\n".join(" ".join(b.split()) for b in blocks)
+
+
+def test_one_huge_conversation(spark):
+    n = 20_000
+    text = F.when(F.col("turn") % 1000 == 999, F.concat(F.lit("> This is message number "), (F.col("turn") - 500).cast("string"), F.lit(" of a long talk.\nIndeed."))).when(F.col("turn") == 7, F.repeat(F.lit("word and word again. "), 50_000)).otherwise(F.concat(F.lit("This is message number "), F.col("turn").cast("string"), F.lit(" of a long talk.")))
+    talk = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role")).withColumn("text", text)
+    out = chat.link_quotes(talk)
+    linked = out.where("linked").select("turn", "reply_to").collect()
+    assert {(r.turn, r.reply_to) for r in linked} == {(t, t - 500) for t in range(999, n, 1000)}
+    assert out.agg(F.count_distinct("position"), F.min("position"), F.max("position")).first() == (n, 0, n - 1)
