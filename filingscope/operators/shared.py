@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Questions are broadcast up to so many; more are joined by shuffle.
@@ -25,15 +25,19 @@ def spread(df: DataFrame) -> DataFrame:
 def once(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` as a table written to the folder that spark.checkpoint.dir names.
 
-    Without that setting a local session writes below /tmp/checkpoints, and a cluster
-    leaves ``df`` as it is, to be computed where it is read.
+    Only a local session may do without that setting; it writes below /tmp/checkpoints.
     """
     spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own, where all executors reach it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
-            return df
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, markdown, scoring, text
 from ..operators import dispatch, evidence, index, ingest, operations, published, records, render, routing, search
-from ..operators.shared import once
+from ..operators.shared import new_folder, once
 from ..sources import filings as landed
 from ..streaming import jobs
 from .corpus import AS_OF, filings, questions, table, turns
@@ -27,12 +25,6 @@ def made_sql(name: str, columns: tuple[str, ...], where: str = "true") -> str:
     return f"(SELECT {', '.join(columns)} FROM {name} WHERE {where})"
 
 
-def folder(spark: SparkSession, label: str) -> str:
-    """A new folder where all executors reach it."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 # Messages and identifiers
 
 MESSAGES = (
@@ -319,7 +311,7 @@ def index_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {INDEX} SELECT stem, case_number, df, weight FROM postings WHERE df <= 3")
 def generation_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings as a reader finds them after two generations were published."""
-    postings, path = once(index.postings(filings(spark, sf_dir)), "postings"), folder(spark, "index")
+    postings, path = once(index.postings(filings(spark, sf_dir)), "postings"), new_folder(spark, "index")
     landed.publish_index(postings, path, buckets=4)
     landed.publish_index(postings, path, buckets=8)
     return landed.read_postings(spark, path).where("df <= 3 AND case_number IS NOT NULL").select("stem", "case_number", "df", "weight")
@@ -329,7 +321,7 @@ def generation_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT filingId AS filing_id, receivedDate AS received_date FROM (SELECT doc_id AS filingId, '2024-01-' || CAST(10 + doc_id % 18 AS STRING) AS receivedDate FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0) WHERE receivedDate >= '2024-01-12' ORDER BY receivedDate DESC, filingId OFFSET 5 LIMIT 40""")
 def landed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = folder(spark, "records")
+    path = new_folder(spark, "records")
     raw = made(spark, sf_dir, "documents", ("doc_id AS filingId", "'FC1 - 2' AS docketNumber", "CASE WHEN doc_id % 5 = 0 THEN 'a.doc' ELSE 'a.pdf' END AS attachment", "doc_id AS attachmentId", "'2024-01-' || CAST(10 + doc_id % 18 AS STRING) AS receivedDate", "doc_id % 7 = 0 AS isConfidential", "false AS isArchived"))
     raw.write.json(path, compression="gzip")
     return landed.read_records(spark, path, newest_first=True, skip=5, take=40, since="2024-01-12").select(F.col("filingId").alias("filing_id"), F.col("receivedDate").alias("received_date"))
@@ -338,7 +330,7 @@ def landed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS id, source, n_chars + 2 * CAST(doc_id % 4 = 0 AS INT) AS v FROM documents")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches of landed files by the resumable stream, of which the later one renews some rows, with a compaction between them."""
-    path, target, marks = folder(spark, "landed"), folder(spark, "ingested"), folder(spark, "marks")
+    path, target, marks = new_folder(spark, "landed"), new_folder(spark, "ingested"), new_folder(spark, "marks")
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.col("n_chars").cast("long").alias("v"))
     run = lambda: jobs.ingest(spark, path, "id long, source string, v long", target, marks, ["id"], "v").awaitTermination()
     rows.where("id % 3 <> 1 OR id % 4 = 0").write.mode("append").json(path)
@@ -613,7 +605,7 @@ def age_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id AS filing_id, 'FC' || (100 + doc_id % 9) AS case_number, source AS title, 'k' || doc_id AS r2_key FROM documents WHERE doc_id % 9 <> 4""")
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of manifest files as they are read: only those whose content names the case of its path."""
-    path = folder(spark, "manifests")
+    path = new_folder(spark, "manifests")
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("FC"), (100 + F.col("doc_id") % 9).cast("string")).alias("case"), F.struct(F.col("doc_id").alias("filing_id"), F.col("source").alias("title"), F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("r2_key")).alias("d"))
     each = docs.groupBy("case").agg(F.collect_list("d").alias("documents"))
     fs = spark._jvm.org.apache.hadoop.fs  # noqa: SLF001
