@@ -196,6 +196,13 @@ def inline_sources(text: str, specs: list[tuple[str, str]]) -> str:
     return "".join(piece for piece, _ in parts)
 
 
+@F.pandas_udf(T.StringType())
+def link_mentions(text: pd.Series, links: pd.Series, titles: pd.Series) -> pd.Series:
+    """Replies with links where they name a verified target; ``links`` and ``titles`` are arrays of (label, url)."""
+    pairs = lambda rows: [(x["label"], x["url"]) for x in _plain_rows(rows)]
+    return pd.Series([None if t is None else inline_sources(t, mentions(pairs(a), pairs(b))) for t, a, b in zip(text, links, titles, strict=True)])
+
+
 class Relinker:
     """Repair on a stream: an automaton over characters, whose output doesn't depend on how the text is cut.
 

@@ -401,6 +401,17 @@ def rebuilt_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.rebuilt_answers(answers, records.repaired_links(records.answer_links(answers), targets, pages, SITE, search_page, "https://example.org/News.aspx"))
 
 
+SITES = ("item_id", "'In Formal Case No. 10' || CAST(10 + item_id % 90 AS STRING) || ', FC 10' || CAST(10 + item_id % 90 AS STRING) || ' and fc10' || CAST(10 + item_id % 90 AS STRING) || ' [FC 1017](x): ET2020 and the newsroom, Newsroom.' AS reply", "'10' || CAST(10 + item_id % 90 AS STRING) AS digits")
+
+
+@query(f"""SELECT item_id, 'In [Formal Case No. ' || digits || '](' || c || '), [FC ' || digits || '](' || c || ') and [fc' || digits || '](' || c || ') [FC 1017](x): [ET2020]({EDOCKET}/public/search/details/ET2020/3) and the [newsroom](https://example.org/news), [Newsroom](https://example.org/news).' AS reply FROM (SELECT *, '{EDOCKET}/public/search/casenumber/' || digits AS c FROM {made_sql('benchmark', SITES)})""")
+def linked_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = lambda label, url: F.struct(label.alias("label"), url.alias("url"))
+    links = F.array(pair(F.lit("ET2020 - 3"), F.lit(f"{EDOCKET}/public/search/details/ET2020/3")), pair(F.concat(F.lit("FC"), F.col("digits"), F.lit(" - Rates")), F.concat(F.lit(f"{EDOCKET}/public/search/casenumber/"), F.col("digits"))))
+    titles = F.array(pair(F.lit("Newsroom"), F.lit("https://example.org/news")))
+    return made(spark, sf_dir, "benchmark", SITES).select("item_id", markdown.link_mentions("reply", links, titles).alias("reply"))
+
+
 @query("SELECT item_id, text AS delta, 'done' AS last, CAST(item_id AS STRING) AS request_id, 'INDEXED E-DOCKET EXCERPTS:' || chr(10) || 'c' || chr(10) || chr(10) || 'CONVERSATION:' || chr(10) || text AS input, trim(text) AS answer FROM benchmark")
 def model_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests, answers and event streams as their readers find them."""

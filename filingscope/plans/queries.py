@@ -95,7 +95,7 @@ def phrase_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", text.phrase_form(F.col("text")).alias("phrase"))
 
 
-@query("""WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(left(text, 200), '[\\[\\]\\r\\n]+', ' ', 'g'), '[ \\t\\n\\v\\f\\r]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 120 THEN rtrim(left(t, 117)) || '...' ELSE t END AS title FROM c""")
+@query("""WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\[\\]\\r\\n]+', ' ', 'g'), '[ \\t\\n\\v\\f\\r]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 120 THEN rtrim(left(t, 117)) || '...' ELSE t END AS title FROM c""")
 def citation_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.citation_title(F.col("text")).alias("title"))
 
