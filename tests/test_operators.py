@@ -215,3 +215,40 @@ def test_members_need_all_positions(spark):
     found = index.members(index.term_filters(rows), terms, hashing.FILTER_BYTES, "filing_id")
     assert sorted(map(tuple, found.collect())) == [(1, "Storm"), (1, "storm"), (2, "calm")]
     assert index.members(index.term_filters(rows.limit(0)), terms, hashing.FILTER_BYTES, "filing_id").count() == 0
+
+
+def test_the_dispatcher_takes_the_narrowest_search_that_answers(spark):
+    from filingscope.operators import dispatch, routing
+
+    rows = corpus(spark, [(i, f"FC{1000 + i % 3}", "t", f"2025-01-0{1 + i % 9}", f"storm damage report {i}" if i % 3 else "meter rates review") for i in range(9)])
+    asked = spark.createDataFrame(
+        [(1, "storm damage in FC 1001", ["storm", "damage"], 1), (2, "meter rates", ["meter", "rates"], 1), (3, "storm damage", ["storm", "damage"], 1), (4, "FC 1002", [], 1), (5, "absent words", ["absent", "words"], 1), (6, "review in FC 1001", ["review"], 1), (7, "it", ["it"], 2)],
+        "question_id long, message string, terms array<string>, conv_id long",
+    ).withColumn("years", F.array().cast("array<int>"))
+    postings = index.postings(rows)
+    whole = routing.route(asked, postings).where("question_id = 2")
+    exhaustive = asked.select("question_id", (F.col("question_id") != 3).alias("available")).join(whole, "question_id", "left")
+    chunks = rows.select(F.col("filing_id").alias("id"), "filing_id", "case_number", F.lit(1).alias("page_number"), "received_date", "text")
+    entries = index.router_entries(rows).withColumn("part", (F.pmod(hashing.route_seed(F.array(F.lit("storm"), F.lit("damage"))), F.lit(16))).cast("int"))
+    turns = spark.createDataFrame([(2, 0, "user", "?"), (2, 1, "model", "See FC1000 and FC1002.")], "conv_id long, turn int, role string, content string")
+    carried = dispatch.carried_cases(asked, turns)
+    assert sorted(map(tuple, carried.collect())) == [(7, 0, "FC1000"), (7, 1, "FC1002")]
+    found = {}
+    for r in dispatch.search_dockets(asked, rows, index.term_filters(rows), chunks, exhaustive, entries, "2026-01-01", carried).collect():
+        found.setdefault(r.question_id, {}).setdefault(r.way, set()).add(r.case_number)
+    assert found[1] == {"case": {"FC1001"}} and found[2] == {"exhaustive": {"FC1000"}} and found[3] == {"sampled": {"FC1001", "FC1002"}}
+    assert found[4] == {"case": {"FC1002"}} or found[4] == {"chunks": {"FC1002"}}
+    assert 5 not in found and 6 not in found and 7 not in found
+
+
+def test_guards_of_the_published_index(spark):
+    from filingscope.operators import published
+
+    good = {"version": 1, "generation": "g", "updatedAt": "t", "complete": True, "shardCount": 4, "cases": 2, "shardKeyPrefix": "term-index/v1"}
+
+    rows = [(json.dumps(good), True), (json.dumps(good | {"cases": 0}), False), (json.dumps(good | {"shardKeyPrefix": "x"}), False), (json.dumps({k: v for k, v in good.items() if k != "generation"}), False), ("{", False), (None, False)]
+    for payload, want in rows:
+        assert spark.createDataFrame([(payload,)], "p string").select(published.is_term_manifest(F.col("p"))).first()[0] is want
+    none = spark.createDataFrame([], "payload string")
+    asked = spark.createDataFrame([(1, ["storm"])], "question_id long, terms array<string>")
+    assert published.route_published(asked, none, spark.createDataFrame([], "shard int, payload string")).collect() == [(1, False, None, None, None, None)]
