@@ -1,4 +1,8 @@
-"""A training corpus from ``documents``: five stages, each an operator of the llm subpackage."""
+"""A training corpus from ``documents``: five stages, each an operator of the llm subpackage.
+
+All stages take an empty table and give an empty one, read whole texts of any length, keep
+columns that they don't know, and give the same rows when they run again.
+"""
 
 from __future__ import annotations
 
@@ -11,18 +15,26 @@ from filingscope.llm.mixing import Mix
 from filingscope.llm.near_dedup import near_duplicates
 from filingscope.llm.packing import pack_documents
 from filingscope.llm.queries import _tokenizer
-from filingscope.llm.workspace import Workspace
+from filingscope.llm.workspace import Workspace, spread
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language (no text or no letters); the others' lang is the predicted one, und if no document has a lang to learn from."""
+    """Drop documents without a language (no text or no letters); the others' lang is the predicted one, und if no document has a lang to learn from.
+
+    Ids may be null; repeated rows are each kept or dropped. Of languages with equally
+    many letters the first by code point is taken.
+    """
     own = {c: f"_{i}" for i, c in enumerate(docs.columns)}
     found = predict(docs, fit(docs), "text", *(F.col(c).alias(n) for c, n in own.items())).where("score > 0")
     return found.select(*(F.col("lang_pred" if c == "lang" else n).alias(c) for c, n in own.items()))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keep the document with the largest doc_id."""
+    """Of equal texts, keep the document with the largest doc_id.
+
+    A null text equals the empty one, and a null id is smaller than any other. Of rows
+    equal in id and text one stays; rows that share an id alone are told apart by text.
+    """
     return kept_documents(docs)
 
 
@@ -46,12 +58,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix at the default weights: the taken runs of each document, as often as they are taken."""
+    """The mix at the default weights: the taken runs of each document, as often as they are taken.
+
+    A null source is a source of its own, null and wordless texts have nothing to take,
+    and rows equal in id, source and text pool what is taken of them.
+    """
     return Mix(docs).fragments(docs, chars_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens."""
+    """Sequences of 2048 tokens. Ids may be null or repeat: each row is packed; a null text is its closing id alone."""
     return pack_documents(docs, _tokenizer())
 
 
@@ -61,9 +77,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents, each written and read again for the next."""
+    """Apply all stages to documents, each written and read again for the next; then what it was made from is deleted."""
     ws = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for name, stage in STAGES[:-1]:
         docs = ws.put(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            ws.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
