@@ -26,6 +26,8 @@ from .workspace import Workspace
 LENGTH, END_ID = 2048, 0
 #: Items that a group packs at once, and groups that merge into one.
 GROUP_ITEMS, FAN_IN = 200_000, 8
+#: Words whose ids a worker remembers; packing is one stage among others that share its memory.
+TABLE_WORDS = 1_000_000
 #: Pieces that a task holds before it writes them.
 FLUSH_PIECES = 20_000
 
@@ -72,7 +74,7 @@ def _pieces(tokenizer_file: str, capacity: int, end_id: int):
                 x.clear()
             return pa.RecordBatch.from_arrays(out, names)
 
-        table = word_ids(tokenizer_file)
+        table = word_ids(tokenizer_file, TABLE_WORDS)
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), table.rows(batch.column(1), end_id), strict=True):
                 raw = ids.astype("<u4").tobytes()
@@ -86,7 +88,7 @@ def _pieces(tokenizer_file: str, capacity: int, end_id: int):
                     yield flush()
         yield flush()
 
-    return bounded(run)
+    return bounded(run, keeps="words")
 
 
 def _fit(capacity: int):

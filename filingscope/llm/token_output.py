@@ -66,7 +66,7 @@ def _counts(tokenizer_file: str, length: int):
             sequences += int((-(-ids // length)).sum())
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (TaskContext.get().partitionId(), rows, sequences, mark)], ["task", "rows", "sequences", "mark"])
 
-    return bounded(run)
+    return bounded(run, keeps="words")
 
 
 def _sequences(tokenizer_file: str, length: int, end_id: int, kind: str, plan: dict[int, tuple[int, int]], total: int, shard_slots: int, key: int):
@@ -101,7 +101,7 @@ def _sequences(tokenizer_file: str, length: int, end_id: int, kind: str, plan: d
         if mark != expected:
             raise RuntimeError("the input's partitions changed between two reads; write the input to a table first")
 
-    return bounded(run)
+    return bounded(run, keeps="words")
 
 
 def _write(folder: str, stride: int, length: int, pad: bytes, shard_slots: int, total: int):

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 from .wordhash import U64, segments, span_hashes, string_buffers, word_bounds
+from .workers import KEPT
 
 #: Words that a worker remembers, and ids of theirs; beyond either the table starts anew.
 TABLE_WORDS, TABLE_IDS = 3_000_000, 1 << 24
@@ -31,6 +32,7 @@ class WordIds:
     """Ids by word hash: an open-addressing table beside a pool of ids."""
 
     def __init__(self, tokenizer_file: str):
+        self.most = TABLE_WORDS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -133,7 +135,7 @@ class WordIds:
         hashes = span_hashes(part, starts, ends)
         entry = self.find(hashes)
         if (miss := np.flatnonzero(entry < 0)).size:
-            if self.words > TABLE_WORDS or self.used > TABLE_IDS:
+            if self.words > self.most or self.used > TABLE_IDS:
                 self._clear()
                 miss = np.arange(len(hashes))
             new, at = np.unique(hashes[miss], return_index=True)
@@ -172,11 +174,12 @@ class WordIds:
             yield np.concatenate([*parts, end])
 
 
-_tables: dict[str, WordIds] = {}
+_tables: dict[str, WordIds] = KEPT.setdefault("words", {})
 
 
-def word_ids(tokenizer_file: str) -> WordIds:
+def word_ids(tokenizer_file: str, most_words: int = TABLE_WORDS) -> WordIds:
     """This worker's table for a tokenizer file."""
     if tokenizer_file not in _tables:
         _tables[tokenizer_file] = WordIds(tokenizer_file)
+    _tables[tokenizer_file].most = most_words
     return _tables[tokenizer_file]

@@ -12,6 +12,9 @@ SLICE_BYTES = 4 << 20
 
 Batches = Iterator[pa.RecordBatch]
 
+#: What this worker remembers between tasks, by name. A task that doesn't use it clears it, so no stage pays for another's.
+KEPT: dict[str, dict] = {}
+
 
 def release() -> None:
     """Give freed memory back to the system; workers live on between stages."""
@@ -29,10 +32,13 @@ def sliced(batches: Batches, most: int = SLICE_BYTES) -> Batches:
             yield batch.slice(at, rows)
 
 
-def bounded(run: Callable[[Batches], Batches], most: int = SLICE_BYTES) -> Callable[[Batches], Batches]:
-    """``run`` over sliced batches; what a task has freed leaves the worker at its end."""
+def bounded(run: Callable[[Batches], Batches], most: int = SLICE_BYTES, keeps: str | None = None) -> Callable[[Batches], Batches]:
+    """``run`` over sliced batches; what a task has freed leaves the worker at its end, and what it doesn't keep at its begin."""
 
     def worker(batches: Batches) -> Batches:
+        for name, kept in KEPT.items():
+            if name != keeps:
+                kept.clear()
         try:
             yield from run(sliced(batches, most))
         finally:
