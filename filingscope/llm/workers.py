@@ -24,6 +24,13 @@ def release() -> None:
         trim(0)
 
 
+def forget(keeps: str | None) -> None:
+    """Clear what this worker remembers under other names."""
+    for name, kept in KEPT.items():
+        if name != keeps:
+            kept.clear()
+
+
 def sliced(batches: Batches, most: int = SLICE_BYTES) -> Batches:
     """The batches in parts of about ``most`` bytes."""
     for batch in batches:
@@ -36,9 +43,7 @@ def bounded(run: Callable[[Batches], Batches], most: int = SLICE_BYTES, keeps: s
     """``run`` over sliced batches; what a task has freed leaves the worker at its end, and what it doesn't keep at its begin."""
 
     def worker(batches: Batches) -> Batches:
-        for name, kept in KEPT.items():
-            if name != keeps:
-                kept.clear()
+        forget(keeps)
         try:
             yield from run(sliced(batches, most))
         finally:
