@@ -90,6 +90,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    return score_quality(spread(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "labels"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_codes import compress
 
@@ -97,7 +103,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_source_mixing, op2_nearest_neighbours, op3_language_id, op4_html_extraction, op5_token_output, op6_best_fit_packing, op7_secret_scan, op8_minhash_near_dedup, op9_quotation_linking, op10_exact_dedup, op11_hard_negatives, op13_vector_codes)
+    every = (op1_source_mixing, op2_nearest_neighbours, op3_language_id, op4_html_extraction, op5_token_output, op6_best_fit_packing, op7_secret_scan, op8_minhash_near_dedup, op9_quotation_linking, op10_exact_dedup, op11_hard_negatives, op12_quality_classifier, op13_vector_codes)
     return {f.__name__: f for f in every}
 
 
