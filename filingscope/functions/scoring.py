@@ -85,6 +85,18 @@ def shard_bounds(total: int, shard: int, shards: int, capacity: int = 250_000) -
     return min(width * shard, total), min(total if shard == shards - 1 else width * (shard + 1), total)
 
 
+def shard_range(total: Column, shard: Column, shards: Column, capacity: int = 250_000) -> tuple[Column, Column]:
+    """The same of columns."""
+    width = F.floor(F.lit(capacity) / shards)
+    return F.least(width * shard, total), F.when(shard == shards - 1, total).otherwise(F.least(width * (shard + 1), total))
+
+
+def retry_wait(attempt: Column, retry_after: Column, jitter: Column) -> Column:
+    """Seconds to wait: the server's wish (text) up to 60, else a doubling delay up to 30 plus ``jitter``."""
+    wish = F.trim(retry_after).try_cast("double")
+    return F.when(wish.isNotNull(), F.least(F.lit(60.0), F.greatest(F.lit(0.0), wish))).otherwise(F.least(F.lit(30.0), F.pow(F.lit(2.0), attempt)) + jitter)
+
+
 def retry_delay(attempt: int, retry_after: str | None = None, jitter: float = 0.0) -> float:
     """Seconds to wait: the server's wish up to 60, else a doubling delay up to 30 plus ``jitter``."""
     try:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ from .shared import once, small
 
 #: Texts whose filters are set at once.
 FILTER_ROWS = 256
+#: Filters of a block of slices, and slices that are made at once.
+SLICE_ROWS, SLICES_AT_ONCE = 4096, 512
 
 
 def case_terms(filings: DataFrame) -> DataFrame:
@@ -99,23 +102,71 @@ def merged_filters(filters: DataFrame, size: int, *keys: str) -> DataFrame:
     return filters.groupBy(*keys).agg(F.expr("bitmap_or_agg(bits)").alias("all")).select(*keys, F.substring("all", 1, size).alias("bits"))
 
 
-def members(filters: DataFrame, terms: DataFrame, size: int, *keys: str) -> DataFrame:
-    """(keys, term): the filters (keys, bits) that may hold a term; each pair once.
+def _slices(size: int, wanted: np.ndarray):
+    """(keys, bits) to blocks: a row (block, bit, slice) for each wanted bit that a filter of the block sets, and one with the block's keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 33
+        for whole in batches:
+            for at in range(0, len(whole), SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                data = np.frombuffer(b"".join(x.ljust(size, b"\0") for x in batch.column(batch.num_columns - 1).to_pylist()), np.uint8).reshape(len(batch), size)
+                keys = pa.StructArray.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+                listed = pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), keys)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int32()), pa.array([None], pa.binary()), listed], ["block", "bit", "slice", "keys"])
+                for lo in range(0, len(wanted), SLICES_AT_ONCE):
+                    bits = wanted[lo : lo + SLICES_AT_ONCE]
+                    set_ = ((data[:, bits >> 3] >> (bits & 7).astype(np.uint8)) & 1).T
+                    some = set_.any(axis=1)
+                    slices = pa.array([x.tobytes() for x in np.packbits(set_[some], axis=1, bitorder="little")], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slices), block)), pa.array(bits[some].astype(np.int32)), slices, pa.nulls(len(slices), listed.type)], ["block", "bit", "slice", "keys"])
+                block += 1
+
+    return run
+
+
+def bit_slices(filters: DataFrame, size: int, *keys: str, bits: np.ndarray | None = None) -> DataFrame:
+    """The filters (keys, bits) turned by bit: (block, bit, slice, keys).
+
+    A block is up to ``SLICE_ROWS`` filters of one task; a slice is a bitmap of the block's filters that
+    set a bit. The row of bit -1 has the block's keys in order. ``bits`` are the
+    positions to turn, by default all; that table is an index which any terms can be asked of.
+    Nothing is shuffled.
+    """
+    rows = filters.where(F.octet_length("bits") > 0).select(*keys, "bits")
+    kind = T.StructType([rows.schema[k] for k in keys])
+    schema = T.StructType().add("block", "long").add("bit", "integer").add("slice", "binary").add("keys", T.ArrayType(kind))
+    return once(rows.mapInArrow(_slices(size, np.arange(8 * size) if bits is None else bits), schema), "slices")
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _set_places(bitmap: pd.Series) -> pd.Series:
+    return bitmap.map(lambda x: np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little")).astype(np.int32))
+
 
-    The set positions that any term asks for are joined to the terms by position, and
-    a term is held if all of its positions are. What the driver learns is which
-    positions are asked for: a bitmap of a filter's size.
+def members_of(slices: DataFrame, terms: DataFrame, size: int) -> DataFrame:
+    """(keys, term): the filters of a bit-sliced index that may hold a term; each pair once.
+
+    A term is the AND of the slices of its positions, so what is shuffled is a slice for each block and
+    asked position, however full the filters are.
     """
     spots = F.array_distinct(hashing.filter_bits(F.lower("term"), size))
     asked = small(terms.select("term").distinct().withColumn("spots", spots).select("term", F.size("spots").alias("need"), F.explode("spots").alias("bit")), 100_000)
-    wanted = np.frombuffer(bytes(asked.agg(F.expr("bitmap_construct_agg(bit)")).first()[0][:size]), np.uint8)
+    both = slices.where("bit >= 0").select("block", "bit", "slice").join(asked, "bit").groupBy("block", "term", "need").agg(F.expr("bitmap_and_agg(slice)").alias("all"), F.count("*").alias("n"))
+    held = both.where("n = need").select("block", "term", F.explode(_set_places(F.substring("all", 1, SLICE_ROWS // 8))).alias("at"))
+    named = slices.where("bit = -1").select("block", F.posexplode("keys").alias("at", "key"))
+    return held.join(named, ["block", "at"]).select("key.*", "term")
+
 
-    @F.pandas_udf("array<int>")
-    def positions(bits: pd.Series) -> pd.Series:
-        return bits.map(lambda x: np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8) & wanted[: len(x)], bitorder="little")).astype(np.int32))
+def members(filters: DataFrame, terms: DataFrame, size: int, *keys: str) -> DataFrame:
+    """(keys, term) of filters (keys, bits) that are asked once: only the positions that terms ask for are turned.
 
-    held = filters.where(F.octet_length("bits") > 0).select(*keys, F.explode(positions("bits")).alias("bit"))
-    return held.join(asked, "bit").groupBy(*keys, "term", "need").agg(F.count("*").alias("n")).where("n = need").select(*keys, "term")
+    What the driver learns is which those are: a bitmap of a filter's size.
+    """
+    spots = F.explode(hashing.filter_bits(F.lower("term"), size))
+    bitmap = terms.select("term").distinct().select(spots.alias("bit")).agg(F.expr("bitmap_construct_agg(bit)")).first()[0][:size]
+    wanted = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(bitmap), np.uint8), bitorder="little"))
+    return members_of(bit_slices(filters, size, *keys, bits=wanted), terms, size)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))

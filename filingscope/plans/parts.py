@@ -188,16 +188,6 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made(spark, sf_dir, "events", REQUESTS).select("event_id", operations.rate_actor(F.col("client"), F.col("ip")).alias("actor"), body["too_large"].alias("too_large"), body["value"]["message"].alias("message"), operations.bearer_matches(F.col("header"), "s3").alias("authorized"), operations.allows_cached_health(F.col("url")).alias("cached"))
 
 
-@query("SELECT part, part = 'a' AS fine, CASE part WHEN 'a' THEN 'ok' ELSE 'degraded' END AS status, CASE part WHEN 'a' THEN '' WHEN 'b' THEN 'index-stale' WHEN 'c' THEN 'index-unavailable' ELSE 'router-stale, term-index-stale' END AS issues FROM (SELECT unnest(['a', 'b', 'c', 'd']) AS part)")
-def health_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = {"a": [("index", "2025-12-31 01:00:00"), ("term-index", "2025-12-25 00:00:00")], "b": [("index", "2025-12-30 11:00:00")], "c": [("index", None)], "d": [("router", "soon"), ("term-index", "2025-12-21 00:00:00")]}
-    out = None
-    for name, own in parts.items():
-        one = operations.health(spark.createDataFrame(own, "part string, updated_at string"), "2026-01-01 00:00:00").select(F.lit(name).alias("part"), F.lit(name == "a").alias("fine"), "status", "issues")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 MONITOR = ("event_id AS id", "CASE WHEN event_id % 5 = 0 THEN '503' ELSE '200' END AS http_code", "CASE event_id % 5 WHEN 0 THEN 'down' WHEN 1 THEN '{\"status\":\"ok\",\"issues\":[]}' WHEN 2 THEN '{\"status\":\"ok\",\"healthSource\":\"last-known-good\"}' WHEN 3 THEN '{\"status\":\"ok\",\"liveIssues\":[\" a \",\"\"]}' ELSE '{\"status\":\"degraded\",\"issues\":[\"x\",\"y\"]}' END AS payload")
 
 
@@ -212,11 +202,6 @@ def last_known_good(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operations.last_known_good(log, "2024-01-01 00:00:00", 10**9).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
-@query("SELECT attempt, least(30.0, pow(2, attempt)) AS delay, coalesce(log_tf, 0) AS log_tf FROM (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS attempt) JOIN (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS attempt, unnest([0, 1, 1 + ln(2), 1 + ln(3), 1 + ln(4), 1 + ln(5), 1 + ln(6)]) AS log_tf) USING (attempt)")
-def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(i, scoring.retry_delay(i)) for i in range(7)], "attempt int, delay double").withColumn("log_tf", scoring.log_tf(F.col("attempt")))
-
-
 STATES = ("doc_id AS id", "doc_id % 5 AS writesThisMonth", "CASE WHEN doc_id % 2 = 0 THEN '2026-01' ELSE '2025-12' END AS writeMonth", "doc_id AS nextOffset", "CASE WHEN doc_id % 3 = 0 THEN doc_id END AS documentsIndexed", "n_chars AS new_size", "CASE WHEN doc_id % 4 = 0 THEN 7 END AS old_size")
 
 

@@ -389,11 +389,6 @@ def failure_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.failure_state(every(3).withColumn("attempts", 1 + F.col("filing_id") % 2), every(11), every(2), every(5), every(7))
 
 
-@query("SELECT i AS shard, least(62500 * i, 204191) AS first_record, CASE WHEN i = 3 THEN 204191 ELSE least(62500 * (i + 1), 204191) END AS end_record FROM (SELECT CAST(unnest([0, 1, 2, 3]) AS BIGINT) AS i)")
-def shard_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(i, *scoring.shard_bounds(204_191, i, 4)) for i in range(4)], "shard long, first_record long, end_record long")
-
-
 @query("SELECT doc_id, CAST(doc_id % 4 AS INT) AS shard, 'term-index/v1/slots/a/shard-' || lpad(CAST(doc_id % 4096 AS VARCHAR), 4, '0') || '.json.gz' AS key, lang = 'en' AND source <> 'src1' AND n_chars > 0 AS public_pdf FROM documents")
 def shard_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     public = ingest.is_public_pdf(F.col("lang") != "en", F.col("source") == "src1", F.col("n_chars"), F.lit("A.PDF"))
