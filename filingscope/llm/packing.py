@@ -1,10 +1,12 @@
 """Best-fit packing of token sequences, by hierarchical rounds.
 
 A document longer than a sequence is cut into full ones and a rest. The pieces that fill
-no sequence are dealt over groups of bounded size, and each group packs its own by best
-fit, longest first. Bins that no other underfull bin could complete are final. The others
-are items of the next round: groups merge in a tree, and each packs the bins that it is
-left with by best fit again, until one group is left or no bin can take another.
+no sequence are dealt over groups, sixteen at least and each of bounded size, and each
+group packs its own by best fit, longest first. Bins that are nearly full, or that no
+piece of an underfull bin could complete, are final. The underfull ones are the items of the
+next round: groups merge in a tree, and each packs the bins that it is left with by best
+fit again, as they are or, if that takes fewer bins, taken apart into their pieces; until
+one group is left or no bin can take another.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from .workers import bounded, release
 from .workspace import Workspace
 
 LENGTH, END_ID = 2048, 0
-#: Items that a group packs at once, and groups that merge into one.
-GROUP_ITEMS, FAN_IN = 200_000, 8
+#: Groups that pack by themselves at first, at least; items that a group packs at once; groups that merge into one.
+LEAST_GROUPS, GROUP_ITEMS, FAN_IN = 16, 200_000, 4
+#: A bin is nearly full if at most this share of it is free.
+SLACK = 1 / 1024
 #: Words whose ids a worker remembers; packing is one stage among others that share its memory.
 TABLE_WORDS = 1_000_000
 #: Pieces that a task holds before it writes them.
@@ -91,8 +95,24 @@ def _pieces(tokenizer_file: str, capacity: int, end_id: int):
     return bounded(run, keeps="words")
 
 
+def merged(bins: np.ndarray, places: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best fit of underfull bins, given by their items' bins, places in them and sizes: bin and offset of each item, and the fills.
+
+    Bins go in whole, or as their items where that takes fewer; each item may be a bin of its own.
+    """
+    own, at = np.unique(bins, return_inverse=True)
+    first = np.full(len(own), capacity)
+    np.minimum.at(first, at, places)  # a bin that was cut in two goes on as two
+    held = np.bincount(at, sizes, len(own)).astype(np.int64)
+    whole = best_fit(held, capacity)
+    apart = best_fit(sizes, capacity) if len(own) < len(sizes) else whole
+    if len(apart[2]) < len(whole[2]):
+        return apart
+    return whole[0][at], whole[1][at] + places - first[at], whole[2]
+
+
 def _fit(capacity: int):
-    """Best fit of each group's items: the rows and bin, offset and the bin's fill. Rows of one group follow each other.
+    """Best fit of each group's items: the rows with bin, offset and the bin's fill. Rows of one group follow each other.
 
     A bin is named by the item at its start. A group of more than ``GROUP_ITEMS`` is
     packed in parts.
@@ -105,11 +125,11 @@ def _fit(capacity: int):
             rows = pa.Table.from_batches(held)
             held.clear()
             items = rows["item"].to_numpy()
-            bins, offsets, fills = best_fit(rows["size"].to_numpy(), capacity)
+            bins, offsets, fills = merged(rows["bin"].to_numpy(), rows["offset"].to_numpy(), rows["size"].to_numpy(), capacity)
             names = np.zeros(len(fills), dtype=np.int64)
             names[bins[offsets == 0]] = items[offsets == 0]
             for name, values in (("bin", names[bins]), ("offset", offsets), ("fill", fills[bins])):
-                rows = rows.append_column(name, pa.array(values))
+                rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(values))
             yield from rows.combine_chunks().to_batches()
 
         for batch in batches:
@@ -129,9 +149,8 @@ def _fit(capacity: int):
 
 
 def _round(items: DataFrame, groups: int, capacity: int) -> DataFrame:
-    """``items`` (item, size, group and more) packed: each group by itself."""
-    schema = items.schema.add("bin", "long").add("offset", "long").add("fill", "long")
-    return items.repartition(groups, "group").sortWithinPartitions("group", "item").mapInArrow(_fit(capacity), schema)
+    """``items`` (item, size, group, bin, offset, fill) packed: each group by itself."""
+    return items.repartition(groups, "group").sortWithinPartitions("group", "bin", "offset").mapInArrow(_fit(capacity), items.schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,31 +164,25 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = LENGTH,
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, item bigint"
     pieces = ws.put(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pieces(tokenizer_file, capacity, end_id), schema), "pieces")
     short = pieces.where(F.col("length") < capacity)
-    groups = max(1, math.ceil(short.count() / GROUP_ITEMS))
-    dealt = short.withColumn("size", F.col("length")).withColumn("group", F.pmod(F.xxhash64("item"), F.lit(groups)).cast("int"))
-    packed = ws.put(_round(dealt, groups, capacity), "packed")
-    left, moved = packed, None  # moved: bin, the bin that it goes into, its offset there
+    groups = max(LEAST_GROUPS, math.ceil(short.count() / GROUP_ITEMS))
+    zero = F.lit(0).cast("long")
+    items = short.select("item", F.col("length").alias("size"), F.pmod(F.xxhash64("item"), F.lit(groups)).cast("int").alias("group"), F.col("item").alias("bin"), zero.alias("offset"), zero.alias("fill"))
+    packed = ws.put(_round(items, groups, capacity), "packed")
+    done = []  # items of final bins: those of each round
     while groups > 1:
-        bins = left.where((F.col("offset") == 0) & (F.col("fill") < capacity)).select(F.col("bin").alias("item"), F.col("fill").alias("size"), "group")
-        least = bins.agg(F.min("size")).first()[0]
-        if least is None:
-            break
-        open_ = bins.where(F.col("size") + least <= capacity)
+        free = capacity - F.col("fill")
+        least = packed.where(free > capacity * SLACK).agg(F.min("size")).first()[0]
+        underfull = (free > capacity * SLACK) & (free >= F.lit(least))
+        open_ = packed.where(underfull) if least is not None else packed.limit(0)
         fewer = max(math.ceil(groups / FAN_IN), math.ceil(open_.count() / GROUP_ITEMS))
-        if fewer >= groups:
+        if least is None or fewer >= groups:
             break  # as many groups would pack the same bins again
         groups = fewer
-        left = ws.put(_round(open_.withColumn("group", F.pmod("group", F.lit(groups)).cast("int")), groups, capacity), "merged")
-        step = left.select("item", "bin", "offset")
-        if moved is not None:
-            on = step.select(F.col("item").alias("bin"), F.col("bin").alias("next"), F.col("offset").alias("more"))
-            earlier = moved.join(on, "bin", "left").select("item", F.coalesce("next", "bin").alias("bin"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"))
-            step = ws.put(earlier.unionByName(step.join(moved.select("item"), "item", "left_anti")), "moved")
-        moved = step
-    out = packed
-    if moved is not None:
-        out = out.join(moved.select(F.col("item").alias("bin"), F.col("bin").alias("into"), F.col("offset").alias("shift")), "bin", "left")
-        out = out.withColumn("bin", F.coalesce("into", "bin")).withColumn("offset", F.col("offset") + F.coalesce("shift", F.lit(0)))
-    full = pieces.where(F.col("length") == capacity).withColumn("bin", F.col("item")).withColumn("offset", F.lit(0).cast("long"))
+        done.append(packed.where(~underfull))
+        packed = ws.put(_round(open_.withColumn("group", F.pmod("group", F.lit(groups)).cast("int")), groups, capacity), "merged")
+    for more in done:
+        packed = packed.unionByName(more)
     named = [*columns, F.col("bin").alias("sequence_id"), "offset"]
-    return out.select(*named).unionByName(full.select(*named))
+    out = short.join(packed.select("item", "bin", "offset"), "item").select(*named)
+    full = pieces.where(F.col("length") == capacity).withColumn("bin", F.col("item")).withColumn("offset", zero)
+    return out.unionByName(full.select(*named))

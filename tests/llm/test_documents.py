@@ -240,6 +240,29 @@ def test_packing_of_many_partitions(spark, monkeypatch, partitions, group_items)
     assert len(bins) == whole if group_items > 420 else len(bins) <= 1.25 * whole
 
 
+def test_rounds_merge_and_stay_tight(spark, monkeypatch):
+    """Several groups and merge rounds run on a small table too, within a hundredth of best fit over all."""
+    groups = []
+    once = packing._round
+    monkeypatch.setattr(packing, "_round", lambda items, n, capacity: (groups.append(n), once(items, n, capacity))[1])
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = packing.pack_documents(docs, _tokenizer()).collect()
+    whole = len(packing.best_fit(np.array([r.length for r in found]), 2048)[2])
+    assert groups[0] >= 16 and groups[-1] == 1 and len(groups) >= 3
+    assert len({r.sequence_id for r in found}) <= 1.01 * whole
+
+
+def test_underfull_bins_go_in_whole_or_apart():
+    # Two bins of 1100 + 300 and 1100 + 300 items: apart they fit no better; with small ones they do.
+    bins, offsets, fills = packing.merged(np.array([1, 1, 2, 2]), np.array([0, 1100, 0, 1100]), np.array([1100, 300, 1100, 300]), 2048)
+    assert len(fills) == 2 and fills.sum() == 2800
+    bins, offsets, fills = packing.merged(np.array([1, 1, 2, 3]), np.array([0, 1000, 0, 0]), np.array([1000, 500, 1048, 1548]), 2048)
+    assert len(fills) == 2 and sorted(fills.tolist()) == [2048, 2048]
+    for b in range(2):
+        own = sorted((o, n) for o, n, x in zip(offsets.tolist(), [1000, 500, 1048, 1548], bins.tolist()) if x == b)
+        assert own[0][0] == 0 and own[0][1] == own[1][0]
+
+
 def test_best_fit_is_tight():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 2049, size=5000)
