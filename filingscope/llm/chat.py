@@ -31,6 +31,7 @@ from .workspace import Workspace
 LEAST_CHARS = 12
 #: Words of a run that is hashed, so a piece of 2 * BLOCK_WORDS - 1 words is found wherever it is cut.
 BLOCK_WORDS = 5
+_FENCE = re.compile(r"^\s{0,3}(?:```|~~~)")
 _MARKS = re.compile(r"^\s{0,3}(?:>\s?)+")
 _ATTRIBUTION = re.compile(r"^(?:On\b.{0,200}\bwrote|Le\b.{0,200}\ba écrit|Am\b.{0,200}\bschrieb.{0,80}|El\b.{0,200}\bescribió|.{1,120}\b(?:wrote|said|writes))\s*:\s*$", re.I)
 _JUNK = re.compile(r"[\W_]+")
@@ -48,24 +49,57 @@ def normal(text: str) -> str:
     return _JUNK.sub(" ", text.lower()).strip()
 
 
+def segments(text: str) -> list[tuple[int, list[str], str]]:
+    """The text's lines in runs of one quote level: (level, lines as they are, passage), level 0 for the message's own.
+
+    A passage is the run's lines without marks, blank and attribution lines; it may be
+    empty. An attribution line right before a quote is of level -1. Lines between code
+    fences are the message's own, whatever they open with.
+    """
+    out: list[tuple[int, list[str], str]] = []
+    fenced, lines = False, text.split("\n")
+    levels = []
+    for line in lines:
+        depth = 0 if fenced else quote_level(line)[0]
+        fenced ^= depth == 0 and bool(_FENCE.match(line))
+        levels.append(depth)
+    for i, line in enumerate(lines):
+        depth = levels[i]
+        if not depth and _ATTRIBUTION.match(line.strip()) and any(levels[i + 1 : i + 3]):
+            depth = -1
+        if out and out[-1][0] == depth:
+            out[-1][1].append(line)
+        else:
+            out.append((depth, [line], ""))
+    rest = lambda x: quote_level(x)[1]
+    return [(d, own, "\n".join(rest(x) for x in own if rest(x).strip() and not _ATTRIBUTION.match(rest(x).strip())) if d > 0 else "") for d, own, _ in out]
+
+
 def split_quotes(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     """The text without quotes and attribution lines, and its quoted (level, passage) in order."""
-    own, passages, level, held = [], [], 0, []
-    lines = (text or "").split("\n")
-    for i, line in enumerate(lines):
-        depth, rest = quote_level(line)
-        if depth != level and held:
-            passages.append((level, "\n".join(held)))
-            held = []
-        level = depth
-        if depth:
-            if rest.strip() and not _ATTRIBUTION.match(rest.strip()):
-                held.append(rest)
-        elif not (_ATTRIBUTION.match(line.strip()) and any(quote_level(x)[0] for x in lines[i + 1 : i + 3])):
-            own.append(line)
-    if held:
-        passages.append((level, "\n".join(held)))
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n") if passages else (text or ""), passages
+    parts = segments(text or "")
+    passages = [(d, p) for d, _, p in parts if d > 0 and p]
+    return without(text or "", {_hash(_key(p)) for _, p in passages}), passages
+
+
+def without(text: str, found: set[int]) -> str:
+    """The text without the passages of these hashes, and the attribution and blank quoted lines beside them; all else stays."""
+    parts = segments(text)
+    gone = [d > 0 and bool(p) and _hash(_key(p)) in found for d, _, p in parts]
+    if not any(gone):
+        return text
+    for order in (range(len(parts) - 1, -1, -1), range(len(parts))):
+        for i in order:
+            beside = i + 1 if order.step < 0 else i - 1
+            if 0 <= beside < len(parts) and gone[beside] and not gone[i]:
+                if order.step < 0 and parts[i][0] == -1:
+                    gone[i] = True
+                elif parts[i][0] > 0 and not parts[i][2]:
+                    gone[i] = True
+                elif order.step < 0 and parts[i][0] == 0 and not "".join(parts[i][1]).strip() and i and parts[i - 1][0] == -1:
+                    gone[i] = True  # the blank line between an attribution and its quote
+    left = [line for (_, own, _), out in zip(parts, gone, strict=True) if not out for line in own]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(left)).strip("\n")
 
 
 def _key(text: str) -> str:
@@ -101,13 +135,21 @@ def wanted(passages: list[tuple[int, str]]) -> list[tuple[int, int, int, int]]:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("level", pa.int32()), ("passage", pa.int64()), ("h", pa.int64()), ("n", pa.int32())]))
     for batch in batches:
-        texts, levels, quoted = [], [], []
+        own, levels, quoted = [], [], []
         for text in batch.column(3).to_pylist():
-            own, passages = split_quotes(text)
-            texts.append(own)
+            rest, passages = split_quotes(text)
+            own.append(rest if passages else None)
             levels.append(max((d for d, _ in passages), default=0))
             quoted.append([dict(zip(("level", "passage", "h", "n"), x, strict=True)) for x in wanted(passages)])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(levels, pa.int32()), pa.array(quoted, kind)], ["conv_id", "turn", "role", "text", "quote_levels", "quoted"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.string()), pa.array(levels, pa.int32()), pa.array(quoted, kind)], ["conv_id", "turn", "role", "text", "own", "quote_levels", "quoted"])
+
+
+def _unquoted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(..., text, found) to (..., text): without its found passages."""
+    for batch in batches:
+        *kept, text, found = batch.columns
+        texts = [without(t, set(f)) if f else t for t, f in zip(text.to_pylist(), found.to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], batch.schema.names[:-1])
 
 
 def _offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,41 +213,48 @@ def _threads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: conv_id, turn, role, text, quote_levels, linked, reply_to, thread, position.
 
-    ``text`` has no quotes; ``quote_levels`` is the deepest level; ``linked`` tells
-    whether a passage was found; ``reply_to`` and ``thread`` are turns, reply_to null for
+    ``text`` has no passage that was found, nor the attribution before one; passages of
+    unknown origin stay as they are, and so do lines between code fences. Where a passage
+    goes, runs of blank lines become one and blank lines at the ends go. ``quote_levels`` is the
+    deepest level; ``linked`` tells whether a passage was found; ``reply_to`` and ``thread`` are turns, reply_to null for
     a conversation's first. ``position`` counts from 0 within the conversation, in the
     order of its reply tree: a message is followed by its replies, by turn, each with
     its own replies. A message's first reply is of its thread, any other opens one. A
     null text is empty. Rows without a conversation or turn stand alone: no reply, thread
     their turn, position 0. Rows that repeat a turn share its place in the tree and take
-    positions that follow one another, ordered by text. Extra columns are ignored; an
+    positions that follow one another, ordered by text. A very long message's runs of words are
+    held at once, as text, where it quotes or is quoted: some ten times its length. Extra columns are ignored; an
     empty table gives an empty result.
     """
     ws = Workspace(messages.sparkSession, "chat")
-    rows = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    parsed = ws.put(rows.mapInArrow(bounded(_parse), "conv_id bigint, turn bigint, role string, text string, quote_levels int, quoted array<struct<level:int,passage:bigint,h:bigint,n:int>>"), "parsed")
+    rows = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    parsed = ws.put(rows.mapInArrow(bounded(_parse), "conv_id bigint, turn bigint, role string, text string, own string, quote_levels int, quoted array<struct<level:int,passage:bigint,h:bigint,n:int>>"), "parsed")
     placed = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     turns = placed.select("conv_id", "turn", F.lit(None).cast("long").alias("origin"), F.lit(1).alias("rows"))
     quoting = placed.where("size(quoted) > 0")
+    texts = parsed.select("conv_id", "turn", "role", "quote_levels", "text")
     if not quoting.isEmpty():
-        turns = turns.unionByName(_origins(placed, quoting).withColumn("rows", F.lit(0)))
+        found = ws.put(_found(placed, quoting), "found")
+        # The latest origin at the lowest level, and all passages that were found: some of one message's.
+        of_turn = ws.put(found.groupBy("conv_id", "turn").agg((-F.min(F.struct("level", (-F.col("origin")).alias("back")))["back"]).alias("origin"), F.collect_set("passage").alias("found")), "origins")
+        turns = turns.unionByName(of_turn.select("conv_id", "turn", "origin", F.lit(0).alias("rows")))
+        texts = texts.join(of_turn.drop("origin"), ["conv_id", "turn"], "left").mapInArrow(bounded(_unquoted), texts.schema)
     turns = turns.groupBy("conv_id", "turn").agg(F.max("origin").alias("origin"), F.sum("rows").alias("rows"))
     # Only numbers of a conversation's turns meet in one task, one row a turn.
     threads = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn").mapInArrow(_threads, "conv_id bigint, turn bigint, reply_to bigint, linked boolean, thread bigint, first bigint")
-    out = parsed.drop("quoted").join(ws.put(threads, "threads"), ["conv_id", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn")).withColumn("linked", F.coalesce("linked", F.lit(False)))
+    out = texts.join(ws.put(threads, "threads"), ["conv_id", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn")).withColumn("linked", F.coalesce("linked", F.lit(False)))
     alone = F.col("conv_id").isNull() | F.col("turn").isNull()
     within = Window.partitionBy("conv_id", "turn").orderBy("text", "role")  # rows that repeat a turn
     named = ["conv_id", "turn", "role", "text", "quote_levels", "linked", "reply_to", "thread", "position"]
     return out.where(~alone).withColumn("position", F.col("first") + F.row_number().over(within) - 1).select(*named).unionByName(out.where(alone).withColumn("position", F.lit(0).cast("long")).select(*named))
 
 
-def _origins(placed: DataFrame, quoting: DataFrame) -> DataFrame:
-    """(conv_id, turn, origin) of the messages with a passage that is found."""
+def _found(placed: DataFrame, quoting: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, passage, origin) of the passages that are found."""
     # A conversation's hashes are spread by hash, and each quoted piece takes the last offer before it: no pairs are made.
     asked = quoting.select("conv_id", "turn", F.inline("quoted"))
-    offered = placed.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", "text").mapInArrow(bounded(_offer), "conv_id bigint, turn bigint, offered array<bigint>")
+    offered = placed.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.coalesce("own", "text").alias("text")).mapInArrow(bounded(_offer), "conv_id bigint, turn bigint, offered array<bigint>")
     both = asked.unionByName(offered.select("conv_id", "turn", F.explode("offered").alias("h")), allowMissingColumns=True)
     before = Window.partitionBy("conv_id", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("origin", F.max(F.when(F.col("level").isNull(), F.col("turn"))).over(before)).where("level IS NOT NULL AND origin IS NOT NULL")
-    found = found.groupBy("conv_id", "turn", "level", "passage").agg(F.max(F.struct("n", "origin"))["origin"].alias("origin"))
-    return found.groupBy("conv_id", "turn").agg((-F.min(F.struct("level", (-F.col("origin")).alias("back")))["back"]).alias("origin"))
+    return found.groupBy("conv_id", "turn", "level", "passage").agg(F.max(F.struct("n", "origin"))["origin"].alias("origin"))
