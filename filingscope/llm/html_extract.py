@@ -2,11 +2,11 @@
 
 Standard-library parser events are turned, in one pass over the page, into lines: one
 for each block of text, with the tags and link letters it holds and its container. Page
-furniture by kind of element (menus, headers, footers, asides, forms) never becomes a
-line. The ratios of text to tags are smoothed over neighbouring lines by a Gaussian, and
-a two-cluster threshold separates content lines from the rest. An element that its
-class, id or role names as furniture is dropped unless it holds the article or most of
-the content lines; if furniture is only a part of the name, it is dropped if most of its
+furniture by kind of element (menus, headers, footers, asides, controls of forms) never
+becomes a line. The ratios of text to tags are smoothed over neighbouring lines by a Gaussian, and
+a two-cluster threshold separates content lines from the rest. A form, or an element that its
+class, id or role names as furniture, is dropped unless it holds the article or most of
+the content lines; if furniture is only a part of the name, or the element is marked hidden, it is dropped if most of its
 text isn't in content lines. The content region is the smallest container with nearly
 all of the content lines' text, or the articles if they hold half of it; its lines are
 the main text, but for link lists with ratios below the threshold. Time and memory grow
@@ -39,7 +39,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
-SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video head title nav footer aside form menu dialog button select textarea datalist search".split())
+SKIPPED = frozenset("script style noscript template iframe object svg annotation annotation-xml canvas audio video head title nav footer aside menu dialog button select textarea datalist search".split())
 CLOSES_P = BLOCKS - {"li", "dd", "dt", "td", "th", "tr", "caption", "legend", "option", "optgroup", "summary"}
 # An opening tag closes an open element of these kinds, up to the nearest of the stops.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -78,10 +78,6 @@ def _readers(attrs: list[tuple[str, str | None]]) -> bool:
     return any(v and k in ("class", "id", "role") and any(n.lower() in COMMENTS for n in v.split()) for k, v in attrs)
 
 
-def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
-    return any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-
-
 # What an end tag of an inline element doesn't reach beyond, and what an implied end of a paragraph doesn't.
 BARRIERS, P_STOPS = ("article", "body", "td", "table"), ("td", "th", "button", "table", "article", "section", "div", "li", "blockquote", "body")
 
@@ -159,9 +155,13 @@ class Lines(HTMLParser):
             self.skip = len(self.open)
             if tag in ("iframe", "button"):
                 self.parts.append(" ")
+        elif tag == "form":
+            self.named[container] = CERTAIN, _readers(attrs)  # one that is around the page's content stays
         elif attrs and not nameless:
-            if _hidden(attrs) or (not block and _named(attrs) == CERTAIN):
+            if not block and _named(attrs) == CERTAIN:
                 self.skip = len(self.open)
+            elif block and any(k == "hidden" for k, _ in attrs):
+                self.named[container] = DOUBTFUL, False
             elif block and tag not in HEADINGS and (name := _named(attrs)):
                 self.named[container] = name, _readers(attrs)
 
