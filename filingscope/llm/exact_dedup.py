@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import join_hot
-from .workspace import Workspace, shared_root
+from .workspace import Workspace, shared_root, whole_row
 
 #: Distinct texts that a bucket of a new index is meant for, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 500_000, 16
@@ -94,13 +94,16 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that stay, with all their columns, after ingesting them into a new index.
 
     Rows are matched by id and digest, so a large group's texts spread over all tasks.
-    Rows equal in both are reduced to one, by a step that only runs if there are any.
+    Rows equal in both are reduced to one, by a step that only runs if there are any. A null
+    text equals the empty one and a null id is smaller than any other; other columns may
+    have any name and hold anything; an empty table gives an empty one.
     """
     ws = Workspace(docs.sparkSession, "kept")
     decided = ws.put(DigestIndex(docs.sparkSession).ingest(docs, id_col, text_col), "decided")
     repeated = not decided.where("NOT kept AND doc_id <=> keep_id").isEmpty()
-    pair = lambda x: F.xxhash64(F.coalesce(F.col(x).cast("long"), F.lit(-1)), "_digest")
-    stay = decided.where("kept").select(F.unhex("text_sha256").alias("_digest"), F.col("doc_id").alias("_id")).select(pair("_id").alias("_pair"), "_digest")
-    keyed = docs.withColumn("_digest", text_digest(text_col)).withColumn("_pair", pair(id_col))
-    out = keyed.join(stay, ["_pair", "_digest"], "left_semi")
-    return (out.dropDuplicates(["_pair", "_digest"]) if repeated else out).select(*docs.columns)
+    pair = lambda x: F.xxhash64(F.coalesce(F.col(x).cast("long"), F.lit(-1)), "digest").alias("pair")
+    stay = decided.where("kept").select(F.unhex("text_sha256").alias("digest"), "doc_id").select(pair("doc_id"), "digest")
+    # The user's columns travel as one, so no name of theirs meets one of ours.
+    keyed = docs.select(text_digest(text_col).alias("digest"), F.col(id_col).alias("id"), whole_row(docs)).select(pair("id"), "digest", "row")
+    out = keyed.join(stay, ["pair", "digest"], "left_semi")
+    return (out.dropDuplicates(["pair", "digest"]) if repeated else out).select("row.*")

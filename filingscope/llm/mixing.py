@@ -2,8 +2,9 @@
 
 Each source's documents, in a fixed order, form one stream of words that is packed into
 blocks. The number of blocks that each source gives in all follows from its target. They
-fall to the output shards by multinomial counts, source by source, so the totals are met
-exactly and no step holds a table of shards and sources. A source's k-th draw takes, in pass k div n over its n
+fall to the output shards by multinomial counts, drawn for a source over the shards rather
+than for a shard over the sources: the totals are met exactly and no step holds a table of
+shards and sources, but shards differ in size. A source's k-th draw takes, in pass k div n over its n
 blocks, the block that a pseudorandom permutation of that pass sends k mod n to. The
 drawn slots are then joined to the blocks by index.
 """
@@ -17,12 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .components import join_hot
 from .wordhash import IS_SPACE, segments, string_buffers, word_bounds
 from .workers import bounded
-from .workspace import Workspace
+from .workspace import Workspace, whole_row
 
 #: Words in a block; smaller sources have shorter ones, so that each has about 256.
 BLOCK_WORDS, LEAST_BLOCKS = 2048, 256
@@ -168,15 +170,21 @@ class Mix:
     def fragments(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = None) -> DataFrame:
         """The mix as rows of ``docs``: each run of a document's taken words is a row, once for each time it is taken.
 
-        All columns stay; the text is the run's, with its white space, and ``chars_col``
-        its length. Equal rows of ``docs`` pool what is taken of them.
+        All columns stay, whatever their names; the text is the run's, with its white space,
+        and ``chars_col`` its length. Rows equal in id, source and text pool what is taken of
+        them. Ids and sources may be null; a null or wordless text has no run, and an empty
+        table gives an empty one.
         """
-        key = [F.col(id_col).cast("long").eqNullSafe(F.col("_id")), F.col(source_col).cast("string").eqNullSafe(F.col("_source")), F.xxhash64(F.col(text_col).cast("string")) == F.col("_mark")]
-        cuts = self.pieces().where("times > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("mark").alias("_mark")).agg(F.sort_array(F.collect_list(F.struct("start", "first", "n", "times"))).alias("_cuts"))
-        once = docs.withColumn("_h", F.xxhash64(F.col(text_col).cast("string"))).dropDuplicates([id_col, source_col, "_h"]).drop("_h")
-        joined = once.join(cuts, key[0] & key[1] & key[2]).drop("_id", "_source", "_mark")
-        out = joined.mapInArrow(_cut(docs.columns.index(text_col)), docs.schema)
-        return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col else out
+        cuts = self.pieces().where("times > 0").groupBy("doc_id", "source", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "first", "n", "times"))).alias("cuts"))
+        # The user's columns travel as one, so no name of theirs meets one of ours.
+        keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"), whole_row(docs))
+        once = keyed.dropDuplicates(["doc_id", "source", "mark"])
+        same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.mark") == F.col("c.mark"))
+        joined = once.alias("d").join(cuts.alias("c"), same).select("cuts", F.col("row").getField(text_col).cast("string").alias("text"), "row")
+        runs = joined.mapInArrow(bounded(_cut), T.StructType().add("text", "string").add(joined.schema["row"]))
+        own = F.col("text").cast(docs.schema[text_col].dataType)
+        out = runs.select(F.col("row").withField(text_col, own).alias("row"), F.length("text").alias("chars"))
+        return (out.select(F.col("row").withField(chars_col, F.col("chars").cast(docs.schema[chars_col].dataType)).alias("row")) if chars_col else out).select("row.*")
 
 
 def _runs(cuts: list[dict]) -> Iterator[tuple[int, int]]:
@@ -197,28 +205,21 @@ def _runs(cuts: list[dict]) -> Iterator[tuple[int, int]]:
                 yield first, end
 
 
-def _cut(text_at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, texts, held = [], [], 0
-            cuts = batch.column(batch.num_columns - 1).to_pylist()
-
-            def flush() -> pa.RecordBatch:
-                taken = batch.take(pa.array(at, pa.int64()))
-                return pa.RecordBatch.from_arrays([pa.array(texts, taken.column(i).type) if i == text_at else taken.column(i) for i in range(batch.num_columns - 1)], batch.schema.names[:-1])
-
-            for i, own in enumerate(cuts):
-                raw = batch.column(text_at)[i].as_py().encode()
-                solid = np.concatenate([[False], ~IS_SPACE[np.frombuffer(raw, np.uint8)], [False]])
-                edges = np.flatnonzero(solid[1:] != solid[:-1])
-                starts, ends = edges[::2], edges[1::2]
-                for first, end in _runs(own):
-                    at.append(i)
-                    texts.append(raw[starts[first] : ends[end - 1]].decode())
-                    held += len(texts[-1])
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cuts, text, row) to (text, row): one for each run of words that is taken."""
+    for batch in batches:
+        at, texts, held = [], [], 0
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2).take(pa.array(at, pa.int64()))], ["text", "row"])  # noqa: B023, E731
+        for i, own in enumerate(batch.column(0).to_pylist()):
+            raw = batch.column(1)[i].as_py().encode()
+            solid = np.concatenate([[False], ~IS_SPACE[np.frombuffer(raw, np.uint8)], [False]])
+            edges = np.flatnonzero(solid[1:] != solid[:-1])
+            starts, ends = edges[::2], edges[1::2]
+            for first, end in _runs(own):
+                at.append(i)
+                texts.append(raw[starts[first] : ends[end - 1]].decode())
+                held += len(texts[-1])
                 if held > 1 << 24:
-                    yield flush()
+                    yield made()
                     at, texts, held = [], [], 0
-            yield flush()
-
-    return bounded(run)
+        yield made()

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,6 +29,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one, row; ``row.*`` gives them back under their names, whatever those are."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias("row")
+
+
 class Workspace:
     """A folder of its own for one operator call, below the shared folder."""
 

@@ -74,6 +74,22 @@ def test_smoothing_and_threshold():
     assert 1 < html_extract.threshold(np.array([0.0, 1.0, 0.5, 9.0, 10.0])) < 9
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><form action=x>{}<label>Name</label><input><select><option>a</select><button>Go</button></form></body>", "{}\nName"),
+        ("<body><div><article>{}</article></div><form class=search><p>Your name and address</p><textarea>x</textarea></form></body>", "{}"),
+        ("<body><article>{}<form><p>Subscribe by mail</p></form></article></body>", "{}"),
+        ("<body><article>{}<p>where <math><mi>a</mi><mo>=</mo><mi>b</mi><annotation>a=b</annotation></math> holds</p></article></body>", "{}\nwhere a=b holds"),
+        ("<body><article>{}<p aria-hidden=true>A note for readers.</p></article></body>", "{}\nA note for readers."),
+        ("<body><div hidden><p>Loading, please</p></div><article>{}</article></body>", "{}"),
+    ],
+)
+def test_forms_formulas_and_hidden_text(page, text):
+    lines = [f"Paragraph number {i} of the article, which is long enough to be text." for i in range(6)]
+    assert html_extract.main_text(page.format("".join(f"<p>{x}</p>" for x in lines))) == text.format("\n".join(lines))
+
+
 def test_quotes(spark):
     first, answer = "Hello there, this is the first message about budgets.", "Sure, here is my answer to the budget question."
     rows = [(1, 0, "user", first + "\nAnd a second line of it."), (1, 1, "assistant", answer), (1, 2, "user", f"On Mon, Bob wrote:\n> {answer}\n>> {first}\n\nThanks, and next year?"), (1, 3, "user", f"> {first.upper()}\nI reply to the first one."), (1, 3, "user", f"> {first}\nI reply to the first one."), (None, 0, "user", "x"), (2, None, "user", None), (2, 5, None, "alone"), (3, 0, "user", "> words that nobody wrote before"), (3, 1, "user", "")]
@@ -83,7 +99,7 @@ def test_quotes(spark):
     got = {(r.conv_id, r.turn): r for r in out}
     assert got[1, 2].text == "Thanks, and next year?" and got[1, 2].quote_levels == 2 and (got[1, 2].reply_to, got[1, 2].thread) == (1, 0)
     assert got[1, 3].linked and (got[1, 3].reply_to, got[1, 3].thread) == (0, 3)
-    assert not got[3, 0].linked and got[3, 0].text == "" and got[3, 1].reply_to == 0
+    assert not got[3, 0].linked and got[3, 0].text == "> words that nobody wrote before" and got[3, 1].reply_to == 0
     assert sorted(r.position for r in out if r.conv_id == 1) == list(range(5)) and got[None, 0].position == 0
     assert chat.link_quotes(talk.limit(0)).count() == 0
 
@@ -151,6 +167,38 @@ def test_parts_of_messages_are_linked(spark):
     assert not got[2, 1].linked and got[1, 8].reply_to == 7
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_only_found_passages_go(spark, seed):
+    """Prompts, code, block quotes of unknown origin and real quotes, mixed: every line is in the text or in a passage of an earlier message."""
+    import random
+
+    rnd = random.Random(seed)
+    said = lambda: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]) + str(rnd.randrange(1000)) for _ in range(8))
+    rows, expected = [], {}
+    for c in range(6):
+        spoken: list[str] = []
+        for t in range(9):
+            lines, keep, own = [], [], said()
+            for _ in range(rnd.randrange(1, 6)):
+                kind = rnd.choice(["own", "prompt", "block", "fence", "quote"])
+                if kind == "quote" and spoken:
+                    lines += ["On Monday, Ann wrote:", "> " + rnd.choice(spoken)]
+                else:
+                    more = {"own": [said()], "quote": [said()], "prompt": [">>> import " + said()], "block": ["> " + said(), "> " + said()], "fence": ["```", "> " + (spoken[0] if spoken else said()), "```"]}[kind]
+                    lines += more
+                    keep += more
+                lines.append(said())  # so that no two runs of quotes meet
+                keep.append(lines[-1])
+            lines.append(own)
+            keep.append(own)
+            spoken.append(own)
+            rows.append((c, t, "x", "\n".join(lines)))
+            expected[c, t] = "\n".join(keep)
+    out = chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): r.text for r in out} == expected
+    assert any(r.linked for r in out) and any(r.quote_levels == 3 for r in out)
+
+
 LONG = "A sentence of the article that is long enough to be text and not a menu, with several words more."
 
 
