@@ -15,7 +15,7 @@ from filingscope.llm.mixing import Mix
 from filingscope.llm.near_dedup import near_duplicates
 from filingscope.llm.packing import pack_documents
 from filingscope.llm.queries import _tokenizer
-from filingscope.llm.workspace import Workspace, spread
+from filingscope.llm.workspace import Workspace, spread, whole_row
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,16 +45,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ws = Workspace(spark, "near-stage")
     row = F.xxhash64("doc_id", F.col("doc_id").isNull(), text_digest("text"))
-    keyed = docs.withColumn("_row", row)
-    groups = near_duplicates(keyed, "_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"), F.lit(None).cast("long").alias("id"), F.lit(0).alias("n"))
-    ids = keyed.select("_row", F.lit(None).cast("long").alias("group"), F.col("doc_id").cast("long").alias("id"), F.lit(1).alias("n"))
-    rows = ws.put(groups.unionByName(ids).groupBy("_row").agg(F.max("group").alias("group"), F.max("id").alias("id"), F.sum("n").alias("n")), "rows")
-    stay = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row"))["_row"].alias("_row"))
-    out = keyed.join(stay.select("_row"), "_row", "left_semi")
+    # The user's columns travel as one, so no name of theirs meets one of ours.
+    keyed = docs.select(row.alias("key"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("words"), whole_row(docs))
+    groups = near_duplicates(keyed, "key", "words").select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"), F.lit(None).cast("long").alias("id"), F.lit(0).alias("n"))
+    ids = keyed.select("key", F.lit(None).cast("long").alias("group"), "id", F.lit(1).alias("n"))
+    rows = ws.put(groups.unionByName(ids).groupBy("key").agg(F.max("group").alias("group"), F.max("id").alias("id"), F.sum("n").alias("n")), "rows")
+    stay = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("key"))
+    out = keyed.join(stay.select("key"), "key", "left_semi")
     if not rows.where("n > 1").isEmpty():
         # Of rows equal in id and text one stays, but for those without a word.
-        out = out.withColumn("_wordless", F.when(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.monotonically_increasing_id())).dropDuplicates(["_row", "_wordless"])
-    return out.select(*docs.columns)
+        out = out.withColumn("wordless", F.when(~F.coalesce("words", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.monotonically_increasing_id())).dropDuplicates(["key", "wordless"])
+    return out.select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
