@@ -51,15 +51,15 @@ def search_dockets(questions: DataFrame, filings: DataFrame, filters: DataFrame,
     open_ = asked.where("case_number IS NULL AND size(terms) > 0").drop("case_number")
     routed = once(routed_cases(open_, exhaustive.join(open_, "question_id", "left_semi"), entries, carried), "routed")
     searches = routed.withColumnRenamed("rank", "case_rank").join(open_.drop("message"), "question_id").withColumn("least", F.least(F.lit(2), F.size("terms")))
-    read = once(evidence.within_budget(evidence.rank_documents(evidence.candidates(searches, filings, filters), as_of)).drop("bits"), "read")
-    found = evidence.excerpts(read.select("question_id", "case_number", "filing_id", "title", "received_date", "terms", "least", "rank"), evidence.pages_of(read.select("filing_id", "text").dropDuplicates(["filing_id"])))
+    read = once(evidence.within_budget(evidence.rank_documents(evidence.candidates(searches, filings, filters), as_of)), "read")
+    found = evidence.excerpts(read.select("question_id", "case_number", "filing_id", "title", "received_date", "terms", "least", "rank"), evidence.read_pages(read, filings))
     slots = evidence.diverse_documents(evidence.first_groups(found)).join(routed.select("question_id", "case_number", F.col("rank").alias("case_rank")), ["question_id", "case_number"])
     over_all = evidence.diverse_cases(slots).join(routed.select("question_id", F.col("routing").alias("way")).distinct(), "question_id")
 
     columns = ["question_id", "way", "place", "case_number", "filing_id", "page_number"]
     answered = once(in_case.select(*columns).unionByName(over_all.select(*columns)), "answered")
     rest = asked.join(answered.select("question_id").distinct(), "question_id", "left_anti")
-    ranked = search.bm25_search(rest.where("size(terms) > 0").select("question_id", "terms", F.col("case_number").alias("case")), chunks).select("question_id", F.col("rank").alias("place"), "id")
+    ranked = search.phrase_search(rest.where("size(terms) > 0").select("question_id", "terms", F.col("case_number").alias("case")), chunks).select("question_id", F.col("rank").alias("place"), "id")
     by_terms = ranked.join(chunks.select("id", "case_number", "filing_id", "page_number"), "id")
     bare = rest.where("size(terms) = 0 AND case_number IS NOT NULL").select("question_id", "case_number")
     newest = search.newest_chunks(bare.select("case_number").distinct(), chunks).join(bare, "case_number").withColumnRenamed("rank", "place")

@@ -22,8 +22,10 @@ def pages_of(filings: DataFrame) -> DataFrame:
     return filings.select("filing_id", F.posexplode(F.split("text", "\n")).alias("at", "page")).select("filing_id", (F.col("at") + 1).alias("page_number"), "page")
 
 
-def candidates(searches: DataFrame, filings: DataFrame, filters: DataFrame) -> DataFrame:
-    """Filings of each search's case whose filters may hold enough of its terms, with ``hits``.
+def candidates(searches: DataFrame, filings: DataFrame, filters: DataFrame, bits: bool = False) -> DataFrame:
+    """Filings of each search's case whose filters may hold enough of its terms, with ``hits``, title and received_date.
+
+    Texts stay behind until it is known which are read; ``bits`` tells whether the filters come along.
 
     Searches have question_id, case_number, terms, years and least. A filter is asked
     for the distinct terms of its own case alone, some hundred at a time.
@@ -37,7 +39,8 @@ def candidates(searches: DataFrame, filings: DataFrame, filters: DataFrame) -> D
     found = held.select("filing_id", "case_number", "wanted", F.explode(places).alias("at")).select("filing_id", "case_number", F.get("wanted", F.col("at"))["term"].alias("term"))
     hits = found.join(asked, ["case_number", "term"]).groupBy("question_id", "case_number", "filing_id").agg(F.count("*").cast("int").alias("hits"))
     kept = hits.join(small(searches), ["question_id", "case_number"]).where("hits >= least")
-    return kept.join(filings, ["filing_id", "case_number"]).join(filters, "filing_id")
+    found = kept.join(filings.select("filing_id", "case_number", "title", "received_date"), ["filing_id", "case_number"])
+    return found.join(filters, "filing_id") if bits else found
 
 
 def rank_documents(found: DataFrame, as_of: str, adjusted: bool = False) -> DataFrame:
@@ -100,9 +103,13 @@ def record_rows(searches: DataFrame, filings: DataFrame, as_of: str, most: int =
 def search_case(searches: DataFrame, filings: DataFrame, filters: DataFrame, as_of: str, reads: int = MOST_READS) -> DataFrame:
     """Evidence of each (question, case): ranked candidates, the first twenty read, ten groups, twelve rows."""
     named = ["question_id", "case_number", "filing_id", "title", "received_date", "terms", "least", "rank"]
-    read = once(rank_documents(candidates(searches, filings, filters), as_of).where(F.col("rank") <= reads).select(*named, "text"), "read")
-    pages = pages_of(read.select("filing_id", "text").dropDuplicates(["filing_id"]))  # of what is read alone
-    return diverse_documents(first_groups(excerpts(read.select(*named), pages)))
+    read = once(rank_documents(candidates(searches, filings, filters), as_of).where(F.col("rank") <= reads).select(*named), "read")
+    return diverse_documents(first_groups(excerpts(read, read_pages(read, filings))))
+
+
+def read_pages(read: DataFrame, filings: DataFrame) -> DataFrame:
+    """The pages of the filings that are read, each filing's once."""
+    return pages_of(filings.select("filing_id", "text").join(small(read.select("filing_id").distinct(), 100_000), "filing_id", "left_semi"))
 
 
 def asked_filings(searches: DataFrame, filings: DataFrame) -> DataFrame:

@@ -46,14 +46,19 @@ def document_frequency(terms: DataFrame) -> DataFrame:
 
 
 def postings(filings: DataFrame) -> DataFrame:
-    """(stem, case_number, df, weight, cases). A stem above the cap keeps one row with its df and no case."""
+    """(stem, case_number, df, weight, cases). A stem above the cap keeps one row with its df and no case.
+
+    Stems above the cap, the commonest ones, leave before anything is joined by stem.
+    """
     terms, sizes = once(case_terms(filings), "case-terms"), case_sizes(filings)  # the texts are read once
-    totals = F.broadcast(index_totals(terms, sizes))  # one row
-    weighed = terms.join(sizes, "case_number").join(document_frequency(terms), "stem").crossJoin(totals)
+    totals = once(index_totals(terms, sizes), "totals")
+    known = once(document_frequency(terms).crossJoin(F.broadcast(totals)), "frequencies")  # one row
     capped = F.col("df") > F.col("cap")
+    listed = terms.join(small(known.where(capped).select("stem"), 100_000), "stem", "left_anti")
+    weighed = listed.join(sizes, "case_number").join(known.where(~capped), "stem")
     weight = scoring.stored_weight(scoring.bm25(F.col("n"), F.col("filings"), F.col("mean")))
-    kept = weighed.where(~capped).select("stem", "case_number", "df", weight.alias("weight"), "cases")
-    over = document_frequency(terms).crossJoin(totals).where(capped).select("stem", F.lit(None).cast("string").alias("case_number"), "df", F.lit(None).cast("int").alias("weight"), "cases")
+    kept = weighed.select("stem", "case_number", "df", weight.alias("weight"), "cases")
+    over = known.where(capped).select("stem", F.lit(None).cast("string").alias("case_number"), "df", F.lit(None).cast("int").alias("weight"), "cases")
     return kept.unionByName(over)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import markdown, text
 
@@ -41,10 +42,10 @@ def transcripts(turns: DataFrame, capped: bool = True) -> DataFrame:
     role = F.when(F.col("role") == "model", "Assistant").otherwise("User")
     content = F.substring("content", 1, TURN_CHARS) if capped else F.col("content")
     line = F.concat(role, F.lit(": "), content)
-    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"))
-    lines = F.transform("lines", lambda x: x["line"])
-    most = TURNS + 1
-    return grouped.select("conv_id", F.array_join(F.slice(lines, F.greatest(F.lit(1), F.size(lines) - most + 1), F.lit(most)) if capped else lines, "\n\n").alias("transcript"))
+    last = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    kept = turns.withColumn("place", F.row_number().over(last)).where(F.col("place") <= TURNS + 1) if capped else turns  # the others' texts don't move
+    grouped = kept.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"))
+    return grouped.select("conv_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n").alias("transcript"))
 
 
 def direct_answers(rows: DataFrame, search_url: str) -> DataFrame:

@@ -11,9 +11,11 @@ from pyspark.sql.window import Window
 
 from ..functions import scoring, text
 from .index import members
-from .shared import small
+from .shared import once, small
 
 MOST_STEMS, CANDIDATES, VERIFIED = 8, 8, 5
+#: Postings of a block.
+BLOCK_POSTINGS = 32
 #: Scores are compared at this many decimals, so that the order of summation decides nothing.
 DECIMALS = 6
 
@@ -39,6 +41,54 @@ def route(questions: DataFrame, postings: DataFrame, most: int = CANDIDATES) ->
     return case_scores(questions, postings).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("question_id", F.col("rank").cast("long"), "case_number", "score", "hits")
 
 
+def posting_blocks(postings: DataFrame, rows: int = BLOCK_POSTINGS) -> DataFrame:
+    """(stem, df, cases, block, top, n, entries): each stem's postings by falling weight, in blocks of ``rows``; top is a block's largest weight.
+
+    Capped stems have no postings and so no block.
+    """
+    order = Window.partitionBy("stem").orderBy(F.desc("weight"), "case_number")
+    placed = postings.where("case_number IS NOT NULL").withColumn("block", F.floor((F.row_number().over(order) - 1) / rows).cast("int"))
+    entry = F.struct((-F.col("weight")).alias("back"), "case_number", "weight")
+    held = placed.groupBy("stem", "block").agg(F.first("df").alias("df"), F.first("cases").alias("cases"), F.max("weight").alias("top"), F.count("*").alias("n"), F.sort_array(F.collect_list(entry)).alias("all"))  # rows postings
+    return held.select("stem", "df", "cases", "block", "top", "n", F.transform("all", lambda e: F.struct(e["case_number"].alias("case_number"), e["weight"].alias("weight"))).alias("entries"))
+
+
+def _summed(blocks: DataFrame) -> DataFrame:
+    """(question_id, case_number, score, hits) of the postings in blocks with idf."""
+    each = blocks.select("question_id", "idf", F.inline("entries"))
+    return each.groupBy("question_id", "case_number").agg(F.sum(F.col("idf") * F.col("weight") / scoring.WEIGHT_SCALE).alias("score"), F.count("*").alias("hits"))
+
+
+def needed_blocks(questions: DataFrame, blocks: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """The blocks that can hold one of a question's best cases: question_id, stem, block, n, needed, and idf and entries for those.
+
+    The best cases by each stem's first block alone set a score that is reached for sure. A case in a
+    block scores at most the block's top and the first tops of all the question's other stems;
+    where that is less, none of the block's cases is among the best, so it isn't opened. All
+    blocks of every case among the best are opened, and their scores are whole.
+    """
+    wanted = small(question_stems(questions))
+    asked = blocks.join(wanted, "stem").withColumn("idf", scoring.idf(F.col("df"), F.col("cases"))).where("idf > 0")
+    tops = asked.select("question_id", "stem", "block", "n", (F.col("idf") * F.col("top") / scoring.WEIGHT_SCALE).alias("top"))
+    best = tops.where("block = 0").groupBy("question_id").agg(F.sum("top").alias("all"))
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score")))
+    reached = _summed(asked.where("block = 0")).withColumn("place", place).where(F.col("place") <= most).groupBy("question_id").agg(F.when(F.max("place") == most, F.min("score")).otherwise(0.0).alias("reached"))
+    limits = small(once(best.join(reached, "question_id"), "limits"), 100_000)
+    first = tops.where("block = 0").select("question_id", "stem", F.col("top").alias("own"))
+    slack = 10.0**-DECIMALS  # more than sums in another order differ by
+    bounded = tops.join(small(first, 100_000), ["question_id", "stem"]).join(limits, "question_id").withColumn("needed", F.col("top") + F.col("all") - F.col("own") >= F.col("reached") - slack)
+    return bounded.select("question_id", "stem", "block", "n", "needed")
+
+
+def route_by_blocks(questions: DataFrame, blocks: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """The same best cases as ``route``, from the needed blocks (``posting_blocks``, written before) alone."""
+    needed = small(once(needed_blocks(questions, blocks, most).where("needed").select("question_id", "stem", "block"), "needed"), 100_000)
+    opened = blocks.join(needed, ["stem", "block"]).withColumn("idf", scoring.idf(F.col("df"), F.col("cases")))
+    scored = _summed(opened).withColumn("score", F.round("score", DECIMALS))
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc("hits"), "case_number")
+    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).select("question_id", "rank", "case_number", "score", "hits")
+
+
 def term_report(questions: DataFrame, postings: DataFrame) -> DataFrame:
     """(question_id, discriminating, capped, missing): how the index knows a question's stems."""
     known = postings.groupBy("stem").agg(F.max(F.col("case_number").isNotNull()).alias("listed"))

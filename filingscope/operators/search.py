@@ -5,7 +5,7 @@ Both scores are this engine's own: k1 1.2, b 0.75.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,6 +14,8 @@ from .routing import DECIMALS
 from .shared import once, small
 
 K1, B, ROWS = 1.2, 0.75, 8
+#: A word of a chunk's text for phrases.
+PLAIN_WORD = r"[\p{L}\p{N}]+"
 # The local search's boosts and widths.
 FIELDS = {"filename": 4.0, "docket_number": 3.0, "case_number": 3.0, "filing_type": 2.0, "filer": 2.0, "text": 1.0}
 PREFIX_WEIGHT, FUZZY_WEIGHT, FUZZY_SHARE, PHRASE_BOOST, CASE_BOOST = 0.375, 0.45, 0.12, 8.0, 5.0
@@ -26,21 +28,70 @@ def field_postings(chunks: DataFrame, fields: list[str], key: str = "id") -> Dat
     return each.select(key, "field", "size", F.explode("words").alias("term")).groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.max("size").alias("size"))
 
 
-def bm25_search(questions: DataFrame, chunks: DataFrame, most: int = ROWS) -> DataFrame:
-    """(question_id, rank, id, score): chunks that hold any term; one case only where the question names one."""
-    each = chunks.withColumn("words", text.tokens(F.col("text"))).withColumn("size", F.size("words"))
-    totals = F.broadcast(each.agg(F.count("*").alias("n"), F.avg("size").alias("mean")))  # one row
-    tf = each.select("id", "case_number", "size", F.explode("words").alias("term")).groupBy("id", "case_number", "size", "term").agg(F.count("*").alias("tf"))
-    asked = small(questions.select("question_id", "case", F.explode("terms").alias("term")))
-    hits = tf.join(asked, "term")
-    df = tf.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "term").crossJoin(totals).where("case IS NULL OR case = case_number")
+def _best_by_bm25(asked: DataFrame, counts: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """(question_id, rank, id, score) of questions (question_id, case, term) by term counts (id, case_number, term, tf) and all chunks' sizes (id, size)."""
+    totals = F.broadcast(sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean")))  # one row
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    scored = counts.join(asked, "term").where("case IS NULL OR case = case_number").join(df, "term").join(sizes, "id").crossJoin(totals)
     part = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     best = scored.groupBy("question_id", "id").agg(F.round(F.sum(part), DECIMALS).alias("score"))
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).select("question_id", "rank", "id", "score")
 
 
+def bm25_search(questions: DataFrame, chunks: DataFrame, most: int = ROWS) -> DataFrame:
+    """(question_id, rank, id, score): chunks that hold any term; one case only where the question names one.
+
+    Texts are read once, and all words that nobody asks for become one row a chunk before anything moves.
+    """
+    asked = small(questions.select("question_id", "case", F.explode("terms").alias("term")))
+    terms = small(questions.select(F.explode("terms").alias("term")).distinct().withColumn("asked", F.lit(True)))
+    words = chunks.select("id", "case_number", F.explode_outer(text.tokens(F.col("text"))).alias("term")).join(terms, "term", "left")
+    term = F.when(F.col("asked"), F.col("term"))
+    counts = once(words.groupBy("id", "case_number", term.alias("asked_term")).agg(F.count("term").alias("tf")).withColumnRenamed("asked_term", "term"), "counts")
+    return _best_by_bm25(asked, counts.where("term IS NOT NULL"), counts.groupBy("id").agg(F.sum("tf").alias("size")), most)
+
+
+def positional_postings(chunks: DataFrame, words: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """(word, key, gaps): where a word stands in a chunk, as the first place and the steps to each further one.
+
+    Words are runs of letters and digits; ``words`` (word) are those that are wanted, all by default.
+    """
+    each = chunks.select(key, F.posexplode(text.matches(F.lower(F.coalesce("text", F.lit(""))), PLAIN_WORD)).alias("at", "word"))
+    each = each if words is None else each.join(words, "word", "left_semi")
+    held = each.groupBy("word", key).agg(F.sort_array(F.collect_list("at")).alias("at"))  # of one chunk
+    gaps = F.zip_with("at", F.concat(F.array(F.lit(0)), F.slice("at", F.lit(1), F.size("at") - 1)), lambda x, before: x - before)
+    return held.select("word", key, gaps.alias("gaps"))
+
+
+def places(gaps: Column) -> Column:
+    """The places again."""
+    return F.slice(F.aggregate(gaps, F.array(F.lit(0)), lambda out, g: F.concat(out, F.array(F.element_at(out, -1) + g))), F.lit(2), F.size(gaps))
+
+
+def phrase_counts(terms: DataFrame, postings: DataFrame, key: str = "id") -> DataFrame:
+    """(term, key, tf): how often a term's words stand next to each other, by intersecting their places.
+
+    A term is cut where it has neither letter nor digit; one word is a phrase of one, and
+    a term without any is nowhere.
+    """
+    cut = terms.select("term").distinct().withColumn("words", text.matches(F.lower("term"), PLAIN_WORD))
+    parts = small(cut.select("term", F.size("words").alias("of"), F.posexplode("words").alias("k", "word")), 100_000)
+    starts = postings.join(parts, "word").select("term", "of", key, F.explode(F.transform(places(F.col("gaps")), lambda p: p - F.col("k"))).alias("start"))
+    whole = starts.groupBy("term", "of", key, "start").agg(F.count("*").alias("n")).where("n = of")
+    return whole.groupBy("term", key).agg(F.count("*").alias("tf"))
+
+
+def phrase_search(questions: DataFrame, chunks: DataFrame, most: int = ROWS) -> DataFrame:
+    """(question_id, rank, id, score): like ``bm25_search``, but a term of several words counts where they stand next to each other."""
+    asked = small(questions.select("question_id", "case", F.explode("terms").alias("term")))
+    words = small(questions.select(F.explode(F.flatten(F.transform("terms", lambda t: text.matches(F.lower(t), PLAIN_WORD)))).alias("word")).distinct(), 100_000)
+    counts = once(phrase_counts(asked, positional_postings(chunks, words)), "phrases")
+    sizes = chunks.select("id", "case_number", F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(PLAIN_WORD)).alias("size"))
+    sizes = once(sizes, "sizes")
+    return _best_by_bm25(asked, counts.join(sizes.select("id", "case_number"), "id"), sizes.select("id", "size"), most)
+
+
 def matching_rows(hits: DataFrame, chunks: DataFrame, documents: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """Search hits (question_id, rank, id) with their chunk (id, filing_id, page_number) and document (filing_id, case_number, title, received_date).
 

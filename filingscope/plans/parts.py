@@ -473,8 +473,8 @@ SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY first_)
 def diverse_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     searches, rows, filters = _search_tables(spark, sf_dir, routing.VERIFIED)
     ranked = evidence.rank_documents(evidence.candidates(searches, rows, filters), AS_OF)
-    read = once(evidence.within_budget(ranked).drop("bits"), "read")
-    pages = evidence.pages_of(read.select("filing_id", "text").dropDuplicates(["filing_id"]))
+    read = once(evidence.within_budget(ranked), "read")
+    pages = evidence.read_pages(read, rows)
     found = evidence.excerpts(read.select("question_id", "case_number", "filing_id", "title", "received_date", "terms", "least", "rank"), pages)
     slots = evidence.diverse_documents(evidence.first_groups(found)).join(searches.select("question_id", "case_number", "case_rank"), ["question_id", "case_number"])
     return evidence.diverse_cases(slots)

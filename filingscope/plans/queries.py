@@ -243,7 +243,7 @@ def _search_tables(spark: SparkSession, sf_dir: str, cases: int = 1) -> tuple[Da
 
 
 def _ranked(spark: SparkSession, sf_dir: str, cases: int = 1, adjusted: bool = False) -> DataFrame:
-    return evidence.rank_documents(evidence.candidates(*_search_tables(spark, sf_dir, cases)), AS_OF, adjusted)
+    return evidence.rank_documents(evidence.candidates(*_search_tables(spark, sf_dir, cases), bits=adjusted), AS_OF, adjusted)
 
 
 CAND = f"""{INDEX}, doc_words AS (SELECT DISTINCT filing_id, unnest({tok('text')}) AS term FROM filings), words AS (SELECT DISTINCT term FROM doc_words UNION SELECT term FROM qterms), {BITS},
@@ -264,7 +264,7 @@ def rank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CAND}, nq AS (SELECT question_id, count(*) AS n FROM qterms GROUP BY ALL) SELECT question_id, filing_id, round(greatest(0, hits - n * pow(fill, 5)), 6) AS adjusted FROM cand JOIN fills USING (filing_id) JOIN nq USING (question_id)")
 def saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evidence.candidates(*_search_tables(spark, sf_dir))
+    found = evidence.candidates(*_search_tables(spark, sf_dir), bits=True)
     return found.select("question_id", "filing_id", F.round(scoring.adjusted_hits(F.col("hits"), F.size("terms"), scoring.fill_ratio(F.col("bits"), hashing.FILTER_BYTES)), 6).alias("adjusted"))
 
 
