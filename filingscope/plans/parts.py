@@ -361,19 +361,6 @@ def relink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("question_id", markdown.relink(reply, F.col("rows")).alias("reply"))
 
 
-DELTAS = ("CAST(doc_id AS STRING) AS stream_id", "'Filed ' || source || chr(10) || '[Storm Report — p. ' || CAST(doc_id % 9 + 1 AS STRING) || ']' || chr(10) || ', and [other] text.' AS reply")
-
-
-@query("SELECT CAST(doc_id AS STRING) AS stream_id, 'Filed ' || source || ' [Storm Report — p. ' || (doc_id % 9 + 1) || '](https://x.org/a.pdf#page=' || (doc_id % 9 + 1) || '), and [other] text.' AS reply FROM documents WHERE source IS NOT NULL")
-def relinked_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies that arrive in pieces of seven characters, as they go out."""
-    rows = made(spark, sf_dir, "documents", DELTAS, "source IS NOT NULL")
-    pieces = rows.select("stream_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("reply") - 1) / 7)), lambda i: F.substr("reply", i.cast("int") * 7 + 1, F.lit(7)))).alias("seq", "delta"), F.floor((F.length("reply") - 1) / 7).alias("last"))
-    deltas = pieces.select("stream_id", F.col("seq").cast("long").alias("seq"), "delta", (F.col("seq") == F.col("last")).alias("final"))
-    cited = [{"title": "Storm Report", "url": "https://x.org/a.pdf", "page_number": 1, "kind": None}]
-    return jobs.relink_batch(deltas, jobs.AnyStream(cited)).groupBy("stream_id").agg(render.joined("seq", F.col("text"), "").alias("reply"))
-
-
 LINKS = ("page_id AS answer_id", "CASE page_id % 8 WHEN 0 THEN '#top' WHEN 1 THEN 'https://edocket.example.org/public/search/casenumber/1000' WHEN 2 THEN 'https://edocket.example.org/public/search/casenumber/9' || CAST(page_id AS STRING) WHEN 3 THEN 'https://edocket.example.org/public/search/details/FC1000/7' WHEN 4 THEN 'https://edocket.example.org/public/search/details/FC1000/8' WHEN 5 THEN 'https://example.org/seen' WHEN 6 THEN 'https://example.org/old/1234/x' ELSE '//elsewhere.net/a' END AS url")
 
 
