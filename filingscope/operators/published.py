@@ -17,7 +17,11 @@ from .shared import small
 INDEX_VERSION, ROUTER_VERSION, INDEX_PREFIX, ROUTER_PREFIX = 1, 2, "term-index/", "case-router/"
 MANIFEST = "version int, generation string, updatedAt string, complete boolean, shardCount int, cases long, shardKeyPrefix string, activeSlot string, postingFormat string"
 ROUTER = "version int, generation string, updatedAt string, complete boolean, shardCount int, filterBytes int, filterBands int, partKeys array<string>"
-SHARD = "version int, generation string, shardCount int, postingFormat string, terms map<string,array<string>>"
+SHARD = "version int, generation string, shardCount int, postingFormat string, part int, parts int, terms map<string,array<string>>"
+# Fixed value: the bound of a published shard.
+MOST_BYTES = 8 << 20
+#: Bytes of a shard besides its terms, at most.
+HEAD_BYTES = 512
 
 
 def is_term_manifest(payload: Column) -> Column:
@@ -56,14 +60,30 @@ def posting_entries(entry: Column, posting_format: Column) -> Column:
     return F.when(counted | (posting_format == "case-bm25"), weighed).otherwise(named)
 
 
-def shard_payloads(postings: DataFrame, generation: str, shards: int = hashing.TERM_SHARDS) -> DataFrame:
-    """(shard, payload): postings (stem, case_number, df, weight) as JSON shards with stored weights; a capped stem has its frequency alone."""
-    quoted = lambda c: F.to_json(F.array(c))  # noqa: E731  '["…"]', whose inside is the escaped text
-    item = F.concat(F.regexp_replace(quoted(F.col("case_number")), r"^\[|\]$", ""), F.lit(","), F.col("weight").cast("string"))
-    lists = postings.groupBy("stem", "df").agg(F.array_join(F.array_sort(F.collect_list(item)), ",").alias("body"))
-    entry = F.concat(F.regexp_replace(quoted(F.col("stem")), r"^\[|\]$", ""), F.lit(":["), F.concat_ws(",", F.col("df").cast("string"), F.nullif("body", F.lit(""))), F.lit("]"))
-    held = lists.groupBy(hashing.term_shard(F.col("stem"), shards).alias("shard")).agg(F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("terms"))
-    return held.select("shard", F.concat(F.lit(f'{{"version":{INDEX_VERSION},"generation":"{generation}","shardCount":{shards},"postingFormat":"case-bm25","terms":{{'), "terms", F.lit("}}")).alias("payload"))
+def shard_payloads(postings: DataFrame, generation: str, shards: int = hashing.TERM_SHARDS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(shard, part, payload): postings (stem, case_number, df, weight) as JSON shards with stored weights; a capped stem has its frequency alone.
+
+    No payload has more than ``most_bytes``. Running sums of the encoded sizes cut a long posting list into pieces and a
+    large shard into parts, the same ones each time; a list that is cut has its frequency in each part. No more
+    than a part's rows are gathered at once.
+    """
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")  # noqa: E731  the escaped text in quotes
+    head = most_bytes - HEAD_BYTES
+    piece, room = head // 4, head - head // 4
+    item = F.coalesce(F.concat(quoted(F.col("case_number")), F.lit(","), F.col("weight").cast("string")), F.lit(""))
+    rows = postings.select("stem", "df", "case_number", item.alias("item"), (F.octet_length(quoted(F.col("stem"))) + 24).alias("fixed"))
+    own = Window.partitionBy("stem").orderBy("case_number").rowsBetween(Window.unboundedPreceding, -1)
+    cut = rows.withColumn("piece", F.floor(F.coalesce(F.sum(F.octet_length("item") + 1).over(own), F.lit(0)) / F.greatest(F.lit(1), F.lit(piece // 2) - F.col("fixed"))))
+    pieces = cut.groupBy("stem", "df", "piece").agg(F.sort_array(F.collect_list(F.struct("case_number", "item"))).alias("items"), (F.max("fixed") + F.sum(F.octet_length("item") + 1)).alias("size"))  # bytes of a piece at most
+    pieces = pieces.select("stem", "df", "piece", "size", F.array_join(F.transform("items", lambda x: x["item"]), ",").alias("body"), hashing.term_shard(F.col("stem"), shards).alias("shard"))
+    before = Window.partitionBy("shard").orderBy("stem", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("part", F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / room).cast("int")).withColumn("parts", F.max("part").over(Window.partitionBy("shard")) + 1)
+    lists = placed.groupBy("shard", "part", "parts", "stem", "df").agg(F.sort_array(F.collect_list(F.struct("piece", "body"))).alias("bodies"))
+    body = F.array_join(F.transform("bodies", lambda x: x["body"]), ",")
+    entry = F.concat(quoted(F.col("stem")), F.lit(":["), F.concat_ws(",", F.col("df").cast("string"), F.nullif(body, F.lit(""))), F.lit("]"))
+    held = lists.groupBy("shard", "part", "parts").agg(F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("terms"))
+    text = F.concat(F.lit(f'{{"version":{INDEX_VERSION},"generation":"{generation}","shardCount":{shards},"postingFormat":"case-bm25","part":'), F.col("part").cast("string"), F.lit(',"parts":'), F.col("parts").cast("string"), F.lit(',"terms":{'), "terms", F.lit("}}"))
+    return held.select("shard", "part", F.when(F.octet_length(text) <= most_bytes, text).otherwise(F.raise_error(F.lit(f"a shard of more than {most_bytes} bytes"))).alias("payload"))
 
 
 def manifest_payload(cases: DataFrame, generation: str, updated_at: str, slot: str = "a", shards: int = hashing.TERM_SHARDS) -> DataFrame:
@@ -74,10 +94,13 @@ def manifest_payload(cases: DataFrame, generation: str, updated_at: str, slot: s
 
 
 def _current(manifest: DataFrame, shards: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The manifest's row, and the shards with generation and whether it is the manifest's."""
+    """The manifest's row, and the shards (shard, s) that are the manifest's, with all of their parts."""
     m = manifest.where(is_term_manifest(F.col("payload"))).limit(1).select(F.from_json("payload", MANIFEST).alias("m"))
     read = shards.select("shard", F.from_json("payload", SHARD).alias("s"))
-    return m, read.crossJoin(F.broadcast(m)).withColumn("current", F.coalesce((F.col("s.version") == INDEX_VERSION) & (F.col("s.generation") == F.col("m.generation")) & (F.col("s.shardCount") == F.col("m.shardCount")) & F.col("s.terms").isNotNull(), F.lit(False)))  # one row
+    own = (F.col("s.version") == INDEX_VERSION) & (F.col("s.generation") == F.col("m.generation")) & (F.col("s.shardCount") == F.col("m.shardCount")) & F.col("s.terms").isNotNull()
+    good = read.crossJoin(F.broadcast(m)).where(own).select("shard", "s", F.coalesce("s.part", F.lit(0)).alias("part"), F.coalesce("s.parts", F.lit(1)).alias("parts"))  # one row
+    whole = good.groupBy("shard").agg((F.count_distinct("part") == F.max("parts")).alias("all")).where("all").select("shard")
+    return m, good.join(whole, "shard", "left_semi").select("shard", "s")
 
 
 def route_published(questions: DataFrame, manifest: DataFrame, shards: DataFrame, most: int = CANDIDATES) -> DataFrame:
@@ -91,8 +114,8 @@ def route_published(questions: DataFrame, manifest: DataFrame, shards: DataFrame
     m, read = _current(manifest, shards)
     stems = question_stems(questions).crossJoin(F.broadcast(m)).select("question_id", "stem", hashing.fnv1a(F.col("stem")).alias("h"), F.col("m.shardCount").alias("n"), F.col("m.cases").alias("cases"), F.col("m.postingFormat").alias("format"))  # one row
     stems = small(stems.withColumn("shard", (F.col("h") % F.col("n")).cast("int")).drop("h", "n"))
-    good = read.where("current").select("shard", "s.terms").join(small(stems.select("shard").distinct()), "shard", "left_semi")
-    whole = stems.join(good.select("shard", F.lit(True).alias("there")), "shard", "left").groupBy("question_id").agg(F.every(F.coalesce("there", F.lit(False))).alias("available"))
+    good = read.select("shard", "s.terms").join(small(stems.select("shard").distinct()), "shard", "left_semi")
+    whole = stems.join(good.select("shard", F.lit(True).alias("there")).distinct(), "shard", "left").groupBy("question_id").agg(F.every(F.coalesce("there", F.lit(False))).alias("available"))
     entries = good.select("shard", F.explode("terms").alias("stem", "entry")).join(stems, ["shard", "stem"])
     listed = entries.select("question_id", scoring.idf(F.get("entry", F.lit(0)).try_cast("double"), F.col("cases")).alias("idf"), F.inline(posting_entries(F.col("entry"), F.coalesce("format", F.lit("case"))))).where("idf > 0")
     scored = listed.groupBy("question_id", "case_number").agg(F.round(F.sum(F.col("idf") * F.col("weight")), DECIMALS).alias("score"), F.count("*").alias("hits"))
@@ -111,12 +134,13 @@ def verify_terms(terms: DataFrame, manifest: DataFrame, shards: DataFrame) -> Da
     has no entry, 'fail' if it is not there or of another generation.
     """
     m, read = _current(manifest, shards)
-    asked = terms.crossJoin(F.broadcast(m)).withColumn("shard", (hashing.fnv1a(F.col("term")) % F.col("m.shardCount")).cast("int"))  # one row
-    found = asked.select("term", "shard", F.col("m.postingFormat").alias("own")).join(read.select("shard", "current", "s"), "shard", "left")
+    asked = terms.crossJoin(F.broadcast(m)).select("term", (hashing.fnv1a(F.col("term")) % F.col("m.shardCount")).cast("int").alias("shard"), F.col("m.postingFormat").alias("own"))  # one row
+    found = asked.join(read.select("shard", "s"), "shard", "left")
     entry = F.try_element_at("s.terms", F.col("term"))
     kind = F.coalesce("s.postingFormat", "own", F.lit("case"))
-    status = F.when(~F.coalesce("current", F.lit(False)), "fail").when(entry.isNull() | (F.size(entry) == 0), "miss").otherwise("ok")
-    cases = F.transform(F.slice(posting_entries(entry, kind), 1, 5), lambda p: p["case_number"])
-    held = found.withColumn("status", status)
-    ok = F.col("status") == "ok"
-    return held.select("term", "shard", "status", F.when(ok, F.get(entry, F.lit(0)).try_cast("long")).alias("frequency"), F.when(ok, kind).alias("format"), F.when(ok, cases).alias("cases"))
+    held = F.size(entry) > 0
+    cases = F.transform(posting_entries(entry, kind), lambda p: p["case_number"])
+    # A term's list may be cut over parts, in the order of its cases.
+    merged = found.groupBy("term", "shard").agg(F.max(F.col("s").isNotNull()).alias("there"), F.max(F.coalesce(held, F.lit(False))).alias("held"), F.max(F.when(held, F.get(entry, F.lit(0)).try_cast("long"))).alias("frequency"), F.max(F.when(held, kind)).alias("format"), F.sort_array(F.collect_list(F.when(held, F.struct(F.coalesce("s.part", F.lit(0)).alias("part"), F.slice(cases, 1, 5).alias("cases"))))).alias("lists"))
+    status = F.when(~F.col("there"), "fail").when(~F.col("held"), "miss").otherwise("ok")
+    return merged.select("term", "shard", status.alias("status"), "frequency", "format", F.when(F.col("held"), F.slice(F.flatten(F.transform("lists", lambda x: x["cases"])), 1, 5)).alias("cases"))

@@ -241,7 +241,7 @@ def filter_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _published(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = filings(spark, sf_dir)
     postings = once(index.postings(rows), "postings")
-    shards = once(published.shard_payloads(postings, "g1", 64), "shards")
+    shards = once(published.shard_payloads(postings, "g1", 64, 8192), "shards")  # so small that shards have several parts
     return published.manifest_payload(postings.where("case_number IS NOT NULL"), "g1", "2026-01-01T00:00:00Z", shards=64), shards
 
 
@@ -293,15 +293,6 @@ def index_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made(spark, sf_dir, "documents", GUARDS).select("doc_id", published.is_term_manifest(F.col("payload")).alias("term_index"), published.is_router_index(F.col("payload")).alias("router"))
 
 
-@query(f"WITH {INDEX} SELECT stem, case_number, df, weight FROM postings WHERE df <= 3")
-def generation_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings as a reader finds them after two generations were published."""
-    postings, path = once(index.postings(filings(spark, sf_dir)), "postings"), new_folder(spark, "index")
-    landed.publish_index(postings, path, buckets=4)
-    landed.publish_index(postings, path, buckets=8)
-    return landed.read_postings(spark, path).where("df <= 3 AND case_number IS NOT NULL").select("stem", "case_number", "df", "weight")
-
-
 # Landed files
 
 @query(f"""SELECT filingId AS filing_id, receivedDate AS received_date FROM (SELECT doc_id AS filingId, '2024-01-' || CAST(10 + doc_id % 18 AS STRING) AS receivedDate FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0) WHERE receivedDate >= '2024-01-12' ORDER BY receivedDate DESC, filingId OFFSET 5 LIMIT 40""")
@@ -585,22 +576,6 @@ def age_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operations.evaluation_summary(rows, AS_OF).select("median_age", "year_coverage")
 
 
-@query("""SELECT doc_id AS filing_id, 'FC' || (100 + doc_id % 9) AS case_number, source AS title, 'k' || doc_id AS r2_key FROM documents WHERE doc_id % 9 <> 4""")
-def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of manifest files as they are read: only those whose content names the case of its path."""
-    path = new_folder(spark, "manifests")
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("FC"), (100 + F.col("doc_id") % 9).cast("string")).alias("case"), F.struct(F.col("doc_id").alias("filing_id"), F.col("source").alias("title"), F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("r2_key")).alias("d"))
-    each = docs.groupBy("case").agg(F.collect_list("d").alias("documents"))
-    fs = spark._jvm.org.apache.hadoop.fs  # noqa: SLF001
-    conf = spark._jsparkSession.sessionState().newHadoopConf()  # noqa: SLF001
-    for case, payload in each.select("case", F.to_json(F.struct(F.lit(2).alias("version"), F.when(F.col("case") == "FC104", "FC1").otherwise(F.col("case")).alias("caseNumber"), "documents"))).collect():  # nine small files
-        target = fs.Path(f"{path}/{case}/part-0-of-1.json")
-        out = target.getFileSystem(conf).create(target)
-        out.write(bytearray(payload.encode()))
-        out.close()
-    return landed.read_manifests(spark, path).select("filing_id", "case_number", "title", "r2_key")
-
-
 @query(f"""WITH {FILINGS}, {QTERMS}, w AS (SELECT filing_id AS id, unnest({tok('text')}) AS term FROM filings), sz AS (SELECT filing_id AS id, len({tok('text')}) AS size FROM filings), tot AS (SELECT count(*) AS n, avg(size) AS mean FROM sz), tf AS (SELECT id, term, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
 s AS (SELECT question_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size / mean))), 6) AS score FROM qterms JOIN tf USING (term) JOIN df USING (term) JOIN sz USING (id), tot GROUP BY ALL),
 r AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank, id FROM s QUALIFY rank <= 8)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scoring
-from ..operators import operations
-from ..operators.shared import new_folder
-from ..sources import paged
-from .corpus import table
+from ..operators import index, operations
+from ..operators.shared import new_folder, once
+from ..sources import generations, manifests, paged
+from .corpus import filings, table
+from .queries import INDEX
 from .registry import query
 
 # Records of the landed pages, as SQL expressions of both engines.
@@ -88,3 +89,30 @@ def health_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").where("ts < '2024-01-25' OR event_id % 3 = 0").withColumn("part", F.when(kind == 0, "index").when(kind == 1, "router").otherwise("term-index"))
     parts = events.groupBy("part").agg(F.date_format(F.max(F.when((kind != 1) | (F.col("event_type") == "click"), F.col("ts"))), "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
     return operations.health(parts, "2024-02-01 00:00:00")
+
+
+# Manifests: a third of the filings are one case's, which gets several parts.
+CASES = ("doc_id AS filing_id", "CASE WHEN doc_id % 3 = 0 THEN 'FC100' ELSE 'FC' || CAST(101 + doc_id % 40 AS STRING) END AS case_number", "source AS title", "'k' || CAST(doc_id AS STRING) AS r2_key", "doc_id % 5 = 0 AS metadata_only")
+
+
+@query(f"SELECT {', '.join(CASES)} FROM documents")
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of manifests that tasks wrote, as they are read again; a file in another case's folder doesn't count."""
+    path, rows = new_folder(spark, "manifests"), table(spark, sf_dir, "documents").selectExpr(*CASES)
+    manifests.write_manifests(rows.where("filing_id % 2 = 0"), path, 1 << 20)
+    manifests.write_manifests(rows, path, 16 << 10)  # the cases again, in more parts
+    store = paged.Store(path)
+    for name in store.names("FC100")[:1]:
+        store.write("FC999/part-0-of-1.json.gz", store.read(f"FC100/{name}"))
+    return manifests.read_manifests(spark, path).select("filing_id", "case_number", "title", "r2_key", "metadata_only")
+
+
+@query(f"WITH {INDEX} SELECT stem, case_number, df, weight FROM postings")
+def generation_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All postings as a reader finds them that held a generation while two more were published."""
+    postings, path = once(index.postings(filings(spark, sf_dir)), "postings"), new_folder(spark, "index")
+    generations.publish_index(postings, path, buckets=4)
+    with generations.held_generation(spark, path) as meta:
+        generations.publish_index(postings, path, buckets=8)
+        generations.publish_index(postings, path, buckets=8)
+        return once(generations.read_postings(spark, path, generation=meta).where("case_number IS NOT NULL").select("stem", "case_number", "df", "weight"), "read")

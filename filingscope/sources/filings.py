@@ -1,21 +1,15 @@
-"""Landed filing records, page files, manifests and published index generations."""
+"""Landed filing records, page files, PDFs and news markup."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
 from pyspark.sql.window import Window
 
 from ..functions import text
-from ..functions.hashing import term_shard
-from ..operators.ingest import is_public_pdf, shrink_guard
+from ..operators.ingest import is_public_pdf
 
 RECORD = "filingId long, docketNumber string, attachment string, attachmentFileName string, attachmentId long, description string, receivedDate string, isConfidential boolean, isArchived boolean"
-MANIFEST = "version int, caseNumber string, documents array<struct<filing_id:long,case_number:string,docket_number:string,title:string,received_date:string,official_pdf_url:string,r2_key:string,term_filter_b64:string,metadata_only:boolean>>"
 
 
 def read_records(spark: SparkSession, path: str, newest_first: bool = False, skip: int = 0, take: int | None = None, since: str | None = None) -> DataFrame:
@@ -30,13 +24,6 @@ def read_records(spark: SparkSession, path: str, newest_first: bool = False, ski
     return rows if take is None else rows.limit(take)
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """One row a (part, document) of manifest files; the case comes from the file's path and must be that of its content."""
-    rows = spark.read.schema(MANIFEST).json(path, recursiveFileLookup=True).withColumn("part", F.input_file_name())
-    named = rows.withColumn("path_case", F.regexp_extract("part", r"/([A-Z][A-Z0-9-]{2,30})/part-\d+-of-\d+\.json(?:\.gz)?$", 1)).where("version IN (1, 2) AND caseNumber = path_case")
-    return named.select("part", F.inline("documents")).withColumn("case_number", F.coalesce("case_number", F.regexp_extract("part", r"/([A-Z][A-Z0-9-]{2,30})/part-", 1)))
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(filing_id, page_number, page) of stored page markup, a file for each filing named by its id."""
     rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("filing_id", F.regexp_extract(F.input_file_name(), r"(\d+)\.html(?:\.gz)?$", 1).cast("long"))
@@ -50,51 +37,6 @@ def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("is_pdf"))
 
 
-def write_manifests(rows: DataFrame, path: str) -> None:
-    """Manifests of the cases in ``rows`` only; other cases' folders stay."""
-    ordered = rows.repartition("case_number").sortWithinPartitions("case_number", "filing_id")
-    ordered.write.option("partitionOverwriteMode", "dynamic").partitionBy("case_number").mode("overwrite").json(path, compression="gzip")
-
-
-def publish_index(postings: DataFrame, path: str, buckets: int = 64, allow_shrink: bool = False) -> dict:
-    """Write a generation of postings, partitioned by bucket, and then the pointer to it; a reader never sees half of one."""
-    spark = postings.sparkSession
-    previous = current_generation(spark, path)
-    generation = uuid.uuid4().hex
-    slot = "b" if previous and previous["slot"] == "a" else "a"
-    out = f"{path}/slot-{slot}/{generation}"
-    rows = postings.withColumn("shard", term_shard(F.col("stem"))).withColumn("bucket", F.col("shard") % buckets)
-    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "stem").write.partitionBy("bucket").parquet(out)
-    written = spark.read.parquet(out)
-    totals = written.agg(F.count_distinct("case_number"), F.count_distinct("stem"), F.count("case_number")).first()
-    shrink_guard(totals[0], previous and previous["cases"], allow_shrink)
-    meta = {"generation": generation, "slot": slot, "path": out, "buckets": buckets, "cases": totals[0], "terms": totals[1], "postings": totals[2]}
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
-    return meta
-
-
-def current_generation(spark: SparkSession, path: str) -> dict | None:
-    """The published generation's record; None before the first one."""
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()  # noqa: SLF001
-    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/current")
-    if not mark.getFileSystem(conf).exists(mark):
-        return None
-    row = spark.read.text(f"{path}/current").first()
-    return json.loads(row[0]) if row else None
-
-
-def read_postings(spark: SparkSession, path: str, stems: list[str] | None = None) -> DataFrame:
-    """Postings of the current generation; with ``stems``, only their buckets are read."""
-    meta = current_generation(spark, path)
-    if meta is None:
-        raise FileNotFoundError(f"no index is published at {path}")
-    rows = spark.read.parquet(meta["path"])
-    if stems is None:
-        return rows
-    shards = spark.createDataFrame([(s,) for s in stems], "stem string").select((term_shard(F.col("stem")) % meta["buckets"]).alias("b")).distinct()
-    return rows.where(F.col("bucket").isin([r[0] for r in shards.collect()]) & F.col("stem").isin(stems))
-
-
 def parse_news(pages: DataFrame, html_col: str, domain: str, marker: str, most: int | None = 5) -> DataFrame:
     """(keys, position, title, date, summary, url) of news blocks in page markup; only links to the official domain count."""
     blocks = F.slice(F.split(F.col(html_col), F.lit("\\Q" + marker + "\\E")), F.lit(2), F.lit(2**30))

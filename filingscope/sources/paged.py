@@ -114,8 +114,9 @@ def ranges(start: int, end: int, size: int) -> list[Range]:
     return [Range(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
-def _records(pages: Pages, part: Range) -> Iterator[pa.RecordBatch]:
-    for page in range(part.start // pages.size, (part.end - 1) // pages.size + 1):
+def _records(pages: Pages, part: Range | None) -> Iterator[pa.RecordBatch]:
+    """The records of a range; Spark asks for None where there is no range."""
+    for page in range(part.start // pages.size, (part.end - 1) // pages.size + 1) if part else ():
         rows = pages.get(page)["resultsSet"]
         first = page * pages.size
         low, high = max(0, part.start - first), min(len(rows), part.end - first)

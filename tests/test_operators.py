@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from filingscope.functions import hashing, text
 from filingscope.operators import evidence, index, ingest, operations, render, routing
 from filingscope.sources import filings as sources
+from filingscope.sources import generations, manifests
 from filingscope.streaming import jobs
 
 FILINGS = "filing_id long, case_number string, title string, received_date string, text string"
@@ -118,12 +119,12 @@ def test_sse_round_trip(spark):
 def test_published_index_swaps_slots_and_prunes(spark, tmp_path):
     rows = corpus(spark, [(i, f"FC{i}", "t", None, f"storm word{i}") for i in range(10)])
     path = str(tmp_path / "index")
-    first = sources.publish_index(index.postings(rows), path)
-    second = sources.publish_index(index.postings(rows), path)
-    assert (first["slot"], second["slot"]) == ("a", "b") and sources.read_postings(spark, path, ["storm"]).select("case_number").distinct().count() == 10
+    first = generations.publish_index(index.postings(rows), path)
+    second = generations.publish_index(index.postings(rows), path)
+    assert (first["slot"], second["slot"]) == ("a", "b") and generations.read_postings(spark, path, ["storm"]).select("case_number").distinct().count() == 10
     with pytest.raises(ValueError):
-        sources.publish_index(index.postings(rows.limit(2)), path)
-    assert sources.current_generation(spark, path)["generation"] == second["generation"]
+        generations.publish_index(index.postings(rows.limit(2)), path)
+    assert generations.current_generation(spark, path)["generation"] == second["generation"]
 
 
 def test_stored_files(spark, tmp_path):
@@ -131,7 +132,7 @@ def test_stored_files(spark, tmp_path):
     folder.mkdir(parents=True)
     (folder / "part-0-of-4.json").write_text(json.dumps({"version": 2, "caseNumber": "FC1176", "documents": [{"filing_id": 1, "title": "t"}]}))
     (folder / "part-1-of-4.json").write_text(json.dumps({"version": 2, "caseNumber": "OTHER", "documents": [{"filing_id": 2}]}))
-    assert [(r.case_number, r.filing_id) for r in sources.read_manifests(spark, str(tmp_path / "manifests")).collect()] == [("FC1176", 1)]
+    assert [(r.case_number, r.filing_id) for r in manifests.read_manifests(spark, str(tmp_path / "manifests")).collect()] == [("FC1176", 1)]
     (tmp_path / "pages").mkdir()
     (tmp_path / "pages" / "77.html").write_text("<section data-page='2'><pre>a &amp;\n b</pre></section>")
     assert sources.read_pages(spark, str(tmp_path / "pages")).collect() == [(77, 2, "a & b")]
