@@ -31,7 +31,7 @@ LEAST_GROUPS, GROUP_ITEMS, FAN_IN = 16, 200_000, 4
 #: A bin is nearly full if at most this share of it is free.
 SLACK = 1 / 1024
 #: Words whose ids a worker remembers; packing is one stage among others that share its memory.
-TABLE_WORDS = 1_000_000
+TABLE_WORDS = 300_000
 #: Pieces that a task holds before it writes them.
 FLUSH_PIECES = 20_000
 

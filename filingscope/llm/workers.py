@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of a batch that a function takes at once, unless one row has more.
 SLICE_BYTES = 4 << 20
@@ -39,8 +41,16 @@ def sliced(batches: Batches, most: int = SLICE_BYTES) -> Batches:
             yield batch.slice(at, rows)
 
 
+def small_batches(spark: SparkSession | None) -> None:
+    """Batches of ``SLICE_BYTES`` at most on the JVM's side too, unless the session has them smaller."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark and not 0 < int(re.sub(r"\D", "", spark.conf.get(name))) <= SLICE_BYTES:
+        spark.conf.set(name, str(SLICE_BYTES))
+
+
 def bounded(run: Callable[[Batches], Batches], most: int = SLICE_BYTES, keeps: str | None = None) -> Callable[[Batches], Batches]:
     """``run`` over sliced batches; what a task has freed leaves the worker at its end, and what it doesn't keep at its begin."""
+    small_batches(SparkSession.getActiveSession())
 
     def worker(batches: Batches) -> Batches:
         forget(keeps)
