@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from .shared import small
 from .render import joined
 
 RELATED, FILINGS, LINKS, CASES, OCR_CHARS = 4, 5, 8, 25, 40
@@ -73,23 +74,37 @@ def relevant_filings(filings: DataFrame, case_number: str) -> DataFrame:
 
 
 def case_card(questions: DataFrame, cases: DataFrame, filings: DataFrame, base: str) -> DataFrame:
-    """(question_id, card) for bare case numbers: the exact case, up to four related ones, its five newest public filings.
+    """(question_id, card) for bare case numbers: the exact case, up to four related ones, its five newest public filings with their links.
 
-    Cases have case_number, caption, status, opened; filings case_number, docket_number,
-    received_date, filing_type, filer.
+    Cases have case_number, caption, company, is_open, case_type, industry and opened; filings
+    filing_type, description, filer, docket_number, received_date, isConfidential,
+    isArchived, attachmentId and attachment. A filing is a case's if its docket, or one of its docket list, opens with it.
     """
-    asked = questions.where(text.is_bare_case_number(F.col("message"))).withColumn("wanted", F.coalesce(text.case_identifier(F.col("message")), F.concat(F.lit("FC"), F.regexp_extract("message", r"(\d{3,5})", 1)))).withColumn("digits", F.regexp_replace("wanted", "^[A-Z]+", ""))
-    exact = asked.join(cases, F.upper("case_number") == F.col("wanted"), "left")
-    near = asked.select("question_id", "wanted", "digits").join(cases, F.regexp_replace("case_number", "^[A-Z]+", "") == F.col("digits")).where(F.upper("case_number") != F.col("wanted"))
-    line = F.concat(F.lit("- "), "case_number", F.lit(": "), text.strip_html(F.col("caption")))
-    related = near.withColumn("_n", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("opened"), "case_number"))).where(F.col("_n") <= RELATED).groupBy("question_id").agg(joined("_n", line, "\n").alias("related"))
-    own = asked.select("question_id", "wanted").join(filings, F.upper("case_number") == F.col("wanted"))
-    filed = F.concat(F.lit("- "), "docket_number", F.lit(" ("), text.long_date(F.col("received_date")), F.lit("): "), text.strip_html(F.col("filing_type")), F.lit(" by "), F.coalesce("filer", F.lit("Unknown filer")))
-    recent = own.withColumn("_n", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("received_date"), "docket_number"))).where(F.col("_n") <= FILINGS).groupBy("question_id").agg(joined("_n", filed, "\n").alias("recent"))
-    head = F.concat_ws("\n", F.concat(F.lit("**"), "case_number", F.lit("**")), F.lit(""), text.strip_html(F.col("caption")), F.lit(""), F.concat(F.lit("- Status: "), "status"), F.concat(F.lit("- Opened: "), text.long_date(F.col("opened"))), F.concat(F.lit("- Official search: [View this case]("), search_url(base, F.col("digits")), F.lit(")")))
-    missing = F.concat(F.lit("I couldn't find an exact official record for **"), "wanted", F.lit("**."))
-    found = exact.join(related, "question_id", "left").join(recent, "question_id", "left")
-    body = F.concat_ws("\n\n", head, F.concat(F.lit("**Associated records:**\n"), "related"), F.concat(F.lit("**Recent public filings:**\n"), "recent"))
+    asked = questions.where(text.is_bare_case_number(F.col("message"))).withColumn("wanted", F.coalesce(text.case_identifier(F.col("message")), F.concat(F.lit("FC"), F.regexp_extract("message", r"(\d{3,5})", 1)))).withColumn("digits", F.regexp_replace("wanted", "(?i)^FC", ""))
+    # A number's cases, each number once however many ask for it.
+    numbers = asked.select("wanted", "digits").distinct()
+    known = cases.withColumn("upper", F.upper("case_number"))
+    exact = asked.select("question_id", "wanted", "digits").join(known, F.col("upper") == F.col("wanted"), "left")
+    bare = lambda c: F.regexp_replace(c, "^[A-Z]+", "")
+    near = numbers.join(known, bare(F.col("upper")) == bare(F.col("wanted"))).where("upper != wanted")
+    named = lambda *other: F.coalesce(*(F.nullif(text.strip_html(F.col(c)), F.lit("")) for c in ("caption", "company")), *other)
+    # The sentences and labels of a card.
+    line = F.concat(F.lit("- "), "case_number", F.lit(": "), named(text.strip_html(F.col("case_type")), F.lit("Related e-Docket record")))
+    related = near.withColumn("n", F.row_number().over(Window.partitionBy("wanted").orderBy(F.desc("opened"), "case_number"))).where(F.col("n") <= RELATED).groupBy("wanted").agg(joined("n", line, "\n").alias("related"))
+    public = filings.where(~F.coalesce("isArchived", F.lit(False)) & ~F.coalesce("isConfidential", F.lit(False)))
+    cased = public.withColumn("of", F.explode(F.array_distinct(text.matches(F.upper("docket_number"), r"(?:^|,\s*)([A-Z0-9-]*[A-Z0-9])\s*-", 1)))).join(small(numbers), F.col("of") == F.col("wanted"))
+    newest = Window.partitionBy("wanted").orderBy(F.desc("received_date"), "docket_number")
+    kept = cased.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= FILINGS)
+    detail = detail_url(base, F.col("docket_number"), F.col("isConfidential"), F.col("isArchived"), F.col("digits"))
+    links = F.concat_ws(" | ", F.concat(F.lit("[Detail]("), detail, F.lit(")")), F.concat(F.lit("[PDF]("), attachment_url(base, F.col("attachmentId"), F.col("attachment")), F.lit(")")))
+    what = F.coalesce(F.nullif(text.strip_html(F.col("filing_type")), F.lit("")), F.nullif(text.strip_html(F.col("description")), F.lit("")), F.lit("Filing"))
+    filed = F.concat(F.lit("- "), "docket_number", F.lit(" ("), text.long_date(F.col("received_date")), F.lit("): "), what, F.lit(" by "), F.coalesce(F.nullif("filer", F.lit("")), F.lit("Unknown filer")), F.when(links != "", F.concat(F.lit(" — "), links)).otherwise(""))
+    recent = kept.groupBy("wanted").agg(joined("n", filed, "\n").alias("recent"))
+    label = lambda name, value: F.concat(F.lit(f"- {name}: "), F.coalesce(F.nullif(value, F.lit("")), F.lit("Unknown")))
+    head = F.concat_ws("\n", F.concat(F.lit("**"), "case_number", F.lit("**")), F.lit(""), named(F.lit("Official e-Docket case record.")), F.lit(""), F.concat(F.lit("- Status: "), F.when(F.col("is_open"), "Open").otherwise("Closed")), label("Case type", F.col("case_type")), label("Industry", F.col("industry")), F.concat(F.lit("- Opened: "), text.long_date(F.col("opened"))), F.concat(F.lit("- Official search: [View this case in e-Docket]("), search_url(base, F.col("digits")), F.lit(")")))
+    missing = F.concat(F.lit("I couldn't find an exact official record for **"), "wanted", F.lit("**. You can verify alternate prefixes in the [official e-Docket search]("), search_url(base, F.col("digits")), F.lit(")."))
+    found = exact.join(related, "wanted", "left").join(recent, "wanted", "left")
+    body = F.concat_ws("\n\n", head, F.concat(F.lit("**Associated records:**\n"), "related"), F.concat(F.lit("**Recent public filings:**\n"), "recent"), F.lit("All information and links above come from the official e-Docket public API."))
     return found.select("question_id", F.when(F.col("case_number").isNull(), missing).otherwise(body).alias("card"))
 
 

@@ -15,6 +15,10 @@ EXHAUSTIVE_NOTE = "\n\n> **Search scope:** Every indexed case was searched for y
 NO_EVIDENCE = r"(?i)\b(?:no|insufficient|not enough)\s+(?:matching\s+)?evidence\b|\bcould(?:n['’]t| not)\s+find\b"
 
 
+#: Rows of one report.
+DIGEST_ROWS = 100
+
+
 def joined(order: str, value: Column, separator: str) -> Column:
     """An aggregate: the group's values in order."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), value.alias("value")))), lambda x: x["value"]), separator)
@@ -70,8 +74,9 @@ def source_line(case_number: Column, title: Column, received: Column, page: Colu
     return F.when(kind.eqNullSafe("metadata"), record).otherwise(content)
 
 
-def feedback_digest(rows: DataFrame) -> DataFrame:
-    """One row with the digest of feedback (rating, reason, updated_at, request_id, question, answer_excerpt, comment)."""
+def feedback_digest(rows: DataFrame, most: int = DIGEST_ROWS) -> DataFrame:
+    """One row with the digest of the oldest ``most`` rows of feedback (rating, reason, updated_at, request_id, question, answer_excerpt, comment)."""
+    rows = rows.orderBy("updated_at", "request_id").limit(most)
     # The digest's headings and reasons.
     labels = F.create_map(*(F.lit(x) for kv in {"incorrect": "Incorrect or misleading", "missing": "Missed important information", "citation": "Citation or source problem", "unclear": "Unclear or hard to use", "other": "Other"}.items() for x in kv))
     section = F.concat_ws("\n", F.concat(F.lit(". "), F.coalesce(F.try_element_at(labels, F.col("reason")), F.lit("Unspecified"))), F.lit(""), F.concat(F.lit("- Submitted: `"), text.safe_text(F.col("updated_at"), 40), F.lit("`")), F.concat(F.lit("- Request ID: `"), text.safe_text(F.col("request_id"), 40), F.lit("`")), F.lit(""), F.lit("**Question**"), F.lit(""), text.indented(F.col("question"), 1500), F.lit(""), F.lit("**Answer excerpt**"), F.lit(""), text.indented(F.col("answer_excerpt"), 2500), F.lit(""), F.lit("**User comment**"), F.lit(""), text.indented(F.col("comment"), 1000))

@@ -421,14 +421,17 @@ def word_order_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(case_number, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: list_reduce(list_prepend(xor(h, c), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x // 2, 3988292384 * (x % 2) + z))), 4294967295) % 16"
 
 
-@query(f"""WITH {FOLDED}, qb AS (SELECT DISTINCT term, bit % 2048 AS bit FROM bits WHERE term IN (SELECT term FROM qterms)), need AS (SELECT term, count(*) AS n FROM qb GROUP BY term),
+SAMPLED = f"""WITH {FOLDED}, qb AS (SELECT DISTINCT term, bit % 2048 AS bit FROM bits WHERE term IN (SELECT term FROM qterms)), need AS (SELECT term, count(*) AS n FROM qb GROUP BY term),
 hit AS (SELECT term, case_number, band, count(*) AS n FROM qb JOIN band_bits USING (bit) GROUP BY ALL), full_ AS (SELECT term, case_number, band FROM hit JOIN need USING (term) WHERE hit.n = need.n),
 stats AS (SELECT case_number, count(DISTINCT filing_id) AS content, max(received_date) AS latest, {CRC} AS part FROM filings GROUP BY ALL),
 j AS (SELECT question_id, string_agg(term, '|' ORDER BY pos) AS s FROM qterms GROUP BY ALL), seed AS (SELECT question_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(s, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) % 16 AS part FROM j),
 s AS (SELECT question_id, case_number, count(DISTINCT term) AS hits, count(*) AS score FROM qterms JOIN full_ USING (term) JOIN seed USING (question_id) JOIN stats USING (case_number, part) GROUP BY ALL),
 lim AS (SELECT question_id, least(2, count(*)) AS least_ FROM qterms GROUP BY ALL)
 SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY hits DESC, score DESC, set_bits, content, coalesce(latest, '') DESC, case_number) AS rank, case_number, hits, score, CAST(set_bits AS BIGINT) AS set_bits
-FROM s JOIN lim USING (question_id) JOIN set_bits USING (case_number) JOIN stats USING (case_number) WHERE hits >= least_ QUALIFY rank <= 8""")
+FROM s JOIN lim USING (question_id) JOIN set_bits USING (case_number) JOIN stats USING (case_number) WHERE hits >= least_ QUALIFY rank <= 8"""
+
+
+@query(SAMPLED)
 def bloom_route_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.route_by_filters(questions(spark, sf_dir), index.router_entries(filings(spark, sf_dir)), part=-1)
 
@@ -476,7 +479,25 @@ def fielded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fielded_search(questions(spark, sf_dir), chunks)
 
 
-@query()
+def _of_cases(sql: str, chosen: str) -> str:
+    """Evidence SQL that asks the cases of ``chosen`` (question_id, case_number, rank) instead of the routed ones."""
+    return sql.replace("FROM routed", "FROM chosen").replace(INDEX, f"{INDEX}, chosen AS ({chosen})", 1)
+
+
+DOCKETS = f"""WITH {FILINGS}, {QTERMS}, in_case AS (SELECT * FROM (WITH {_of_cases(EXCERPTS, "SELECT DISTINCT item_id AS question_id, 'FC1000' AS case_number, 1 AS rank FROM benchmark WHERE item_id % 3 = 0")} SELECT question_id, 'case' AS way, slot AS place, case_number, filing_id, CAST(page_number AS INT) AS page_number FROM slots)),
+over_all AS (SELECT * FROM (WITH {_of_cases(DIVERSE, f"SELECT question_id, case_number, rank FROM routed WHERE rank <= 5 AND question_id % 7 <> 0 AND question_id % 3 <> 0 UNION ALL SELECT question_id, case_number, rank FROM ({SAMPLED}) WHERE rank <= 5 AND question_id % 7 = 0 AND question_id % 3 <> 0")},
+  few AS (SELECT s.*, r.rank AS cr, row_number() OVER (PARTITION BY s.question_id, r.rank ORDER BY slot) AS own FROM slots s JOIN (SELECT question_id, case_number, rank FROM chosen) r USING (question_id, case_number) QUALIFY own <= 3),
+  same AS (SELECT question_id, filing_id, page_number, min(cr * 100 + own) AS first_, arg_max(case_number, cr * 100 + own) AS case_number FROM few GROUP BY ALL)
+  SELECT question_id, CASE WHEN question_id % 7 = 0 THEN 'sampled' ELSE 'exhaustive' END AS way, row_number() OVER (PARTITION BY question_id ORDER BY first_) AS place, case_number, filing_id, CAST(page_number AS INT) AS page_number FROM same QUALIFY place <= 12)),
+rest AS (SELECT question_id, term FROM qterms WHERE question_id NOT IN (SELECT question_id FROM in_case UNION ALL SELECT question_id FROM over_all)),
+parts AS (SELECT term, unnest(w) AS word, generate_subscripts(w, 1) AS k, len(w) AS size FROM (SELECT DISTINCT term, regexp_extract_all(lower(term), '[\\p{{L}}\\p{{N}}]+') AS w FROM rest)),
+plain AS (SELECT filing_id AS id, case_number, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM filings), spots AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS spot FROM plain),
+tf AS (SELECT term, id, count(*) AS tf FROM (SELECT term, id, spot - k AS start FROM parts JOIN spots USING (word) GROUP BY term, id, start, size HAVING count(*) = size) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), tot AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM plain),
+s AS (SELECT question_id, id, case_number, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len(w) / mean))), 6) AS score FROM rest JOIN tf USING (term) JOIN df USING (term) JOIN plain USING (id), tot WHERE question_id % 3 <> 0 OR case_number = 'FC1000' GROUP BY ALL)
+SELECT * FROM in_case UNION ALL SELECT * FROM over_all UNION ALL SELECT question_id, 'chunks', row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS place, case_number, id, 1 FROM s QUALIFY place <= 8"""
+
+
+@query(DOCKETS)
 def search_dockets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question by the dispatcher; each third one names its case, each seventh has no whole index."""
     rows = filings(spark, sf_dir)
@@ -498,21 +519,28 @@ def newest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Case cards and links
 
-CASES = ("c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN 'RM' ELSE 'FC' END || CAST(1000 + c_custkey % 40 AS STRING) AS case_number", "'<b>' || c_name || '</b>' AS caption", "c_mktsegment AS status", "'2020-01-' || CAST(10 + c_custkey % 20 AS STRING) AS opened")
+CASES = ("c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN 'RM' ELSE 'FC' END || CAST(1000 + c_custkey % 40 AS STRING) AS case_number", "CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '<b>' || c_name || '</b> &amp; others' END AS caption", "c_name AS company", "c_acctbal > 2000 AS is_open", "c_mktsegment AS case_type", "CASE WHEN c_custkey % 4 = 0 THEN 'Gas' END AS industry", "'2020-01-' || CAST(10 + c_custkey % 20 AS STRING) AS opened")
 CARDS = ("conv_id * 100 + turn AS question_id", "CASE WHEN turn = 0 THEN 'fc ' || CAST(1000 + conv_id % 60 AS STRING) ELSE 'no number' END AS message")
-
-
-@query(f"""WITH c AS (SELECT case_number, arg_min(caption, c_custkey) AS caption, arg_min(status, c_custkey) AS status, arg_min(opened, c_custkey) AS opened FROM {made_sql('customer', CASES, 'c_custkey <= 120')} GROUP BY 1), q AS (SELECT * FROM {made_sql('conversations', CARDS)} WHERE message <> 'no number'), w AS (SELECT question_id, 'FC' || substring(message, 4) AS wanted, substring(message, 4) AS digits FROM q),
-f AS (SELECT case_number, case_number || ' - ' || doc_id AS docket, '2024-01-' || (10 + doc_id % 20) AS day, row_number() OVER (PARTITION BY case_number ORDER BY '2024-01-' || (10 + doc_id % 20) DESC, case_number || ' - ' || doc_id) AS n FROM (SELECT doc_id, 'FC' || (1000 + doc_id % 30) AS case_number FROM documents)),
-r AS (SELECT question_id, string_agg('- ' || case_number || ': ' || regexp_replace(caption, '</?b>', '', 'g'), chr(10) ORDER BY opened DESC, case_number) AS related FROM w JOIN c ON regexp_replace(case_number, '^[A-Z]+', '') = digits AND case_number <> wanted GROUP BY 1),
-p AS (SELECT question_id, string_agg('- ' || docket || ' (January ' || CAST(substring(day, 9) AS INT) || ', 2024): Order by Unknown filer', chr(10) ORDER BY n) AS recent FROM w JOIN f ON case_number = wanted WHERE n <= 5 GROUP BY 1)
-SELECT question_id, CASE WHEN c.case_number IS NULL THEN 'I couldn''t find an exact official record for **' || wanted || '**.' ELSE '**' || c.case_number || '**' || chr(10) || chr(10) || regexp_replace(caption, '</?b>', '', 'g') || chr(10) || chr(10) || '- Status: ' || status || chr(10) || '- Opened: January ' || CAST(substring(opened, 9) AS INT) || ', 2020' || chr(10) || '- Official search: [View this case]({EDOCKET}/casenumber/' || digits || ')' || coalesce(chr(10) || chr(10) || '**Associated records:**' || chr(10) || related, '') || coalesce(chr(10) || chr(10) || '**Recent public filings:**' || chr(10) || recent, '') END AS card
-FROM w LEFT JOIN c ON c.case_number = wanted LEFT JOIN r USING (question_id) LEFT JOIN p USING (question_id)""")
+FILED = ("'FC' || CAST(1000 + doc_id % 30 AS STRING) || ' - ' || CAST(doc_id AS STRING) || CASE WHEN doc_id % 4 = 0 THEN ', FC' || CAST(1000 + doc_id % 7 AS STRING) || ' - ' || lang ELSE '' END AS docket_number", "'2024-01-' || CAST(10 + doc_id % 20 AS STRING) AS received_date", "CASE WHEN doc_id % 3 = 0 THEN source END AS filing_type", "CASE WHEN doc_id % 3 = 1 THEN 'Letter' END AS description", "CASE WHEN doc_id % 2 = 0 THEN lang END AS filer", "doc_id % 11 = 0 AS isConfidential", "doc_id % 13 = 0 AS isArchived", "n_chars AS attachmentId", "'f' || CAST(doc_id AS STRING) || CASE WHEN doc_id % 3 = 2 THEN '.doc' ELSE '.pdf' END AS attachment")
+_NAMED = "replace(regexp_replace(CASE WHEN caption <> '' THEN caption ELSE company END, '</?b>', '', 'g'), '&amp;', '&')"
+_DAY = "'January ' || CAST(substring({0}, 9) AS INT) || ', {1}'"
+
+
+@query(f"""WITH c AS (SELECT case_number, min(c_custkey) AS k FROM {made_sql('customer', CASES)} GROUP BY 1), cs AS (SELECT x.* FROM c JOIN {made_sql('customer', CASES)} x ON x.c_custkey = c.k),
+q AS (SELECT question_id, 'FC' || substring(message, 4) AS wanted, substring(message, 4) AS digits FROM {made_sql('conversations', CARDS)} WHERE message <> 'no number'), n AS (SELECT DISTINCT wanted, digits FROM q),
+f AS (SELECT wanted, digits, x.* FROM {made_sql('documents', FILED)} x JOIN n ON starts_with(docket_number, wanted || ' -') OR contains(docket_number, ', ' || wanted || ' -') WHERE NOT isConfidential AND NOT isArchived),
+fs AS (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY received_date DESC, docket_number) AS n,
+  list_filter([CASE WHEN starts_with(docket_number, wanted || ' -') THEN split_part(docket_number, ', ', 1) ELSE split_part(docket_number, ', ', 2) END], lambda d: true)[1] AS own FROM f QUALIFY n <= 5),
+ln AS (SELECT wanted, n, '- ' || docket_number || ' (' || {_DAY.format('received_date', 2024)} || '): ' || coalesce(nullif(filing_type, ''), description, 'Filing') || ' by ' || coalesce(filer, 'Unknown filer') || ' — [Detail]({EDOCKET}/details/' || split_part(own, ' - ', 1) || '/' || split_part(own, ' - ', 2) || ')' || CASE WHEN attachment LIKE '%.pdf' AND attachmentId IS NOT NULL THEN ' | [PDF]({EDOCKET}/download?attachId=' || attachmentId || '&guidFileName=' || attachment || ')' ELSE '' END AS line FROM fs),
+p AS (SELECT wanted, string_agg(line, chr(10) ORDER BY n) AS recent FROM ln GROUP BY 1),
+r AS (SELECT wanted, string_agg('- ' || case_number || ': ' || {_NAMED}, chr(10) ORDER BY opened DESC, case_number) AS related FROM n JOIN cs ON substring(case_number, 3) = digits AND case_number <> wanted GROUP BY 1)
+SELECT question_id, CASE WHEN cs.case_number IS NULL THEN 'I couldn''t find an exact official record for **' || wanted || '**. You can verify alternate prefixes in the [official e-Docket search]({EDOCKET}/casenumber/' || digits || ').'
+  ELSE '**' || cs.case_number || '**' || chr(10) || chr(10) || {_NAMED} || chr(10) || chr(10) || '- Status: ' || CASE WHEN is_open THEN 'Open' ELSE 'Closed' END || chr(10) || '- Case type: ' || case_type || chr(10) || '- Industry: ' || coalesce(industry, 'Unknown') || chr(10) || '- Opened: ' || {_DAY.format('opened', 2020)} || chr(10) || '- Official search: [View this case in e-Docket]({EDOCKET}/casenumber/' || digits || ')' || coalesce(chr(10) || chr(10) || '**Associated records:**' || chr(10) || related, '') || coalesce(chr(10) || chr(10) || '**Recent public filings:**' || chr(10) || recent, '') || chr(10) || chr(10) || 'All information and links above come from the official e-Docket public API.' END AS card
+FROM q LEFT JOIN cs ON cs.case_number = wanted LEFT JOIN r USING (wanted) LEFT JOIN p USING (wanted)""")
 def case_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = made(spark, sf_dir, "customer", CASES, "c_custkey <= 120").groupBy("case_number").agg(*(F.min_by(c, "c_custkey").alias(c) for c in ("caption", "status", "opened")))
-    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("FC"), (1000 + F.col("doc_id") % 30).cast("string")).alias("case_number"), "doc_id")
-    rows = rows.select("case_number", F.concat("case_number", F.lit(" - "), F.col("doc_id").cast("string")).alias("docket_number"), F.concat(F.lit("2024-01-"), (10 + F.col("doc_id") % 20).cast("string")).alias("received_date"), F.lit("Order").alias("filing_type"), F.lit(None).cast("string").alias("filer"))
-    return records.case_card(made(spark, sf_dir, "conversations", CARDS), cases, rows, EDOCKET)
+    cases = made(spark, sf_dir, "customer", CASES)
+    first = cases.groupBy("case_number").agg(*(F.min_by(c, "c_custkey").alias(c) for c in ("caption", "company", "is_open", "case_type", "industry", "opened")))
+    return records.case_card(made(spark, sf_dir, "conversations", CARDS), first, made(spark, sf_dir, "documents", FILED), EDOCKET)
 
 
 SPECS = ("conv_id AS question_id", "turn AS pos", "'https://x.org/' || CAST(turn % 3 AS STRING) AS url", "'L' || CAST(turn AS STRING) AS label", "turn % 5 <> 1 AS verified", "turn % 4 AS priority", "CASE WHEN turn % 3 = 2 THEN 'fc' ELSE 'RM' END || CAST(turn AS STRING) AS case_number")
@@ -537,15 +565,17 @@ def relevant_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of("FC1").unionByName(of("FC9"))
 
 
-ASKED = ("item_id AS question_id", "split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS message")
-HINTS = ("item_id AS id", "split_part(text, ' ', 2) || ' news' AS title", "split_part(text, ' ', 1) AS summary")
+ASKED = ("p_partkey AS question_id", "p_name AS message")
+HINTS = ("p_partkey AS id", "p_name || ' news' AS title", "p_type AS summary")
 WORDS3 = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: length(w) >= 3))"
 
 
-@query(f"""WITH q AS (SELECT question_id, unnest({WORDS3.format('message')}) AS word FROM {made_sql('benchmark', ASKED)}), h AS (SELECT id, title, unnest({WORDS3.format("title || ' ' || summary")}) AS word FROM {made_sql('benchmark', HINTS)})
+@query(f"""WITH q AS (SELECT question_id, unnest({WORDS3.format('message')}) AS word FROM {made_sql('part', ASKED)}), i AS (SELECT title, min(id) AS id, arg_min(summary, id) AS summary FROM {made_sql('part', HINTS)} GROUP BY 1), h AS (SELECT id, title, unnest({WORDS3.format("title || ' ' || summary")}) AS word FROM i)
 SELECT question_id, id, title, count(*) AS hits, row_number() OVER (PARTITION BY question_id ORDER BY count(*) DESC, id) AS pos FROM q JOIN h USING (word) GROUP BY question_id, id, title QUALIFY pos <= 3""")
 def short_query_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.short_query_context(made(spark, sf_dir, "benchmark", ASKED), made(spark, sf_dir, "benchmark", HINTS))
+    """Short questions, the parts' names, and a hint for each different name."""
+    hints = made(spark, sf_dir, "part", HINTS).groupBy("title").agg(F.min("id").alias("id"), F.min_by("summary", "id").alias("summary"))
+    return records.short_query_context(made(spark, sf_dir, "part", ASKED), hints)
 
 
 # Reports
@@ -553,12 +583,12 @@ def short_query_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIGEST = ("CASE WHEN doc_id % 3 = 0 THEN 'up' ELSE 'down' END AS rating", "CASE WHEN doc_id % 3 = 1 THEN 'missing' WHEN doc_id % 2 = 0 THEN 'odd' END AS reason", "'2024-01-' || CAST(10 + doc_id % 20 AS STRING) AS updated_at", "CAST(doc_id AS STRING) AS request_id", "'q' || CAST(doc_id AS STRING) AS question", "CAST(NULL AS STRING) AS answer_excerpt", "'c' AS comment")
 
 
-@query(f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY rating ORDER BY updated_at, request_id) AS n FROM {made_sql('labels', DIGEST, 'doc_id < 200')}),
+@query(f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY rating ORDER BY updated_at, request_id) AS n FROM (SELECT * FROM {made_sql('labels', DIGEST)} ORDER BY updated_at, request_id LIMIT 100)),
 s AS (SELECT string_agg(chr(10) || chr(10) || '### ' || n || '. ' || CASE reason WHEN 'missing' THEN 'Missed important information' ELSE 'Unspecified' END || chr(10) || chr(10) || '- Submitted: `' || updated_at || '`' || chr(10) || '- Request ID: `' || request_id || '`' || chr(10) || chr(10) || '**Question**' || chr(10) || chr(10) || '    ' || question || chr(10) || chr(10) || '**Answer excerpt**' || chr(10) || chr(10) || '    Not provided' || chr(10) || chr(10) || '**User comment**' || chr(10) || chr(10) || '    c', '' ORDER BY n) AS body FROM f WHERE rating = 'down'),
 t AS (SELECT count(*) FILTER (rating = 'up') AS up, count(*) FILTER (rating = 'down') AS down, count(*) AS n FROM f)
 SELECT up, down, n, '## Answer feedback summary' || chr(10) || chr(10) || '- 👍 Useful: **' || up || '**' || chr(10) || '- 👎 Needs improvement: **' || down || '**' || chr(10) || '- Total responses in this digest: **' || n || '**' || chr(10) || chr(10) || 'Review the negative responses below and decide which should become product or retrieval fixes.' || body || chr(10) || chr(10) || '---' || chr(10) || 'This digest was generated automatically from the site''s answer feedback controls.' || chr(10) AS digest FROM t, s""")
 def feedback_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.feedback_digest(made(spark, sf_dir, "labels", DIGEST, "doc_id < 200"))
+    return render.feedback_digest(made(spark, sf_dir, "labels", DIGEST))
 
 
 @query("""SELECT 'degraded' AS status, 'index-stale' AS issues, n AS indexed, n >= 100 AS complete FROM (SELECT count(*) AS n FROM documents)""")
