@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scoring, text
+from .shared import once
 
 REASONS = ("incorrect", "missing", "unclear", "citation", "other")
 REPORT_ROWS = 100
@@ -147,9 +150,28 @@ def health_response(parts: DataFrame, shards: DataFrame, public_records: int, as
     return both.select(F.when(F.length(issues) > 0, "degraded").otherwise("ok").alias("status"), issues.alias("issues"), "coverage")
 
 
-def stage_log(df: DataFrame, stage: str) -> DataFrame:
-    """``df`` with its rows observed under the stage's name, as query listeners report them together with the duration."""
-    return df.observe(stage, F.count("*").alias("rows"))
+class StageLog:
+    """What the stages of a job took and made: each is written once, and its rows are counted on the way."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, []
+
+    def stage(self, df: DataFrame, name: str, **details: str) -> DataFrame:
+        """``df`` as a written table, logged under ``name``; a stage that fails is logged with its error."""
+        seen, began = Observation(), time.monotonic()
+        try:
+            out = once(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+            rows, error = seen.get["rows"], None
+        except Exception as e:
+            rows, error = None, type(e).__name__
+            raise
+        finally:
+            self.held.append((len(self.held), name, rows, error, time.monotonic() - began, details))
+        return out
+
+    def table(self) -> DataFrame:
+        """(pos, stage, rows, error, seconds, details)."""
+        return self.spark.createDataFrame(self.held, "pos int, stage string, rows long, error string, seconds double, details map<string,string>")
 
 
 def last_known_good(log: DataFrame, as_of: str, ttl_seconds: int = 300) -> DataFrame:

@@ -18,25 +18,25 @@ INDEX_VERSION, ROUTER_VERSION, INDEX_PREFIX, ROUTER_PREFIX = 1, 2, "term-index/"
 MANIFEST = "version int, generation string, updatedAt string, complete boolean, shardCount int, cases long, shardKeyPrefix string, activeSlot string, postingFormat string"
 ROUTER = "version int, generation string, updatedAt string, complete boolean, shardCount int, filterBytes int, filterBands int, partKeys array<string>"
 SHARD = "version int, generation string, shardCount int, postingFormat string, part int, parts int, terms map<string,array<string>>"
-# Fixed value: the bound of a published shard.
-MOST_BYTES = 8 << 20
+# The bounds of a published shard, of a manifest and of a router index.
+MOST_BYTES, MANIFEST_BYTES, ROUTER_BYTES = 8 << 20, 64 << 10, 256 << 10
 #: Bytes of a shard besides its terms, at most.
 HEAD_BYTES = 512
 
 
 def is_term_manifest(payload: Column) -> Column:
-    """Whether a JSON text is a complete manifest of the term index."""
+    """Whether a JSON text is a complete manifest of the term index, of 64 KiB at most."""
     m = F.from_json(payload, MANIFEST)
-    ok = (m["version"] == INDEX_VERSION) & m["generation"].isNotNull() & m["updatedAt"].isNotNull() & m["complete"] & (m["shardCount"] > 0) & (m["cases"] > 0) & m["shardKeyPrefix"].startswith(INDEX_PREFIX)
+    ok = (m["version"] == INDEX_VERSION) & m["generation"].isNotNull() & m["updatedAt"].isNotNull() & m["complete"] & (m["shardCount"] > 0) & (m["cases"] > 0) & m["shardKeyPrefix"].startswith(INDEX_PREFIX) & (F.octet_length(payload) <= MANIFEST_BYTES)
     return F.coalesce(ok, F.lit(False))
 
 
 def is_router_index(payload: Column) -> Column:
-    """Whether a JSON text is a complete index of the case router: as many part keys as shards, each in its folder."""
+    """Whether a JSON text is a complete index of the case router, of 256 KiB at most: as many part keys as shards, each in its folder."""
     m = F.from_json(payload, ROUTER)
     ok = (m["version"] == ROUTER_VERSION) & m["generation"].isNotNull() & m["updatedAt"].isNotNull() & m["complete"] & m["filterBytes"].isNotNull() & (m["filterBands"] > 0)
     ok = ok & (F.size(m["partKeys"]) == m["shardCount"]) & F.forall(m["partKeys"], lambda k: F.coalesce(k.startswith(ROUTER_PREFIX), F.lit(False)))
-    return F.coalesce(ok, F.lit(False))
+    return F.coalesce(ok & (F.octet_length(payload) <= ROUTER_BYTES), F.lit(False))
 
 
 def filter_bytes(value: Column) -> Column:

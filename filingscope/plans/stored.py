@@ -116,3 +116,21 @@ def generation_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         generations.publish_index(postings, path, buckets=8)
         generations.publish_index(postings, path, buckets=8)
         return once(generations.read_postings(spark, path, generation=meta).where("case_number IS NOT NULL").select("stem", "case_number", "df", "weight"), "read")
+
+
+@query("""SELECT 0 AS pos, 'read' AS stage, count(*) AS rows FROM documents UNION ALL SELECT 1, 'public', count(*) FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT 2, 'by-source', count(*) FROM (SELECT DISTINCT source FROM documents WHERE doc_id % 7 <> 0)""")
+def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a job's stages as its log has them."""
+    log = operations.StageLog(spark)
+    read = log.stage(table(spark, sf_dir, "documents").select("doc_id", "source"), "read", table="documents")
+    public = log.stage(read.where("doc_id % 7 <> 0"), "public")
+    log.stage(public.groupBy("source").count(), "by-source")
+    return log.table().where("error IS NULL AND seconds >= 0").select("pos", "stage", "rows")
+
+
+@query("""WITH l AS (SELECT ts, event_type <> 'error' AS fine, CAST(event_id AS VARCHAR) || ':' || value AS payload FROM events WHERE ts <= '2024-01-15'), g AS (SELECT max(ts) AS ts, arg_max(payload, ts) AS payload FROM l WHERE fine)
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, payload FROM g WHERE epoch('2024-01-15'::TIMESTAMP) - epoch(ts) <= 30 * 60""")
+def cached_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The news that are still served on a day, if the last good fetch before it was within half an hour."""
+    log = table(spark, sf_dir, "events").where("ts <= '2024-01-15'").select("ts", F.when(F.col("event_type") != "error", "ok").otherwise("failed").alias("status"), F.concat(F.col("event_id").cast("string"), F.lit(":"), F.col("value").cast("string")).alias("payload"))
+    return operations.cached_news(log, "2024-01-15 00:00:00").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "payload")

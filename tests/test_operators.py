@@ -253,3 +253,26 @@ def test_guards_of_the_published_index(spark):
     none = spark.createDataFrame([], "payload string")
     asked = spark.createDataFrame([(1, ["storm"])], "question_id long, terms array<string>")
     assert published.route_published(asked, none, spark.createDataFrame([], "shard int, payload string")).collect() == [(1, False, None, None, None, None)]
+
+
+def test_stages_are_logged(spark):
+    log = operations.StageLog(spark)
+    assert log.stage(spark.range(7), "seven", kind="x").count() == 7
+    with pytest.raises(Exception, match="oops"):
+        log.stage(spark.range(1).select(F.raise_error(F.lit("oops"))), "broken")
+    rows = log.table().collect()
+    assert [(r.stage, r.rows, r.error is None, r.details) for r in rows] == [("seven", 7, True, {"kind": "x"}), ("broken", None, False, {})] and rows[0].seconds > 0
+
+
+def test_cached_news_get_old(spark):
+    log = spark.createDataFrame([("2024-01-01 00:00:00", "ok", "a"), ("2024-01-01 00:20:00", "failed", "b")], "ts string, status string, payload string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert [r.payload for r in operations.cached_news(log, "2024-01-01 00:30:00").collect()] == ["a"]
+    assert operations.cached_news(log, "2024-01-01 00:30:01").isEmpty() and operations.cached_news(log.limit(0), "2024-01-01 00:00:00").isEmpty()
+
+
+def test_published_texts_have_bounds(spark):
+    from filingscope.operators import published
+
+    whole = '{"version":1,"generation":"g","updatedAt":"t","complete":true,"shardCount":1,"cases":1,"shardKeyPrefix":"term-index/"%s}'
+    for size, want in ((0, True), (70_000, False)):
+        assert spark.range(1).select(published.is_term_manifest(F.lit(whole % f',"x":"{"y" * size}"'))).first()[0] is want
