@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import join_hot
-from .workspace import Workspace, shared_root, whole_row
+from .workspace import Workspace, delete, shared_root, whole_row
 
 #: Distinct texts that a bucket of a new index is meant for, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 500_000, 16
@@ -55,6 +55,11 @@ class DigestIndex:
         added = self.read().where(F.col("batch") == batch).select("digest")
         self._write(rows.hint("merge").join(added, "digest", "left_anti").select("digest", "keep_id", F.lit(batch).alias("batch")))
 
+    def drop(self) -> None:
+        """Take the table and its files away; what ``ingest`` has returned doesn't need them."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        delete(self.spark, self.path)
+
     def _write(self, rows: DataFrame) -> None:
         if self.buckets is None:
             spec = self.spark.sql(f"DESCRIBE EXTENDED {self.table}").where("col_name = 'Num Buckets'").first()
@@ -99,7 +104,9 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     have any name and hold anything; an empty table gives an empty one.
     """
     ws = Workspace(docs.sparkSession, "kept")
-    decided = ws.put(DigestIndex(docs.sparkSession).ingest(docs, id_col, text_col), "decided")
+    index = DigestIndex(docs.sparkSession)
+    decided = ws.put(index.ingest(docs, id_col, text_col), "decided")
+    index.drop()
     repeated = not decided.where("NOT kept AND doc_id <=> keep_id").isEmpty()
     pair = lambda x: F.xxhash64(F.coalesce(F.col(x).cast("long"), F.lit(-1)), "digest").alias("pair")
     stay = decided.where("kept").select(F.unhex("text_sha256").alias("digest"), "doc_id").select(pair("doc_id"), "digest")

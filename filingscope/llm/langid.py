@@ -256,6 +256,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score. Learns from labelled documents that aren't held out."""
+    """One row per document: doc_id, held_out, lang_pred, score. Learns from labelled documents that aren't held out.
+
+    A null text, one without a letter, and every text where no document teaches a language is ``und`` with score 0. A null id is not held
+    out; a null lang teaches nothing. Repeated rows are each returned; ties go to the language
+    that is first by code point; extra columns are ignored; an empty table gives an empty
+    result. A very long text is scored word by word at once, which takes some forty bytes a character.
+    """
     model = fit(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
     return predict(docs, model, text_col, F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"))

@@ -80,7 +80,10 @@ def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import DigestIndex
 
-    return DigestIndex(spark).ingest(_table(spark, sf_dir, "documents"))
+    index = DigestIndex(spark)
+    decided = index.ingest(_table(spark, sf_dir, "documents"))
+    index.drop()  # new and only of this call
+    return decided
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

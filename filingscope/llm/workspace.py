@@ -13,6 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of this process's operator calls.
+MADE: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what all operator calls of this process have written between their steps, once their results are saved elsewhere."""
+    while MADE:
+        delete(spark, MADE.pop())
+
+
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder. Only a local master may do without the setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,6 +44,13 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias("row")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()  # noqa: SLF001
+    path = jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(conf).delete(path, True)
+
+
 class Workspace:
     """A folder of its own for one operator call, below the shared folder."""
 
@@ -41,6 +58,7 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._count = 0
+        MADE.append(self.path)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table."""
@@ -53,7 +71,5 @@ class Workspace:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete written tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()  # noqa: SLF001
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._workspace_path)  # noqa: SLF001
-            path.getFileSystem(conf).delete(path, True)
+            delete(self.spark, table._workspace_path)  # noqa: SLF001

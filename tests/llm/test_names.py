@@ -42,3 +42,17 @@ def test_stages(spark, docs):
         assert rows.columns == docs.columns, name
         unchanged(rows)
     assert corpus_pipeline.STAGES[-1][1](spark, rows, DATA).count() > 0
+
+
+def test_nothing_is_left_behind(spark):
+    from filingscope.llm import queries, workspace
+
+    tables = len(spark.catalog.listTables())
+    out = queries.op10_exact_dedup(spark, DATA).collect()
+    assert len(spark.catalog.listTables()) == tables and out
+    made = list(workspace.MADE)
+    workspace.clear(spark)
+    folder = workspace.shared_root(spark).removeprefix("file://")
+    import os
+
+    assert made and not workspace.MADE and not any(os.path.exists(m.removeprefix("file://")) for m in made) and os.path.exists(folder)
