@@ -196,3 +196,16 @@ def router_entries(filings: DataFrame) -> DataFrame:
     stats = filings.groupBy("case_number").agg(F.count_distinct("filing_id").alias("filings"), F.count_distinct(F.when(F.col("text").isNotNull(), F.col("filing_id"))).alias("content_filings"), F.max("received_date").alias("latest")).where("content_filings > 0")
     full = bands.groupBy("case_number").agg(F.sum(F.bitmap_count("bits")).alias("set_bits"))
     return bands.join(stats, "case_number").join(full, "case_number").withColumn("part", hashing.router_part(F.col("case_number")))
+
+
+def router_totals(entries: DataFrame, filings: DataFrame) -> DataFrame:
+    """One row of what a router holds: cases, content_cases, associations of filings with cases, those with content, parts and filter_bytes."""
+    pairs = filings.where("case_number IS NOT NULL").groupBy("case_number").agg(F.count_distinct("filing_id").alias("n"), F.count_distinct(F.when(F.col("text").isNotNull(), F.col("filing_id"))).alias("content"))
+    all_ = pairs.agg(F.count("*").alias("cases"), F.count_if(F.col("content") > 0).alias("content_cases"), F.sum("n").alias("associations"), F.sum("content").alias("content_associations"))
+    held = entries.agg(F.count_distinct("part").alias("parts"), F.sum(F.octet_length("bits")).alias("filter_bytes"))
+    return all_.crossJoin(F.broadcast(held))  # one row each
+
+
+def summed_counts(shards: DataFrame, *columns: str) -> DataFrame:
+    """One row: the sums of all shards' counts; a shard that is missing or has no number counts nothing."""
+    return shards.agg(*(F.coalesce(F.sum(scoring.lenient_number(F.col(c))), F.lit(0)).cast("long").alias(c) for c in columns))

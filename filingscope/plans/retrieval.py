@@ -9,7 +9,8 @@ from ..functions import text
 from ..operators import index, routing, search
 from ..operators.shared import once
 from .corpus import filings, questions, table
-from .queries import FILINGS, INDEX
+from .parts import CRC
+from .queries import FILINGS, FOLDED, INDEX, QTERMS
 from .registry import query
 
 #: Postings of a block here: the tables have some hundred cases, so a list has a few blocks.
@@ -63,3 +64,18 @@ SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score D
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = filings(spark, sf_dir).select(F.col("filing_id").alias("id"), "case_number", "text")
     return search.phrase_search(_phrases(spark, sf_dir), rows)
+
+
+@query(f"""WITH {FOLDED.replace(QTERMS + ', ', '').replace(' UNION SELECT term FROM qterms', '')}, p AS (SELECT case_number, count(DISTINCT filing_id) AS n, count(DISTINCT filing_id) FILTER (text IS NOT NULL) AS c FROM filings GROUP BY 1), b AS (SELECT DISTINCT case_number, filing_id % 4 AS band FROM filings WHERE text IS NOT NULL)
+SELECT count(*) AS cases, count(*) FILTER (c > 0) AS content_cases, CAST(sum(n) AS BIGINT) AS associations, CAST(sum(c) AS BIGINT) AS content_associations, (SELECT count(DISTINCT {CRC}) FROM b) AS parts, (SELECT 256 * count(*) FROM b) AS filter_bytes FROM p""")
+def router_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filings(spark, sf_dir)
+    return index.router_totals(index.router_entries(rows), rows)
+
+
+# Counts of shards as they may come: by source, some as text, some missing.
+@query("WITH s AS (SELECT source, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY 1) SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS documents, CAST(coalesce(sum(chars) FILTER (n % 2 = 0), 0) AS BIGINT) AS chars FROM s WHERE source IS NOT NULL")
+def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    shards = each.where("source IS NOT NULL").select(F.col("n").cast("string").alias("documents"), F.when(F.col("n") % 2 == 0, F.col("chars").cast("string")).otherwise("none").alias("chars"))
+    return index.summed_counts(shards.unionByName(shards.limit(1).select(F.lit(None).cast("string").alias("documents"), F.lit("").alias("chars"))), "documents", "chars")

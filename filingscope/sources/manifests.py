@@ -102,7 +102,7 @@ def write_manifests(rows: DataFrame, path: str, most_bytes: int = MOST_BYTES) ->
     placed.select("case_number", "part", "parts", "document").write.format("case_manifests").options(path=path, mostBytes=most_bytes).mode("append").save()
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+def read_manifests(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row a (part, document) of manifest files of 32 MiB at most; the case comes from the file's path and must be that of its content."""
     rows = spark.read.schema(MANIFEST).json(path, recursiveFileLookup=True).where(F.col("_metadata.file_size") <= MOST_BYTES).withColumn("part", F.input_file_name())
     named = rows.withColumn("path_case", F.regexp_extract("part", NAME, 1)).where("version IN (1, 2) AND caseNumber = path_case")

@@ -52,6 +52,7 @@ class Pages:
     def __init__(self, options: dict[str, str]):
         self.uri, self.size = options["path"], int(options.get("pagesize", PAGE_SIZE))
         self.tries, self.pace = int(options.get("tries", TRIES)), float(options.get("pace", 1.0))
+        self.partial = options.get("partial", "false") == "true"
         self.store = None if self.uri.startswith("http") else Store(self.uri)
 
     def request(self, page: int) -> tuple[int, dict, str | None]:
@@ -117,10 +118,17 @@ def ranges(start: int, end: int, size: int) -> list[Range]:
 def _records(pages: Pages, part: Range | None) -> Iterator[pa.RecordBatch]:
     """The records of a range; Spark asks for None where there is no range."""
     for page in range(part.start // pages.size, (part.end - 1) // pages.size + 1) if part else ():
-        rows = pages.get(page)["resultsSet"]
+        try:
+            rows = pages.get(page)["resultsSet"]
+        except PageUnavailable:
+            if not pages.partial:
+                raise
+            return
         first = page * pages.size
         low, high = max(0, part.start - first), min(len(rows), part.end - first)
         if high < min(pages.size, part.end - first):
+            if pages.partial:
+                return
             raise PageUnavailable(page, 206)  # shorter than the total promised
         named = [{k: r.get(k) for k in FIELDS.names} for r in rows[low:high]]
         yield pa.RecordBatch.from_pylist(named, schema=FIELDS).append_column("position", pa.array(range(first + low, first + high), pa.int64()))
@@ -216,7 +224,8 @@ class PagedRecords(DataSource):
     """``spark.read.format("paged_records").load(path)``, and ``readStream`` alike.
 
     ``register`` makes it known. Options: pageSize; order (asc or desc), skip and take, which count records from that
-    end; since, a cutoff date; tries, and pace, which scales the waits between them.
+    end; since, a cutoff date; tries, and pace, which scales the waits between them; partial (true) ends a
+    task's range at a page that can't be had, where a batch read fails otherwise.
     Column ``position`` is a record's number in ascending order. ``write`` takes rows
     (page, payload).
     """

@@ -32,6 +32,11 @@ class Store:
         found = self.fs.get_file_info(fs.FileSelector(self.path(folder) if folder else self.root, allow_not_found=True))
         return sorted(f.base_name for f in found if f.type == fs.FileType.File)
 
+    def folders(self) -> list[str]:
+        """Folders right in this one, but for those of staged files, in order."""
+        found = self.fs.get_file_info(fs.FileSelector(self.root, allow_not_found=True))
+        return sorted(f.base_name for f in found if f.type == fs.FileType.Directory and not f.base_name.startswith("_"))
+
     def stage(self, data: bytes) -> str:
         """Write a file under a name that no reader looks for; the name."""
         name = f"_staged/{uuid.uuid4().hex}"
