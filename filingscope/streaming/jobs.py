@@ -1,16 +1,12 @@
-"""Streaming ingest, rate limits and citation repair; checkpoints make each resumable."""
+"""Streaming ingest and counts; checkpoints make each resumable."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.markdown import Relinker
 from ..operators.ingest import newest, upsert
 
 
@@ -81,47 +77,3 @@ def daily_budget(writes: DataFrame, late: str = "1 day") -> DataFrame:
     writes = writes.withColumn("ts", F.col("ts").cast("timestamp"))
     marked = writes.withWatermark("ts", late) if writes.isStreaming else writes
     return marked.groupBy(F.window("ts", "1 day")["start"].alias("day")).agg(F.count("*").alias("writes"), F.sum("bytes").alias("bytes"))
-
-
-class AnyStream(dict):
-    """The same citable rows for every stream."""
-
-    def __init__(self, rows: list[dict]):
-        super().__init__()
-        self.rows = rows
-
-    def get(self, key: str, default: list[dict] | None = None) -> list[dict]:
-        return self.rows
-
-
-def relink_stream(deltas: DataFrame, rows: dict[str, list[dict]]) -> DataFrame:
-    """(stream_id, seq, text) for deltas (stream_id, seq, delta, final): repaired text as it may go out.
-
-    The held text is state of each stream; a stream's deltas arrive in the order of seq
-    within a batch and across batches. ``rows`` are the citable rows of each stream.
-    """
-
-    def repair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        worker, out = Relinker(rows.get(key[0], []), *(state.get if state.exists else ())), []
-        for row in pd.concat(batches).sort_values("seq").itertuples():
-            out.append((key[0], row.seq, worker.push(row.delta, bool(row.final))))
-        state.update((worker.held, worker.sent, worker.mode))
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
-
-    return deltas.groupBy("stream_id").applyInPandasWithState(repair, "stream_id string, seq long, text string", "held string, sent boolean, mode int", "append", GroupStateTimeout.NoTimeout)
-
-
-def relink_batch(deltas: DataFrame, rows: dict[str, list[dict]]) -> DataFrame:
-    """The same for a table of whole streams."""
-
-    def repair(own: pd.DataFrame) -> pd.DataFrame:
-        worker = Relinker(rows.get(own["stream_id"].iloc[0], []))
-        own = own.sort_values("seq")
-        return own.assign(text=[worker.push(d, bool(f)) for d, f in zip(own["delta"], own["final"], strict=True)])[["stream_id", "seq", "text"]]
-
-    return deltas.groupBy("stream_id").applyInPandas(repair, "stream_id string, seq long, text string")
-
-
-def run_now(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Run a stream over what is there and wait for its end."""
-    stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -166,19 +166,7 @@ def test_stream_ingest_resumes_without_doubling(spark, tmp_path):
     assert read() == [(1, 1), (2, 5), (3, 7)]
 
 
-def test_streams_equal_batches(spark, tmp_path):
-    rows = spark.createDataFrame([(f"s{i % 2}", i, d, i >= 4) for i, d in enumerate(["a [Sto", "b ", "rm Report — p. 2]", "[x]", " z", "end"])], "stream_id string, seq long, delta string, final boolean")
-    rows.write.parquet(str(tmp_path / "in"))
-    cited = {"s0": [{"title": "Storm Report", "url": "https://x.org/a.pdf", "page_number": 1, "kind": None}]}
-    stream = jobs.relink_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), cited)
-    stream.writeStream.format("memory").queryName("repaired").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    streamed = {(r.stream_id): "" for r in rows.collect()}
-    for r in sorted(spark.table("repaired").collect(), key=lambda r: r.seq):
-        streamed[r.stream_id] += r.text
-    whole = {"s0": "", "s1": ""}
-    for r in sorted(jobs.relink_batch(rows, cited).collect(), key=lambda r: r.seq):
-        whole[r.stream_id] += r.text
-    assert streamed == whole and whole["s0"] == "a [Storm Report — p. 2](https://x.org/a.pdf#page=2) z"
+def test_a_counting_stream_equals_a_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.write.parquet(str(tmp_path / "events"))
     counts = jobs.rate_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "events")))
