@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
+import json
+import time
 import uuid
 
 from pyarrow import fs
@@ -24,6 +27,20 @@ class Store:
         except FileNotFoundError:
             return None
 
+    def read_json(self, name: str, tries: int = 3, pace: float = 0.2) -> dict | None:
+        """An object in JSON, gzip or plain; None if it isn't there, or if no try gave a whole one."""
+        for attempt in range(1, tries + 1):
+            try:
+                raw = self.read(name)
+                value = raw and json.loads(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
+                if isinstance(value, dict):
+                    return value
+            except (OSError, ValueError, EOFError):
+                pass
+            if attempt < tries:
+                time.sleep(pace * attempt)
+        return None
+
     def exists(self, name: str) -> bool:
         return self.fs.get_file_info(self.path(name)).type == fs.FileType.File
 

@@ -42,8 +42,11 @@ class MetadataScan:
         return f"state-v{VERSION}-{shard}-of-{self.shards}.json"
 
     def state(self, shard: int) -> dict:
-        raw = self.store.read(self._name(shard))
-        return json.loads(raw) if raw else {}
+        name = self._name(shard)
+        state = self.store.read_json(name) if self.store.exists(name) else {}
+        if state is None:
+            raise OSError(f"the state {name} can't be read")  # to begin again would be worse
+        return state
 
     def _read(self, **window: str) -> DataFrame:
         return self.spark.read.format("paged_records").options(**self.options, partial="true", **window).load(self.pages)

@@ -100,3 +100,28 @@ def test_stored_bytes(spark, tmp_path):
 def test_public_records(spark):
     row = spark.range(1).select(is_public_pdf(F.lit(None), F.lit(False), F.lit(5), F.lit("A.PDF")).alias("a"), is_public_pdf(F.lit(None), F.lit(None), F.lit(0), F.lit("a.pdf")).alias("b")).first()
     assert (row.a, row.b) == (True, False)
+
+
+def test_json_objects_are_read_with_tries(tmp_path, monkeypatch):
+    import gzip
+
+    from filingscope.sources import store as module
+
+    waits, store = [], Store(f"file://{tmp_path}")
+    monkeypatch.setattr(module.time, "sleep", waits.append)
+    store.write("a.json", b'{"x": 1}')
+    store.write("b.json.gz", gzip.compress(b'{"x": 2}'))
+    store.write("c.json", b'{"x": ')
+    assert store.read_json("a.json") == {"x": 1} and store.read_json("b.json.gz") == {"x": 2} and waits == []
+    assert store.read_json("c.json") is None and store.read_json("none.json") is None and waits == pytest.approx([0.2, 0.4] * 2)
+    answers = [OSError("x"), b"", b'{"x": 3}']
+    monkeypatch.setattr(store, "read", lambda _: (_ for _ in ()).throw(a) if isinstance(a := answers.pop(0), OSError) else a)
+    assert store.read_json("a.json") == {"x": 3}
+
+
+def test_a_broken_state_stops_the_scan(spark, pages, tmp_path, monkeypatch):
+    monkeypatch.setattr("filingscope.sources.store.time.sleep", lambda _: None)
+    one = new(spark, pages, tmp_path)
+    one.store.write(one._name(0), b"{")
+    with pytest.raises(OSError, match="can't be read"):
+        one.step()
