@@ -58,7 +58,8 @@ def excerpts(searched: DataFrame, pages: DataFrame, most: int = A_DOCUMENT) -> D
     """
     plain = text.decode_entities(F.regexp_replace("page", "<[^>]*>", " "))
     tasks = pages.sparkSession.sparkContext.defaultParallelism  # by number: a page costs far more to look through than its bytes tell
-    rows = searched.withColumn("stems", F.transform("terms", text.stem)).join(pages.repartition(tasks, "filing_id"), "filing_id").withColumn("plain", plain).withColumn("low", F.lower("plain"))
+    cleaned = pages.repartition(tasks, "filing_id").select("filing_id", "page_number", plain.alias("plain"))  # once, however many searches read the filing
+    rows = searched.withColumn("stems", F.transform("terms", text.stem)).join(cleaned, "filing_id").withColumn("low", F.lower("plain"))
     rows = rows.withColumn("spots", F.filter(F.transform("stems", lambda t: F.instr(F.col("low"), t)), lambda i: i > 0)).withColumn("matched", F.size("spots")).where(F.col("matched") >= F.col("least"))
     first = F.array_min("spots") - 1
     start, end = F.greatest(F.lit(0), first - BEFORE), F.least(F.length("plain"), first + AFTER)

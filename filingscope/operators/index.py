@@ -21,6 +21,8 @@ from .shared import once, small
 
 #: Texts whose filters are set at once.
 FILTER_ROWS = 256
+#: Stems that tasks know as a constant.
+ASKED_STEMS = 10_000
 #: Filters of a block of slices, and slices that are made at once.
 SLICE_ROWS, SLICES_AT_ONCE = 4096, 512
 
@@ -30,6 +32,22 @@ def case_terms(filings: DataFrame) -> DataFrame:
     return filings.select("case_number", F.explode(text.stems(F.col("text"))).alias("stem")).groupBy("case_number", "stem").agg(F.count("*").alias("n"))
 
 
+def asked_terms(filings: DataFrame, asked: DataFrame) -> DataFrame:
+    """The same for the stems that are asked for; all others of a case make one row of a null stem.
+
+    Up to ``ASKED_STEMS`` stems go to the tasks as a constant and nothing else leaves a text; more are joined.
+    """
+    wanted = [r[0] for r in asked.select("stem").distinct().limit(ASKED_STEMS + 1).collect()]
+    each = filings.select("case_number", text.stems(F.col("text")).alias("stems"))
+    if len(wanted) <= ASKED_STEMS:
+        own = F.array_intersect("stems", F.array(*map(F.lit, wanted)).cast("array<string>"))
+        rest = F.array_repeat(F.lit(None).cast("string"), F.when(F.size("stems") > F.size(own), 1).otherwise(0))
+        return each.select("case_number", F.explode(F.concat(own, rest)).alias("stem")).groupBy("case_number", "stem").agg(F.count("*").alias("n"))
+    known = asked.select("stem").distinct().withColumn("asked", F.lit(True))
+    words = each.select("case_number", F.explode("stems").alias("stem")).join(known, "stem", "left").select("case_number", F.when(F.col("asked"), F.col("stem")).alias("stem"))
+    return words.groupBy("case_number", "stem").agg(F.count("*").alias("n"))
+
+
 def case_sizes(filings: DataFrame) -> DataFrame:
     """(case_number, filings): all of them, those without a term too."""
     return filings.groupBy("case_number").agg(F.count("*").alias("filings"))
@@ -45,13 +63,15 @@ def document_frequency(terms: DataFrame) -> DataFrame:
     return terms.groupBy("stem").agg(F.count("*").alias("df"))
 
 
-def postings(filings: DataFrame) -> DataFrame:
+def postings(filings: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """(stem, case_number, df, weight, cases). A stem above the cap keeps one row with its df and no case.
 
-    Stems above the cap, the commonest ones, leave before anything is joined by stem.
+    Stems above the cap, the commonest ones, leave before anything is joined by stem. With ``asked`` (stem), an
+    index is made of those stems alone, with the same numbers.
     """
-    terms, sizes = once(case_terms(filings), "case-terms"), case_sizes(filings)  # the texts are read once
+    terms, sizes = once(case_terms(filings) if asked is None else asked_terms(filings, asked), "case-terms"), case_sizes(filings)  # the texts are read once
     totals = once(index_totals(terms, sizes), "totals")
+    terms = terms.where("stem IS NOT NULL")
     known = once(document_frequency(terms).crossJoin(F.broadcast(totals)), "frequencies")  # one row
     capped = F.col("df") > F.col("cap")
     listed = terms.join(small(known.where(capped).select("stem"), 100_000), "stem", "left_anti")

@@ -180,7 +180,8 @@ def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Routing
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(routing.route(questions(spark, sf_dir), index.postings(filings(spark, sf_dir))), "routed")
+    asked = once(questions(spark, sf_dir), "questions")
+    return once(routing.route(asked, index.postings(filings(spark, sf_dir), routing.question_stems(asked))), "routed")
 
 
 @query(f"WITH {INDEX} SELECT * FROM routed")

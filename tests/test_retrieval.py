@@ -71,3 +71,16 @@ def test_phrases_are_adjacent_words(spark):
     assert decoded == {(w, i): [k for k, x in enumerate(cut(t)) if x == w] for i, t, _ in rows for w in set(cut(t))}
     best = search.phrase_search(spark.createDataFrame([(1, ["a-bb"], None), (2, ["a-bb"], "FC1"), (3, ["--"], None)], "question_id long, terms array<string>, case string"), chunks).collect()
     assert {r.id for r in best if r.question_id == 2} <= {i for i, _, c in rows if c == "FC1"} and {r.question_id for r in best} == {1, 2}
+
+
+@pytest.mark.parametrize("constant", [10_000, 3])
+def test_an_index_of_asked_stems_has_the_same_numbers(spark, monkeypatch, constant):
+    monkeypatch.setattr(index, "ASKED_STEMS", constant)
+    rnd = random.Random(7)
+    rows = [(i, f"FC{rnd.randrange(45)}", "t", None, rnd.choice([None, "", "x", " ".join(f"word{rnd.randrange(30)}" for _ in range(rnd.randrange(1, 25))) + " common"])) for i in range(200)]
+    filings = spark.createDataFrame(rows, "filing_id long, case_number string, title string, received_date string, text string")
+    asked = spark.createDataFrame([(s,) for s in ("word1", "word2", "common", "never", "word1", "word9", "word11")], "stem string")
+    got = index.postings(filings, asked)
+    want = index.postings(filings).join(asked.distinct(), "stem", "left_semi")
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and want.where("case_number IS NULL").count() == 1
+    assert index.postings(filings, asked.limit(0)).isEmpty()
