@@ -77,7 +77,7 @@ def test_phrases_are_adjacent_words(spark):
 def test_an_index_of_asked_stems_has_the_same_numbers(spark, monkeypatch, constant):
     monkeypatch.setattr(index, "ASKED_STEMS", constant)
     rnd = random.Random(7)
-    rows = [(i, f"FC{rnd.randrange(45)}", "t", None, rnd.choice([None, "", "x", " ".join(f"word{rnd.randrange(30)}" for _ in range(rnd.randrange(1, 25))) + " common"])) for i in range(200)]
+    rows = [(i, f"FC{rnd.randrange(60)}", "t", None, rnd.choice([None, "", "x", " ".join(f"word{rnd.randrange(30)}" for _ in range(rnd.randrange(1, 25))) + " common"])) for i in range(600)]
     filings = spark.createDataFrame(rows, "filing_id long, case_number string, title string, received_date string, text string")
     asked = spark.createDataFrame([(s,) for s in ("word1", "word2", "common", "never", "word1", "word9", "word11")], "stem string")
     got = index.postings(filings, asked)
