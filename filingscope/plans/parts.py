@@ -115,23 +115,25 @@ def record_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Records and links
 
-@query("SELECT doc_id AS filing_id FROM documents WHERE doc_id % 3 <> 0")
+@query("SELECT doc_id AS filing_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unpublished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that aren't labelled yet."""
     ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("filing_id"))
-    return records.unpublished(ids, ids.where("filing_id % 3 = 0"), "filing_id")
+    return records.unpublished(ids, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("filing_id")), "filing_id")
 
 
-@query(f"WITH {FILINGS} SELECT filing_id, case_number FROM filings WHERE case_number <> 'FC1000' OR filing_id % 2 = 0")
+@query(f"WITH {FILINGS} SELECT filing_id, case_number FROM filings WHERE case_number <> 'FC1000' OR filing_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def exact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of a case stay for the filings that are labelled good alone."""
     links = filings(spark, sf_dir).select("filing_id", "case_number")
-    return records.exact_links(links, links.where("filing_id % 2 = 0"), "FC1000")
+    return records.exact_links(links, table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("filing_id")), "FC1000")
 
 
-@query("SELECT doc_id AS filing_id, CASE WHEN doc_id % 4 = 0 THEN 'missing' WHEN doc_id % 3 = 0 THEN 'compact' ELSE 'legacy' END AS status FROM documents")
+@query("SELECT d.doc_id AS filing_id, CASE WHEN c IS NULL THEN 'missing' WHEN c THEN 'compact' ELSE 'legacy' END AS status FROM documents d LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS c FROM labels GROUP BY 1) l USING (doc_id)")
 def document_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("filing_id"))
-    stored = ids.where("filing_id % 4 <> 0").select("filing_id", F.when(F.col("filing_id") % 3 == 0, "compact").otherwise("html").alias("content_format"))
-    return ingest.document_status(ids, stored.unionByName(stored.withColumn("content_format", F.lit("html"))))
+    """Whether a document is stored, as labels have it: good ones in the compact form."""
+    stored = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("filing_id"), F.when(F.col("quality") == 1, "compact").otherwise("html").alias("content_format"))
+    return ingest.document_status(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("filing_id")), stored)
 
 
 RAW = ("doc_id AS filingId", "'FC' || CAST(doc_id % 9 AS STRING) || '01 - 5, RM7-2 - 3' AS docketNumber", "CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 = 1 THEN NULL ELSE '<b>Title</b> &amp; ' || source END AS description", "CASE WHEN doc_id % 2 = 0 THEN 'file' || CAST(doc_id AS STRING) || '.pdf' END AS attachmentFileName", "CASE WHEN doc_id % 3 = 0 THEN 'a.pdf' END AS attachment", "'2024-01-0' || CAST(1 + doc_id % 9 AS STRING) AS receivedDate")
@@ -317,12 +319,19 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.read_ingested(spark, target, ["id"], "v")
 
 
-NEWS = ("page_id", "'<div class=\"n\"><h2><a href=\"/news/' || CAST(page_id AS STRING) || '\">News &amp; <b>more</b></a></h2><i class=\"fa-calendar-o\"></i> May 1 <p>Sum ' || CAST(page_id AS STRING) || '</p></div><div class=\"n\"><h2><a href=\"https://other.net/x\">Other</a></h2></div>' AS html")
+# A page's own address, title and first paragraph as a news block; every third is by path alone, and one of another site follows.
+NEWS = ("page_id", "'<div class=\"n\"><h2><a href=\"' || CASE WHEN page_id % 3 = 0 THEN '/news/' || CAST(page_id AS STRING) ELSE url END || '\">' || @title@ || ' &amp; <b>more</b></a></h2>' || CASE WHEN page_id % 4 = 0 THEN '' ELSE '<i class=\"fa-calendar-o\"></i> May ' || CAST(page_id % 28 + 1 AS STRING) END || '<p>' || @title@ || ' &lt;1&gt;</p></div><div class=\"n\"><h2><a href=\"https://other.net/x\">Other</a></h2></div>' AS html")
+TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+_PLAIN = "trim(regexp_replace(replace(replace(replace({0}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
 
 
-@query("SELECT page_id, 1 AS position, 'News & more' AS title, 'May 1' AS date, 'Sum ' || page_id AS summary, 'https://example.org/news/' || page_id AS url FROM pages")
+@query(f"""WITH n AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://example.org/news/' || page_id ELSE url END AS url, {TITLE} AS t FROM pages)
+SELECT page_id, 1 AS position, {_PLAIN.format("t || ' & more'")} AS title, CASE WHEN page_id % 4 = 0 THEN 'Latest update' ELSE 'May ' || (page_id % 28 + 1) END AS date, {_PLAIN.format("t || ' <1>'")} AS summary, url FROM n
+WHERE lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) = 'example.org' OR ends_with(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '.example.org')""")
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landed.parse_news(made(spark, sf_dir, "pages", NEWS), "html", SITE, '<div class="n">')
+    """News blocks made of the pages' own titles and addresses; those of other sites don't count."""
+    rows = made(spark, sf_dir, "pages", tuple(c.replace("@title@", TITLE) for c in NEWS))
+    return landed.parse_news(rows, "html", SITE, '<div class="n">')
 
 
 # Answers
@@ -386,12 +395,15 @@ def model_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", events[0]["data"]["delta"].alias("delta"), events[1]["event"].alias("last"), events[1]["data"]["requestId"].alias("request_id"), F.get_json_object(request, "$.input").alias("input"), render.response_text(answer).alias("answer"))
 
 
-SHOWN = ("doc_id", "CASE WHEN doc_id % 3 = 0 THEN chr(1) || ' ab' || chr(10) || 'cd' || chr(2) WHEN doc_id % 3 = 1 THEN '  ' ELSE 'a rather long comment' END AS comment")
+SHOWN = "(SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN chr(1) || ' ' || text || chr(10) ELSE text END AS comment FROM documents)"
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'ab' || chr(10) || 'cd' WHEN 1 THEN 'Not provided' ELSE 'a rather…' END AS safe, CASE doc_id % 3 WHEN 0 THEN '    ab' || chr(10) || '    cd' WHEN 1 THEN '    Not provided' ELSE '    a rather…' END AS quoted FROM documents")
+@query(f"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(comment, ''), '[\x00-\x08\x0B-\x1F]', '', 'g'), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS t FROM {SHOWN}), s AS (SELECT doc_id, CASE WHEN t = '' THEN 'Not provided' WHEN length(t) > 300 THEN left(t, 300) || '…' ELSE t END AS safe FROM c)
+SELECT doc_id, safe, '    ' || replace(safe, chr(10), chr(10) || '    ') AS quoted FROM s""")
 def safe_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return made(spark, sf_dir, "documents", SHOWN).select("doc_id", text.safe_text(F.col("comment"), 8).alias("safe"), text.indented(F.col("comment"), 8).alias("quoted"))
+    """Texts as comments: without control characters, cut, and quoted by four blanks."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 9 == 0, None).when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\x01 "), "text", F.lit("\n"))).otherwise(F.col("text")).alias("comment"))
+    return rows.select("doc_id", text.safe_text(F.col("comment"), 300).alias("safe"), text.indented(F.col("comment"), 300).alias("quoted"))
 
 
 # Searches that take several cases or fields
