@@ -70,7 +70,7 @@ def postings(filings: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     index is made of those stems alone, with the same numbers.
     """
     terms, sizes = once(case_terms(filings) if asked is None else asked_terms(filings, asked), "case-terms"), case_sizes(filings)  # the texts are read once
-    totals = once(index_totals(terms, sizes), "totals")
+    totals = index_totals(terms, sizes)
     terms = terms.where("stem IS NOT NULL")
     known = once(document_frequency(terms).crossJoin(F.broadcast(totals)), "frequencies")  # one row
     capped = F.col("df") > F.col("cap")
@@ -169,14 +169,19 @@ def _set_places(bitmap: pd.Series) -> pd.Series:
     return bitmap.map(lambda x: np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little")).astype(np.int32))
 
 
-def members_of(slices: DataFrame, terms: DataFrame, size: int) -> DataFrame:
+def _spots(terms: DataFrame, size: int) -> DataFrame:
+    """(term, need, bit): each term's positions and their number."""
+    spots = F.array_distinct(hashing.filter_bits(F.lower("term"), size))
+    return terms.select("term").distinct().withColumn("spots", spots).select("term", F.size("spots").alias("need"), F.explode("spots").alias("bit"))
+
+
+def members_of(slices: DataFrame, terms: DataFrame, size: int, asked: DataFrame | None = None) -> DataFrame:
     """(keys, term): the filters of a bit-sliced index that may hold a term; each pair once.
 
     A term is the AND of the slices of its positions, so what is shuffled is a slice for each block and
     asked position, however full the filters are.
     """
-    spots = F.array_distinct(hashing.filter_bits(F.lower("term"), size))
-    asked = small(terms.select("term").distinct().withColumn("spots", spots).select("term", F.size("spots").alias("need"), F.explode("spots").alias("bit")), 100_000)
+    asked = small(_spots(terms, size), 100_000) if asked is None else asked
     both = slices.where("bit >= 0").select("block", "bit", "slice").join(asked, "bit").groupBy("block", "term", "need").agg(F.expr("bitmap_and_agg(slice)").alias("all"), F.count("*").alias("n"))
     held = both.where("n = need").select("block", "term", F.explode(_set_places(F.substring("all", 1, SLICE_ROWS // 8))).alias("at"))
     named = slices.where("bit = -1").select("block", F.posexplode("keys").alias("at", "key"))
@@ -188,10 +193,10 @@ def members(filters: DataFrame, terms: DataFrame, size: int, *keys: str) -> Data
 
     What the driver learns is which those are: a bitmap of a filter's size.
     """
-    spots = F.explode(hashing.filter_bits(F.lower("term"), size))
-    bitmap = terms.select("term").distinct().select(spots.alias("bit")).agg(F.expr("bitmap_construct_agg(bit)")).first()[0][:size]
-    wanted = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(bitmap), np.uint8), bitorder="little"))
-    return members_of(bit_slices(filters, size, *keys, bits=wanted), terms, size)
+    asked = _spots(terms, size)
+    n, bitmap = asked.agg(F.count("*"), F.expr("bitmap_construct_agg(bit)")).first()
+    wanted = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(bitmap[:size]), np.uint8), bitorder="little"))
+    return members_of(bit_slices(filters, size, *keys, bits=wanted), terms, size, F.broadcast(asked) if n <= 100_000 else asked)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
