@@ -196,3 +196,50 @@ def test_shards_within_the_bound(spark, most):
     own = int(spark.range(1).select(hashing.term_shard(F.lit("common"), 2)).first()[0])
     if sum(r.shard == own for r in got) > 1:  # without one of its parts a shard isn't there
         assert [tuple(r)[:3] for r in routed(shards.where(f"NOT (shard = {own} AND part = 1)"))] == [(1, False, None)]
+
+
+def test_pages_of_a_service(monkeypatch):
+    """The same requests over HTTP, to a service on this machine that fails now and then."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    asked, failures = [], [503, 429, None, 404]
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: int(v[0]) for k, v in parse_qs(urlparse(self.path).query).items() if v[0].isdigit()}
+            asked.append((q["skip"], q["take"]))
+            status = failures.pop(0) if failures else None
+            self.send_response(status or 200)
+            if status == 429:
+                self.send_header("Retry-After", "3")
+            self.end_headers()
+            if not status:
+                rows = [{"filingId": i, "receivedDate": f"2024-01-{i:02d}"} for i in range(1, 26)]
+                self.wfile.write(json.dumps({"resultsSet": rows[q["skip"] : q["skip"] + q["take"]], "total": 25}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    waits = []
+    monkeypatch.setattr(paged.time, "sleep", waits.append)
+    monkeypatch.setattr(paged.random, "random", lambda: 0.25)
+    options = {"path": f"http://127.0.0.1:{server.server_port}/filings", "pagesize": "10"}
+    try:
+        assert [r["filingId"] for r in Pages(options).get(1)["resultsSet"]] == list(range(11, 21))
+        assert waits == [1.25, 3] and asked == [(10, 10)] * 3
+        with pytest.raises(PageUnavailable) as e:
+            Pages(options).get(2)
+        assert e.value.permanent
+        reader = PagedReader({**options, "since": "2024-01-12"})
+        parts = reader.partitions()
+        assert (parts[0].start, parts[-1].end) == (10, 25)
+        rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        assert [(r["filingId"], r["position"]) for r in rows] == [(i + 1, i) for i in range(10, 25)]
+        assert PagedStream(options).latestOffset() == {"records": 25}
+    finally:
+        server.shutdown()
+    assert Pages({**options, "path": "http://127.0.0.1:9/none"}).request(0)[0] == 503  # nobody answers
