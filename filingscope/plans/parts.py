@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, markdown, scoring, text
+from ..functions import hashing, markdown, text
 from ..operators import dispatch, evidence, index, ingest, operations, published, records, render, routing, search
 from ..operators.shared import new_folder, once
 from ..sources import filings as landed
 from ..streaming import jobs
-from .corpus import AS_OF, filings, questions, table, turns
-from .queries import CAND, EXCERPTS, FILINGS, FOLDED, INDEX, QTERMS, SCORES, TERMS, _evidence, _routed, _search_tables, _searches, stem_sql, tok
+from .corpus import AS_OF, filings, questions, table
+from .queries import EXCERPTS, FILINGS, FOLDED, INDEX, QTERMS, SCORES, TERMS, _evidence, _routed, _search_tables, stem_sql, tok
 from .registry import query
 
 SITE, EDOCKET = "example.org", "https://edocket.example.org"
