@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from filingscope.llm import hard_negatives, vector_codes
+from filingscope.llm import hard_negatives
 from filingscope.llm.hard_negatives import Best, Side, mine, rotation, search
 from filingscope.llm.vector_codes import Cells, compress
 
