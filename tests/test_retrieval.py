@@ -1,6 +1,7 @@
 """Posting blocks, bit slices and phrases against plain versions."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -84,3 +85,13 @@ def test_an_index_of_asked_stems_has_the_same_numbers(spark, monkeypatch, consta
     want = index.postings(filings).join(asked.distinct(), "stem", "left_semi")
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and want.where("case_number IS NULL").count() == 1
     assert index.postings(filings, asked.limit(0)).isEmpty()
+
+
+def test_phrases_that_share_a_word_cost_no_row_each(spark):
+    text = "a " * 20_000
+    chunks = spark.createDataFrame([(i, text + f"w{i}") for i in range(4)], "id long, text string")
+    terms = spark.createDataFrame([(f"a-w{i}",) for i in range(4_000)], "term string")
+    began = time.time()
+    found = {(r.term, r.id): r.tf for r in search.phrase_counts(terms, search.positional_postings(chunks)).collect()}
+    assert found == {(f"a-w{i}", i): 1 for i in range(4)} and time.time() - began < 40
+    assert search.phrase_counts(terms.limit(0), search.positional_postings(chunks)).isEmpty()
