@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from filingscope.functions import hashing
 from filingscope.operators import index, published
 from filingscope.sources import generations, manifests, paged
@@ -243,3 +244,9 @@ def test_pages_of_a_service(monkeypatch):
     finally:
         server.shutdown()
     assert Pages({**options, "path": "http://127.0.0.1:9/none"}).request(0)[0] == 503  # nobody answers
+
+
+def test_tokens_of_a_large_table_are_verified(spark, tmp_path):
+    spark.range(399_998, 400_004).selectExpr("id AS doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = entry.queries()["request_tokens"](spark, str(tmp_path)).collect()
+    assert all((r.verified is not None) == (r.doc_id % 2 == 0) for r in rows) and len(rows) == 6
