@@ -250,3 +250,10 @@ def test_tokens_of_a_large_table_are_verified(spark, tmp_path):
     spark.range(399_998, 400_004).selectExpr("id AS doc_id").write.parquet(f"{tmp_path}/documents.parquet")
     rows = entry.queries()["request_tokens"](spark, str(tmp_path)).collect()
     assert all((r.verified is not None) == (r.doc_id % 2 == 0) for r in rows) and len(rows) == 6
+
+
+def test_news_titles_keep_references_that_are_text(spark, tmp_path):
+    pages = [(1, "https://example.org/a", "<title>x &quot;y&quot; &amp; &lt;z&nbsp;&#39;</title>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    row = entry.queries()["news"](spark, str(tmp_path)).first()
+    assert row.title == "x &quot;y&quot; & <z&nbsp;&#39; & more" and row.summary == "x &quot;y&quot; & <z&nbsp;&#39; <1>"
