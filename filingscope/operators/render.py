@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import markdown, text
+from .shared import once
 
 CONTEXT_CHARS, ANSWER_CHARS, TURNS, TURN_CHARS = 2200, 700, 10, 5000
 # Sentences of answers.
@@ -74,17 +75,26 @@ def source_line(case_number: Column, title: Column, received: Column, page: Colu
     return F.when(kind.eqNullSafe("metadata"), record).otherwise(content)
 
 
+def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with number, from 0 in the order of ``order``: places within ranges, and a sum of the ranges' sizes."""
+    ranged = once(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    ranged = ranged.withColumn("_range", F.shiftright("_at", 33))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))  # a row for each task
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return ranged.join(F.broadcast(starts), "_range").withColumn("number", F.col("_start") + F.col("_at").bitwiseAND(2**33 - 1)).drop("_at", "_range", "_size", "_start")
+
+
 def feedback_digest(rows: DataFrame, most: int = DIGEST_ROWS) -> DataFrame:
-    """One row with the digest of the oldest ``most`` rows of feedback (rating, reason, updated_at, request_id, question, answer_excerpt, comment)."""
-    rows = rows.orderBy("updated_at", "request_id").limit(most)
+    """(batch, up, down, n, digest): all feedback (rating, reason, updated_at, request_id, question, answer_excerpt, comment) by time, ``most`` rows a digest; batch from 0."""
+    rows = _numbered(rows, "updated_at", "request_id").withColumn("batch", F.floor(F.col("number") / most))
     # The digest's headings and reasons.
     labels = F.create_map(*(F.lit(x) for kv in {"incorrect": "Incorrect or misleading", "missing": "Missed important information", "citation": "Citation or source problem", "unclear": "Unclear or hard to use", "other": "Other"}.items() for x in kv))
     section = F.concat_ws("\n", F.concat(F.lit(". "), F.coalesce(F.try_element_at(labels, F.col("reason")), F.lit("Unspecified"))), F.lit(""), F.concat(F.lit("- Submitted: `"), text.safe_text(F.col("updated_at"), 40), F.lit("`")), F.concat(F.lit("- Request ID: `"), text.safe_text(F.col("request_id"), 40), F.lit("`")), F.lit(""), F.lit("**Question**"), F.lit(""), text.indented(F.col("question"), 1500), F.lit(""), F.lit("**Answer excerpt**"), F.lit(""), text.indented(F.col("answer_excerpt"), 2500), F.lit(""), F.lit("**User comment**"), F.lit(""), text.indented(F.col("comment"), 1000))
     down = F.col("rating") == "down"
-    one = rows.agg(F.count_if(F.col("rating") == "up").alias("up"), F.count_if(down).alias("down"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(down, F.struct("updated_at", "request_id", section.alias("s"))))).alias("sections"))
+    one = rows.groupBy("batch").agg(F.count_if(F.col("rating") == "up").alias("up"), F.count_if(down).alias("down"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(down, F.struct("updated_at", "request_id", section.alias("s"))))).alias("sections"))
     head = F.concat(F.lit("## Answer feedback summary\n\n- 👍 Useful: **"), F.col("up").cast("string"), F.lit("**\n- 👎 Needs improvement: **"), F.col("down").cast("string"), F.lit("**\n- Total responses in this digest: **"), F.col("n").cast("string"), F.lit("**\n\nReview the negative responses below and decide which should become product or retrieval fixes."))
     body = F.array_join(F.transform("sections", lambda x, i: F.concat(F.lit("\n\n### "), (i + 1).cast("string"), x["s"])), "")
-    return one.select("up", "down", "n", F.concat(head, body, F.lit("\n\n---\nThis digest was generated automatically from the site's answer feedback controls.\n")).alias("digest"))
+    return one.select("batch", "up", "down", "n", F.concat(head, body, F.lit("\n\n---\nThis digest was generated automatically from the site's answer feedback controls.\n")).alias("digest"))
 
 
 def final_reply(message: Column, raw: Column, rows: Column, exhaustive: Column, source_lines: Column, narrow_note: str) -> Column:

@@ -257,3 +257,10 @@ def test_news_titles_keep_references_that_are_text(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     row = entry.queries()["news"](spark, str(tmp_path)).first()
     assert row.title == "x &quot;y&quot; & <z&nbsp;&#39; & more" and row.summary == "x &quot;y&quot; & <z&nbsp;&#39; <1>"
+
+
+def test_digests_hold_all_feedback(spark, tmp_path):
+    spark.range(250).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = entry.queries()["feedback_digest"](spark, str(tmp_path)).orderBy("batch").collect()
+    assert [(r.batch, r.n) for r in rows] == [(0, 100), (1, 100), (2, 50)] and sum(r.down for r in rows) == sum(i % 3 != 0 for i in range(250))
+    assert all(r.digest.count("### ") == r.down for r in rows)
