@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from filingscope.functions import hashing
 from filingscope.operators import index, routing, search
+from filingscope.plans.corpus import filings
+from tests.conftest import DATA
 
 
 @pytest.mark.parametrize(("seed", "rows"), [(0, 1), (1, 3), (2, 16), (3, 500)])
@@ -95,3 +97,10 @@ def test_phrases_that_share_a_word_cost_no_row_each(spark):
     found = {(r.term, r.id): r.tf for r in search.phrase_counts(terms, search.positional_postings(chunks)).collect()}
     assert found == {(f"a-w{i}", i): 1 for i in range(4)} and time.time() - began < 40
     assert search.phrase_counts(terms.limit(0), search.positional_postings(chunks)).isEmpty()
+
+
+def test_texts_are_not_moved_for_dates_that_nobody_asks_for(spark):
+    plan = lambda *columns: filings(spark, DATA).select(*columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan("filing_id", "case_number", "title", "text") and "Join" in plan("filing_id", "received_date")
+    dated = filings(spark, DATA).where("received_date IS NOT NULL").count()
+    assert dated == spark.read.parquet(f"{DATA}/documents.parquet").join(spark.read.parquet(f"{DATA}/orders.parquet"), F.expr("doc_id = o_orderkey")).count() > 0
