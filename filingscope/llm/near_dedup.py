@@ -286,9 +286,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if depth:
             start, step = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(COORDINATES - TREES)), 5  # 5 and 118 have no common factor
             spots = F.transform(F.sequence(F.lit(0), F.lit(BRANCH - 1)), lambda j: (TREES + 1 + F.pmod(start + step * j, F.lit(COORDINATES - TREES))).cast("int"))
-            level = large.join(sigs.select("key", "sig"), "key").select("node", "key", "comp", "sig", F.explode(spots).alias("at")).select(F.xxhash64("node", "at", F.expr("substring(sig, at, 1)")).alias("node"), "key", "comp")
+            branches = large.join(sigs.select("key", "sig"), "key").select("node", "key", "comp", "sig", F.explode(spots).alias("at")).select(F.xxhash64("node", "at", F.expr("substring(sig, at, 1)")).alias("node"), "key", "comp")
+            level = branches = ws.put(branches, f"branches{depth}")  # read twice below: BRANCH rows for each member, made once
         several = level.groupBy("node").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node", "members")
         level = ws.put(level.join(several, "node"), f"level{depth}")
+        if depth:
+            ws.drop(branches)
         last = depth == MAX_DEPTH
         small = level if last else level.where(F.col("members") <= NODE_LIMIT)
         small = _blocks(small, F.ceil(F.col("members") / NODE_LIMIT).cast("int"))

@@ -78,6 +78,20 @@ def test_near_duplicates_through_branches_and_blocks(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute_components(rows, 3, 85)
 
 
+def test_branches_are_made_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "NODE_LIMIT", 4)
+    made, put = [], Workspace.put
+
+    def kept(self, df, name):
+        made.append((name, df._jdf.queryExecution().executedPlan().toString().count("Generate explode(transform(")))  # noqa: SLF001
+        return put(self, df, name)
+
+    monkeypatch.setattr(Workspace, "put", kept)
+    rows = [(i, f"the one line that all of them have w{i} x{i} y{i}", "en", "web") for i in range(60)]
+    assert near_dedup.near_duplicates(docs_of(spark, rows), shingle_words=3, percent=80).where("kept").count() == 60
+    assert sum(n for name, n in made if name == "level1") == 0 and sum(n for name, n in made if name == "branches1") == 1
+
+
 def test_components(spark):
     ws = Workspace(spark, "test")
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (100, 101)]
