@@ -7,12 +7,15 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Widths of chunks, of a bare citation and of what a stream holds back.
 CHUNK, OVERLAP, BOUNDARY, HOLD = 1800, 250, 0.6, 320
 LEAST_INNER, MOST_INNER = 4, 300
+#: Letters of chunks that a task holds before it hands them on.
+SLICE_BYTES = 4 << 20
 # How a citation names its page, a Markdown link, and the paths of verified targets.
 _PAGED = re.compile(r"\s*[—–-]\s*p(?:age)?\.?\s*(\d+)\s*$", re.I)
 _LINK = re.compile(r"\[[^\]]+\]\([^)]+\)")
@@ -40,9 +43,26 @@ def chunk_text(text: str | None, size: int = CHUNK, overlap: int = OVERLAP) -> l
     return [piece for at, stop in spans[1:] if (piece := text[at:stop].strip())]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def chunks(text: pd.Series) -> pd.Series:
-    return text.map(chunk_text)
+def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(keys, text) to (keys, at, text): a row for each chunk. Pages are read one by one, and at most ``SLICE_BYTES`` of chunks, or one page's, are held."""
+
+    def made(batch: pa.RecordBatch, rows: list[int], at: list[int], pieces: list[str]) -> pa.RecordBatch:
+        keys = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(at, pa.int32()), pa.array(pieces, pa.string())], [*batch.schema.names[:-1], "at", "text"])
+
+    for batch in batches:
+        rows, at, pieces, size = [], [], [], 0
+        for row, page in enumerate(batch.column(batch.num_columns - 1)):
+            own = chunk_text(page.as_py())
+            rows += [row] * len(own)
+            at += range(len(own))
+            pieces += own
+            size += sum(map(len, own))
+            if size > SLICE_BYTES:
+                yield made(batch, rows, at, pieces)
+                rows, at, pieces, size = [], [], [], 0
+        yield made(batch, rows, at, pieces)
+    pa.default_memory_pool().release_unused()
 
 
 def _title(title: str) -> str:

@@ -180,3 +180,16 @@ def test_chunks_end_at_the_last_break_that_is_late_enough(seed):
             break
         at = max(stop - 10, at + 1)
     assert markdown.chunk_text(body, 40, 10) == ([w for w in want if w] if len(body) > 40 else [body] if body else [])
+
+
+def test_chunks_leave_in_bounded_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(markdown, "SLICE_BYTES", 20_000)
+    pages = [None, "", "short", *("word. " * (400 * i) for i in range(1, 30))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array(pages)], ["key", "page"])
+    out = list(markdown.chunk_rows(iter([batch])))
+    longest = max(sum(map(len, markdown.chunk_text(p))) for p in pages)
+    assert len(out) > 10 and all(sum(map(len, b.column(2).to_pylist())) <= 20_000 + longest for b in out)
+    want = [(i, at, piece) for i, p in enumerate(pages) for at, piece in enumerate(markdown.chunk_text(p))]
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
