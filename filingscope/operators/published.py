@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import hashing, scoring
 from .routing import CANDIDATES, DECIMALS, question_stems
-from .shared import small
+from .shared import once, small
 
 # Versions and key prefixes of what is published.
 INDEX_VERSION, ROUTER_VERSION, INDEX_PREFIX, ROUTER_PREFIX = 1, 2, "term-index/", "case-router/"
@@ -99,8 +99,9 @@ def _current(manifest: DataFrame, shards: DataFrame) -> tuple[DataFrame, DataFra
     read = shards.select("shard", F.from_json("payload", SHARD).alias("s"))
     own = (F.col("s.version") == INDEX_VERSION) & (F.col("s.generation") == F.col("m.generation")) & (F.col("s.shardCount") == F.col("m.shardCount")) & F.col("s.terms").isNotNull()
     good = read.crossJoin(F.broadcast(m)).where(own).select("shard", "s", F.coalesce("s.part", F.lit(0)).alias("part"), F.coalesce("s.parts", F.lit(1)).alias("parts"))  # one row
+    good = once(good, "read-shards")  # a payload is parsed once
     whole = good.groupBy("shard").agg((F.count_distinct("part") == F.max("parts")).alias("all")).where("all").select("shard")
-    return m, good.join(whole, "shard", "left_semi").select("shard", "s")
+    return m, good.join(small(whole), "shard", "left_semi").select("shard", "s")
 
 
 def route_published(questions: DataFrame, manifest: DataFrame, shards: DataFrame, most: int = CANDIDATES) -> DataFrame:

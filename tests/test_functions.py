@@ -193,3 +193,11 @@ def test_chunks_leave_in_bounded_batches(monkeypatch):
     assert len(out) > 10 and all(sum(map(len, b.column(2).to_pylist())) <= 20_000 + longest for b in out)
     want = [(i, at, piece) for i, p in enumerate(pages) for at, piece in enumerate(markdown.chunk_text(p))]
     assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
+
+
+def test_stems_lower_a_text_once(spark):
+    from filingscope.functions import text
+
+    assert str(text.stems(F.col("t"))).count("lower(") == 1
+    rows = spark.createDataFrame([("Filings FILED the Agency's regulations",), (None,)], "t string")
+    assert [r[0] for r in rows.select(text.stems(F.col("t")) == F.array_distinct(F.transform(text.tokens(F.col("t")), text.stem))).collect()] == [True, True]

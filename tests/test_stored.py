@@ -264,3 +264,11 @@ def test_digests_hold_all_feedback(spark, tmp_path):
     rows = entry.queries()["feedback_digest"](spark, str(tmp_path)).orderBy("batch").collect()
     assert [(r.batch, r.n) for r in rows] == [(0, 100), (1, 100), (2, 50)] and sum(r.down for r in rows) == sum(i % 3 != 0 for i in range(250))
     assert all(r.digest.count("### ") == r.down for r in rows)
+
+
+def test_published_shards_are_parsed_once(spark):
+    postings = spark.createDataFrame([(f"stem{i}", f"FC{j}", 3, 100 + i, 9) for i in range(40) for j in range(3)], "stem string, case_number string, df long, weight int, cases long")
+    shards = published.shard_payloads(postings, "g1", 4, 1024)
+    m, read = published._current(published.manifest_payload(postings, "g1", "2026-01-01T00:00:00Z", shards=4), shards)
+    assert "from_json" not in read._jdf.queryExecution().executedPlan().toString()
+    assert read.selectExpr("explode(s.terms)").select("key").distinct().count() == 40
