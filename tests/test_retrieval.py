@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filingscope.functions import hashing
-from filingscope.operators import index, routing, search
+from filingscope.operators import fielded, index, routing, search
 from filingscope.plans.corpus import filings
 from tests.conftest import DATA
 
@@ -104,3 +104,73 @@ def test_texts_are_not_moved_for_dates_that_nobody_asks_for(spark):
     assert "Join" not in plan("filing_id", "case_number", "title", "text") and "Join" in plan("filing_id", "received_date")
     dated = filings(spark, DATA).where("received_date IS NOT NULL").count()
     assert dated == spark.read.parquet(f"{DATA}/documents.parquet").join(spark.read.parquet(f"{DATA}/orders.parquet"), F.expr("doc_id = o_orderkey")).count() > 0
+
+
+def _spelt(rnd, n):
+    return "".join(rnd.choice("ab") for _ in range(n))
+
+
+def test_asked_words_are_found_by_equality_opening_and_edits():
+    rnd = random.Random(8)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    asked = sorted({_spelt(rnd, n) for n in (2, 4, 5, 6, 8, 12, 13, 15, 20, 21, 22, 39) for _ in range(4)})
+    words = [_spelt(rnd, rnd.randrange(2, 24)) for _ in range(300)]
+    for t in asked:  # some that are near
+        for _ in range(12):
+            w = list(t)
+            for _ in range(rnd.randrange(5)):
+                at = rnd.randrange(len(w))
+                w[at : at + rnd.randrange(2)] = _spelt(rnd, rnd.randrange(2))
+                w = w or ["a"]
+            words.append("".join(w))
+    told = fielded.Asked([(1, asked, [])], {}, (0.375, 0.45, 0.12), (1.2, 0.75))
+    near = 0
+    for w in words:
+        want = {}
+        for t in asked:
+            d, most = edits(t, w), round(len(t) * 0.12)
+            if w == t or w.startswith(t):
+                want[t] = 1.0 if w == t else 0.375 * len(t) / len(w)
+            elif most and d <= most:
+                want[t], near = 0.45 * len(t) / (len(t) + d), near + 1
+        assert {t: told.like(w)[i] for t, i in told.terms.items() if i in told.like(w)} == want
+    assert near > 300
+
+
+def _searched(rnd, chunks, words):
+    vocabulary = [f"{rnd.choice(['rate', 'storm', 'grid', 'meter'])}{i}" for i in range(words)]
+    texts = [(i, f"FC{1000 + i % 7}" if i % 9 else None, f"title {rnd.choice(vocabulary)}", " ".join(vocabulary[int(words * rnd.random() ** 3)] for _ in range(rnd.choice([0, 4, 30])))) for i in range(chunks)]
+    texts += [(chunks + i, "FC1001", *texts[3][2:]) for i in range(60)]  # copies: more than are kept
+    asked = [(i, " ".join(rnd.choice([x, x[:-1], "rate", "grid"]) for x in rnd.sample(vocabulary, 4)) + (" in FC 1001" if i % 4 == 0 else "")) for i in range(17)] + [(98, None), (99, "never heard of")]
+    return asked, texts
+
+
+@pytest.mark.parametrize(("common", "questions"), [(0, 2_000), (40, 5), (4_000_000, 5)])
+def test_a_fielded_search_of_parts_finds_the_same(spark, monkeypatch, common, questions):
+    asked, texts = _searched(random.Random(9), 400, 300)
+    asked, chunks = spark.createDataFrame(asked, "question_id long, message string"), spark.createDataFrame(texts, "id long, case_number string, filename string, text string").repartition(5)
+    want = sorted(map(tuple, search.fielded_search(asked, chunks).collect()))
+    monkeypatch.setattr(search, "COMMON", common)
+    monkeypatch.setattr(search, "QUESTIONS", questions)
+    assert sorted(map(tuple, search.fielded_search(asked, chunks).collect())) == want and len(want) > 80
+
+
+def test_a_fielded_search_shuffles_no_postings(spark):
+    rnd = random.Random(10)
+    words = [f"rate{i}" for i in range(1_500)]
+    rows = [(i, "FC1", "t", " ".join(rnd.choice(words) for _ in range(1_500))) for i in range(300)]
+    chunks = spark.createDataFrame(rows, "id long, case_number string, filename string, text string")
+    asked = spark.createDataFrame([(i, f"rate {rnd.choice(words)}") for i in range(10)], "question_id long, message string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert len(search.fielded_search(asked, chunks).collect()) == 60
+    time.sleep(1)
+    assert written() - before < 1 << 20  # 300,000 postings take some megabytes
